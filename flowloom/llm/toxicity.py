@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, python_batches, table
+from .common import fold, python_batches, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
 PIECE = re.compile(r"[^\W\d_]+|[\"“”„«»‹›]")
@@ -39,10 +40,12 @@ QUOTES = frozenset("\"“”„«»‹›")
 REPORTS = frozenset("said says say wrote writes quoted quote called calling reported reads sagte schrieb zitat nannte dit écrit cité appelé dijo escribió cita llamó".split())
 #: Words that address a reader.
 ADDRESS = frozenset("you your yours youre du dich dein ihr euch tu toi vous ton votre tú usted eres tus".split())
-FEATURES = ("exact", "near", "quoted", "addressed", "density")
-#: Stems have from 4 to 12 letters.
-SHORT, LONG = 4, 12
+FEATURES = ("exact", "near", "weak", "quoted", "addressed", "density")
+#: Stems have from 3 to 12 letters.
+SHORT, LONG = 3, 12
 WINDOW = 6
+#: Nats that a term must carry: chance gives this to about one of ten million beginnings.
+LEAST_EVIDENCE = 14.0
 _MEMO = 500_000
 
 
@@ -76,7 +79,7 @@ class Lexicon:
             node, i, e = stack.pop()
             while True:
                 end = node.get("")
-                if end is not None and e < best and (i == n or end):
+                if end is not None and e < best and (i == n or end) and not (end and e):
                     best = e
                 elif end is False and e + n - i <= most:
                     best = min(best, e + n - i)
@@ -96,29 +99,45 @@ class Lexicon:
                 break
         return best
 
+
+class Scorer:
+    """Two lexicons: strong terms, matched with edits, and weak ones that clean documents hold too, matched exactly."""
+
+    def __init__(self, strong: dict[str, bool], weak: dict[str, bool]) -> None:
+        self.strong, self.weak = Lexicon(strong), Lexicon(weak)
+
+    def hit(self, word: str) -> bool:
+        return self.strong.edits(word) <= 1 or self.weak.edits(word) == 0
+
     def features(self, text: str | None) -> list[float]:
         words = WORD.findall((text or "").lower())
-        if not any(map(self._near, words)):
+        if not any(map(self.hit, words)):
             return [0.0] * len(FEATURES)
         pieces = PIECE.findall(text.lower())
         exact = near = quoted = addressed = 0
+        weak: set[str] = set()
         inside = False
         for k, w in enumerate(pieces):
             if w in QUOTES:
                 inside = not inside
                 continue
-            e = self.edits(w)
+            e = self.strong.edits(w)
             if e > 1:
+                if self.weak.edits(w) == 0:
+                    weak.add(w)
                 continue
             about = pieces[max(0, k - WINDOW) : k] + pieces[k + 1 : k + 1 + WINDOW]
             exact += e == 0
             near += e == 1
             quoted += (inside and any(x in QUOTES for x in pieces[k + 1 : k + 40])) or any(x in REPORTS for x in about)
             addressed += any(x in ADDRESS for x in about)
-        return [math.log1p(exact), math.log1p(near), math.log1p(quoted), math.log1p(addressed), (exact + near) / len(words)]
+        return [*map(math.log1p, (exact, near, 100 * len(weak) / len(words), quoted, addressed)), (exact + near) / len(words)]
 
-    def _near(self, word: str) -> bool:
-        return self.edits(word) <= 1
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [[w for w in set(WORD.findall((t or "").lower())) if len(w) > 5] for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([min((zlib.crc32(w.encode()) for w in ws), default=-1) for ws in words], pa.int64())], names=["text", "toxic", "sign"])
 
 
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +145,7 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = {w for w in WORD.findall((text or "").lower()) if len(w) >= SHORT}
+            words = {w for w in WORD.findall((text or "").lower()) if len(w) > SHORT}
             counts.update((w, True, toxic) for w in words)
             counts.update((p, False, toxic) for p in {w[:n] for w in words for n in range(SHORT, min(LONG, len(w)) + 1)})
     rows = list(counts.items())
@@ -137,8 +156,13 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def choose_terms(rows: list[tuple[str, int, int, int]], toxic: int, other: int, precision: float) -> dict[str, bool]:
     """rows: (beginning, toxic documents, other documents, toxic documents with it as a whole word)."""
-    least = max(3, 0.002 * toxic)
-    good = {t: (a, w) for t, a, b, w in rows if a >= least and a / max(toxic, 1) >= precision / (1 - precision) * b / max(other, 1)}
+    base = toxic / max(toxic + other, 1)
+
+    def evidence(a: int, b: int) -> float:
+        """Log likelihood ratio of the term's own toxic share against the common one."""
+        return sum(n * math.log(n / (a + b) / p) for n, p in ((a, base), (b, 1 - base)) if n)
+
+    good = {t: (a, w) for t, a, b, w in rows if a / max(toxic, 1) >= precision / (1 - precision) * b / max(other, 1) and evidence(a, b) >= LEAST_EVIDENCE}
     terms: dict[str, bool] = {}
     for t in sorted(good, key=lambda t: (len(t), t)):
         if t[:-1] in good:
@@ -166,11 +190,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 class Model:
-    def __init__(self, terms: dict[str, bool], weights: list[float]) -> None:
-        self.terms, self.weights = terms, weights
+    def __init__(self, strong: dict[str, bool], weak: dict[str, bool], weights: list[float]) -> None:
+        self.strong, self.weak, self.weights = strong, weak, weights
 
     def scorer(self):
-        lexicon, w = Lexicon(self.terms), self.weights
+        lexicon, w = Scorer(self.strong, self.weak), self.weights
 
         def score(text: str | None) -> float:
             z = w[-1] + sum(a * b for a, b in zip(w, lexicon.features(text), strict=False))
@@ -179,7 +203,7 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 6000, precision: float = 0.95) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 6000, precision: float = 0.95, weak_precision: float = 0.5) -> Model:
     """Learn from labelled rows outside the held-out fold."""
     python_batches(docs.sparkSession)
     known = (
@@ -194,28 +218,33 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_c
     toxic, other = sum(chosen.values()), len(chosen) - sum(chosen.values())
     if not toxic or not other:
         rate = min(max(toxic / max(1, len(chosen)), 1e-6), 1 - 1e-6)
-        return Model({}, [0.0] * len(FEATURES) + [math.log(rate / (1 - rate))])
+        return Model({}, {}, [0.0] * len(FEATURES) + [math.log(rate / (1 - rate))])
     spark = docs.sparkSession
     ids = spark.createDataFrame(list(chosen.items()), "doc_id bigint, toxic int")
-    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    # one document of those that share a least word hash: near copies would pass their own rare words off as terms
+    sample = stored(texts.mapInArrow(_signed, "text string, toxic int, sign bigint").groupBy("sign", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     counts = (
         sample.mapInArrow(_beginnings, "term string, whole boolean, toxic int, docs bigint")
         .groupBy("term")
         .agg(*(F.sum(F.when(cond, F.col("docs")).otherwise(0)).alias(n) for n, cond in (("a", (F.col("toxic") == 1) & ~F.col("whole")), ("b", (F.col("toxic") == 0) & ~F.col("whole")), ("w", (F.col("toxic") == 1) & F.col("whole")))))
-        .where((F.col("a") >= 3) & (F.col("a") / toxic >= precision / (1 - precision) * F.col("b") / other))
+        .where((F.col("a") >= 3) & (F.col("a") / toxic >= weak_precision / (1 - weak_precision) * F.col("b") / other))
         .orderBy(F.desc("a"), "term")
         .limit(5000)
     )
-    terms = choose_terms([(r.term, r.a, r.b, r.w) for r in counts.collect()], toxic, other, precision)
+    rows = [(r.term, r.a, r.b, r.w) for r in counts.collect()]
+    strong, weak = (choose_terms(rows, toxic, other, p) for p in (precision, weak_precision))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(terms)
+        lexicon = Scorer(strong, weak)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([lexicon.features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
     rows = sample.mapInArrow(measure, "x array<double>, toxic int").collect()  # bounded by per_class
     w = fit_logistic(np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float))
-    return Model(terms, [float(v) for v in w])
+    return Model(strong, weak, [float(v) for v in w])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
