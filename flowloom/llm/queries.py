@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, line_dedup, toxicity, warc
+from . import bpe, chat, line_dedup, simhash, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
+    "op6_simhash": simhash.op6_simhash,
     "op7_warc": warc.op7_warc,
     "op10_chat": chat.op10_chat,
 }

@@ -202,7 +202,8 @@ def read(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return archives.select("path").repartition("path").mapInArrow(run, schema)
+    tasks = max(1, min(archives.count(), 10_000))  # an archive is a task's work
+    return archives.select("path").repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
