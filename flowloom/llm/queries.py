@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, line_dedup, simhash, toxicity, warc
+from . import ann, bpe, chat, decontaminate, line_dedup, simhash, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_ann": ann.op3_ann,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
     "op6_simhash": simhash.op6_simhash,
     "op7_warc": warc.op7_warc,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat": chat.op10_chat,
 }
-ORACLES = {**line_dedup.ORACLE, **warc.ORACLE}
+ORACLES = {**line_dedup.ORACLE, **warc.ORACLE, **decontaminate.ORACLE}
