@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, decontaminate, line_dedup, simhash, toxicity, warc
+from . import ann, bpe, chat, decontaminate, katz, line_dedup, simhash, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_simhash": simhash.op6_simhash,
     "op7_warc": warc.op7_warc,
+    "op8_katz": katz.op8_katz,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat": chat.op10_chat,
 }
