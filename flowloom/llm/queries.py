@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, decontaminate, katz, line_dedup, simhash, toxicity, warc
+from . import ann, bpe, chat, decontaminate, katz, line_dedup, simhash, suffix, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_suffix": suffix.op2_suffix,
     "op3_ann": ann.op3_ann,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
