@@ -203,14 +203,14 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 6000, precision: float = 0.95, weak_precision: float = 0.5) -> Model:
-    """Learn from labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0, per_class: int = 6000, precision: float = 0.95, weak_precision: float = 0.5) -> Model:
+    """Learn from labelled rows outside the held-out fold (None: from all)."""
     python_batches(docs.sparkSession)
     known = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
-        .where(fold("doc_id", folds) != held)
+        .where(F.lit(True) if held is None else fold("doc_id", folds) != held)
         .join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), "doc_id")
     )
     drawn = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
@@ -267,7 +267,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those that score `threshold` or more; all columns stay."""
-    model = fit(docs.select("doc_id", "text"), labels)
+    model = fit(docs.select("doc_id", "text"), labels, held=None)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
