@@ -383,11 +383,11 @@ def class_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5) -> Data
     w = Window.partitionBy("k").orderBy(F.desc("p"))
     inner = parts.withColumns({"cp": F.sum("pos").over(w), "cn": F.sum("n").over(w)})
     sizes = parts.groupBy("k").agg(F.sum("pos").alias("sp"), F.sum("n").alias("sn"))
-    before = sizes.select("k", (F.sum("sp").over(Window.orderBy("k")) - F.col("sp")).alias("bp"), (F.sum("sn").over(Window.orderBy("k")) - F.col("sn")).alias("bn"), F.sum("sp").over(Window.partitionBy()).alias("P"), F.sum("sn").over(Window.partitionBy()).alias("N"))  # one row a part
+    before = sizes.select("k", (F.sum("sp").over(Window.orderBy("k")) - F.col("sp")).alias("bp"), (F.sum("sn").over(Window.orderBy("k")) - F.col("sn")).alias("bn"), F.sum("sp").over(Window.partitionBy()).alias("all_pos"), F.sum("sn").over(Window.partitionBy()).alias("all_n"))  # one row a part
     c = inner.join(F.broadcast(before), "k").withColumns({"tp": F.col("cp") + F.col("bp"), "all": F.col("cn") + F.col("bn")})
     neg = F.col("n") - F.col("pos")
-    auc = F.try_divide(F.sum(neg * (F.col("tp") - F.col("pos") / 2)), F.max("P") * (F.max("N") - F.max("P")))
-    ap = F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.max("P"))
+    auc = F.try_divide(F.sum(neg * (F.col("tp") - F.col("pos") / 2)), F.max("all_pos") * (F.max("all_n") - F.max("all_pos")))
+    ap = F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.max("all_pos"))
     hit = F.col("p") >= threshold
     one = d.agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), *(F.count(F.when(a & b, 1)).alias(k) for k, a, b in (("tp", hit, F.col("y") == 1), ("fp", hit, F.col("y") == 0), ("fn", ~hit, F.col("y") == 1), ("tn", ~hit, F.col("y") == 0))))
     prec, rec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
