@@ -96,7 +96,7 @@ def synthesise(df: DataFrame, numbers: Sequence[str], category: str, n: int, see
     spark = df.sparkSession
     d = df.dropna(subset=list(numbers))
     knots = d.agg(*(F.percentile_approx(c, [k / 1000 for k in range(1001)], 100_000).alias(c) for c in numbers)).first()
-    scored = d.select(*((F.size(F.filter(F.array(*map(F.lit, sorted(map(float, knots[c])))), lambda e, c=c: e < F.col(c))) / 1001.0).alias(c) for c in numbers))
+    scored = d.select(*(((F.size(F.filter(F.lit(sorted(map(float, knots[c]))), _below(c))) + 0.5) / 1002.0).alias(c) for c in numbers))
     row = scored.agg(*(F.corr(a, b).alias(f"r{i}_{j}") for i, a in enumerate(numbers) for j, b in enumerate(numbers) if i < j)).first() if len(numbers) > 1 else None
     r = np.eye(len(numbers))
     for i in range(len(numbers)):
@@ -105,14 +105,25 @@ def synthesise(df: DataFrame, numbers: Sequence[str], category: str, n: int, see
     w, v = np.linalg.eigh(r)
     root = v * np.sqrt(np.clip(w, 1e-9, None))
     draws = spark.range(n).select("id", *(F.randn(seed + k).alias(f"z{k}") for k in range(len(numbers))), F.rand(seed - 1).alias("u_"))
-    x = {c: sum((F.col(f"z{k}") * float(root[i, k]) for k in range(len(numbers))), F.lit(0.0)) for i, c in enumerate(numbers)}
+    x = {c: _total(F.col(f"z{k}") * float(root[i, k]) for k in range(len(numbers))) for i, c in enumerate(numbers)}
     p = {c: 1 / (1 + F.exp(-(1.5976 * e + 0.07056 * F.pow(e, 3)))) for c, e in x.items()}  # the normal distribution function, to four places
-    out = draws.select("id", "u_", *((F.element_at(F.array(*map(F.lit, sorted(map(float, knots[c])))), F.least(F.floor(q * 1001) + 1, F.lit(1001)).cast("int"))).alias(c) for c, q in p.items()))
+    out = draws.select("id", "u_", *((F.element_at(F.lit(sorted(map(float, knots[c]))), F.least(F.floor(q * 1001) + 1, F.lit(1001)).cast("int"))).alias(c) for c, q in p.items()))
     shares = df.groupBy(category).agg((F.count("*") + smooth).alias("k")).where(F.col(category).isNotNull())
     edges = shares.select(category, (F.sum("k").over(Window.orderBy(category)) / F.sum("k").over(Window.partitionBy())).alias("to_"), (F.col("k") / F.sum("k").over(Window.partitionBy())).alias("p_"))  # one row a category
     return out.join(F.broadcast(edges), (F.col("u_") < F.col("to_")) & (F.col("u_") >= F.col("to_") - F.col("p_"))).select("id", *numbers, category)
 
 
+def _below(c: str):
+    return lambda e: e < F.col(c)
+
+
+def _total(terms) -> Column:
+    out = F.lit(0.0)
+    for t in terms:
+        out = out + t
+    return out
+
+
 def privacy_report(real: DataFrame, made: DataFrame, numbers: Sequence[str], quasi: Sequence[str]) -> DataFrame:
     """measure, value: differences of means and variances, of correlations, and the exact match rate on quasi identifiers."""
     from .windows import match_rate
