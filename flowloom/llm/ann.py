@@ -63,27 +63,36 @@ class Hasher:
         """One number for the cells of a bucket: seven bits a cell."""
         return ((cells.astype(np.int64) + 64) % 128 << (7 * np.arange(cells.shape[-1]))).sum(-1)
 
-    def probes(self, place: np.ndarray, most: int) -> np.ndarray:
-        """Codes of the buckets that a query visits, in estimated success order."""
-        cell = np.floor(place)
-        at = place - cell
-        # distance to the edge below (step -1) and above (step 1), squared, in rising order
-        steps = sorted([(float(d) ** 2, k, s) for k in range(self.m) for d, s in ((at[k], -1), (1 - at[k], 1))])
-        cost = [c for c, _, _ in steps]
-        found = [cell]
+    def template(self, most: int) -> np.ndarray:
+        """Perturbations in estimated success order, as sets of ranks among a query's 2m steps sorted by distance.
+
+        The order follows the expected squared distances of the ranks, so one template serves all
+        queries. Ranks i and 2m - 1 - i are the two ways in one projection and never meet.
+        """
+        m, n = self.m, 2 * self.m
+        j = np.arange(1, n + 1)
+        low = j * (j + 1) / (4 * (m + 1) * (m + 2))
+        back = n + 1 - j
+        cost = np.where(j <= m, low, 1 - back / (m + 1) + back * (back + 1) / (4 * (m + 1) * (m + 2)))
+        found = [np.zeros(n, np.int64)]
         heap = [(cost[0], (0,))]
         while heap and len(found) < most:
             c, chosen = heapq.heappop(heap)
-            if len({steps[i][1] for i in chosen}) == len(chosen):  # not both ways in one projection
-                moved = cell.copy()
-                for i in chosen:
-                    moved[steps[i][1]] += steps[i][2]
-                found.append(moved)
+            if not any(n - 1 - i in chosen for i in chosen):
+                found.append(np.bincount(chosen, minlength=n))
             last = chosen[-1]
-            if last + 1 < len(steps):
+            if last + 1 < n:
                 heapq.heappush(heap, (c - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))  # shift
                 heapq.heappush(heap, (c + cost[last + 1], (*chosen, last + 1)))  # expand
-        return self.codes(np.array(found))
+        return np.array(found)
+
+    def probes(self, place: np.ndarray, template: np.ndarray) -> np.ndarray:
+        """Codes of the buckets that a query visits, in estimated success order."""
+        cell = np.floor(place)
+        below = place - cell
+        unit = np.int64(1) << (7 * np.arange(self.m, dtype=np.int64))
+        order = np.argsort(np.r_[below, 1 - below], kind="stable")
+        return self.codes(cell) + template @ np.r_[-unit, unit][order]
 
 
 def projections(rows: int) -> int:
@@ -96,12 +105,12 @@ def fit_probes(x: np.ndarray, q: np.ndarray, hasher: Hasher, k: int, target: flo
     if len(x) <= k or not len(q):
         return most
     own = [hasher.codes(np.floor(hasher.places(hasher.points(x), t))) for t in range(hasher.tables)]
-    needed = []
+    needed, template = [], hasher.template(most)
     for row, point in zip(q, hasher.queries(q), strict=True):
         near = np.argpartition(-(x @ row), k)[: k + 1]
         best = np.full(len(near), most)
         for t in range(hasher.tables):
-            order = {int(c): n for n, c in enumerate(hasher.probes(hasher.places(point[None], t)[0], most))}
+            order = {int(c): n for n, c in enumerate(hasher.probes(hasher.places(point[None], t)[0], template))}
             best = np.minimum(best, [order.get(int(c), most) for c in own[t][near]])
         needed += best.tolist()
     return int(np.quantile(needed, target, method="higher")) + 1
@@ -137,6 +146,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
 
     hasher = Hasher(dim, top, projections(rows))
     probes = fit_probes(drawn(indexed, "least", SAMPLE), drawn(asked, "q", SAMPLE_QUERIES), hasher, k, target)
+    template = hasher.template(probes)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * TABLES // TASK_ROWS))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +183,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
                 out: list[tuple] = []
                 for n, (q, place) in enumerate(zip(batch.column("q").to_pylist(), hasher.places(points, t), strict=True)):
                     by_task = defaultdict(set)
-                    codes = hasher.probes(place, probes)
+                    codes = hasher.probes(place, template)
                     for salt in range(salts):
                         for task, code in zip(task_of(t, codes, salt).tolist(), codes.tolist(), strict=True):
                             by_task[task].add(code)
@@ -185,57 +195,59 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
     dealt = indexed.select("least", "ids", "e").mapInArrow(placed, row).unionByName(asked.select("q", "e").mapInArrow(sent, row)).repartition(tasks, "task").sortWithinPartitions("task", "kind", "t")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's vectors come first, then its queries."""
-        held: dict = {}
-        buckets: dict | None = None
-        at = None
-        best: dict[int, list[tuple]] = {}
-
-        def close() -> Iterator[pa.RecordBatch]:
-            rows = [(q, s, ids) for q, found in best.items() for s, _, ids in found]
-            best.clear()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["q", "score", "ids"])
+        """A task's vectors come first, then its queries, some at a time."""
+        held: dict = defaultdict(list)
+        spans: dict = {}
+        x = least = ids = at = None
+        asked: list[tuple] = []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            """Exact scores of each query with the buckets that it probes, and the best of them."""
+            if asked and len(least):
+                score = np.full((len(asked), len(least)), -np.inf)
+                wanted = defaultdict(list)
+                for n, (_, t, codes, _) in enumerate(asked):
+                    for code in codes:
+                        if (t, code) in spans:
+                            wanted[(t, code)].append(n)
+                q = np.array([a[3] for a in asked])
+                for key, rows in wanted.items():
+                    s, e = spans[key]
+                    score[rows, s:e] = q[rows] @ x[s:e].T
+                out = []
+                for n, row in enumerate(score):
+                    cut = np.flatnonzero(row >= np.partition(row, -k - 1)[-k - 1]) if len(row) > k + 1 else np.arange(len(row))
+                    cut = cut[np.isfinite(row[cut])]
+                    cut = cut[np.lexsort((least[cut], -row[cut]))][: k + 1]
+                    out += [(asked[n][0], row[i], ids[i]) for i in cut]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["q", "score", "ids"])
+            asked.clear()
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             columns = [batch.column(c).to_pylist() for c in ("task", "kind", "id", "codes", "t", "ids")]
-            e = batch.column("e").flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else None
-            wanted = defaultdict(list)
-
-            def answer(wanted: dict = wanted) -> None:
-                for key, asked in wanted.items():
-                    if key not in buckets:
-                        continue
-                    least, ids, x = buckets[key]
-                    scores = np.array([q[1] for q in asked]) @ x.T
-                    for (q, _), score in zip(asked, scores, strict=True):
-                        cut = np.argpartition(-score, k)[: k + 1] if len(score) > k + 1 else np.arange(len(score))
-                        if len(score) > k + 1:
-                            cut = np.flatnonzero(score >= score[cut].min())
-                        mine = best.setdefault(q, [])
-                        mine += [(float(score[i]), least[i], ids[i]) for i in cut]
-                        if len(mine) > 4 * (k + 1):
-                            best[q] = _best(mine, k + 1)
-                wanted.clear()
-
-            for n, (task, kind, key, codes, t, ids) in enumerate(zip(*columns, strict=True)):
+            e = batch.column("e").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for n, (task, kind, key, codes, t, own) in enumerate(zip(*columns, strict=True)):
                 if task != at:
-                    answer()
-                    yield from close()
-                    held, buckets, at = {}, None, task
+                    yield from answer()
+                    held, x, at = defaultdict(list), None, task
                 if kind == 0:
-                    held.setdefault((t, codes[0]), []).append((key, ids, e[n]))
+                    held[(t, codes[0])].append((key, own, e[n]))
                     continue
-                if buckets is None:
-                    buckets = {b: ([v[0] for v in vs], [v[1] for v in vs], np.array([v[2] for v in vs])) for b, vs in held.items()}
-                    held = {}
-                for code in codes:
-                    wanted[(t, code)].append((key, e[n]))
-            if buckets is not None:
-                answer()
-                for q in best:
-                    best[q] = _best(best[q], k + 1)
-        yield from close()
+                if x is None:
+                    rows, spans = [], {}
+                    for bucket, found in held.items():
+                        spans[bucket] = (len(rows), len(rows) + len(found))
+                        rows += found
+                    least, ids = np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
+                    x = np.array([r[2] for r in rows]).reshape(len(rows), dim)
+                    held = defaultdict(list)
+                asked.append((key, t, codes, e[n]))
+                if len(asked) >= 64:
+                    yield from answer()
+        yield from answer()
 
     found = dealt.mapInArrow(rank, "q bigint, score double, ids array<bigint>")
     lists = found.groupBy("q", F.col("ids")[0].alias("least")).agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
@@ -250,11 +262,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
 NAMES = ["task", "kind", "id", "codes", "t", "ids", "e"]
 
 
-def _best(found: list[tuple], k: int) -> list[tuple]:
-    """The k best, a vector found in two tables once."""
-    return sorted({f[1]: f for f in found}.values(), key=lambda f: (-f[0], f[1]))[:k]
-
-
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
