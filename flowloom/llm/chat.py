@@ -218,7 +218,7 @@ def parse(lines: DataFrame, model: Hmm) -> DataFrame:
 def render(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, role, n_lines, rendered: each turn as <|role|>, its text, <|end|>."""
     turns = parsed.groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("rows"))
-    text = F.rtrim(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"))
+    text = F.regexp_replace(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), r"\s+$", "")
     return turns.select("conv_id", "turn", "role", "n_lines", F.concat(F.lit("<|"), "role", F.lit("|>\n"), text, F.lit("\n<|end|>")).alias("rendered"))
 
 

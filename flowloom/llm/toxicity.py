@@ -134,10 +134,16 @@ class Scorer:
         return [*map(math.log1p, (exact, near, 100 * len(weak) / len(words), quoted, addressed)), (exact + near) / len(words)]
 
 
+def _sign(text: str | None) -> int:
+    """Two least hashes of word pairs, as one number: near copies mostly share it, other documents hardly ever."""
+    ws = WORD.findall((text or "").lower())
+    least = sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in zip(ws, ws[1:], strict=False)})[:2]
+    return least[0] << 31 | least[-1] >> 1 if least else -1
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [[w for w in set(WORD.findall((t or "").lower())) if len(w) > 5] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([min((zlib.crc32(w.encode()) for w in ws), default=-1) for ws in words], pa.int64())], names=["text", "toxic", "sign"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(_sign, batch.column("text").to_pylist()), pa.int64())], names=["text", "toxic", "sign"])
 
 
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0
     spark = docs.sparkSession
     ids = spark.createDataFrame(list(chosen.items()), "doc_id bigint, toxic int")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")
-    # one document of those that share a least word hash: near copies would pass their own rare words off as terms
+    # one document of those that share a signature: near copies would pass their own rare words off as terms
     sample = stored(texts.mapInArrow(_signed, "text string, toxic int, sign bigint").groupBy("sign", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
