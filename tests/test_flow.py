@@ -73,7 +73,7 @@ def test_hamilton_keeps_totals(spark):
 def test_statistics(spark):
     df = spark.createDataFrame([(float(x), float(y), g) for x, y, g in [(1, 2, 0), (2, 4, 0), (3, 5, 1), (4, 4, 1), (5, 5, 1)]], "x double, y double, g int")
     assert abs(stats.spearman(df, "x", "y").first().r - 0.737865) < 1e-6
-    assert abs(stats.t_test(df, "y", "g").first().t + 1.954017) < 1e-5
+    assert abs(stats.t_test(df, "y", "g").first().t + 1.936492) < 1e-5
     coef = {r.term: r.coef for r in stats.ols(df, "y", ["x"]).collect()}
     assert abs(coef["const"] - 2.2) < 1e-9 and abs(coef["x"] - 0.6) < 1e-9
     assert stats.ks_2samp(df, "x", "g").first().d == 1.0
