@@ -21,16 +21,15 @@ def betainc(a: float, b: float, x: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1 - betainc(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d, h, tiny = 1.0, 0.0, 1.0, 1e-300
-    for m in range(500):
-        for num in ([1.0] if m == 0 else [m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))]) + [-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))]:
-            if m == 0 and num == 1.0:
-                d, c, h = 1.0, 1.0, 1.0
-                continue
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    h = d
+    for m in range(1, 1000):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + num * d or tiny)
             c = 1 + num / c or tiny
             h *= c * d
-        if m and abs(c * d - 1) < 1e-15:
+        if abs(c * d - 1) < 1e-15:
             break
     return front * h
 

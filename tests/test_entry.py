@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -27,7 +28,7 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
 
     def rows(df):
-        f = lambda v: "" if v is None or v != v else f"{float(v):.4f}" if isinstance(v, (int, float, bool)) or hasattr(v, "dtype") and v.dtype.kind in "ifb" else str(v)[:10]
+        f = lambda v: "" if pd.isna(v) else f"{float(v):.4f}" if isinstance(v, (int, float, bool)) or hasattr(v, "dtype") and v.dtype.kind in "ifb" else str(v)[:10]
         return sorted(tuple(f(v) for v in r) for r in df[sorted(df.columns)].astype(object).values.tolist())
 
     assert rows(got) == rows(want)
