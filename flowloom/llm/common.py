@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,23 @@ def python_batches(spark: SparkSession) -> None:
 def fold(column: str, parts: int):
     """crc32 of a column's text form, modulo parts (null: -1)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(-1))
+
+
+class Files:
+    """Compressed blobs in a folder that all executors share, by names that are new for every attempt of a task."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, data: bytes) -> str:
+        store, root = fs.FileSystem.from_uri(self.folder)
+        store.create_dir(root, recursive=True)
+        name = uuid.uuid4().hex
+        with store.open_output_stream(f"{root}/{name}") as out:
+            out.write(zstandard.ZstdCompressor(level=1).compress(data))
+        return name
+
+    def read(self, name: str) -> bytes:
+        store, root = fs.FileSystem.from_uri(self.folder)
+        with store.open_input_stream(f"{root}/{name}") as stream:
+            return zstandard.ZstdDecompressor().decompress(stream.read())
