@@ -136,6 +136,14 @@ def fit_review(df: DataFrame, y: str, numbers: Sequence[str], categories: Sequen
     return best, score.evaluate(held), held.select(key, y, vector_to_array("probability")[1].alias("p"))
 
 
+def logit(df: DataFrame, y: str, cat: str) -> DataFrame:
+    """term, coef of a binomial regression on a category; the least level is the base."""
+    levels = [r[0] for r in df.select(cat).where(F.col(cat).isNotNull()).distinct().orderBy(cat).collect()]  # one row a level
+    d = df.dropna(subset=[y, cat]).select(F.col(y).cast("double").alias("label"), *((F.col(cat) == v).cast("double").alias(f"l{k}") for k, v in enumerate(levels[1:])))
+    m = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="label").fit(_assembler(d.columns[1:]).transform(d))
+    return df.sparkSession.createDataFrame([("const", float(m.intercept)), *((str(v), float(c)) for v, c in zip(levels[1:], m.coefficients, strict=True))], "term string, coef double")
+
+
 def fit_classifier(df: DataFrame, kind: str, y: str, xs: Sequence[str]) -> DataFrame:
     """df with prediction. kind: bayes (Gaussian), forest or perceptron."""
     classes = df.agg(F.count_distinct(y)).first()[0]

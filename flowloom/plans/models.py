@@ -133,6 +133,22 @@ def m7(spark: SparkSession, d: str) -> DataFrame:
     return models.fit_review(c, "needs_legal_review", ["wait", "weighting"], ["risk"], "case_id")[2]
 
 
+@query("q15_logit", "WITH r AS (SELECT avg(needs_legal_review) FILTER (WHERE dt_received < DATE '1998-01-01') AS a, avg(needs_legal_review) FILTER (WHERE dt_received >= DATE '1998-01-01') AS b FROM cases) SELECT 'const' AS term, round(ln(a / (1 - a)), 4) AS coef FROM r UNION ALL SELECT '~post', round(ln(b / (1 - b)) - ln(a / (1 - a)), 4) FROM r")
+def q15(spark: SparkSession, d: str) -> DataFrame:
+    side = F.when(F.col("dt_received") < F.lit("1998-01-01").cast("date"), "pre").otherwise("~post")
+    return models.logit(cases(spark, d).withColumn("side", side), "needs_legal_review", "side").withColumn("coef", F.round("coef", 4))
+
+
+@query("s12_save_model")
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    """Fit, save, load again and score: the metrics as they were saved."""
+    c = timed(spark, d).select("case_id", "needs_legal_review", F.col("wait").cast("double").alias("wait"), "weighting", "risk")
+    model, auc, _ = models.fit_review(c, "needs_legal_review", ["wait", "weighting"], ["risk"], "case_id", mixes=(0.5,), strengths=(0.01,), folds=2)
+    path = src.scratch(spark, "model")
+    src.save_model(model, {"auc": auc}, path, spark)
+    return spark.read.parquet(f"{path}/metrics.parquet")
+
+
 @query("m8_fit_cox")
 def m8(spark: SparkSession, d: str) -> DataFrame:
     c = cases(spark, d).where("dt_alloc IS NOT NULL").select(F.datediff(F.coalesce("dt_signoff", F.lit("2001-12-31").cast("date")), "dt_alloc").alias("t"), F.col("dt_signoff").isNotNull().cast("int").alias("e"), "weighting", "fte", (F.col("risk") == "BUILDING").cast("int").alias("building"))
