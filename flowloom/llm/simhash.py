@@ -18,17 +18,18 @@ repeated rows share a fingerprint; an empty table gives an empty result. Extra c
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, python_batches, stored, table
+from .common import ARROW_ROWS, LOWER, python_batches, shared_dir, stored, table
 
 #: Pairs of trie nodes that are walked at once.
 CHUNK = 1 << 18
@@ -169,11 +170,120 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def links(prints: DataFrame, budget: int, blocks: int | None = None) -> DataFrame:
+class Sets:
+    """Shingle sets as sorted 64-bit hashes, in files of the shared folder; a set's place is its file's number and its number there."""
+
+    HELD = 64 << 20
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.folder = f"{shared_dir(spark).rstrip('/')}/sets-{secrets.token_hex(16)}"
+        self.heads: dict[int, np.ndarray] = {}
+        self.memo: dict[int, np.ndarray] = {}
+        self.held = 0
+
+    def write(self, nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        """Places of the sets. A file: how many, their nodes, their ends, their hashes."""
+        if len(sets) > ARROW_ROWS:
+            raise ValueError(f"over {ARROW_ROWS} sets for a file")
+        store, root = fs.FileSystem.from_uri(self.folder)
+        store.create_dir(root, recursive=True)
+        number = secrets.randbits(53)
+        with store.open_output_stream(f"{root}/{number}") as out:
+            out.write(np.r_[len(sets), nodes, np.cumsum([len(x) for x in sets])].astype("<i8").tobytes())
+            out.write(np.concatenate(sets).astype("<u8").tobytes())
+        return number * ARROW_ROWS + np.arange(len(sets))
+
+    def file(self, number: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Nodes and sets of a file."""
+        store, root = fs.FileSystem.from_uri(self.folder)
+        with store.open_input_stream(f"{root}/{number}") as stream:
+            data = stream.read()
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        head = np.frombuffer(data, "<i8", 2 * n, 8)
+        return head[:n], np.split(np.frombuffer(data, "<u8", -1, 8 + 16 * n), head[n:-1])
+
+    def get(self, place: int) -> np.ndarray:
+        got = self.memo.get(place)
+        if got is None:
+            number, k = divmod(place, ARROW_ROWS)
+            store, root = fs.FileSystem.from_uri(self.folder)
+            with store.open_input_file(f"{root}/{number}") as f:
+                if number not in self.heads:
+                    n = int(np.frombuffer(f.read_at(8, 0), "<i8")[0])
+                    self.heads[number] = np.r_[0, np.frombuffer(f.read_at(8 * n, 8 + 8 * n), "<i8")]
+                ends = self.heads[number]
+                got = np.frombuffer(f.read_at(8 * int(ends[k + 1] - ends[k]), 8 + 16 * (len(ends) - 1) + 8 * int(ends[k])), "<u8")
+            self.held += got.nbytes
+            if self.held > self.HELD:
+                self.memo.clear()
+                self.held = got.nbytes
+            self.memo[place] = got
+        return got
+
+
+class Verified:
+    """Groups of sets under links that hold exactly: no link joins two groups before its sets are compared, and none that holds is left out."""
+
+    def __init__(self, sets: Sets, similarity: float, place: np.ndarray, size: np.ndarray) -> None:
+        self.sets, self.similarity, self.place, self.size = sets, similarity, place, size.astype(float)
+        self.parent = np.arange(len(place))
+        self.failed: set[tuple[int, int]] = set()
+        self.kept: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return int(x)
+
+    def groups(self) -> np.ndarray:
+        while (self.parent[self.parent] != self.parent).any():
+            self.parent = self.parent[self.parent]
+        return self.parent
+
+    def may(self, x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+        """Sizes that leave the similarity possible."""
+        a, b = self.size[x], self.size[y]
+        return np.minimum(a, b) >= self.similarity * np.maximum(a, b) - 1e-9
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Links of i[k] and j[k]."""
+        group = self.groups()
+        go = (group[i] != group[j]) & self.may(i, j)
+        for x, y in zip(i[go].tolist(), j[go].tolist(), strict=True):
+            self.pair(x, y)
+
+    def pair(self, x: int, y: int) -> None:
+        p, q = self.root(x), self.root(y)
+        key = (x, y) if x < y else (y, x)
+        if p == q or key in self.failed:
+            return
+        a, b = self.sets.get(int(self.place[x])), self.sets.get(int(self.place[y]))
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if both >= self.similarity * (len(a) + len(b) - both):
+            self.parent[q] = p
+            self.kept.append((x, y))
+            return
+        if len(self.failed) >= 1 << 20:
+            self.failed.clear()
+        self.failed.add(key)
+
+    def among(self, m: np.ndarray) -> None:
+        """Links of each two of m."""
+        for k in range(len(m) - 1):
+            group = self.groups()[m]
+            if (group == group[0]).all():
+                return
+            self.join(np.repeat(m[k], len(m) - k - 1), m[k + 1 :])
+
+
+def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets | None = None, similarity: float = 0.0) -> DataFrame:
     """prints: node, prints (array of fingerprints; two nodes link if one of them is within the budget).
 
     Returns a, b, bits (summed over all the fingerprints): spanning forests of the links, closest first.
+    With sets (and columns place, size of prints): spanning forests of those links whose sets have the
+    similarity; every link is compared before the forest is built.
     """
+    extra = ["place", "size"] if sets else []
     blocks = blocks or budget + 1
     orders = leads(budget, blocks)
     width = [sum(w for _, w in o[: blocks - budget]) for o in orders]
@@ -187,7 +297,7 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None) -> DataFram
             for t in range(each.shape[1]):
                 for r, order in enumerate(orders):
                     lead = turned(each[:, t], order) >> np.uint64(64 - width[r])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), t * len(orders) + r, np.int32)), pa.array(lead.view(np.int64)), node, batch.column("prints")], names=["path", "lead", "node", "prints"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), t * len(orders) + r, np.int32)), pa.array(lead.view(np.int64)), node, batch.column("prints"), *map(batch.column, extra)], names=["path", "lead", "node", "prints", *extra])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -195,7 +305,8 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None) -> DataFram
             return
         path, node = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("path", "node"))
         each = np.concatenate([b.column("prints").flatten().to_numpy().reshape(b.num_rows, -1) for b in got]).view(np.uint64)
-        ids, place = np.unique(node, return_inverse=True)
+        ids, at, place = np.unique(node, return_index=True, return_inverse=True)
+        exact = Verified(sets, similarity, *(np.concatenate([b.column(c).to_numpy() for b in got])[at] for c in extra)) if sets else None
         found_i, found_j = [], []
         for p in np.unique(path):
             rows = np.flatnonzero(path == p)
@@ -204,6 +315,19 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None) -> DataFram
             ranked = np.argsort(value, kind="stable")
             rows, value = rows[ranked], value[ranked]
             starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+            if exact:
+                runs = np.split(place[rows], starts[1:])
+                for run in runs:
+                    if len(run) > 1:
+                        exact.among(run)
+                single = np.array([len(run) == 1 for run in runs])
+                for i, j in trie_pairs(value[starts], width[p % len(orders)], budget):
+                    one = single[i] & single[j]
+                    exact.join(place[rows[starts[i[one]]]], place[rows[starts[j[one]]]])
+                    for x, y in zip(i[~one].tolist(), j[~one].tolist(), strict=True):
+                        for k in runs[x].tolist():
+                            exact.join(np.full(len(runs[y]), k), runs[y])
+                continue
             first = np.repeat(starts, np.diff(np.r_[starts, len(value)]))
             alike = np.flatnonzero(first != np.arange(len(value)))  # equal fingerprints of different nodes: each to the first
             found_i.append(rows[first[alike]])
@@ -211,6 +335,12 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None) -> DataFram
             for i, j in trie_pairs(value[starts], width[p % len(orders)], budget):
                 found_i.append(rows[starts[i]])
                 found_j.append(rows[starts[j]])
+        if exact:
+            kept = np.array(exact.kept, np.int64).reshape(-1, 2)
+            a, b = np.sort(ids[kept], axis=1).T
+            bits = np.bitwise_count(each[at[kept[:, 0]]] ^ each[at[kept[:, 1]]]).sum(1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits)], names=["a", "b", "bits"])
+            return
         i, j = np.concatenate(found_i), np.concatenate(found_j)
         if not len(i):
             return
@@ -221,7 +351,7 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None) -> DataFram
         a, b = node[i[kept]], node[j[kept]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits[kept])], names=["a", "b", "bits"])
 
-    dealt = prints.select("node", "prints").mapInArrow(deal, "path int, lead bigint, node bigint, prints array<bigint>")
+    dealt = prints.select("node", "prints", *extra).mapInArrow(deal, "path int, lead bigint, node bigint, prints array<bigint>" + ", place bigint, size int" * bool(extra))
     return dealt.repartition("path", "lead").mapInArrow(walk, "a bigint, b bigint, bits int").distinct()
 
 
@@ -264,26 +394,6 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' n-word shingle sets have that Jaccard similarity. texts: node, text."""
-
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        memo: dict = {}
-
-        def sets(t: str) -> set[bytes]:
-            if t not in memo:
-                if len(memo) > 64:
-                    memo.clear()
-                memo[t] = set(shingles(t, n))
-            return memo[t]
-
-        return pd.Series([len(p & q) >= similarity * len(p | q) for p, q in ((sets(s), sets(t)) for s, t in zip(x, y, strict=True))], dtype=bool)
-
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    return left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").where(alike("x", "y")).select("a", "b")
-
-
 def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int = 5, blocks: int = 7) -> DataFrame:
     """docs with one document (the least id) of each group of near copies; all columns stay.
 
@@ -291,7 +401,7 @@ def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int
     that similarity a fingerprint of 5-word shingles differs in ten bits on average, which no trie
     walk can prune well; one edited word changes five shingles but one word. So candidates come from
     fingerprints of the set of words (three of them, within 5 bits), and every candidate link is
-    verified on the exact shingle sets. Rows with a null id stay.
+    verified on the shingle sets (64-bit hashes) before forests are built. Rows with a null id stay.
     """
     python_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"))
@@ -299,14 +409,20 @@ def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int
     copies = stored(ids.groupBy(F.sha2(F.lower("text_"), 256).alias("key"), F.length("text_").alias("size")).agg(F.min("id_").alias("node")).select("node"), "copies")
     texts = ids.join(copies, ids["id_"] == copies["node"], "left_semi").groupBy("id_").agg(F.min("text_").alias("text")).select(F.col("id_").alias("node"), "text")
 
+    sets = Sets(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([word_prints(t) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(made), pa.list_(pa.int64()))], names=["node", "prints"])
-
-    prints = stored(texts.mapInArrow(run, "node bigint, prints array<bigint>"), "prints")
-    pairs = stored(links(prints, budget, blocks).select("a", "b").distinct(), "pairs")
-    roots = components(verified(pairs, texts, n, similarity))
+            if not batch.num_rows:
+                continue
+            held = batch.column("text").to_pylist()
+            made = np.array([word_prints(t) for t in held], np.uint64).reshape(-1, 3).view(np.int64)
+            hashes = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t, n)], np.uint64)) for t in held]
+            place = sets.write(batch.column("node").to_numpy(), hashes)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(made), pa.list_(pa.int64())), pa.array(place), pa.array([len(h) for h in hashes], pa.int32())], names=["node", "prints", "place", "size"])
+
+    prints = stored(texts.mapInArrow(run, "node bigint, prints array<bigint>, place bigint, size int"), "prints")
+    roots = components(links(prints, budget, blocks, sets, similarity).select("a", "b"))
     gone = roots.where(F.col("node") != F.col("root")).select("node")
     kept = copies.join(gone, "node", "left_anti")
     first = rows.where(F.col("id_").isNotNull()).join(kept, F.col("id_") == F.col("node"), "left_semi").select("row")

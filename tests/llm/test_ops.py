@@ -233,6 +233,38 @@ def test_near_dedup(spark):
     assert simhash.drop_near(df.limit(0)).count() == 0
 
 
+def brute_near(rows, n=5, similarity=0.8):
+    """Ids that stay: the least of each group under exact similarity."""
+    sets = {i: set(simhash.shingles(t, n)) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    return {root(i) for i in sets}
+
+
+def test_near_dedup_verifies_before_forests(spark):
+    """Many edits of one text: links that hold must survive candidates that do not."""
+    rng = random.Random(11)
+    base = [f"word{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(150):
+        ws = list(base)
+        for at in rng.sample(range(300), rng.randint(3, 9)):
+            ws[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    kept = {r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == brute_near(rows)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 100), (7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
