@@ -355,6 +355,72 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
     return dealt.repartition("path", "lead").mapInArrow(walk, "a bigint, b bigint, bits int").distinct()
 
 
+def prefix_links(prints: DataFrame, sets: Sets, similarity: float, parts: int) -> DataFrame:
+    """a, b: spanning forests of all the pairs of sets with the similarity. prints: place.
+
+    In order of hash, two such sets of s and r shingles share one of the first s - ceil(similarity s) + 1
+    and r - ceil(similarity r) + 1. Each file's prefixes are dealt by hash, packed, to `parts` tasks.
+    Sets without shingles meet under one name.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column("file").to_pylist():
+                nodes, held = sets.file(number)
+                size = np.array([len(x) for x in held])
+                long = np.maximum(size - np.ceil(similarity * size - 1e-9).astype(int) + 1, 1) * (size > 0) + (size == 0)
+                token = np.concatenate([x[:k] if len(x) else np.zeros(1, np.uint64) for x, k in zip(held, long.tolist(), strict=True)])
+                which = np.repeat(np.arange(len(held)), long)
+                rank = np.arange(len(token)) - np.repeat(np.cumsum(long) - long, long)
+                columns = token, nodes[which], number * ARROW_ROWS + which, size[which].astype(np.int32), rank.astype(np.int32)
+                part = (token * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order])) + 1
+                rows = [(int(part[g[0]]), *(c[g].tobytes() for c in columns)) for g in np.split(order, cuts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["part", "token", "node", "place", "size", "rank"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[bytes]]] = {}
+        for batch in batches:
+            for part, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(part, []).append(columns)
+        while held:
+            _, rows = held.popitem()
+            token, node, place, size, rank = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate(("<u8", "<i8", "<i8", "<i4", "<i4")))
+            order = np.lexsort((rank, token))
+            starts = np.flatnonzero(np.r_[True, np.diff(token[order]) != 0])
+            many = np.diff(np.r_[starts, len(order)])
+            order, many = order[np.repeat(many > 1, many)], many[many > 1]
+            if not len(order):
+                continue
+            node, place, size, rank = node[order], place[order], size[order], rank[order]
+            ids, at, local = np.unique(node, return_index=True, return_inverse=True)
+            exact = Verified(sets, similarity, place[at], size[at])
+            left = (size - rank).astype(float)  # shingles from this one on: what two sets share at most if they first meet here
+
+            def join(i: np.ndarray, j: np.ndarray) -> None:
+                meets = np.minimum(left[i], left[j]) >= similarity / (1 + similarity) * (size[i].astype(float) + size[j]) - 1e-6
+                meets |= size[i] == 0
+                exact.join(local[i[meets]], local[j[meets]])
+
+            starts = np.cumsum(many) - many
+            two = starts[many == 2]
+            join(two, two + 1)
+            for a, m in zip(starts[many > 2].tolist(), many[many > 2].tolist(), strict=True):
+                for k in range(a, a + m - 1):
+                    group = exact.groups()[local[a : a + m]]
+                    if (group == group[0]).all():
+                        break
+                    join(np.full(a + m - k - 1, k), np.arange(k + 1, a + m))
+            kept = np.array(exact.kept, np.int64).reshape(-1, 2)
+            a, b = np.sort(ids[kept], axis=1).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    files = prints.select(F.expr(f"place DIV {ARROW_ROWS}").alias("file")).distinct()
+    dealt = files.mapInArrow(deal, "part int, token binary, node binary, place binary, size binary, rank binary")
+    return dealt.repartition(parts, "part").mapInArrow(meet, "a bigint, b bigint")
+
+
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node reachable) for every node of the pairs, by large and small stars."""
     edges = stored(pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -399,9 +465,11 @@ def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int
 
     Near copies have n-word shingle sets of Jaccard similarity 0.8 or more, as lower-cased words. At
     that similarity a fingerprint of 5-word shingles differs in ten bits on average, which no trie
-    walk can prune well; one edited word changes five shingles but one word. So candidates come from
-    fingerprints of the set of words (three of them, within 5 bits), and every candidate link is
-    verified on the shingle sets (64-bit hashes) before forests are built. Rows with a null id stay.
+    walk can prune well; one edited word changes five shingles but one word. So the walk takes
+    fingerprints of the set of words (three of them, within 5 bits). It finds most word edits, few
+    texts with a passage added, cut or replaced; prefixes of the shingle sets find all pairs. Every
+    link is verified on the shingle sets (64-bit hashes) before forests are built. Rows with a null
+    id stay.
     """
     python_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"))
@@ -422,7 +490,9 @@ def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(made), pa.list_(pa.int64())), pa.array(place), pa.array([len(h) for h in hashes], pa.int32())], names=["node", "prints", "place", "size"])
 
     prints = stored(texts.mapInArrow(run, "node bigint, prints array<bigint>, place bigint, size int"), "prints")
-    roots = components(links(prints, budget, blocks, sets, similarity).select("a", "b"))
+    walked = links(prints, budget, blocks, sets, similarity).select("a", "b")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots = components(walked.unionByName(prefix_links(prints, sets, similarity, parts)))
     gone = roots.where(F.col("node") != F.col("root")).select("node")
     kept = copies.join(gone, "node", "left_anti")
     first = rows.where(F.col("id_").isNotNull()).join(kept, F.col("id_") == F.col("node"), "left_semi").select("row")

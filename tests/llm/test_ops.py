@@ -265,6 +265,19 @@ def test_near_dedup_verifies_before_forests(spark):
     assert kept == brute_near(rows)
 
 
+def test_near_dedup_finds_every_kind_of_edit(spark):
+    """Tails cut, passages added and blocks replaced, not only words edited."""
+    rng = random.Random(12)
+    new = lambda n: [f"word{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(1000, "A b"), (1001, "a B  c"), (1002, "a b c"), (1003, " \n"), (1004, "")]
+    for i in range(40):
+        base = new(rng.randint(100, 300))
+        n = len(base)
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base[: n - n * 16 // 100])), (10 * i + 2, " ".join(base + new(n * 17 // 100))), (10 * i + 3, " ".join(base[: n // 3] + new(n * 8 // 100) + base[n // 3 + n * 8 // 100 :])), (10 * i + 4, " ".join(base[: n // 2] + new(n // 2)))]
+    kept = {r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == brute_near(rows)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 100), (7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
