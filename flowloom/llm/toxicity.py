@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, python_batches, stored, table
@@ -169,12 +169,15 @@ def choose_terms(rows: list[tuple[str, int, int, int]], toxic: int, other: int,
         return sum(n * math.log(n / (a + b) / p) for n, p in ((a, base), (b, 1 - base)) if n)
 
     good = {t: (a, w) for t, a, b, w in rows if a / max(toxic, 1) >= precision / (1 - precision) * b / max(other, 1) and evidence(a, b) >= LEAST_EVIDENCE}
+    below: dict[str, list[str]] = {}
+    for t in good:
+        below.setdefault(t[:-1], []).append(t)
     terms: dict[str, bool] = {}
     for t in sorted(good, key=lambda t: (len(t), t)):
         if t[:-1] in good:
             continue  # reached from its root
         while True:  # go down while one child keeps nearly all of the support
-            longer = [u for u in good if len(u) == len(t) + 1 and u.startswith(t) and good[u][0] >= 0.9 * good[t][0]]
+            longer = [u for u in below.get(t, ()) if good[u][0] >= 0.9 * good[t][0]]
             if not longer or good[t][1] >= 0.5 * good[t][0]:
                 break
             t = max(longer, key=lambda u: good[u][0])
@@ -232,13 +235,19 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0
     sample = stored(texts.mapInArrow(_signed, "text string, toxic int, sign bigint").groupBy("sign", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
+    a, b, base = F.col("a"), F.col("b"), toxic / max(toxic + other, 1)
+
+    def share(n: Column, p: float) -> Column:
+        return F.when(n > 0, n * F.log(n / (a + b) / F.lit(p))).otherwise(F.lit(0.0))
+
+    # the test of choose_terms, with room for rounding: all that pass are collected
+    told = (a / max(toxic, 1) >= weak_precision / (1 - weak_precision) * b / max(other, 1) - 1e-9) & (share(a, base) + share(b, 1 - base) >= LEAST_EVIDENCE - 1e-6)
     counts = (
         sample.mapInArrow(_beginnings, "term string, whole boolean, toxic int, docs bigint")
         .groupBy("term")
         .agg(*(F.sum(F.when(cond, F.col("docs")).otherwise(0)).alias(n) for n, cond in (("a", (F.col("toxic") == 1) & ~F.col("whole")), ("b", (F.col("toxic") == 0) & ~F.col("whole")), ("w", (F.col("toxic") == 1) & F.col("whole")))))
-        .where((F.col("a") >= 3) & (F.col("a") / toxic >= weak_precision / (1 - weak_precision) * F.col("b") / other))
+        .where((a >= 3) & told)
         .orderBy(F.desc("a"), "term")
-        .limit(5000)
     )
     rows = [(r.term, r.a, r.b, r.w) for r in counts.collect()]
     strong, weak = (choose_terms(rows, toxic, other, p) for p in (precision, weak_precision))

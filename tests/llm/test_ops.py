@@ -146,6 +146,16 @@ def test_toxicity(spark):
     assert all(r.score < 0.01 for r in toxicity.score(docs, nothing).collect())
 
 
+def test_toxic_terms_are_not_crowded_out(spark):
+    """Over 5,000 neutral beginnings in more documents than the one term that tells."""
+    rng = random.Random(13)
+    plain = ["".join(rng.choice("bcdfghklmnprst") for _ in range(10)) for _ in range(1200)]
+    rows = [(i, " ".join(rng.sample(plain, len(plain)) + ["villain"] * (i % 2 and i < 80))) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs_of(spark, rows), labels, held=None)
+    assert toxicity.Lexicon(model.strong).edits("villain") == 0
+
+
 def test_levenshtein_automaton():
     lex = toxicity.Lexicon({"villain": False, "wretch": True})
     near = {"villain": 0, "vilain": 1, "villains": 1, "villian": 9, "vxllain": 1, "villan": 1, "wretched": 0, "wretch": 0, "vill": 9, "": 9, "xvillain": 1, "banana": 9}
