@@ -357,6 +357,33 @@ def test_katz(spark, monkeypatch):
     assert all(r.score == 0 for r in katz.score(df, F.lit(False)).collect())
 
 
+def test_katz_keeps_bigrams_seen_once(spark):
+    rows = [(r.doc_id, r.text) for r in common.table(spark, SF, "documents").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.score for r in katz.op8_katz(spark, SF).collect()}
+    toks = [(i, (t or "").encode().translate(LOW).split() + [b" end"]) for i, t in rows]
+    c1, c2, starts = Counter(), Counter(), 0
+    for i, t in toks:
+        if i is not None and zlib.crc32(str(i).encode()) % 10:
+            c1.update(t)
+            c2.update(zip([b" start", *t], t))
+            starts += 1
+    n, all_ = sum(c1.values()), {**c1, b" start": starts}
+    d1, d2 = katz.discounts(Counter(c1.values())), katz.discounts(Counter(c2.values()))
+    p1 = {w: d1.get(c, 1) * c / n for w, c in c1.items()}
+    unknown, held, mass = 1 - sum(p1.values()), Counter(), Counter()
+    for (u, w), c in c2.items():
+        held[u] += d2.get(c, 1) * c
+        mass[u] += p1[w]
+
+    def p(u, w):
+        h = held[u] / all_[u] if u in held else 0
+        s = all_[u] / (all_[u] + 1) if u in held and 1 - h < 1e-12 else 1
+        return s * d2.get(c2[u, w], 1) * c2[u, w] / all_[u] if c2[u, w] else (1 - s * h) / (1 - mass[u]) * p1.get(w, unknown)
+
+    for i, t in toks:
+        assert abs(got[i] - sum(np.log10(p(u, w)) for u, w in zip([b" start", *t], t))) < 1e-6 * len(t)
+
+
 # 9
 
 
