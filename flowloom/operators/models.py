@@ -414,8 +414,8 @@ def cluster(df: DataFrame, cols: Sequence[str], k: int, bisecting: bool = False,
     return pipe.fit(df).transform(df).drop("features", "scaled")
 
 
-def topics(df: DataFrame, text: str, k: int, terms: int = 8, vocabulary: int = 2000) -> DataFrame:
-    """topic, term, weight by LDA over TF-IDF."""
+def topics(df: DataFrame, text: str, k: int, terms: int = 8, vocabulary: int = 2**31 - 1) -> DataFrame:
+    """topic, term, weight by LDA over TF-IDF of the words in two or more documents, all of them unless `vocabulary` says less."""
     pipe = Pipeline(stages=[Tokenizer(inputCol=text, outputCol="w_"), StopWordsRemover(inputCol="w_", outputCol="t_"), CountVectorizer(inputCol="t_", outputCol="c_", vocabSize=vocabulary, minDF=2), IDF(inputCol="c_", outputCol="features")]).fit(df.where(F.length(text) > 0))
     lda = LDA(k=k, maxIter=5, seed=7).fit(pipe.transform(df.where(F.length(text) > 0)))
     words = pipe.stages[2].vocabulary

@@ -209,15 +209,22 @@ def m18(spark: SparkSession, d: str) -> DataFrame:
     return models.forecast_exog(series(spark, d), "case_type", "m", "x", ["w"], [1, 12], 12)
 
 
+def embedded(spark: SparkSession, d: str) -> DataFrame:
+    """vec_id, and all components of the embeddings."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(n)))
+
+
 @query("m19_pca")
 def m19(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(*(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
+    e = embedded(spark, d).drop("vec_id")
     return models.pca(e, e.columns, 3)
 
 
 @query("m20_cluster")
 def m20(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
+    e = embedded(spark, d)
     return models.cluster(e, e.columns[1:], 5, bisecting=True).select("vec_id", "cluster")
 
 
