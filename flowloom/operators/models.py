@@ -230,12 +230,13 @@ def pickup_predictive(panel: DataFrame, by: str) -> DataFrame:
     def quantiles(shape: pd.Series, rate: pd.Series) -> pd.DataFrame:
         out = []
         for a, b in zip(shape, rate, strict=True):
-            p, k, found = b / (b + 1), 0, []
-            mass = total = p**a
+            k, found = 0, []
+            log = -a * math.log1p(1 / b)  # of the mass at k, which may be too small for a number
+            total = math.exp(log)
             for q in (0.05, 0.95):
-                while total < q and k < 100_000:
-                    mass *= (a + k) / (k + 1) * (1 - p)
-                    k, total = k + 1, total + mass
+                while total < q:
+                    log += math.log((a + k) / (k + 1) / (b + 1))
+                    k, total = k + 1, total + math.exp(log)
                 found.append(k)
             out.append(found)
         return pd.DataFrame(out, columns=["p5", "p95"])
