@@ -1,12 +1,12 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 An item is found in a document if at least `containment` of its distinct 5-word shingles are there.
-Items are partitioned by their number of shingles n. Each has a MinHash sketch: its k least shingle
+An item's number of shingles n sets its sketch and the least length of documents; the join is not
+partitioned by it. Each item has a MinHash sketch: its k least shingle
 hashes, where k is set by n so that a document that holds enough of the item holds at least
 k - floor((1 - containment) * n) > 0 of the sketch: the search misses nothing, however long the
 document, for the sketch is looked up among all of the document's shingle hashes rather than
-compared with a sketch of the document. Documents too short for an item's partition are left out
-of it. Candidates are verified on the shingles themselves.
+compared with a sketch of the document. Documents too short for an item are left out. Candidates are verified on the shingles themselves.
 
 The sketches are broadcast only if they count at most BROADCAST_ROWS; else the join shuffles.
 
