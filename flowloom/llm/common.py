@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import zstandard
@@ -24,26 +25,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set only where the session names none (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. A local session that names none has its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file:///tmp/checkpoints/flowloom"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = path or new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folder_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system and path of a folder; Spark's names for S3 are taken too."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def python_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep Arrow batches of long texts small: the session's setting is lowered to ARROW_ROWS and stays so, for plans run later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def fold(column: str, parts: int):
@@ -55,10 +76,10 @@ class Files:
     """Compressed blobs in a folder that all executors share, by names that are new for every attempt of a task."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.folder = new_folder(spark, name)
 
     def write(self, data: bytes) -> str:
-        store, root = fs.FileSystem.from_uri(self.folder)
+        store, root = folder_of(self.folder)
         store.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
         with store.open_output_stream(f"{root}/{name}") as out:
@@ -66,6 +87,6 @@ class Files:
         return name
 
     def read(self, name: str) -> bytes:
-        store, root = fs.FileSystem.from_uri(self.folder)
+        store, root = folder_of(self.folder)
         with store.open_input_stream(f"{root}/{name}") as stream:
             return zstandard.ZstdDecompressor().decompress(stream.read())

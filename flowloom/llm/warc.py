@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_batches, shared_dir, stored, table
+from .common import folder_of, new_folder, python_batches, stored, table
 
 #: The magic number of the leading skippable frame, and the profile of revisit records.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -154,7 +154,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     rows = rows.join(again, (rows["page_id"] == again["id_"]) & (rows["key"] == again["key_"]), "left").select("page_id", "url", "payload", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = folder_of(folder)
         store.create_dir(root, recursive=True)
         attempt, k, made, now = uuid.uuid4().hex, 0, [], None
         for batch in batches:
@@ -181,7 +181,7 @@ def read(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
         return None if text == "null" else int(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = folder_of(folder)
         types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()][: 6 + payloads]
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "html"][: 6 + payloads]
         for batch in batches:
@@ -207,7 +207,7 @@ def read(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     archives = write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     return read(archives, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
