@@ -7,11 +7,14 @@ in some projections, in the order of the summed squared distances to the cells'
 estimated success. Candidates of all tables are reranked by the exact inner product.
 
 The number of probes is fitted on a bounded sample (SAMPLE vectors, SAMPLE_QUERIES queries, least
-hashes of the id) to a target recall; every row is indexed. Buckets are dealt to tasks; a task holds
-its buckets' vectors and streams the queries, each sent once to a task with the buckets that it
-probes there, and returns the best for each query. Large buckets are cut by a salt.
+hashes of the id) to a target recall; every row is indexed. Where no number of probes short of the
+number of rows reaches the target, and for queries whose probes found fewer rows than are owed, a
+query visits every bucket of the first table, which is exact.
 
-Equal vectors are indexed once, with their least k + 1 ids: no result can hold more of them.
+Buckets are dealt to tasks; a task holds its buckets' vectors and streams the queries, each sent
+once to a task with the buckets that it probes there, and returns the best for each query. Large
+buckets are cut by a salt. Equal vectors are indexed once, with their least k + 1 ids: no result can
+hold more of them.
 
 Defined cases: vectors null, zero, of another dimension than most, or with null or non-finite
 components take no part, neither do rows with a null id; repeated rows count once; fewer candidates
@@ -22,7 +25,6 @@ columns are not read.
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +49,7 @@ class Hasher:
         self.top, self.m, self.tables, self.width = top, m, tables, width
         self.lines = rng.normal(size=(tables, dim + 1, m))
         self.shift = rng.uniform(0, width, size=(tables, m))
+        self.unit = rng.integers(-(2**63), 2**63, m, dtype=np.int64) | 1
 
     def points(self, x: np.ndarray) -> np.ndarray:
         x = x / self.top
@@ -58,10 +61,9 @@ class Hasher:
     def places(self, points: np.ndarray, t: int) -> np.ndarray:
         return (points @ self.lines[t] + self.shift[t]) / self.width
 
-    @staticmethod
-    def codes(cells: np.ndarray) -> np.ndarray:
-        """One number for the cells of a bucket: seven bits a cell."""
-        return ((cells.astype(np.int64) + 64) % 128 << (7 * np.arange(cells.shape[-1]))).sum(-1)
+    def codes(self, cells: np.ndarray) -> np.ndarray:
+        """A number for the cells of a bucket: a step in one projection adds or takes off that projection's unit."""
+        return (cells.astype(np.int64) * self.unit).sum(-1)
 
     def template(self, most: int) -> np.ndarray:
         """Perturbations in estimated success order, as sets of ranks among a query's 2m steps sorted by distance.
@@ -90,30 +92,41 @@ class Hasher:
         """Codes of the buckets that a query visits, in estimated success order."""
         cell = np.floor(place)
         below = place - cell
-        unit = np.int64(1) << (7 * np.arange(self.m, dtype=np.int64))
         order = np.argsort(np.r_[below, 1 - below], kind="stable")
-        return self.codes(cell) + template @ np.r_[-unit, unit][order]
+        return self.codes(cell) + template @ np.r_[-self.unit, self.unit][order]
 
 
 def projections(rows: int) -> int:
-    """More projections for more rows: buckets keep about a hundred rows at two cells a projection; seven bits a cell hold nine."""
-    return int(np.clip(np.log2(max(rows, 2) / 100), 3, 8))
+    """More projections for more rows: buckets keep about a hundred rows at two cells a projection."""
+    return max(3, int(np.log2(max(rows, 2) / 100)))
 
 
-def fit_probes(x: np.ndarray, q: np.ndarray, hasher: Hasher, k: int, target: float, most: int = 4096) -> int:
-    """The fewest probes a table with which the sample's queries find the target share of their k nearest."""
+def fit_probes(x: np.ndarray, q: np.ndarray, hasher: Hasher, k: int, target: float, rows: int) -> int | None:
+    """The fewest probes a table with which the sample's queries find the target share of their k nearest.
+
+    None: all buckets, where the sample holds no more than k vectors or so many probes are needed
+    that visiting each bucket (rows has no more) is less work.
+    """
     if len(x) <= k or not len(q):
-        return most
+        return None
     own = [hasher.codes(np.floor(hasher.places(hasher.points(x), t))) for t in range(hasher.tables)]
-    needed, template = [], hasher.template(most)
-    for row, point in zip(q, hasher.queries(q), strict=True):
-        near = np.argpartition(-(x @ row), k)[: k + 1]
-        best = np.full(len(near), most)
-        for t in range(hasher.tables):
-            order = {int(c): n for n, c in enumerate(hasher.probes(hasher.places(point[None], t)[0], template))}
-            best = np.minimum(best, [order.get(int(c), most) for c in own[t][near]])
-        needed += best.tolist()
-    return int(np.quantile(needed, target, method="higher")) + 1
+    near = [np.argpartition(-(x @ row), k)[: k + 1] for row in q]
+    points, most = hasher.queries(q), 256
+    while True:
+        needed, template = [], hasher.template(most)
+        for ids, point in zip(near, points, strict=True):
+            best = np.full(len(ids), most)
+            for t in range(hasher.tables):
+                codes, first = np.unique(hasher.probes(hasher.places(point[None], t)[0], template), return_index=True)
+                at = np.minimum(np.searchsorted(codes, own[t][ids]), len(codes) - 1)
+                best = np.minimum(best, np.where(codes[at] == own[t][ids], first[at], most))
+            needed += best.tolist()
+        found = int(np.quantile(needed, target, method="higher")) + 1
+        if found <= most:
+            return found
+        if len(template) < most or most >= rows:
+            return None
+        most *= 4
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.95) -> DataFrame:
@@ -145,8 +158,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
         return np.array([r.e for r in df.orderBy(F.xxhash64(by), by).limit(n).select("e").collect()], float).reshape(-1, dim)
 
     hasher = Hasher(dim, top, projections(rows))
-    probes = fit_probes(drawn(indexed, "least", SAMPLE), drawn(asked, "q", SAMPLE_QUERIES), hasher, k, target)
-    template = hasher.template(probes)
+    probes = fit_probes(drawn(indexed, "least", SAMPLE), drawn(asked, "q", SAMPLE_QUERIES), hasher, k, target, rows)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * TABLES // TASK_ROWS))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,47 +185,90 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
             task = task_of(int(t[0]), code, least % salts)
             yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(np.zeros(len(t), np.int32)), batch.column("least"), pa.array([[v] for v in code], pa.list_(pa.int64())), batch.column("t"), batch.column("ids"), batch.column("e")], names=NAMES)
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("e").flatten().to_numpy().reshape(batch.num_rows, -1)
-            points = hasher.queries(x)
-            for t in range(hasher.tables):
-                out: list[tuple] = []
-                for n, (q, place) in enumerate(zip(batch.column("q").to_pylist(), hasher.places(points, t), strict=True)):
-                    by_task = defaultdict(set)
-                    codes = hasher.probes(place, template)
-                    for salt in range(salts):
-                        for task, code in zip(task_of(t, codes, salt).tolist(), codes.tolist(), strict=True):
-                            by_task[task].add(code)
-                    out += [(task, q, sorted(c), n) for task, c in by_task.items()]
-                e = batch.column("e").take(pa.array([o[3] for o in out]))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array(np.ones(len(out), np.int32)), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array(np.full(len(out), t, np.int32)), pa.array([[]] * len(out), pa.list_(pa.int64())), e], names=NAMES)
+    def sent(template: np.ndarray | None):
+        """Queries with the buckets that they probe in a task; without a template, with none for all tasks of the first table."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column("e").flatten().to_numpy().reshape(batch.num_rows, -1)
+                points, q = hasher.queries(x), batch.column("q").to_numpy()
+                for t in range(hasher.tables if template is not None else 1):
+                    places = hasher.places(points, t)
+                    for n in range(len(x)):
+                        if template is None:
+                            task, codes, ends = np.arange(tasks, dtype=np.int32), np.zeros(0, np.int64), np.zeros(tasks + 1, np.int32)
+                        else:
+                            codes = hasher.probes(places[n], template)
+                            each = np.concatenate([task_of(t, codes, salt) for salt in range(salts)])
+                            codes = np.tile(codes, salts)
+                            order = np.argsort(each, kind="stable")
+                            codes = codes[order]
+                            task, starts = np.unique(each[order], return_index=True)
+                            ends = np.r_[starts, len(codes)].astype(np.int32)
+                        m = len(task)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(task), pa.array(np.ones(m, np.int32)), pa.array(np.full(m, q[n])), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)), pa.array(np.full(m, t, np.int32)), pa.array([[]] * m, pa.list_(pa.int64())), batch.column("e").take(pa.array(np.full(m, n)))],
+                            names=NAMES,
+                        )
+
+        return run
 
     row = "task int, kind int, id bigint, codes array<bigint>, t int, ids array<bigint>, e array<double>"
-    dealt = indexed.select("least", "ids", "e").mapInArrow(placed, row).unionByName(asked.select("q", "e").mapInArrow(sent, row)).repartition(tasks, "task").sortWithinPartitions("task", "kind", "t")
+
+    def dealt(queries: DataFrame, template: np.ndarray | None) -> DataFrame:
+        held = indexed.select("least", "ids", "e").mapInArrow(placed, row)
+        if template is None:
+            held = held.where("t = 0")
+        both = held.unionByName(queries.select("q", "e").mapInArrow(sent(template), row))
+        return both.repartition(tasks, "task").sortWithinPartitions("task", "kind", "t")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task's vectors come first, then its queries, some at a time."""
-        held: dict = defaultdict(list)
-        spans: dict = {}
+        held: list[tuple] = []
+        buckets: dict = {}
         x = least = ids = at = None
         asked: list[tuple] = []
 
+        def index() -> None:
+            """The task's vectors by table and bucket: for a table its codes, and where their rows start and end."""
+            nonlocal x, least, ids, held
+            t, code = np.array([r[3] for r in held], np.int64), np.array([r[4] for r in held], np.int64)
+            order = np.lexsort((code, t))
+            t, code = t[order], code[order]
+            x = np.array([held[n][2] for n in order]).reshape(len(held), dim)
+            least, ids = np.array([held[n][0] for n in order], np.int64), [held[n][1] for n in order]
+            for table in np.unique(t).tolist():
+                lo, hi = np.searchsorted(t, [table, table + 1])
+                codes, starts = np.unique(code[lo:hi], return_index=True)
+                buckets[table] = codes, np.r_[starts, hi - lo] + lo
+            held = []
+
         def answer() -> Iterator[pa.RecordBatch]:
             """Exact scores of each query with the buckets that it probes, and the best of them."""
             if asked and len(least):
                 score = np.full((len(asked), len(least)), -np.inf)
-                wanted = defaultdict(list)
-                for n, (_, t, codes, _) in enumerate(asked):
-                    for code in codes:
-                        if (t, code) in spans:
-                            wanted[(t, code)].append(n)
                 q = np.array([a[3] for a in asked])
-                for key, rows in wanted.items():
-                    s, e = spans[key]
-                    score[rows, s:e] = q[rows] @ x[s:e].T
+                for table, (codes, edges) in buckets.items():
+                    who, what = [], []
+                    for n, (_, t, wanted, _) in enumerate(asked):
+                        if t == table and len(wanted):
+                            place = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+                            place = np.unique(place[codes[place] == wanted])
+                            who.append(np.full(len(place), n))
+                            what.append(place)
+                    every = [n for n, a in enumerate(asked) if a[1] == table and not len(a[2])]
+                    if every:
+                        score[every, edges[0] : edges[-1]] = q[every] @ x[edges[0] : edges[-1]].T
+                    if not who:
+                        continue
+                    who, what = np.concatenate(who), np.concatenate(what)
+                    order = np.argsort(what, kind="stable")
+                    for part in np.split(order, np.flatnonzero(np.diff(what[order])) + 1):
+                        if len(part):
+                            s, e = edges[what[part[0]]], edges[what[part[0]] + 1]
+                            score[who[part], s:e] = q[who[part]] @ x[s:e].T
                 out = []
                 for n, row in enumerate(score):
                     cut = np.flatnonzero(row >= np.partition(row, -k - 1)[-k - 1]) if len(row) > k + 1 else np.arange(len(row))
@@ -227,31 +282,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_pylist() for c in ("task", "kind", "id", "codes", "t", "ids")]
+            task, kind, key, t = (batch.column(c).to_numpy() for c in ("task", "kind", "id", "t"))
             e = batch.column("e").flatten().to_numpy().reshape(batch.num_rows, -1)
-            for n, (task, kind, key, codes, t, own) in enumerate(zip(*columns, strict=True)):
-                if task != at:
+            ends, codes = batch.column("codes").offsets.to_numpy(), batch.column("codes").values.to_numpy()
+            for n in range(batch.num_rows):
+                if task[n] != at:
                     yield from answer()
-                    held, x, at = defaultdict(list), None, task
-                if kind == 0:
-                    held[(t, codes[0])].append((key, own, e[n]))
+                    held, x, at = [], None, task[n]
+                    buckets.clear()
+                if kind[n] == 0:
+                    held.append((key[n], batch.column("ids")[n].as_py(), e[n], t[n], codes[ends[n]]))
                     continue
                 if x is None:
-                    rows, spans = [], {}
-                    for bucket, found in held.items():
-                        spans[bucket] = (len(rows), len(rows) + len(found))
-                        rows += found
-                    least, ids = np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
-                    x = np.array([r[2] for r in rows]).reshape(len(rows), dim)
-                    held = defaultdict(list)
-                asked.append((key, t, codes, e[n]))
+                    index()
+                asked.append((int(key[n]), t[n], codes[ends[n] : ends[n + 1]], e[n]))
                 if len(asked) >= 64:
                     yield from answer()
         yield from answer()
 
-    found = dealt.mapInArrow(rank, "q bigint, score double, ids array<bigint>")
-    lists = found.groupBy("q", F.col("ids")[0].alias("least")).agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    lists = lists.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least"))).where(F.col("n") <= k + 1)
+    def best(queries: DataFrame, template: np.ndarray | None) -> DataFrame:
+        """q, score, least, ids: the k + 1 nearest classes that each query found."""
+        found = dealt(queries, template).mapInArrow(rank, "q bigint, score double, ids array<bigint>")
+        lists = found.groupBy("q", F.col("ids")[0].alias("least")).agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+        return lists.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least"))).where(F.col("n") <= k + 1).drop("n")
+
+    lists = best(asked, None if probes is None else hasher.template(probes))
+    if probes is not None:
+        lists = stored(lists, "lists")
+        owed = min(k + 1, indexed.agg(F.sum(F.size("ids"))).first()[0])
+        got = lists.groupBy("q").agg(F.sum(F.size("ids")).alias("got"))
+        short = stored(asked.join(got, "q", "left").where(F.coalesce("got", F.lit(0)) < owed).select("q", "e"), "short")
+        if not short.isEmpty():  # these visit every bucket
+            lists = lists.join(short, "q", "left_anti").unionByName(best(short, None))
     ranked = lists.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
     asked_by = asked_rows.join(asked, "e").select(F.col("vec_id").alias("query_id"), "q")
     each = asked_by.join(ranked.select("q", "score", "vec_id"), "q").where(F.col("vec_id") != F.col("query_id"))
