@@ -11,15 +11,20 @@ are not unique the sorting recurses on the string of names (no deeper than the l
 is compared, `length` bytes); then the remaining suffixes, as (letter, rank of the next), are merged
 with the sampled ones. Adjacent suffixes with the same whole-phrase prefix form a group. In a group,
 occurrences with the same bytes about the anchor are wholly repeated; of the others, each of the
-length-byte strings about the anchor is compared by a digest of its bytes.
+length-byte strings about the anchor is compared. Both decide what goes, by digests of 128 bits of
+the bytes themselves.
 
-Texts are packed into blocks. Block texts are files in the shared folder (pyarrow.fs), rows hold a
+Texts are packed into blocks. Blocks and table partitions grow with the square root of the corpus
+beyond some gigabytes, so that what a block asks of a partition stays at PACKET keys or more; a task
+works on one block or one partition at a time, and its memory grows with them. Block texts are files in the shared folder (pyarrow.fs), rows hold a
 block's arrays. In every round a block asks table partitions for the names, ranks or counts of its
 distinct keys with their numbers, and each partition answers all blocks: keys that are common to a
 third of all rows are one entry a block. Partitions of sorted rounds are ranges, cut at a bounded
 sample of keys. Exact copies beyond the first do not enter the suffix array.
 
-Digests are of 64 bits (documents: 128). Defined cases: a null text is empty; texts under `length`
+Names of phrases come from digests of 64 bits: equal phrases always share one, and what a collision
+would add is found unequal by the digests that decide. A round's tables are deleted once the next is
+written. Defined cases: a null text is empty; texts under `length`
 bytes keep all; every row is a document of its own, so a repeated row's bytes are repeated; a null
 id stays null; an empty table gives an empty result. Extra columns are not read.
 """
@@ -35,32 +40,33 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_batches, shared_dir, stored, table
+from .common import Files, new_folder, python_batches, remove, stored, table
 
 WINDOW, GRAM = 96, 12
-#: Bytes of text in a block, about; keys of a table partition, about; keys that set the ranges' bounds.
-BLOCK_BYTES, PART_KEYS, SAMPLE_KEYS = 8 << 20, 1_000_000, 40_000
+#: Bytes of text in a block, about; keys of a table partition, about; keys that set the ranges' bounds; keys that a block asks of a partition, at least.
+BLOCK_BYTES, PART_KEYS, SAMPLE_KEYS, PACKET = 8 << 20, 1_000_000, 40_000, 1000
 PIECE = 1 << 20
 _U = np.uint64
 _rng = np.random.default_rng(400)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(2 * n + 2, base % 2**64, np.uint64)
+#: Two polynomials: weights of the bytes, and bases.
+_BYTES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _grown(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, up to n."""
+    if which not in _powers or len(_powers[which][0]) <= n:
+        made = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 2**64)):
+            x = np.full(2 * n + 2, base, np.uint64)
             x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
+            made.append(np.multiply.accumulate(x))
+        _powers[which] = made[0], made[1]
+    return _powers[which]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,15 +81,32 @@ def _both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Digests:
     """Digests of a text's substrings, by polynomial prefix sums modulo 2**64 (for substrings under 1024 bytes)."""
 
-    def __init__(self, b: np.ndarray) -> None:
-        up, self.down = _grown(len(b))
+    def __init__(self, b: np.ndarray, which: int = 0) -> None:
+        up, self.down = _grown(len(b), which)
         self.sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[b] * up[: len(b)], out=self.sums[1:])
+        np.cumsum(_BYTES[which][b] * up[: len(b)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _both((self.sums[end] - self.sums[start]) * self.down[start], end - start)
 
 
+def wide_digests(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits for each substring, as two numbers."""
+    return np.stack([Digests(b, which).of(start, end) for which in (0, 1)], 1)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (numbers, strings or pairs of numbers) in order, where each first stands, and each key's place among them."""
+    if keys.ndim == 1:
+        return np.unique(keys, return_index=True, return_inverse=True)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(1)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return keys[order[new]], order[new], which
+
+
 def anchors(b: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Anchor positions, and for each the last window start that it serves (the first is the last of the one before, plus 1)."""
     places, lasts = [], []
@@ -132,8 +155,12 @@ def dealt(part: np.ndarray, *columns: np.ndarray) -> list[tuple[int, np.ndarray,
     return [(int(part[s[0]]), s, tuple(c[s] for c in columns)) for s in np.split(order, cuts) if len(s)]
 
 
-def exchange(state: DataFrame, ask: Ask, answer: Callable[[list[tuple]], tuple[list, int]], parts: int, apply: Callable[[dict, dict, dict], Iterator], schema: str, names: list[str]) -> DataFrame:
-    """One round. apply(block, answers by partition, number of keys before a partition) yields record batches of schema."""
+def exchange(state: DataFrame, ask: Ask, answer: Callable[[list[tuple]], tuple[list, int]], parts: int, apply: Callable[[dict, dict, dict], Iterator], schema: str, blocks: int) -> tuple[DataFrame, str]:
+    """One round. apply(block, answers by partition, number of keys before a partition) yields record batches of schema.
+
+    Returns the rows and the folder of the answers. Blocks are dealt to as many tasks: their rows are small, their work is not.
+    """
+    names, spark = [x.split()[0] for x in schema.split(", ")], state.sparkSession
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,11 +188,12 @@ def exchange(state: DataFrame, ask: Ask, answer: Callable[[list[tuple]], tuple[l
             yield close(at, blocks, got)
 
     asked = state.mapInArrow(asks, "part int, block string, data binary").repartition(parts, "part").sortWithinPartitions("part", "block")
-    answered = stored(asked.mapInArrow(answers, "part int, block string, data binary, size bigint"), "answers")
+    path = new_folder(spark, "answers")
+    answered = stored(asked.mapInArrow(answers, "part int, block string, data binary, size bigint"), "answers", path)
     sizes = sorted((r.part, r.size) for r in answered.groupBy("part").agg(F.max("size").alias("size")).collect())  # one row a partition
     before = dict(zip([p for p, _ in sizes], np.cumsum([0, *(s for _, s in sizes)]).tolist(), strict=False))
     before[-1] = sum(s for _, s in sizes)
-    gathered = answered.groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
+    gathered = answered.repartition(max(1, blocks), "block").groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,8 +203,7 @@ def exchange(state: DataFrame, ask: Ask, answer: Callable[[list[tuple]], tuple[l
                         columns = [[block], [dump(columns)]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES[schema], strict=True)], names=names)
 
-    out = state.join(gathered, "block", "left").select("block", "data", "answers").mapInArrow(applied, schema)
-    return out
+    return state.repartition(max(1, blocks), "block").join(gathered, "block", "left").select("block", "data", "answers").mapInArrow(applied, schema), path
 
 
 STATE = "block string, data binary"
@@ -195,7 +222,7 @@ def returned(asked: list, said: dict, kind: object, before: dict | None = None)
 
 def _tally(got: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Distinct keys over all askers, each asked key's place among them, totals, and the askers' sizes."""
-    keys, which = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    keys, _, which = distinct(np.concatenate([g[0] for g in got]))
     return keys, which, np.bincount(which, np.concatenate([g[1] for g in got]), minlength=len(keys)).astype(np.int64), [len(g[0]) for g in got]
 
 
@@ -295,27 +322,7 @@ def _prefix(keys: np.ndarray, n: int) -> np.ndarray:
 # ---- the operator
 
 
-class Store:
-    """Block texts in the shared folder."""
-
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
-
-    def write(self, data: bytes) -> str:
-        store, root = fs.FileSystem.from_uri(self.folder)
-        store.create_dir(root, recursive=True)
-        name = uuid.uuid4().hex
-        with store.open_output_stream(f"{root}/{name}") as out:
-            out.write(zstandard.ZstdCompressor(level=1).compress(data))
-        return name
-
-    def read(self, name: str) -> np.ndarray:
-        store, root = fs.FileSystem.from_uri(self.folder)
-        with store.open_input_stream(f"{root}/{name}") as stream:
-            return np.frombuffer(zstandard.ZstdDecompressor().decompress(stream.read()), np.uint8)
-
-
-def encode(docs: DataFrame, store: Store, size: int) -> DataFrame:
+def encode(docs: DataFrame, files: Files, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[bytes] = []
@@ -323,7 +330,7 @@ def encode(docs: DataFrame, store: Store, size: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             twice = np.array([xxhash.xxh3_128_digest(t) for t in texts], "S16")
-            state = {"file": store.write(b"".join(texts)), "ids": ids, "length": np.array([len(t) for t in texts]), "digest": twice}
+            state = {"file": files.write(b"".join(texts)), "ids": ids, "length": np.array([len(t) for t in texts]), "digest": twice}
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([dump(state)], pa.binary()), pa.array([held], pa.int64())], names=["block", "data", "bytes"])
 
         for batch in batches:
@@ -340,6 +347,12 @@ def encode(docs: DataFrame, store: Store, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block string, data binary, bytes bigint")
 
 
+def sizes(total: int) -> tuple[int, int]:
+    """Bytes of a block and of a table partition: a phrase has about 50 bytes, and a block's phrases are dealt over all partitions."""
+    grown = max(1.0, (50 * PACKET * total / (BLOCK_BYTES * 40 * PART_KEYS)) ** 0.5)
+    return int(BLOCK_BYTES * grown), int(40 * PART_KEYS * grown)
+
+
 def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept) for every row.
 
@@ -351,14 +364,28 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         raise ValueError("length must lie between 300 and 900")
     spark = docs.sparkSession
     python_batches(spark)
-    store = Store(f"{shared_dir(spark).rstrip('/')}/texts-{uuid.uuid4().hex}")
-    first = stored(encode(docs, store, BLOCK_BYTES), "blocks")
-    sizes = first.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
-    blocks, total = sizes.n, sizes.bytes or 0
+    files = Files(spark, "texts")
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    block_bytes, part_bytes = sizes(total)
+    path = new_folder(spark, "blocks")
+    state = stored(encode(docs, files, block_bytes), "blocks", path).select("block", "data")
+    blocks = state.count()
     spark_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(spark_parts, -(-total // (40 * PART_KEYS)))
+    parts = max(spark_parts, -(-total // part_bytes))
     wide = total >= 2**32
-    state = first.select("block", "data")
+
+    def text_of(b: dict) -> np.ndarray:
+        return np.frombuffer(files.read(b["file"]), np.uint8)
+
+    def round_(name: str, ask: Ask, answer: Callable, parts: int, apply: Callable) -> DataFrame:
+        """The blocks after a round; what it read is deleted."""
+        nonlocal path
+        out, answers = exchange(state, ask, answer, parts, apply, STATE, blocks)
+        old, path = path, new_folder(spark, name)
+        out = stored(out, name, path)
+        remove(spark, old)
+        remove(spark, answers)
+        return out
 
     # copies: the first of each takes part
     def ask_copies(b: dict) -> list:
@@ -371,7 +398,7 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         keys, at = np.unique(b["digest"][long], return_index=True)
         code = returned(ask_copies(b), said, np.uint8)
         copied = np.isin(b["digest"], keys[code > 0]) & (b["length"] >= length)
-        text, ends = store.read(b["file"]), np.cumsum(b["length"])
+        text, ends = text_of(b), np.cumsum(b["length"])
         doc, x, last, letter = [], [], [], []
         for d in np.sort(long[at[code != 1]]):
             t = text[ends[d] - b["length"][d] : ends[d]]
@@ -384,7 +411,7 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         yield {"file": b["file"], "ids": b["ids"], "length": b["length"], "copied": copied, "doc": join(doc, np.int32), "x": join(x, np.int64), "last": join(last, np.int64), "letter": join(letter, np.uint64)}
 
-    state = stored(exchange(state, ask_copies, answer_owners, spark_parts, apply_copies, STATE, ["block", "data"]), "anchors")
+    state = round_("anchors", ask_copies, answer_owners, spark_parts, apply_copies)
 
     # letters: phrases that occur twice or more get a name, others are breaks
     def ask_letters(b: dict) -> list:
@@ -408,13 +435,14 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         whole = (breaks[j] == breaks[i]) & (j > i)
         i, j = i[whole], j[whole]
         # digests of the prefix and of all bytes about the anchor
-        text, ends = store.read(b["file"]), np.cumsum(b["length"])
-        prefix, about = np.zeros(len(i), np.uint64), np.zeros(len(i), np.uint64)
+        text, ends = text_of(b), np.cumsum(b["length"])
+        prefix, about = np.zeros(len(i), np.uint64), np.zeros((len(i), 2), np.uint64)
         for s in np.split(np.arange(len(i)), np.flatnonzero(np.diff(doc[i])) + 1) if len(i) else []:
             d = doc[i[s[0]]]
-            h = Digests(text[ends[d] - b["length"][d] : ends[d]])
-            prefix[s] = _both(h.of(x[i[s]], x[j[s]]), j[s] - i[s])
-            about[s] = _both(h.of(start[i[s]], stop[i[s]] + length), (x[i[s]] - start[i[s]]) * 1000 + stop[i[s]] - start[i[s]])
+            own = text[ends[d] - b["length"][d] : ends[d]]
+            prefix[s] = _both(Digests(own).of(x[i[s]], x[j[s]]), j[s] - i[s])
+            place = (x[i[s]] - start[i[s]]) * 1000 + stop[i[s]] - start[i[s]]
+            about[s] = _both(wide_digests(own, start[i[s]], stop[i[s]] + length), place[:, None])
         # the string: runs of phrases that some prefix needs, with one break between runs
         need = np.zeros(len(t) + 1, np.int64)
         np.add.at(need, i, 1)
@@ -424,7 +452,7 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         string, place = np.where(used, t, 0)[keep], np.cumsum(keep) - 1
         yield {"file": b["file"], "ids": b["ids"], "length": b["length"], "copied": b["copied"], "doc": doc[i], "x": x[i], "start": start[i], "stop": stop[i], "prefix": prefix, "about": about, "deep": int((j - i).max(initial=0)), "place": place[i], "strings": [string], "ranks": None}
 
-    state = stored(exchange(state, ask_letters, answer_names, parts, apply_letters, STATE, ["block", "data"]), "letters")
+    state = round_("letters", ask_letters, answer_names, parts, apply_letters)
 
     def depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,7 +461,7 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
 
     most = state.mapInArrow(depth, "deep bigint, n bigint").agg(F.max("deep").alias("deep"), F.sum("n").alias("n")).first()
     deep, held = most.deep or 0, most.n or 0
-    ways = max(spark_parts, -(-held // PART_KEYS))
+    ways = max(spark_parts, -(-held // (part_bytes // 40)))
 
     # sort sampled triples and recurse on their names
     level, reached = 0, 1
@@ -451,7 +479,7 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
             ones = len(range(1, len(b["strings"][-1]), 3))
             yield b | {"strings": [*b["strings"], np.r_[t[:ones], 0, t[ones:]]]}
 
-        state = stored(exchange(state, ask_triples, answer_ranks, ways, apply_triples, STATE, ["block", "data"]), "triples")
+        state = round_("triples", ask_triples, answer_ranks, ways, apply_triples)
         level, reached = level + 1, reached * 3
 
     # merge the remaining suffixes, from the deepest string up
@@ -487,7 +515,7 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
             rank = returned(ask(b), said, np.int64, before)
             yield b | {"ranks": rank[np.searchsorted(np.unique(keys), keys)], "strings": b["strings"][:-1]}
 
-        state = stored(exchange(state, ask_merge, answer_merged, ways, apply_merge, STATE, ["block", "data"]), "merged")
+        state = round_("merged", ask_merge, answer_merged, ways, apply_merge)
 
     # the last merge, of the corpus' own suffixes; adjacent ones with the same prefix form a group
     def group_keys(b: dict) -> np.ndarray:
@@ -522,45 +550,47 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         keep = group > 0
         yield {k: b[k] for k in ("file", "ids", "length", "copied")} | {k: b[k][keep] for k in ("doc", "start", "stop", "about")} | {"group": group[keep]}
 
-    state = stored(exchange(state, ask_groups, answer_groups, ways, apply_groups, STATE, ["block", "data"]), "groups")
+    state = round_("groups", ask_groups, answer_groups, ways, apply_groups)
 
     # same bytes about the anchor: all of its strings are repeated
+    def shares(keys: np.ndarray, n: int) -> np.ndarray:
+        return ((keys[:, 0] >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
+
     def about_keys(b: dict) -> np.ndarray:
-        return _both(b["about"], b["group"])
+        return _both(b["about"], b["group"][:, None])
 
     def ask_about(b: dict) -> list:
-        keys, n = np.unique(about_keys(b), return_counts=True)
-        return dealt(((keys >> _U(32)) * _U(ways) >> _U(32)).astype(np.int64), keys, n)
+        keys, _, which = distinct(about_keys(b))
+        return dealt(shares(keys, ways), keys, np.bincount(which, minlength=len(keys)))
 
     def apply_about(b: dict, said: dict, before: dict) -> Iterator[dict]:
-        keys = about_keys(b)
-        distinct, at = np.unique(keys, return_index=True)
+        _, at, which = distinct(about_keys(b))
         code = returned(ask_about(b), said, np.uint8)
-        shown = np.zeros(len(keys), bool)
+        shown = np.zeros(len(which), bool)
         shown[at[code != 1]] = True  # one of each kind shows its strings to the others of the group
-        yield b | {"code": code[np.searchsorted(distinct, keys)], "shown": shown}
+        yield b | {"code": code[which], "shown": shown}
 
-    state = stored(exchange(state, ask_about, answer_owners, ways, apply_about, STATE, ["block", "data"]), "about")
+    state = round_("about", ask_about, answer_owners, ways, apply_about)
 
     # else: each string about the anchor by itself
-    tables = max(spark_parts, -(-total // (8 * PART_KEYS)))
+    tables = max(spark_parts, -(-total // (part_bytes // 5)))
 
     def strings(b: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the shown strings, their documents and starts."""
         i = np.flatnonzero(b["shown"])
         n = b["stop"][i] - b["start"][i] + 1
         at = np.repeat(b["start"][i], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc, group = np.repeat(b["doc"][i], n), np.repeat(b["group"][i], n)
-        keys = np.zeros(len(at), np.uint64)
-        text, ends = store.read(b["file"]), np.cumsum(b["length"])
+        doc = np.repeat(b["doc"][i], n)
+        keys = np.zeros((len(at), 2), np.uint64)
+        text, ends = text_of(b), np.cumsum(b["length"])
         for s in np.split(np.arange(len(at)), np.flatnonzero(np.diff(doc)) + 1) if len(at) else []:
             d = doc[s[0]]
-            keys[s] = Digests(text[ends[d] - b["length"][d] : ends[d]]).of(at[s], at[s] + length)
-        return _both(keys, group), doc, at
+            keys[s] = wide_digests(text[ends[d] - b["length"][d] : ends[d]], at[s], at[s] + length)
+        return _both(keys, np.repeat(b["group"][i], n)[:, None]), doc, at
 
     def ask_strings(b: dict) -> list:
-        keys, n = np.unique(strings(b)[0], return_counts=True)
-        return dealt(((keys >> _U(32)) * _U(tables) >> _U(32)).astype(np.int64), keys, n)
+        keys, _, which = distinct(strings(b)[0])
+        return dealt(shares(keys, tables), keys, np.bincount(which, minlength=len(keys)))
 
     def answer_strings(got: list[tuple]) -> tuple[list, int]:
         keys, which, total, sizes = _tally(got)
@@ -568,18 +598,17 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
 
     def apply_strings(b: dict, said: dict, before: dict) -> Iterator[list]:
         keys, doc, at = strings(b)
-        distinct, n = np.unique(keys, return_counts=True)
-        asked = dealt(((distinct >> _U(32)) * _U(tables) >> _U(32)).astype(np.int64), distinct, n)
-        again = np.zeros(len(distinct), bool)
-        for p, s, _ in asked:
+        keys, _, which = distinct(keys)
+        again = np.zeros(len(keys), bool)
+        for p, s, _ in dealt(shares(keys, tables), keys):
             again[s] = np.unpackbits(said[p], count=len(s)).astype(bool)
-        hit = again[np.searchsorted(distinct, keys)]
+        hit = again[which]
         all_of = b["code"] > 0
         docs = np.r_[b["doc"][all_of], doc[hit]]
         starts, stops = np.r_[b["start"][all_of], at[hit]], np.r_[b["stop"][all_of], at[hit]] + length
         order = np.argsort(docs, kind="stable")
         docs, starts, stops = docs[order], starts[order], stops[order]
-        text, ends = store.read(b["file"]), np.cumsum(b["length"])
+        text, ends = text_of(b), np.cumsum(b["length"])
         out = [[], [], [], [], [], []]
         for d, (doc_id, n) in enumerate(zip(b["ids"], b["length"].tolist(), strict=True)):
             t = text[ends[d] - n : ends[d]]
@@ -595,7 +624,7 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
                 column.append(value)
         yield out
 
-    return exchange(state, ask_strings, answer_strings, tables, apply_strings, RESULT, [x.split()[0] for x in RESULT.split(", ")])
+    return exchange(state, ask_strings, answer_strings, tables, apply_strings, RESULT, blocks)[0]
 
 
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
