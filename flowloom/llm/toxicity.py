@@ -1,20 +1,25 @@
 """Toxicity scores from a learned lexicon.
 
-Terms and stems are learned from labelled rows: a stem is a word beginning that toxic documents
-hold far more often than others, taken at the deepest trie node that keeps its support, so a whole
-word and an inflected family are found alike. The terms form a trie. A Levenshtein automaton of a
-word is intersected with the trie by walking (node, position, edits) states; a state that has used
-all edits follows one path only, so a word that matches nothing is dropped after a few steps.
-A hit's context window (words and quotation marks about it) tells quotation from abuse. A logistic
-model over hit counts makes the score.
+Terms are learned from labelled rows: whole words of any length, and stems, word beginnings that
+toxic documents hold far more often than others, taken at the deepest trie node that keeps their
+support, so that an inflected family is found by one stem. The terms form a trie. A Levenshtein
+automaton of a word (letters left out, put in, changed, or two neighbours swapped) is intersected
+with the trie by walking (node, position, edits) states; a state that has used all edits follows one
+path only, so a word that matches nothing is dropped after a few steps. Words under five letters
+must match a term exactly, others may have one edit; so may the beginning of a word against a stem
+of five letters or more. A hit's context window (words and quotation marks about it) tells quotation
+from abuse. A logistic model over hit counts makes the score.
 
 Learning takes at most `per_class` labelled rows of each class, those with the least hash of the id:
-the documented bound. Scoring takes every row and whole texts.
+the documented bound. All of them make the model; in the counts that find terms, texts that share a
+signature (near copies mostly) are taken as one document with the words of all, since a text that
+is often copied would pass its own rare words off as terms. Scoring takes every row and whole texts.
 
 Defined cases: null and empty texts have no hits and get the model's score for that. Rows with a
 null id are scored and are never learned from. A document labelled twice is toxic if any label says
 so; null labels do not count. With fewer than two classes to learn from, the score is the base rate
-(0 without labels). Extra columns are not read.
+(0 without labels). Stems have at most STEM letters, longer words are learned whole. Extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -41,12 +46,16 @@ REPORTS = frozenset("said says say wrote writes quoted quote called calling repo
 #: Words that address a reader.
 ADDRESS = frozenset("you your yours youre du dich dein ihr euch tu toi vous ton votre tú usted eres tus".split())
 FEATURES = ("exact", "near", "weak", "quoted", "addressed", "density")
-#: Stems have from 3 to 12 letters.
-SHORT, LONG = 3, 12
+#: Letters of a stem, at most: every beginning of a word is counted, so this bounds what a very long word costs.
+STEM = 40
+#: Letters that a word and a stem need to be matched with an edit.
+EDITED = 5
 WINDOW = 6
 #: Nats that a term must carry: chance gives this to about one of ten million beginnings.
 LEAST_EVIDENCE = 14.0
 _MEMO = 500_000
+#: Counts held by a task before it passes them on.
+_COUNTS = 200_000
 
 
 class Lexicon:
@@ -62,39 +71,43 @@ class Lexicon:
         self.memo: dict[str, int] = {}
 
     def edits(self, word: str) -> int:
-        """Edits from the word to its nearest term, 9 if there is none within reach: none for words under 5 letters, else one."""
+        """Edits from the word to its nearest term, 9 if there is none within reach."""
         found = self.memo.get(word)
         if found is None:
             if len(self.memo) >= _MEMO:
                 self.memo.clear()
-            found = self.memo[word] = self._search(word, 0)
-            if found and len(word) >= 5:
-                found = self.memo[word] = self._search(word, 1)
+            found = self._search(word, 0)
+            if found and len(word) >= EDITED:
+                found = self._search(word, 1)
+            self.memo[word] = found
         return found
 
     def _search(self, word: str, most: int) -> int:
+        """States: trie node, its depth, letters read, edits used."""
         n, best = len(word), 9
-        stack = [(self.root, 0, 0)]
+        stack = [(self.root, 0, 0, 0)]
         while stack:
-            node, i, e = stack.pop()
+            node, depth, i, e = stack.pop()
             while True:
                 end = node.get("")
-                if end is not None and e < best and (i == n or end) and not (end and e):
-                    best = e
+                if end and (not e or depth >= EDITED):  # a stem: the word may go on
+                    best = min(best, e)
                 elif end is False and e + n - i <= most:
                     best = min(best, e + n - i)
                 if e < most:
                     if i < n:
-                        stack.append((node, i + 1, e + 1))  # a letter too many
+                        stack.append((node, depth, i + 1, e + 1))  # a letter put in
                     for c, child in node.items():
                         if c:
-                            stack.append((child, i, e + 1))  # a letter left out
+                            stack.append((child, depth + 1, i, e + 1))  # a letter left out
                             if i < n and c != word[i]:
-                                stack.append((child, i + 1, e + 1))
+                                stack.append((child, depth + 1, i + 1, e + 1))  # changed
+                    if i + 1 < n and word[i] != word[i + 1] and (swapped := node.get(word[i + 1], {}).get(word[i])):
+                        stack.append((swapped, depth + 2, i + 2, e + 1))
                 node = node.get(word[i]) if i < n else None
                 if node is None:
                     break
-                i += 1
+                i, depth = i + 1, depth + 1
             if not best:
                 break
         return best
@@ -134,41 +147,60 @@ class Scorer:
         return [*map(math.log1p, (exact, near, 100 * len(weak) / len(words), quoted, addressed)), (exact + near) / len(words)]
 
 
-def _sign(text: str | None) -> int:
-    """Two least hashes of word pairs, as one number: near copies mostly share it, other documents hardly ever."""
+def _sign(doc_id: int, text: str | None) -> int:
+    """Two least hashes of word pairs, as one number: near copies mostly share it, other documents hardly ever. Texts of under two words have one of their own."""
     ws = WORD.findall((text or "").lower())
     least = sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in zip(ws, ws[1:], strict=False)})[:2]
-    return least[0] << 31 | least[-1] >> 1 if least else -1
+    return least[0] << 31 | least[-1] >> 1 if least else -1 - zlib.crc32(f"{doc_id} {text}".encode())
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(_sign, batch.column("text").to_pylist()), pa.int64())], names=["text", "toxic", "sign"])
+        signs = pa.array(map(_sign, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), signs], names=["text", "toxic", "sign"])
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that hold a word (whole) or a word beginning."""
-    counts: Counter = Counter()
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of each class whose texts hold a word beginning (docs), or a word (whole). Rows come sorted by signature and class."""
+    docs: Counter = Counter()
+    whole: Counter = Counter()
+    now, words = None, set()
+
+    def close() -> None:
+        whole.update((w, now[1]) for w in words)
+        docs.update((p, now[1]) for p in {w[:n] for w in words for n in range(1, min(STEM, len(w)) + 1)})
+
+    def rows() -> pa.RecordBatch:
+        keys = list(docs.keys() | whole.keys())
+        out = pa.RecordBatch.from_pydict({"term": [k[0] for k in keys], "toxic": [k[1] for k in keys], "docs": [docs[k] for k in keys], "whole": [whole[k] for k in keys]}, schema=pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("docs", pa.int64()), ("whole", pa.int64())]))
+        docs.clear()
+        whole.clear()
+        return out
+
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            words = {w for w in WORD.findall((text or "").lower()) if len(w) > SHORT}
-            counts.update((w, True, toxic) for w in words)
-            counts.update((p, False, toxic) for p in {w[:n] for w in words for n in range(SHORT, min(LONG, len(w)) + 1)})
-    rows = list(counts.items())
-    for at in range(0, len(rows), 50_000):
-        part = rows[at : at + 50_000]
-        yield pa.RecordBatch.from_pydict({"term": [r[0][0] for r in part], "whole": [r[0][1] for r in part], "toxic": [r[0][2] for r in part], "docs": [r[1] for r in part]}, schema=pa.schema([("term", pa.string()), ("whole", pa.bool_()), ("toxic", pa.int32()), ("docs", pa.int64())]))
-
-
-def choose_terms(rows: list[tuple[str, int, int, int]], toxic: int, other: int, precision: float) -> dict[str, bool]:
-    """rows: (beginning, toxic documents, other documents, toxic documents with it as a whole word)."""
+        for text, toxic, sign in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "sign")), strict=True):
+            if (sign, toxic) != now:
+                if now:
+                    close()
+                now, words = (sign, toxic), set()
+                if len(docs) >= _COUNTS:
+                    yield rows()
+            words.update(WORD.findall((text or "").lower()))
+    if now:
+        close()
+    yield rows()
+
+
+def choose_terms(rows: list[tuple[str, int, int, int, int]], toxic: int, other: int, precision: float) -> dict[str, bool]:
+    """Terms, True for stems. rows: beginning, toxic and other documents that hold it, toxic and other documents with it as a whole word."""
     base = toxic / max(toxic + other, 1)
 
-    def evidence(a: int, b: int) -> float:
-        """Log likelihood ratio of the term's own toxic share against the common one."""
-        return sum(n * math.log(n / (a + b) / p) for n, p in ((a, base), (b, 1 - base)) if n)
+    def tells(a: int, b: int) -> bool:
+        """The share in toxic documents, and the log likelihood ratio of the term's own toxic share against the common one."""
+        evidence = sum(n * math.log(n / (a + b) / p) for n, p in ((a, base), (b, 1 - base)) if n)
+        return a / max(toxic, 1) >= precision / (1 - precision) * b / max(other, 1) and evidence >= LEAST_EVIDENCE
 
-    good = {t: (a, w) for t, a, b, w in rows if a / max(toxic, 1) >= precision / (1 - precision) * b / max(other, 1) and evidence(a, b) >= LEAST_EVIDENCE}
+    good = {t: (a, w) for t, a, b, w, _ in rows if a >= 3 and tells(a, b)}
     below: dict[str, list[str]] = {}
     for t in good:
         below.setdefault(t[:-1], []).append(t)
@@ -182,6 +214,10 @@ def choose_terms(rows: list[tuple[str, int, int, int]], toxic: int, other: int,
                 break
             t = max(longer, key=lambda u: good[u][0])
         terms[t] = good[t][1] < 0.5 * good[t][0]
+    stems = {t for t, stem in terms.items() if stem}
+    for t, _, _, w, v in rows:  # words that tell though their beginnings do not, and those that no stem reaches
+        if w >= 3 and t not in terms and tells(w, v) and not any(t[:n] in stems for n in range(1, len(t) + 1)):
+            terms[t] = False
     return terms
 
 
@@ -230,26 +266,31 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0
         return Model({}, {}, [0.0] * len(FEATURES) + [math.log(rate / (1 - rate))])
     spark = docs.sparkSession
     ids = spark.createDataFrame(list(chosen.items()), "doc_id bigint, toxic int")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")
-    # one document of those that share a signature: near copies would pass their own rare words off as terms
-    sample = stored(texts.mapInArrow(_signed, "text string, toxic int, sign bigint").groupBy("sign", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
-    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    sample = stored(texts.mapInArrow(_signed, "text string, toxic int, sign bigint"), "labelled")
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count_distinct("sign").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
-    a, b, base = F.col("a"), F.col("b"), toxic / max(toxic + other, 1)
+    base = toxic / max(toxic + other, 1)
+
+    def share(n: Column, of: Column, p: float) -> Column:
+        return F.when(n > 0, n * F.log(n / of / F.lit(p))).otherwise(F.lit(0.0))
 
-    def share(n: Column, p: float) -> Column:
-        return F.when(n > 0, n * F.log(n / (a + b) / F.lit(p))).otherwise(F.lit(0.0))
+    def told(a: Column, b: Column) -> Column:
+        """The test of choose_terms, with room for rounding: all that pass are collected."""
+        return (a >= 3) & (a / max(toxic, 1) >= weak_precision / (1 - weak_precision) * b / max(other, 1) - 1e-9) & (share(a, a + b, base) + share(b, a + b, 1 - base) >= LEAST_EVIDENCE - 1e-6)
 
-    # the test of choose_terms, with room for rounding: all that pass are collected
-    told = (a / max(toxic, 1) >= weak_precision / (1 - weak_precision) * b / max(other, 1) - 1e-9) & (share(a, base) + share(b, 1 - base) >= LEAST_EVIDENCE - 1e-6)
+    sums = {n: F.sum(F.when(F.col("toxic") == c, F.col(of)).otherwise(0)) for n, c, of in (("a", 1, "docs"), ("b", 0, "docs"), ("w", 1, "whole"), ("v", 0, "whole"))}
     counts = (
-        sample.mapInArrow(_beginnings, "term string, whole boolean, toxic int, docs bigint")
+        sample.repartition("sign", "toxic")
+        .sortWithinPartitions("sign", "toxic")
+        .select("text", "toxic", "sign")
+        .mapInArrow(_terms, "term string, toxic int, docs bigint, whole bigint")
         .groupBy("term")
-        .agg(*(F.sum(F.when(cond, F.col("docs")).otherwise(0)).alias(n) for n, cond in (("a", (F.col("toxic") == 1) & ~F.col("whole")), ("b", (F.col("toxic") == 0) & ~F.col("whole")), ("w", (F.col("toxic") == 1) & F.col("whole")))))
-        .where((a >= 3) & told)
-        .orderBy(F.desc("a"), "term")
+        .agg(*(c.alias(n) for n, c in sums.items()))
+        .where(told(F.col("a"), F.col("b")) | told(F.col("w"), F.col("v")))
+        .orderBy("term")
     )
-    rows = [(r.term, r.a, r.b, r.w) for r in counts.collect()]
+    rows = [(r.term, r.a, r.b, r.w, r.v) for r in counts.collect()]
     strong, weak = (choose_terms(rows, toxic, other, p) for p in (precision, weak_precision))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
