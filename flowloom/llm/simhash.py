@@ -25,14 +25,15 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, LOWER, python_batches, shared_dir, stored, table
+from .common import ARROW_ROWS, LOWER, folder_of, new_folder, python_batches, stored, table
 
 #: Pairs of trie nodes that are walked at once.
 CHUNK = 1 << 18
+#: Files of shingle sets, of up to 512 texts each, whose shingles are counted to put rare ones first.
+ORDER_FILES = 32
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -176,7 +177,7 @@ class Sets:
     HELD = 64 << 20
 
     def __init__(self, spark: SparkSession) -> None:
-        self.folder = f"{shared_dir(spark).rstrip('/')}/sets-{secrets.token_hex(16)}"
+        self.folder = new_folder(spark, "sets")
         self.heads: dict[int, np.ndarray] = {}
         self.memo: dict[int, np.ndarray] = {}
         self.held = 0
@@ -185,7 +186,7 @@ class Sets:
         """Places of the sets. A file: how many, their nodes, their ends, their hashes."""
         if len(sets) > ARROW_ROWS:
             raise ValueError(f"over {ARROW_ROWS} sets for a file")
-        store, root = fs.FileSystem.from_uri(self.folder)
+        store, root = folder_of(self.folder)
         store.create_dir(root, recursive=True)
         number = secrets.randbits(53)
         with store.open_output_stream(f"{root}/{number}") as out:
@@ -195,7 +196,7 @@ class Sets:
 
     def file(self, number: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Nodes and sets of a file."""
-        store, root = fs.FileSystem.from_uri(self.folder)
+        store, root = folder_of(self.folder)
         with store.open_input_stream(f"{root}/{number}") as stream:
             data = stream.read()
         n = int(np.frombuffer(data, "<i8", 1)[0])
@@ -206,7 +207,7 @@ class Sets:
         got = self.memo.get(place)
         if got is None:
             number, k = divmod(place, ARROW_ROWS)
-            store, root = fs.FileSystem.from_uri(self.folder)
+            store, root = folder_of(self.folder)
             with store.open_input_file(f"{root}/{number}") as f:
                 if number not in self.heads:
                     n = int(np.frombuffer(f.read_at(8, 0), "<i8")[0])
@@ -355,13 +356,39 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
     return dealt.repartition("path", "lead").mapInArrow(walk, "a bigint, b bigint, bits int").distinct()
 
 
+def common_shingles(files: DataFrame, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that two or more sets of a bounded sample hold (ORDER_FILES files, least hashes of their numbers), in order, and the logarithm of how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column("file").to_pylist():
+                h = np.concatenate(sets.file(number)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("h", "n")], names=["h", "n"])
+
+    drawn = files.orderBy(F.xxhash64("file"), "file").limit(ORDER_FILES).repartition(ORDER_FILES, "file")
+    counts = drawn.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.mapInArrow(pack, "h binary, n binary").collect()  # of a bounded sample
+    h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.h, "<u8") for r in rows)])
+    n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.n, "<i8") for r in rows)])
+    order = np.argsort(h)
+    return h[order], np.log2(np.maximum(n[order], 1)).astype(np.int8)
+
+
 def prefix_links(prints: DataFrame, sets: Sets, similarity: float, parts: int) -> DataFrame:
     """a, b: spanning forests of all the pairs of sets with the similarity. prints: place.
 
-    In order of hash, two such sets of s and r shingles share one of the first s - ceil(similarity s) + 1
-    and r - ceil(similarity r) + 1. Each file's prefixes are dealt by hash, packed, to `parts` tasks.
+    In any order of shingles that all sets have in common, two such sets of s and r shingles share one of
+    the first s - ceil(similarity s) + 1 and r - ceil(similarity r) + 1. Rare shingles come first, as far
+    as a sample tells, then by hash: a passage that many texts hold is then in few prefixes. The order
+    changes the work, never the result. Each file's prefixes are dealt by hash, packed, to `parts` tasks.
     Sets without shingles meet under one name.
     """
+    files = prints.select(F.expr(f"place DIV {ARROW_ROWS}").alias("file")).distinct()
+    known, level = common_shingles(files, sets)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,7 +396,13 @@ def prefix_links(prints: DataFrame, sets: Sets, similarity: float, parts: int) -
                 nodes, held = sets.file(number)
                 size = np.array([len(x) for x in held])
                 long = np.maximum(size - np.ceil(similarity * size - 1e-9).astype(int) + 1, 1) * (size > 0) + (size == 0)
-                token = np.concatenate([x[:k] if len(x) else np.zeros(1, np.uint64) for x, k in zip(held, long.tolist(), strict=True)])
+                every, of = np.concatenate(held), np.repeat(np.arange(len(held)), size)
+                rare = np.zeros(len(every), np.int8)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, every), len(known) - 1)
+                    rare = np.where(known[at] == every, level[at] + 1, 0).astype(np.int8)
+                ordered = np.split(every[np.lexsort((every, rare, of))], np.cumsum(size)[:-1])
+                token = np.concatenate([x[:k] if len(x) else np.zeros(1, np.uint64) for x, k in zip(ordered, long.tolist(), strict=True)])
                 which = np.repeat(np.arange(len(held)), long)
                 rank = np.arange(len(token)) - np.repeat(np.cumsum(long) - long, long)
                 columns = token, nodes[which], number * ARROW_ROWS + which, size[which].astype(np.int32), rank.astype(np.int32)
@@ -416,7 +449,6 @@ def prefix_links(prints: DataFrame, sets: Sets, similarity: float, parts: int) -
             a, b = np.sort(ids[kept], axis=1).T
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    files = prints.select(F.expr(f"place DIV {ARROW_ROWS}").alias("file")).distinct()
     dealt = files.mapInArrow(deal, "part int, token binary, node binary, place binary, size binary, rank binary")
     return dealt.repartition(parts, "part").mapInArrow(meet, "a bigint, b bigint")
 
