@@ -120,6 +120,49 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(v.limit(0), v.limit(0)).count() == 0
 
 
+def brute_nearest(y, ids, k=20):
+    """query -> [(vec_id, score)], nearest first."""
+    out = {}
+    for n, q in enumerate(ids):
+        if q % 20 == 0:
+            s = y @ y[n]
+            order = sorted((j for j in range(len(ids)) if ids[j] != q), key=lambda j: (-s[j], ids[j]))[:k]
+            out[q] = [(ids[j], s[j]) for j in order]
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 3, 9, 12, 21, 22, 40, 90, 200])
+def test_nearest_neighbours_of_small_tables(spark, n):
+    """Every row that is owed comes back, whatever the vectors: min(20, n - 1) for each query; equal to brute force up to 21 vectors."""
+    for seed in range(2):
+        rng = np.random.default_rng(seed)
+        y = rng.normal(size=(n, 64 if seed else 5)) * rng.choice([0.1, 1, 10], (n, 1))
+        ids = [20 * i if i % 3 == 0 else 20 * i + 1 for i in range(n)]
+        v = clashing(spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, y)], "vec_id long, embedding array<double>"))
+        got = defaultdict(list)
+        for r in ann.nearest(v, v.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        want = brute_nearest(y, ids)
+        assert {q: len(x) for q, x in got.items()} == {q: min(20, n - 1) for q in want}
+        if n <= 21:
+            for q, rows in want.items():
+                assert [i for i, _ in got[q]] == [i for i, _ in rows] and np.allclose([x for _, x in got[q]], [x for _, x in rows])
+
+
+def test_probes_have_no_cap():
+    rng = np.random.default_rng(4)
+    h = ann.Hasher(8, 1.0, 4)
+    assert len(h.template(10**9)) == 3**4 and len({tuple(r) for r in h.template(10**9).tolist()}) == 3**4
+    x = rng.normal(size=(3000, 8))
+    h = ann.Hasher(8, float(np.linalg.norm(x, axis=1).max()), 12)
+    few = ann.fit_probes(x, x[:40], h, 20, 0.5, 10**6)
+    assert few and ann.fit_probes(x, x[:40], h, 20, 0.9, 10**6) > few
+    assert ann.fit_probes(x, x[:40], h, 20, 0.9, 100) is None and ann.fit_probes(x[:20], x[:4], h, 20, 0.9, 20) is None
+    place = h.places(h.queries(x[:1]), 0)[0]
+    codes = h.probes(place, h.template(500))
+    assert codes[0] == h.codes(np.floor(place)) and len(set(codes.tolist())) == 500
+
+
 # 4
 
 
@@ -156,10 +199,55 @@ def test_toxic_terms_are_not_crowded_out(spark):
     assert toxicity.Lexicon(model.strong).edits("villain") == 0
 
 
+def edit_distance(a, b):
+    """Optimal string alignment, by the whole table."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def brute_edits(word, terms):
+    best = 9
+    for term, stem in terms.items():
+        each = [edit_distance(word[:n], term) for n in range(len(word) + 1)] if stem else [edit_distance(word, term)]
+        least = min(each)
+        if least == 0 or least == 1 and len(word) >= 5 and (not stem or len(term) >= 5):
+            best = min(best, least)
+    return best
+
+
 def test_levenshtein_automaton():
     lex = toxicity.Lexicon({"villain": False, "wretch": True})
-    near = {"villain": 0, "vilain": 1, "villains": 1, "villian": 9, "vxllain": 1, "villan": 1, "wretched": 0, "wretch": 0, "vill": 9, "": 9, "xvillain": 1, "banana": 9}
+    near = {"villain": 0, "vilain": 1, "villains": 1, "villian": 1, "vxllain": 1, "villan": 1, "wretched": 0, "wretch": 0, "wrtched": 1, "rwetches": 1, "vill": 9, "": 9, "xvillain": 1, "banana": 9}
     assert {w: lex.edits(w) for w in near} == near
+    assert toxicity.Lexicon({"idiot": False, "scumbag": True}).edits("idoit") == toxicity.Lexicon({"scumbag": True}).edits("scmbag") == 1
+
+
+def test_levenshtein_automaton_equals_brute_force():
+    rng = random.Random(14)
+    word = lambda low, high: "".join(rng.choice("abcd") for _ in range(rng.randint(low, high)))
+    for _ in range(20):
+        terms = {word(1, 9): rng.random() < 0.4 for _ in range(12)}
+        lex = toxicity.Lexicon(terms)
+        words = [word(0, 11) for _ in range(60)] + [t[:k] + rng.choice("abcd") + t[k + rng.randint(0, 1) :] for t in terms for k in range(len(t))] + ["".join((t[:k], t[k + 1], t[k], t[k + 2 :])) for t in terms for k in range(len(t) - 1)]
+        assert {w: lex.edits(w) for w in words} == {w: brute_edits(w, terms) for w in words}
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    """Texts of one word, words of two or three letters, and a very long word."""
+    rng = random.Random(15)
+    plain = [f"{a}{b}" for a in ("ran", "tel", "mor", "vid", "sol") for b in ("den", "ka", "ist", "om", "ure")]
+    rows = [(i, "zog" if i % 2 else rng.choice(plain)) for i in range(200)] + [(i, " ".join(rng.choices(plain, k=20)) + (" qx" if i % 2 else "")) for i in range(200, 400)] + [(400, "x" * 100_000), (401, "")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs_of(spark, rows), labels, held=None)
+    scorer = toxicity.Scorer(model.strong, model.weak)
+    assert scorer.hit("zog") and scorer.hit("qx") and not scorer.hit("zo") and not any(map(scorer.hit, plain))
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, [*rows, (500, "y" * 200_000 + " zog")]), model).collect()}
+    assert all((got[i] >= 0.5) == bool(i % 2) for i, _ in rows[:400]) and got[401] < 0.5
 
 
 # 5
@@ -319,6 +407,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_katz(spark, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK", 400)
+    monkeypatch.setattr(katz, "PACKET", 1)
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice("alpha beta Gamma delta eps zeta eta the the of".split()) + str(rng.choice(["", "", 1, rng.randrange(500)])) for _ in range(rng.randrange(60)))) for i in range(150)] + [(200, None), (201, ""), (None, "alpha beta")]
     df = spark.createDataFrame(rows, DOCS)
@@ -335,14 +424,13 @@ def test_katz(spark, monkeypatch):
     unknown, all_ = 1 - sum(p1.values()), {**c1, b" start": len(train)}
     held, mass = Counter(), Counter()
     for (u, w), c in c2.items():
-        if c >= 2:
-            held[u] += d2.get(c, 1) * c
-            mass[u] += p1[w]
+        held[u] += d2.get(c, 1) * c
+        mass[u] += p1[w]
 
     def p(u, w):
         h = held[u] / all_[u] if u in held else 0
         s = all_[u] / (all_[u] + 1) if u in held and 1 - h < 1e-12 else 1
-        if c2[u, w] >= 2:
+        if c2[u, w]:
             return s * d2.get(c2[u, w], 1) * c2[u, w] / all_[u]
         return (1 - s * h) / (1 - mass[u]) * p1.get(w, unknown)
 
@@ -353,10 +441,18 @@ def test_katz(spark, monkeypatch):
         base = sum(np.log10((c1[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
         assert abs(got[i].score - want) < 1e-6 and abs(got[i].base_score - base) < 1e-6
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(t), sum(w in c1 for w in t), n)
+    assert d2[1] < 1 and any(c == 1 for c in c2.values())
     assert katz.score(df.limit(0), F.lit(True)).count() == 0
     assert all(r.score == 0 for r in katz.score(df, F.lit(False)).collect())
 
 
+def test_blocks_grow_with_the_root_of_the_corpus():
+    assert katz.sizes(10**8) == (katz.BLOCK, katz.PART) and all(x == int((2000 * 10**13) ** 0.5) for x in katz.sizes(10**13))
+    assert suffix.sizes(10**9) == (suffix.BLOCK_BYTES, 40 * suffix.PART_KEYS)
+    b, q = suffix.sizes(10**14)
+    assert b > suffix.BLOCK_BYTES and b / 50 / (10**14 / q) == pytest.approx(suffix.PACKET, rel=0.01)
+
+
 def test_katz_keeps_bigrams_seen_once(spark):
     rows = [(r.doc_id, r.text) for r in common.table(spark, SF, "documents").select("doc_id", "text").collect()]
     got = {r.doc_id: r.score for r in katz.op8_katz(spark, SF).collect()}
@@ -402,6 +498,50 @@ def test_decontamination(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_decontamination_of_repeated_ids(spark):
+    """Of several texts with one id each counts by itself: one item text that is wholly there is found, whatever the other."""
+    rng = random.Random(19)
+    new = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    item, other, longer = new(14), new(60), new(100)
+    docs = [(1, new(300) + " " + item + " " + new(300)), (2, new(50)), (2, longer), (3, item + " " + other[: len(other) // 2])]
+    bench = [(10, item), (10, other), (11, longer), (11, longer), (12, "one " + longer)]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in decontaminate.search(d, b).collect()}
+    assert got == {(1, 10): (10, 10), (3, 10): (10, 10), (2, 11): (96, 96), (2, 12): (97, 96)}
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Items of all size classes, cut down about the threshold, inside documents of many lengths; and the SQL says the same."""
+    import duckdb
+
+    rng = random.Random(20)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [new(n) for n in (1, 2, 4, 5, 6, 9, 20, 40, 80, 160, 300, 700)]
+    docs = [(k, " ".join(new(rng.randrange(200)) + ws[: max(1, round(len(ws) * cut))] + new(rng.randrange(200)))) for k, (ws, cut) in enumerate((ws, cut) for ws in items for cut in (0.7, 0.79, 0.8, 0.81, 0.9, 1))]
+    bench = [(k, " ".join(ws)) for k, ws in enumerate(items)]
+
+    def runs(text, n):
+        ws = text.split()
+        return {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+
+    want = {}
+    for d, text in docs:
+        for i, item in bench:
+            n = min(5, len(item.split()))
+            mine = runs(item, n)
+            held = len(mine & runs(text, n))
+            if held >= 0.8 * len(mine):
+                want[(d, i)] = (len(mine), held)
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in decontaminate.search(d, b).collect()}
+    assert got == want
+    db = duckdb.connect()
+    for name, df in (("documents", d), ("benchmark", b)):
+        db.register(name, df.toPandas())
+    said = db.sql(decontaminate.ORACLE["op9_decontaminate"]).fetchall()
+    assert {(r[0], r[1]): (r[2], r[3]) for r in said} == want
+
+
 # 10
 
 
@@ -414,11 +554,91 @@ def test_chat(spark):
     assert both.agg(F.avg((F.col("role") == F.col("r")).cast("int"))).first()[0] > 0.9
     odd = spark.createDataFrame([(1, 0, "User: hi"), (1, 1, None), (1, 2, "Assistant: yes"), (1, 2, "Assistant: yes"), (None, 0, "x"), (2, None, "y"), (3, 0, "")], "conv_id long, line_no long, line string").withColumn("nth", F.lit(1))
     turns = chat.render(chat.parse(odd, model)).orderBy("conv_id", "turn").collect()
-    assert [(r.conv_id, r.role) for r in turns][:2] == [(1, "user"), (1, "assistant")] and turns[0].rendered == "<|user|>\nhi\n<|end|>"
+    assert [(r.conv_id, r.role) for r in turns][:2] == [(1, "user"), (1, "assistant")] and turns[0].rendered == "<|user|>\nhi\n\n<|end|>"
     assert sum(r.n_lines for r in turns) == 5
     assert chat.parse(odd.limit(0), model).count() == 0
 
 
+def plain_chat(lines, states, own):
+    """Turns rendered line by line from states. lines: texts."""
+    turns = []
+    for text, state in zip(lines, states, strict=True):
+        role, later = divmod(state, 2)
+        if not later:
+            turns.append((chat.ROLES[role], []))
+            name = re.match(r"^\s*(?:(\w+(?: \d)?)\s*[:>] ?|### (\w+)$)", text)
+            said = name and (name[1] or name[2]).lower()
+            if said in own and chat.ROLE_OF[said] == role:
+                text = text[name.end() :]
+                if not text:
+                    continue
+        turns[-1][1].append(text)
+    return [(r, f"<|{r}|>\n" + "\n".join(x) + "\n<|end|>") for r, x in turns]
+
+
+def test_chat_keeps_foreign_markers_as_text(spark):
+    """Markers of another form, or another name, inside a turn are content: three lines stay one turn, all words are kept."""
+    raw = chat.transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    model = chat.fit(raw)
+    talks = [
+        ["### User", "hi there", "### Assistant", "line one", "Answer: 42", "Context: sea", "", "  indented  ", "### User", "thanks"],
+        ["User: what is it?", "Bot: first", "[user] quoted", "Question: inner", "  tail ", "User: ok"],
+        ["<|user|>", "<|assistant|>", "yes"],
+    ]
+    rows = spark.createDataFrame([(c, n, t) for c, talk in enumerate(talks) for n, t in enumerate(talk)], "conv_id long, line_no long, line string")
+    got = defaultdict(list)
+    for r in chat.render(chat.parse(clashing(rows), model)).orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.role, r.rendered, r.n_lines))
+    turn = lambda role, text, n: (role, f"<|{role}|>\n{text}\n<|end|>", n)
+    assert got[0] == [turn("user", "hi there", 2), turn("assistant", "line one\nAnswer: 42\nContext: sea\n\n  indented  ", 6), turn("user", "thanks", 2)]
+    assert got[1] == [turn("user", "what is it?", 1), turn("assistant", "first\n[user] quoted\nQuestion: inner\n  tail ", 4), turn("user", "ok", 1)]
+    assert got[2] == [turn("user", "", 1), turn("assistant", "yes", 2)]
+
+
+def test_chat_viterbi_equals_path_enumeration(spark):
+    """The states found are the best of all paths, and the turns those that plain rendering makes of them."""
+    from itertools import product
+
+    rng = random.Random(21)
+    train = []
+    for c in range(30):
+        for k in range(4):
+            train.append((c, 10 * k, ("User: " if k % 2 == 0 else "Bot: ") + "text " * rng.randrange(40), "user" if k % 2 == 0 else "assistant", True))
+            train.append((c, 10 * k + 1, "more " * rng.randrange(40) + rng.choice(["?", "."]), "user" if k % 2 == 0 else "assistant", False))
+    model = chat.fit(spark.createDataFrame(train, "conv_id long, line_no long, line string, role string, first boolean"))
+    heads = ["User: ", "Bot: ", "", "", "System: ", "Answer: ", "[user] "]
+    talks = [["User: start"] + [rng.choice(heads) + "word " * rng.randrange(4) + rng.choice(["?", ".", ""]) for _ in range(rng.randrange(4))] for _ in range(25)]
+    rows = spark.createDataFrame([(c, n, t) for c, talk in enumerate(talks) for n, t in enumerate(talk)], "conv_id long, line_no long, line string")
+    parsed = defaultdict(list)
+    for r in chat.parse(rows, model).orderBy("conv_id", "line_no").collect():
+        parsed[r.conv_id].append(2 * chat.ROLES.index(r.role) + (not r.first))
+    turns = defaultdict(list)
+    for r in chat.render(chat.parse(rows, model)).orderBy("conv_id", "turn").collect():
+        turns[r.conv_id].append((r.role, r.rendered))
+    for c, talk in enumerate(talks):
+        own = [None] * 3
+        for t in talk:
+            if (m := chat.marker(t)) and m[1][0] == "4" and own[m[0]] is None:
+                own[m[0]] = m[1]
+        after = [False, *(not t.strip() for t in talk[:-1])]
+        scores = model.scores(np.array([chat.look(t, a, own) for t, a in zip(talk, after)]))
+
+        def value(path):
+            return model.start[path[0]] + scores[0, path[0]] + sum(model.move[a, b] + scores[k + 1, b] for k, (a, b) in enumerate(zip(path, path[1:])))
+
+        best = max(map(value, product(range(chat.STATES), repeat=len(talk))))
+        assert value(parsed[c]) == pytest.approx(best, abs=1e-9)
+        assert turns[c] == plain_chat(talk, parsed[c], {o[1:] for o in own if o})
+
+
+def test_chat_repeated_turns_do_not_interleave(spark):
+    rows = [(1, 0, "user", "one\ntwo"), (1, 0, "user", "three\nfour"), (1, 1, "assistant", "five\nsix"), (1, 1, "assistant", "five\nsix")]
+    raw = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("seg", "line_no").collect()
+    last = [r.line.split()[-1] for r in raw if chat.marker(r.line) is None or " " in r.line.strip()]
+    assert sorted(last) == sorted(["one", "two", "three", "four", "five", "six", "five", "six"])
+    assert all(last[last.index(a) + 1] == b for a, b in (("one", "two"), ("three", "four"), ("five", "six"))) and last[-2:] == ["five", "six"]
+
+
 def test_chat_segments_equal_one_pass(spark):
     rng = random.Random(10)
     heads = ["User: ", "Assistant: ", "", "", "System: ", "> ", "### user"]
