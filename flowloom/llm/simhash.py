@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, LOWER, folder_of, new_folder, python_batches, stored, table
+from .common import ARROW_ROWS, LOWER, folder_of, new_folder, python_batches, remove, stored, table
 
 #: Pairs of trie nodes that are walked at once.
 CHUNK = 1 << 18
@@ -454,8 +454,17 @@ def prefix_links(prints: DataFrame, sets: Sets, similarity: float, parts: int) -
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (the least node reachable) for every node of the pairs, by large and small stars."""
-    edges = stored(pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    """node, root (the least node reachable) for every node of the pairs, by large and small stars. A round's table is deleted once the next is written."""
+    spark = pairs.sparkSession
+
+    def written(df: DataFrame, *old: str) -> tuple[DataFrame, str]:
+        path = new_folder(spark, "edges")
+        df = stored(df.distinct(), "edges", path)
+        for x in old:
+            remove(spark, x)
+        return df, path
+
+    edges, at = written(pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -465,10 +474,10 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(both.where(F.col("v") > F.col("u")).join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        large, half = written(both.where(F.col("v") > F.col("u")).join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")), at)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "edges")
+        edges, at = written(small, half)
         if (now := mark(edges)) == before:
             break
         before = now
@@ -521,10 +530,13 @@ def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int
             place = sets.write(batch.column("node").to_numpy(), hashes)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(made), pa.list_(pa.int64())), pa.array(place), pa.array([len(h) for h in hashes], pa.int32())], names=["node", "prints", "place", "size"])
 
-    prints = stored(texts.mapInArrow(run, "node bigint, prints array<bigint>, place bigint, size int"), "prints")
+    path = new_folder(docs.sparkSession, "prints")
+    prints = stored(texts.mapInArrow(run, "node bigint, prints array<bigint>, place bigint, size int"), "prints", path)
     walked = links(prints, budget, blocks, sets, similarity).select("a", "b")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     roots = components(walked.unionByName(prefix_links(prints, sets, similarity, parts)))
+    for done in (path, sets.folder):  # the links are written by now
+        remove(docs.sparkSession, done)
     gone = roots.where(F.col("node") != F.col("root")).select("node")
     kept = copies.join(gone, "node", "left_anti")
     first = rows.where(F.col("id_").isNotNull()).join(kept, F.col("id_") == F.col("node"), "left_semi").select("row")
