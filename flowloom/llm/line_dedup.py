@@ -7,8 +7,9 @@ of documents. A key that a third of the documents share spans many partitions, b
 is part of the range; its runs are summed afterwards. What comes back to a document is a compressed
 bitmap of the lines it keeps, not text.
 
-Defined cases: a null text is one empty line. Rows with a null id keep all their lines and are not
-counted. Rows that repeat an id and a text are one document. An empty table gives an empty result.
+Defined cases: a null text is one empty line. Documents are counted by id: rows that share one count
+once, whatever their texts, and rows with a null id do not count; all of them lose the lines that go.
+An empty table gives an empty result.
 Keys shorter than min_key code points are never dropped.
 """
 
@@ -40,8 +41,6 @@ def _lines(min_key: int):
         for batch in batches:
             hashes, ids, ths, positions = [], [], [], []
             for doc_id, text, th in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if doc_id is None:
-                    continue
                 for pos, line in enumerate((text or "").encode().split(b"\n")):
                     key = line_key(line)
                     if min_key <= 1 and key or min_key > 1 and len(key.decode()) >= min_key or min_key <= 0:
@@ -62,7 +61,7 @@ def _stream(least: int):
     """Runs of equal hashes in sorted rows. Inner runs of fewer than `least` documents are whole and go unsaid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None  # h1, h2, docs, lines, first doc, th, pos, last doc, last th
+        held: list | None = None  # h1, h2, docs, lines, first doc, th, pos, last doc
         first = True
 
         def emit(rows: list) -> pa.RecordBatch:
@@ -73,21 +72,21 @@ def _stream(least: int):
                 continue
             h1, h2, doc, th, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             new_key = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-            new_doc = new_key | np.r_[True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]
+            new_doc = new_key | np.r_[True, doc[1:] != doc[:-1]]
             starts = np.flatnonzero(new_key)
             docs, sizes = np.add.reduceat(new_doc.astype(np.int64), starts), np.diff(np.r_[starts, len(h1)])
             ends = np.r_[starts[1:], len(h1)] - 1
             out = []
             for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                 if held and held[0] == h1[s] and held[1] == h2[s]:
-                    held[2] += int(docs[k]) - (held[7] == doc[s] and held[8] == th[s])
+                    held[2] += int(docs[k]) - (held[7] == doc[s])
                     held[3] += int(sizes[k])
-                    held[7:] = [doc[e], th[e]]
+                    held[7] = doc[e]
                     continue
                 if held and (first or held[2] >= least):
                     out.append(held[:7])
                     first = False
-                held = [int(h1[s]), int(h2[s]), int(docs[k]), int(sizes[k]), int(doc[s]), int(th[s]), int(pos[s]), doc[e], th[e]]
+                held = [int(h1[s]), int(h2[s]), int(docs[k]), int(sizes[k]), int(doc[s]), int(th[s]), int(pos[s]), doc[e]]
             if out:
                 yield emit(out)
         if held:
@@ -118,7 +117,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_key: int = 1, keep: str
     python_batches(spark)
     texts = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("th"))
     lines = stored(texts.mapInArrow(_lines(min_key), LINES), "lines")
-    ranged = lines.repartitionByRange("h1", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "th", "pos")
+    ranged = lines.where(F.col("doc_id").isNotNull()).repartitionByRange("h1", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "th", "pos")
     runs = ranged.mapInArrow(_stream(min_docs), RUNS)
     frequent = (
         runs.groupBy("h1", "h2")
@@ -127,11 +126,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_key: int = 1, keep: str
     )
     hit = lines.join(frequent, ["h1", "h2"])
     if keep == "first":
-        hit = hit.where(F.struct("doc_id", "th", "pos") != F.struct(F.col("first.first_doc"), F.col("first.first_th"), F.col("first.first_pos")))
+        hit = hit.where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.struct(F.col("first.first_doc").alias("doc_id"), F.col("first.first_th").alias("th"), F.col("first.first_pos").alias("pos"))))
     dropped = hit.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("dropped"))
     sizes = texts.select("doc_id", "th", (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    sizes = sizes.groupBy(F.col("doc_id").alias("id_"), F.col("th").alias("th_")).agg(F.max("n_lines").cast("int").alias("n_lines"))
+    same = dropped["doc_id"].eqNullSafe(F.col("id_")) & (dropped["th"] == F.col("th_"))
     return (
-        dropped.join(sizes.groupBy("doc_id", "th").agg(F.max("n_lines").cast("int").alias("n_lines")), ["doc_id", "th"])
+        dropped.join(sizes, same)
         .select("doc_id", "th", "n_lines", "dropped")
         .mapInArrow(_bitmap, "doc_id bigint, th bigint, n_lines int, n_dropped int, keep binary")
     )
@@ -150,7 +151,7 @@ def kept_text(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with a column keep_ (null: all lines stay)."""
     side = bitmaps.select(F.col("doc_id").alias("id_"), F.col("th").alias("th_"), F.col("keep").alias("keep_"))
-    return docs.join(side, (docs["doc_id"].cast("bigint") == F.col("id_")) & (F.xxhash64(docs["text"]) == F.col("th_")), "left").drop("id_", "th_")
+    return docs.join(side, docs["doc_id"].cast("bigint").eqNullSafe(F.col("id_")) & (F.xxhash64(docs["text"]) == F.col("th_")), "left").drop("id_", "th_")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
