@@ -5,7 +5,8 @@ adjacent pairs. The lowest pops first, an entry whose pair has changed since is
 skipped, a merge links the neighbours anew and pushes the two pairs that it makes. Decoding
 concatenates the vocabulary's byte strings.
 
-Each Python worker keeps the pre-tokens that it has seen in a dictionary of a fixed largest size.
+Each Python worker keeps the short pre-tokens that it has seen in a dictionary of a fixed largest
+size. Files of another make (normalisers, other ways of cutting, dropout, fallbacks) are refused.
 
 Defined cases: a null text encodes as the empty text: no tokens, decoded "". Added tokens of the
 file (their strings in a text) become their own ids, as in the library's plain encode. Rows are
@@ -28,8 +29,8 @@ from .common import python_batches, table
 
 #: Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens that a worker keeps at most.
-KEPT = 400_000
+#: Pre-tokens that a worker keeps at most, and the longest that it keeps.
+KEPT, SHORT = 400_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -46,16 +47,36 @@ class _Memo(dict):
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= SHORT:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
+def _refuse(spec: dict) -> None:
+    """Only byte-level BPE that cuts texts by PATTERN is encoded as the library does."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    wrong = [k for k, v in plain.items() if (model.get(k) or None) != (v or None)]
+    if spec.get("normalizer"):
+        wrong.append("normalizer")
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if model.get("type", "BPE") != "BPE" or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        wrong.append("model or decoder")
+    if any(t.get(k) for t in spec.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        wrong.append("added_tokens")
+    if wrong:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(wrong)}")
+
+
 class Codec:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse(spec)
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         vocab = spec["model"]["vocab"]
