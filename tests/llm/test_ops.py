@@ -37,24 +37,26 @@ def brute_lines(rows, least):
     for i, t in rows:
         if i is not None:
             for x in (t or "").split("\n"):
-                seen[key(x)].add((i, t))
+                seen[key(x)].add(i)
     gone = {k for k, v in seen.items() if k and len(v) >= least}
     out = []
     for i, t in rows:
         ls = (t or "").split("\n")
-        kept = [x for x in ls if i is None or key(x) not in gone]
+        kept = [x for x in ls if key(x) not in gone]
         out.append((i, len(ls), len(ls) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
 
 
 def test_line_dedup(spark):
-    df = docs_of(spark)
-    for least in (1, 2):
+    texts = [*TEXTS, (9, "twice"), (9, "twice\nx"), (10, "y\ntwice"), (None, "no id")]  # one id with two texts
+    df = docs_of(spark, texts)
+    for least in (1, 2, 3):
         both = line_dedup.with_bitmaps(df, line_dedup.keep_bitmaps(df, least, 1, "none")).collect()
         got = sorted(((r.doc_id, *(lambda k: (k[1], k[2], k[0]))(line_dedup.kept_text(r.text, r.keep_))) for r in both), key=str)
-        assert got == brute_lines(TEXTS, least)
+        assert got == brute_lines(texts, least)
+    df = docs_of(spark)
     first = {r.doc_id: r.text for r in line_dedup.drop_lines(clashing(df), 2, "first").collect()}
-    assert first[4] == "The same line\nAnother line here" and first[5] == "x" and first[None] == "the same line\nno id"
+    assert first[4] == "The same line\nAnother line here" and first[5] == "x" and first[None] == "no id"
     assert line_dedup.drop_lines(clashing(df), 2).columns == clashing(df).columns
     assert line_dedup.drop_lines(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
@@ -268,8 +270,13 @@ def test_bpe(spark):
         ids = lib.encode(texts[r.doc_id] if r.doc_id is not None else "", add_special_tokens=False).ids
         assert r.token_ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded == lib.decode(ids, skip_special_tokens=False)
-    memo = bpe._Memo(str, most=3)
-    assert [memo[i] for i in range(10)] == list(map(str, range(10))) and len(memo) <= 3
+    memo = bpe._Memo(str.upper, most=3)
+    assert [memo[c] for c in "abcdefgh"] == list("ABCDEFGH") and len(memo) <= 3
+    assert memo["x" * 1000] == "X" * 1000 and "x" * 1000 not in memo
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
 
 
 # 6
