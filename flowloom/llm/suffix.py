@@ -32,18 +32,17 @@ id stays null; an empty table gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Files, new_folder, python_batches, remove, stored, table
+from .rounds import STATE, Ask, dealt, dump, exchange, load
 
 WINDOW, GRAM = 96, 12
 #: Bytes of text in a block, about; keys of a table partition, about; keys that set the ranges' bounds; keys that a block asks of a partition, at least.
@@ -135,80 +134,10 @@ def anchors(b: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
     return x[keep], last[keep]
 
 
-def dump(x: object) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, 5))
+# ---- answers of the rounds
 
 
-def load(data: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-
-
-# ---- rounds: blocks ask, partitions answer
-
-Ask = Callable[[dict], list[tuple[int, np.ndarray, tuple]]]
-
-
-def dealt(part: np.ndarray, *columns: np.ndarray) -> list[tuple[int, np.ndarray, tuple]]:
-    """Rows by partition: partition, their places, their columns."""
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])[1:] if len(order) else []
-    return [(int(part[s[0]]), s, tuple(c[s] for c in columns)) for s in np.split(order, cuts) if len(s)]
-
-
-def exchange(state: DataFrame, ask: Ask, answer: Callable[[list[tuple]], tuple[list, int]], parts: int, apply: Callable[[dict, dict, dict], Iterator], schema: str, blocks: int) -> tuple[DataFrame, str]:
-    """One round. apply(block, answers by partition, number of keys before a partition) yields record batches of schema.
-
-    Returns the rows and the folder of the answers. Blocks are dealt to as many tasks: their rows are small, their work is not.
-    """
-    names, spark = [x.split()[0] for x in schema.split(", ")], state.sparkSession
-
-    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                rows = [(p, block, dump(columns)) for p, _, columns in ask(load(data))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["part", "block", "data"])
-
-    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(part: int, blocks: list[str], got: list[tuple]) -> pa.RecordBatch:
-            out, size = answer(got)
-            n = len(blocks)
-            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(blocks), pa.array([dump(x) for x in out], pa.binary()), pa.array([size] * n, pa.int64())], names=["part", "block", "data", "size"])
-
-        at, blocks, got = None, [], []
-        for batch in batches:
-            for part, block, data in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "data")), strict=True):
-                if part != at:
-                    if got:
-                        yield close(at, blocks, got)
-                    at, blocks, got = part, [], []
-                blocks.append(block)
-                got.append(load(data))
-        if got:
-            yield close(at, blocks, got)
-
-    asked = state.mapInArrow(asks, "part int, block string, data binary").repartition(parts, "part").sortWithinPartitions("part", "block")
-    path = new_folder(spark, "answers")
-    answered = stored(asked.mapInArrow(answers, "part int, block string, data binary, size bigint"), "answers", path)
-    sizes = sorted((r.part, r.size) for r in answered.groupBy("part").agg(F.max("size").alias("size")).collect())  # one row a partition
-    before = dict(zip([p for p, _ in sizes], np.cumsum([0, *(s for _, s in sizes)]).tolist(), strict=False))
-    before[-1] = sum(s for _, s in sizes)
-    gathered = answered.repartition(max(1, blocks), "block").groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
-
-    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, data, said in zip(*(batch.column(c).to_pylist() for c in ("block", "data", "answers")), strict=True):
-                for columns in apply(load(data), {a["part"]: load(a["data"]) for a in said or ()}, before):
-                    if names == ["block", "data"]:
-                        columns = [[block], [dump(columns)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES[schema], strict=True)], names=names)
-
-    return state.repartition(max(1, blocks), "block").join(gathered, "block", "left").select("block", "data", "answers").mapInArrow(applied, schema), path
-
-
-STATE = "block string, data binary"
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-TYPES = {STATE: (pa.string(), pa.binary()), RESULT: (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())}
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
 def returned(asked: list, said: dict, kind: object, before: dict | None = None) -> np.ndarray:
@@ -230,25 +159,25 @@ def _split(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     return np.split(x, np.cumsum(sizes)[:-1])
 
 
-def answer_names(got: list[tuple]) -> tuple[list, int]:
+def answer_names(got: list[tuple]) -> tuple[list, list[int]]:
     """Rank from 1 among the partition's keys that occur twice or more; 0 for the others."""
     _, which, total, sizes = _tally(got)
     rank = np.where(total > 1, np.cumsum(total > 1), 0)
-    return _split(rank[which].astype(np.uint32), sizes), int((total > 1).sum())
+    return _split(rank[which].astype(np.uint32), sizes), [int((total > 1).sum())]
 
 
-def answer_ranks(got: list[tuple]) -> tuple[list, int]:
+def answer_ranks(got: list[tuple]) -> tuple[list, list[int]]:
     keys, which, _, sizes = _tally(got)
-    return _split((which + 1).astype(np.uint32), sizes), len(keys)
+    return _split((which + 1).astype(np.uint32), sizes), [len(keys)]
 
 
-def answer_owners(got: list[tuple]) -> tuple[list, int]:
+def answer_owners(got: list[tuple]) -> tuple[list, list[int]]:
     """0: occurs once; 2: occurs again, and this block asked first; 1: occurs again, another block asked first."""
     keys, which, total, sizes = _tally(got)
     first = np.full(len(keys), len(got))
     np.minimum.at(first, which, np.repeat(np.arange(len(got)), sizes))
     code = np.where(total[which] > 1, np.where(first[which] == np.repeat(np.arange(len(got)), sizes), 2, 1), 0)
-    return _split(code.astype(np.uint8), sizes), len(keys)
+    return _split(code.astype(np.uint8), sizes), [len(keys)]
 
 
 # ---- keys as byte strings, which sort as their numbers do
@@ -380,7 +309,7 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
     def round_(name: str, ask: Ask, answer: Callable, parts: int, apply: Callable) -> DataFrame:
         """The blocks after a round; what it read is deleted."""
         nonlocal path
-        out, answers = exchange(state, ask, answer, parts, apply, STATE, blocks)
+        out, answers, _ = exchange(state, ask, answer, parts, apply, STATE, blocks)
         old, path = path, new_folder(spark, name)
         out = stored(out, name, path)
         remove(spark, old)
@@ -491,12 +420,12 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         out[1::3], out[2::3] = r[:ones], r[ones + 1 :]
         return out
 
-    def answer_merged(got: list[tuple]) -> tuple[list, int]:
+    def answer_merged(got: list[tuple]) -> tuple[list, list[int]]:
         keys, which, _, sizes = _tally(got)
         order = merge_order(numbers(keys, wide))
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(1, len(keys) + 1)
-        return _split(rank[which].astype(np.uint32), sizes), len(keys)
+        return _split(rank[which].astype(np.uint32), sizes), [len(keys)]
 
     head = 16 if wide else 8
 
@@ -533,7 +462,7 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         keys, n = np.unique(group_keys(b), return_counts=True)
         return dealt(np.searchsorted(cuts, _prefix(keys, head), "right"), keys, n)
 
-    def answer_groups(got: list[tuple]) -> tuple[list, int]:
+    def answer_groups(got: list[tuple]) -> tuple[list, list[int]]:
         keys, which, n, sizes = _tally(got)
         raw = np.frombuffer(keys.tobytes(), np.uint8).reshape(len(keys), keys.dtype.itemsize)
         rows = numbers(np.ascontiguousarray(raw[:, :-8]).view(f"S{raw.shape[1] - 8}").ravel(), wide)
@@ -542,7 +471,7 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         group = np.empty(len(keys), np.int64)
         group[order] = np.cumsum(np.r_[True, prefix[order][1:] != prefix[order][:-1]])
         alone = np.bincount(group, n)[group] < 2
-        return _split(np.where(alone, 0, group)[which].astype(np.uint32), sizes), int(group.max(initial=0))
+        return _split(np.where(alone, 0, group)[which].astype(np.uint32), sizes), [int(group.max(initial=0))]
 
     def apply_groups(b: dict, said: dict, before: dict) -> Iterator[dict]:
         keys = group_keys(b)
@@ -592,9 +521,9 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         keys, _, which = distinct(strings(b)[0])
         return dealt(shares(keys, tables), keys, np.bincount(which, minlength=len(keys)))
 
-    def answer_strings(got: list[tuple]) -> tuple[list, int]:
+    def answer_strings(got: list[tuple]) -> tuple[list, list[int]]:
         keys, which, total, sizes = _tally(got)
-        return [np.packbits(x) for x in _split(total[which] > 1, sizes)], len(keys)
+        return [np.packbits(x) for x in _split(total[which] > 1, sizes)], [len(keys)]
 
     def apply_strings(b: dict, said: dict, before: dict) -> Iterator[list]:
         keys, doc, at = strings(b)
