@@ -21,7 +21,7 @@ counts; empty tables give an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -72,16 +72,12 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, containmen
     if not classes:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_shingles bigint, n_found bigint, containment double")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    widths = sorted({w for c in classes for w in c.widths})
-    hashed = texts.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hs")).select("doc_id", F.size("hs").alias("n_words"), *(hashes(F.col("hs"), w).alias(f"h{w}") for w in widths))
-
-    def within(c: Row, w: int) -> Column:
-        """The hashes of a document's runs of w words that class c is to be asked of."""
-        near = F.filter(f"h{w}", lambda h: (h <= c.reach) & (F.col("n_words") >= c.length))
-        return F.transform(near, lambda h: F.struct(F.lit(c.size_class).alias("size_class"), h.alias("h")))
-
-    looked_up = F.concat(*(within(c, w) for c in classes for w in sorted(c.widths)))
-    seen = hashed.select("doc_id", "n_words", F.explode(F.array_distinct(looked_up)).alias("x")).select("doc_id", "n_words", "x.size_class", "x.h")
+    # one row for a shingle of a document and a class that it may belong to; only widths that items have, five unless an item is shorter
+    each = F.concat(*(hashes(F.col("hs"), w) for w in sorted({w for c in classes for w in c.widths})))
+    hashed = texts.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
+    shingles = hashed.select("doc_id", F.size("hs").alias("n_words"), F.explode(F.array_distinct(each)).alias("h")).where(F.col("h") <= max(c.reach for c in classes))
+    among = F.array(*(F.when((F.col("h") <= c.reach) & (F.col("n_words") >= c.length), c.size_class) for c in classes))
+    seen = shingles.select("doc_id", "n_words", "h", F.explode(among).alias("size_class")).where("size_class IS NOT NULL")
     sketch = items.select("item_no", "n", "least", "size_class", F.explode("sketch").alias("h"))
     near = F.broadcast(sketch) if sum(c.rows for c in classes) <= BROADCAST_ROWS else sketch
     enough = F.col("n_words") >= F.floor(F.col("n") * containment)
