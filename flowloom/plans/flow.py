@@ -53,11 +53,22 @@ def horizon(df: DataFrame) -> DataFrame:
 
 def months(df: DataFrame) -> DataFrame:
     m = df.agg(F.min("dt_received").alias("a"), F.max("dt_received").alias("b"))
-    return m.select(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH"))).alias("m")).select(F.last_day("m").alias("month_end"))
+    return m.select(
+        F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH"))).alias("m")
+    ).select(F.last_day("m").alias("month_end"))
+
+
+def aged(df: DataFrame) -> DataFrame:
+    return df.withColumn("age_years", (20 + F.col("case_id") % 60).cast("int"))
 
 
 def snapshots(df: DataFrame) -> DataFrame:
-    return op.month_end_snapshots(df.withColumn("age_years", (20 + F.col("case_id") % 60).cast("int")), months(df), ["age_years"])
+    return op.month_end_snapshots(aged(df), months(df), ["age_years"])
+
+
+def flows(spark: SparkSession, d: str, back: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    c = cases(spark, d)
+    return op.case_flow(aged(c), months(c), back, by)
 
 
 @query("t1_date_horizon", "SELECT min(dt_received) AS start, max(dt_signoff) + 3 AS \"end\" FROM cases")
@@ -129,7 +140,9 @@ def t7(spark: SparkSession, d: str) -> DataFrame:
 )
 def t8(spark: SparkSession, d: str) -> DataFrame:
     c = cases(spark, d)
-    return op.panel_summary(op.daily_panel(c, horizon(c)), ["staff_id", "season"]).withColumns({"mean_wip": F.round("mean_wip", 6), "mean_backlog": F.round("mean_backlog", 6)})
+    return op.panel_summary(op.daily_panel(c, horizon(c)), ["staff_id", "season"]).withColumns(
+        {"mean_wip": F.round("mean_wip", 6), "mean_backlog": F.round("mean_backlog", 6)}
+    )
 
 
 @query("j6_active_at", f"WITH {SNAPS} SELECT month_end AS date, count(*) AS active FROM snaps GROUP BY 1")
@@ -145,20 +158,21 @@ def s9(spark: SparkSession, d: str) -> DataFrame:
 
 @query("o2_monthly_flow", f"WITH {SNAPS}, {flow_sql(1)} SELECT * FROM f")
 def o2(spark: SparkSession, d: str) -> DataFrame:
-    return op.flow(snapshots(cases(spark, d)), 1)
+    return flows(spark, d)
 
 
 @query("o3_yoy_flow", f"WITH {SNAPS}, {flow_sql(12)} SELECT * FROM f")
 def o3(spark: SparkSession, d: str) -> DataFrame:
-    return op.flow(snapshots(cases(spark, d)), 12)
+    return flows(spark, d, 12)
 
 
 @query(
     "t9_age_rates",
-    f"WITH {SNAPS}, {flow_sql(1, 'age_years')} SELECT *, round(exited / nullif(active, 0), 6) AS termination_rate, round(1 - exited / nullif(active, 0), 6) AS retention_rate FROM f",
+    f"WITH {SNAPS}, {flow_sql(1, 'age_years')} SELECT *, round(exited / nullif(active, 0), 6) AS termination_rate, "
+    "round(1 - exited / nullif(active, 0), 6) AS retention_rate FROM f",
 )
 def t9(spark: SparkSession, d: str) -> DataFrame:
-    r = op.age_rates(snapshots(cases(spark, d)))
+    r = op.age_rates(flows(spark, d, 1, ("age_years",)))
     return r.withColumns({c: F.round(c, 6) for c in ("termination_rate", "retention_rate")})
 
 
@@ -171,12 +185,14 @@ r AS (SELECT *, floor(quota) AS base, row_number() OVER (PARTITION BY team ORDER
 SELECT team, age, CAST(n + base + (rk <= lost - sum(base) OVER (PARTITION BY team))::INT AS BIGINT) AS n FROM r""",
 )
 def t10(spark: SparkSession, d: str) -> DataFrame:
-    a = cases(spark, d).withColumn("age", F.when(F.col("case_id") % 11 != 0, (20 + F.col("case_id") % 60).cast("int"))).groupBy("team", "age").agg(F.count("*").alias("n"))
+    a = cases(spark, d).withColumn(
+        "age", F.when(F.col("case_id") % 11 != 0, (20 + F.col("case_id") % 60).cast("int"))
+    ).groupBy("team", "age").agg(F.count("*").alias("n"))
     return op.redistribute_unknown(a, ["team"], "age", "n")
 
 
 def forecast(spark: SparkSession, d: str, scale: float = 1.0) -> DataFrame:
-    r = op.age_rates(snapshots(cases(spark, d))).select("month_end", "age_years", "active", "entered", "exited")
+    r = flows(spark, d, 1, ("age_years",))
     return op.stop_flow(op.flow_scenario(r, scale) if scale != 1 else r, 12)
 
 
@@ -196,9 +212,13 @@ def t11(spark: SparkSession, d: str) -> DataFrame:
     return forecast(spark, d)
 
 
-@query("t12_count_band", f"WITH {SNAPS}, {flow_sql(1)} SELECT *, round(greatest(active - 1.96 * sqrt(1.5 * active), 0), 6) AS low, round(active + 1.96 * sqrt(1.5 * active), 6) AS high FROM f")
+@query(
+    "t12_count_band",
+    f"WITH {SNAPS}, {flow_sql(1)} SELECT *, round(greatest(active - 1.96 * sqrt(1.5 * active), 0), 6) AS low, "
+    "round(active + 1.96 * sqrt(1.5 * active), 6) AS high FROM f",
+)
 def t12(spark: SparkSession, d: str) -> DataFrame:
-    b = op.count_band(op.flow(snapshots(cases(spark, d)), 1), "active", 1.5)
+    b = op.count_band(flows(spark, d), "active", 1.5)
     return b.withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
@@ -207,6 +227,16 @@ def t13(spark: SparkSession, d: str) -> DataFrame:
     return forecast(spark, d, 0.8).groupBy("month_end").agg(F.sum("forecast").alias("total"))
 
 
+@query(
+    "t14_receipts_ratio",
+    """SELECT coalesce(a.year, b.year)::INT AS year, coalesce(receipts, 0) AS receipts, coalesce(demand, 0) AS demand, round(receipts / nullif(demand, 0), 6) AS ratio
+FROM (SELECT year(dt_received) AS year, count(*) AS receipts FROM cases GROUP BY 1) a FULL JOIN (SELECT year(dt_close) AS year, count(*) AS demand FROM cases WHERE dt_close IS NOT NULL GROUP BY 1) b ON a.year = b.year""",
+)
+def t14_ratio(spark: SparkSession, d: str) -> DataFrame:
+    c = cases(spark, d)
+    return op.receipts_ratio(c, "dt_received", c, "dt_close").withColumn("ratio", F.round("ratio", 6))
+
+
 @query("t14_age_demand")
 def t14(spark: SparkSession, d: str) -> DataFrame:
     c = cases(spark, d).withColumn("age", (20 + F.col("case_id") % 60).cast("int"))
