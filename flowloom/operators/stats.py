@@ -73,7 +73,9 @@ def p_normal(z: float) -> float:
 
 
 def _row(df: DataFrame, values: dict) -> DataFrame:
-    return df.sparkSession.createDataFrame([tuple(None if v is None or v != v else float(v) for v in values.values())], ", ".join(f"`{k}` double" for k in values))
+    return df.sparkSession.createDataFrame(
+        [tuple(None if v is None or v != v else float(v) for v in values.values())], ", ".join(f"`{k}` double" for k in values)
+    )
 
 
 # ---- association
@@ -82,22 +84,43 @@ def _row(df: DataFrame, values: dict) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """a, b, r for each pair a < b by position: pairwise complete, one aggregate; null for constants."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    row = df.agg(*(guarded_corr(F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
-    return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
+    row = df.agg(
+        *(
+            guarded_corr(F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))).alias(f"r{k}")
+            for k, (a, b) in enumerate(pairs)
+        )
+    )
+    return row.select(
+        F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))).alias("x")
+    ).select("x.*")
+
+
+def running(n: DataFrame, v: str, cols: Sequence[str], descending: bool = False, parts: int = 64) -> DataFrame:
+    """n (one row for each value v, a number or a day) with to_c, the sum of c up to v, and all_c, its total, for each of cols.
+
+    Values are cut into range parts at quantiles of v, which are literals of the plan: a part depends on
+    the value alone, however the rows are dealt or computed anew. A part's own running sum and the
+    sums of the parts before it (one row a part) make the total; no task sorts all values.
+    """
+    cuts = sorted(set(n.agg(F.percentile_approx(v, [k / parts for k in range(1, parts)]).alias("q")).first().q or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(v))) if cuts else F.lit(0)
+    dealt = n.withColumn("part_", -part if descending else part)
+    w = Window.partitionBy("part_").orderBy(F.desc(v) if descending else v)
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("part_").agg(*(F.sum(c).alias(f"sum_{c}") for c in cols))
+    sizes = sizes.select(
+        "part_",
+        *(F.coalesce(F.sum(f"sum_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in cols),
+        *(F.sum(f"sum_{c}").over(Window.partitionBy()).alias(f"all_{c}") for c in cols),
+    )
+    both = dealt.withColumns({f"to_{c}": F.sum(c).over(w) for c in cols}).join(F.broadcast(sizes), "part_")
+    return both.withColumns({f"to_{c}": F.col(f"to_{c}") + F.col(f"before_{c}") for c in cols}).drop("part_", *(f"before_{c}" for c in cols))
 
 
 def average_ranks(df: DataFrame, c: str) -> DataFrame:
-    """v_, rank_: the average rank of each distinct value.
-
-    Counts by value first; ranks are prefix sums over distinct values, by range parts of the value:
-    a part's own running sum plus the rows before the part (one number a part).
-    """
+    """v_, rank_: the average rank of each distinct value, from counts by value."""
     n = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v_")).agg(F.count("*").alias("n_"))
-    parts = n.repartitionByRange("v_").withColumn("p_", F.spark_partition_id())
-    inner = parts.withColumn("to_", F.sum("n_").over(Window.partitionBy("p_").orderBy("v_")))
-    sizes = parts.groupBy("p_").agg(F.sum("n_").alias("s_"))
-    before = sizes.withColumn("b_", F.sum("s_").over(Window.orderBy("p_")) - F.col("s_"))  # one row a part
-    return inner.join(F.broadcast(before.select("p_", "b_")), "p_").select("v_", (F.col("b_") + F.col("to_") - (F.col("n_") - 1) / 2).alias("rank_"))
+    return running(n, "v_", ["n_"]).select("v_", (F.col("to_n_") - (F.col("n_") - 1) / 2).alias("rank_"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -116,13 +139,21 @@ def contingency(df: DataFrame, x: str, y: str) -> DataFrame:
     n = df.dropna(subset=[x, y]).groupBy(x, y).agg(F.count("*").alias("n"))
     rows, cols = n.groupBy(x).agg(F.sum("n").alias("row")), n.groupBy(y).agg(F.sum("n").alias("col"))
     total = n.agg(F.sum("n").alias("total"))
-    return rows.crossJoin(cols).join(n, [x, y], "left").fillna({"n": 0}).crossJoin(F.broadcast(total)).withColumn("expected", F.col("row") * F.col("col") / F.col("total"))
+    return rows.crossJoin(cols).join(n, [x, y], "left").fillna({"n": 0}).crossJoin(F.broadcast(total)).withColumn(
+        "expected", F.col("row") * F.col("col") / F.col("total")
+    )
 
 
 def _chi2(df: DataFrame, x: str, y: str, yates: bool) -> DataFrame:
     c = contingency(df, x, y)
     gap = F.abs(F.col("n") - F.col("expected"))
-    cells = c.agg(F.count_distinct(x).alias("r"), F.count_distinct(y).alias("k"), F.max("total").alias("total"), F.sum(gap * gap / F.col("expected")).alias("plain"), F.sum(F.pow(gap - F.least(F.lit(0.5), gap), 2) / F.col("expected")).alias("corrected"))
+    cells = c.agg(
+        F.count_distinct(x).alias("r"),
+        F.count_distinct(y).alias("k"),
+        F.max("total").alias("total"),
+        F.sum(gap * gap / F.col("expected")).alias("plain"),
+        F.sum(F.pow(gap - F.least(F.lit(0.5), gap), 2) / F.col("expected")).alias("corrected"),
+    )
     stat = F.when((F.col("r") == 2) & (F.col("k") == 2) & F.lit(yates), F.col("corrected")).otherwise(F.col("plain"))
     return cells.select(stat.alias("chi2"), ((F.col("r") - 1) * (F.col("k") - 1)).alias("dof"), "r", "k", "total")
 
@@ -147,30 +178,37 @@ def cramers_v(df: DataFrame, x: str, y: str, corrected: bool = True) -> DataFram
 
 def association_rank(df: DataFrame, target: str, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
     """feature, kind, strength: absolute point-biserial correlation or V with a 0/1 target."""
-    out = df.agg(*(F.abs(guarded_corr(F.when(F.col(target).isNotNull(), F.col(c).cast("double")), F.when(F.col(c).isNotNull(), F.col(target).cast("double")))).alias(c) for c in numbers))
-    out = out.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit("number").alias("kind"), F.col(c).alias("strength")) for c in numbers))).alias("x")).select("x.*")
+    out = df.agg(
+        *(
+            F.abs(guarded_corr(F.when(F.col(target).isNotNull(), F.col(c).cast("double")), F.when(F.col(c).isNotNull(), F.col(target).cast("double")))).alias(c)
+            for c in numbers
+        )
+    )
+    out = out.select(
+        F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit("number").alias("kind"), F.col(c).alias("strength")) for c in numbers))).alias("x")
+    ).select("x.*")
     for c in categories:
         out = out.unionByName(cramers_v(df, c, target).select(F.lit(c).alias("feature"), F.lit("category").alias("kind"), F.col("v").alias("strength")))
     return out
 
 
 def ks_2samp(df: DataFrame, c: str, group: str) -> DataFrame:
-    """d, n1, n2: the largest distance of two distribution functions; group holds 0 and 1.
-
-    Counts by value, then running sums over range parts as in average_ranks.
-    """
-    n = df.where(F.col(c).isNotNull() & F.col(group).isin(0, 1)).groupBy(F.col(c).alias("v")).agg(F.count(F.when(F.col(group) == 0, 1)).alias("a"), F.count(F.when(F.col(group) == 1, 1)).alias("b"))
-    parts = n.repartitionByRange("v").withColumn("p", F.spark_partition_id())
-    w = Window.partitionBy("p").orderBy("v")
-    inner = parts.select("p", F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b"))
-    sizes = parts.groupBy("p").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    before = sizes.select("p", (F.sum("sa").over(Window.orderBy("p")) - F.col("sa")).alias("ba"), (F.sum("sb").over(Window.orderBy("p")) - F.col("sb")).alias("bb"), F.sum("sa").over(Window.partitionBy()).alias("na"), F.sum("sb").over(Window.partitionBy()).alias("nb"))  # one row a part
-    return inner.join(F.broadcast(before), "p").agg(F.max(F.abs((F.col("a") + F.col("ba")) / F.col("na") - (F.col("b") + F.col("bb")) / F.col("nb"))).alias("d"), F.max("na").alias("n1"), F.max("nb").alias("n2"))
+    """d, n1, n2: the largest distance of two distribution functions, from counts by value; group holds 0 and 1."""
+    n = df.where(F.col(c).isNotNull() & F.col(group).isin(0, 1)).groupBy(F.col(c).alias("v")).agg(
+        F.count(F.when(F.col(group) == 0, 1)).alias("a"), F.count(F.when(F.col(group) == 1, 1)).alias("b")
+    )
+    apart = F.abs(F.col("to_a") / F.col("all_a") - F.col("to_b") / F.col("all_b"))
+    return running(n, "v", ["a", "b"]).agg(F.max(apart).alias("d"), F.max("all_a").alias("n1"), F.max("all_b").alias("n2"))
 
 
 def t_test(df: DataFrame, c: str, group: str) -> DataFrame:
     """t, dof, p with equal variances; group holds 0 and 1."""
-    m = {r[group]: r for r in df.where(F.col(c).isNotNull() & F.col(group).isin(0, 1)).groupBy(group).agg(F.count("*").alias("n"), F.avg(c).alias("m"), F.var_samp(c).alias("v")).collect()}
+    m = {
+        r[group]: r
+        for r in df.where(F.col(c).isNotNull() & F.col(group).isin(0, 1)).groupBy(group).agg(
+            F.count("*").alias("n"), F.avg(c).alias("m"), F.var_samp(c).alias("v")
+        ).collect()
+    }
     a, b = m[0], m[1]
     dof = a.n + b.n - 2
     pooled = ((a.n - 1) * (a.v or 0) + (b.n - 1) * (b.v or 0)) / dof
@@ -182,7 +220,11 @@ def rank_sum(df: DataFrame, c: str, group: str) -> DataFrame:
     """u, z, p of the two-sample rank sum, with average ranks and the tie correction."""
     d = df.where(F.col(c).isNotNull() & F.col(group).isin(0, 1)).select(c, group)
     ranks = average_ranks(d, c).select(F.col("v_").alias(c), "rank_")
-    s = d.join(ranks, c).agg(F.sum(F.when(F.col(group) == 0, F.col("rank_"))).alias("r0"), F.count(F.when(F.col(group) == 0, 1)).alias("n0"), F.count(F.when(F.col(group) == 1, 1)).alias("n1")).first()
+    s = d.join(ranks, c).agg(
+        F.sum(F.when(F.col(group) == 0, F.col("rank_"))).alias("r0"),
+        F.count(F.when(F.col(group) == 0, 1)).alias("n0"),
+        F.count(F.when(F.col(group) == 1, 1)).alias("n1"),
+    ).first()
     ties = d.groupBy(c).agg(F.count("*").alias("k")).agg(F.sum(F.pow("k", 3) - F.col("k")).alias("t")).first().t or 0.0
     n = s.n0 + s.n1
     u = s.r0 - s.n0 * (s.n0 + 1) / 2
@@ -245,7 +287,10 @@ def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     beta, rss, inv = solve(g)
     dof = n - len(beta)
     se = np.sqrt(np.clip(np.diag(inv) * rss / max(dof, 1), 0, None))
-    rows = [(t, float(b), float(s), float(b / s) if s else None, p_t(float(b / s), dof) if s else None) for t, b, s in zip(["const", *xs], beta, se, strict=True)]
+    rows = [
+        (t, float(b), float(s), float(b / s) if s else None, p_t(float(b / s), dof) if s else None)
+        for t, b, s in zip(["const", *xs], beta, se, strict=True)
+    ]
     return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, p double")
 
 
@@ -271,7 +316,10 @@ def iv_2sls(df: DataFrame, exposure: str, outcome: str, instrument: str) -> Data
     """effect: covariance of instrument and outcome over that of instrument and exposure, and the first stage's F."""
     d = df.dropna(subset=[exposure, outcome, instrument])
     r = F.corr(instrument, exposure)
-    return d.agg(F.try_divide(F.covar_samp(instrument, outcome), F.covar_samp(instrument, exposure)).alias("effect"), (F.pow(r, 2) / (1 - F.pow(r, 2)) * (F.count("*") - 2)).alias("first_stage_f"))
+    return d.agg(
+        F.try_divide(F.covar_samp(instrument, outcome), F.covar_samp(instrument, exposure)).alias("effect"),
+        (F.pow(r, 2) / (1 - F.pow(r, 2)) * (F.count("*") - 2)).alias("first_stage_f"),
+    )
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -300,21 +348,31 @@ def km_quantiles(df: DataFrame, duration: str, event: str, by: Sequence[str], qs
 
     Counts by group and time, then windows over times.
     """
-    d = df.where(F.col(duration).isNotNull()).withColumns({c: F.coalesce(c, F.lit("Unknown")) for c in by}).select(*by, F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"))
+    d = df.where(F.col(duration).isNotNull()).withColumns({c: F.coalesce(c, F.lit("Unknown")) for c in by}).select(
+        *by, F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e")
+    )
     n = d.groupBy(*by, "t").agg(F.count("*").alias("n"), F.sum("e").alias("d"))
     w = Window.partitionBy(*by)
     at_risk = F.sum("n").over(w.orderBy(F.desc("t")))
-    s = n.withColumn("risk_", at_risk).withColumn("s", F.product(1 - F.col("d") / F.col("risk_")).over(w.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
-    km = s.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("d").alias("events"), *(F.min(F.when(F.col("s") <= 1 - q + 1e-12, F.col("t"))).alias(f"k{int(q * 100)}") for q in qs))
+    s = n.withColumn("risk_", at_risk).withColumn(
+        "s", F.product(1 - F.col("d") / F.col("risk_")).over(w.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    )
+    km = s.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.sum("d").alias("events"), *(F.min(F.when(F.col("s") <= 1 - q + 1e-12, F.col("t"))).alias(f"k{int(q * 100)}") for q in qs)
+    )
     seen = d.where("e = 1").groupBy(*by).agg(*(F.percentile("t", q).alias(f"e{int(q * 100)}") for q in qs))
     out = km.join(seen, list(by), "left").where((F.col("n") >= least) | (F.col("events") > 0))
-    return out.select(*by, "n", "events", *(F.when(F.col("n") < least, F.col(f"e{int(q * 100)}")).otherwise(F.col(f"k{int(q * 100)}")).alias(f"q{int(q * 100)}") for q in qs))
+    return out.select(
+        *by, "n", "events", *(F.when(F.col("n") < least, F.col(f"e{int(q * 100)}")).otherwise(F.col(f"k{int(q * 100)}")).alias(f"q{int(q * 100)}") for q in qs)
+    )
 
 
 def change_point(df: DataFrame, period: str, n: str) -> DataFrame:
     """period, cost, posterior: for each split of a count series, Poisson cost of two rates, and its share of the likelihood (flat prior)."""
     w = Window.orderBy(period)  # one row a period
-    d = df.select(F.col(period).alias("period"), F.col(n).cast("double").alias("n")).withColumns({"k": F.row_number().over(w), "s": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy()), "m": F.count("*").over(Window.partitionBy())}).where("k < m")
+    d = df.select(F.col(period).alias("period"), F.col(n).cast("double").alias("n")).withColumns(
+        {"k": F.row_number().over(w), "s": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy()), "m": F.count("*").over(Window.partitionBy())}
+    ).where("k < m")
     term = lambda s, k: F.when(s > 0, s * F.log(s / k)).otherwise(0.0)
     d = d.withColumn("ll", term(F.col("s"), F.col("k")) + term(F.col("all") - F.col("s"), F.col("m") - F.col("k")))
     weight = F.exp(F.col("ll") - F.max("ll").over(Window.partitionBy()))
@@ -323,7 +381,12 @@ def change_point(df: DataFrame, period: str, n: str) -> DataFrame:
 
 def mean_shift(df: DataFrame, c: str, group: str) -> DataFrame:
     """shift, sd, p_above: normal posterior of the difference of two means under a flat prior; group holds 0 and 1."""
-    m = {r[group]: r for r in df.where(F.col(c).isNotNull() & F.col(group).isin(0, 1)).groupBy(group).agg(F.count("*").alias("n"), F.avg(c).alias("m"), F.var_samp(c).alias("v")).collect()}
+    m = {
+        r[group]: r
+        for r in df.where(F.col(c).isNotNull() & F.col(group).isin(0, 1)).groupBy(group).agg(
+            F.count("*").alias("n"), F.avg(c).alias("m"), F.var_samp(c).alias("v")
+        ).collect()
+    }
     shift, sd = m[1].m - m[0].m, math.sqrt(m[0].v / m[0].n + m[1].v / m[1].n)
     return _row(df, {"shift": shift, "sd": sd, "p_above": 0.5 * math.erfc(-shift / sd / math.sqrt(2))})
 
@@ -341,7 +404,9 @@ def decompose(df: DataFrame, order: str, c: str, period: int) -> DataFrame:
     d = d.withColumn("trend", F.when(F.count("x").over(span) == 2 * half + 1, trend)).withColumn("pos", F.col("k") % period)
     means = d.groupBy("pos").agg(F.avg(F.col("x") - F.col("trend")).alias("s"))
     means = means.withColumn("seasonal", F.col("s") - F.avg("s").over(Window.partitionBy()))
-    return d.join(F.broadcast(means.select("pos", "seasonal")), "pos").select(order, "x", "trend", "seasonal", (F.col("x") - F.col("trend") - F.col("seasonal")).alias("residual"))
+    return d.join(F.broadcast(means.select("pos", "seasonal")), "pos").select(
+        order, "x", "trend", "seasonal", (F.col("x") - F.col("trend") - F.col("seasonal")).alias("residual")
+    )
 
 
 def acf(df: DataFrame, order: str, c: str, k: int) -> DataFrame:
@@ -349,8 +414,12 @@ def acf(df: DataFrame, order: str, c: str, k: int) -> DataFrame:
     w = Window.orderBy(order)
     d = df.select(order, F.col(c).cast("double").alias("x")).withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy()))
     d = d.select("x", *(F.lag("x", i).over(w).alias(f"l{i}") for i in range(1, k + 1)))
-    row = d.agg(*(F.try_divide(F.sum(F.col("x") * F.col(f"l{i}")), F.sum(F.col("x") * F.col("x"))).alias(f"r{i}") for i in range(1, k + 1)), F.count("x").alias("n"))
-    return row.select("n", F.explode(F.array(*(F.struct(F.lit(i).alias("lag"), F.col(f"r{i}").alias("r")) for i in range(1, k + 1)))).alias("a")).select("a.lag", "a.r", "n")
+    row = d.agg(
+        *(F.try_divide(F.sum(F.col("x") * F.col(f"l{i}")), F.sum(F.col("x") * F.col("x"))).alias(f"r{i}") for i in range(1, k + 1)), F.count("x").alias("n")
+    )
+    return row.select(
+        "n", F.explode(F.array(*(F.struct(F.lit(i).alias("lag"), F.col(f"r{i}").alias("r")) for i in range(1, k + 1)))).alias("a")
+    ).select("a.lag", "a.r", "n")
 
 
 def ljung_box(df: DataFrame, order: str, c: str, k: int) -> DataFrame:
@@ -368,7 +437,9 @@ def adf_stat(df: DataFrame, order: str, c: str) -> DataFrame:
 
 
 def calibration(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
-    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.avg(p).alias("mean_predicted"), F.avg(y).alias("fraction_positive"), F.count("*").alias("n"))
+    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(
+        F.avg(p).alias("mean_predicted"), F.avg(y).alias("fraction_positive"), F.count("*").alias("n")
+    )
 
 
 def class_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5) -> DataFrame:
@@ -378,24 +449,47 @@ def class_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5) -> Data
     """
     d = df.select(F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p")).dropna()
     n = d.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    parts = n.repartitionByRange(F.desc("p")).withColumn("k", F.spark_partition_id())
-    w = Window.partitionBy("k").orderBy(F.desc("p"))
-    inner = parts.withColumns({"cp": F.sum("pos").over(w), "cn": F.sum("n").over(w)})
-    sizes = parts.groupBy("k").agg(F.sum("pos").alias("sp"), F.sum("n").alias("sn"))
-    before = sizes.select("k", (F.sum("sp").over(Window.orderBy("k")) - F.col("sp")).alias("bp"), (F.sum("sn").over(Window.orderBy("k")) - F.col("sn")).alias("bn"), F.sum("sp").over(Window.partitionBy()).alias("all_pos"), F.sum("sn").over(Window.partitionBy()).alias("all_n"))  # one row a part
-    c = inner.join(F.broadcast(before), "k").withColumns({"tp": F.col("cp") + F.col("bp"), "all": F.col("cn") + F.col("bn")})
+    c = running(n, "p", ["pos", "n"], descending=True)
     neg = F.col("n") - F.col("pos")
-    auc = F.try_divide(F.sum(neg * (F.col("tp") - F.col("pos") / 2)), F.max("all_pos") * (F.max("all_n") - F.max("all_pos")))
-    ap = F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.max("all_pos"))
+    auc = F.try_divide(F.sum(neg * (F.col("to_pos") - F.col("pos") / 2)), F.max("all_pos") * (F.max("all_n") - F.max("all_pos")))
+    ap = F.try_divide(F.sum(F.col("pos") * F.col("to_pos") / F.col("to_n")), F.max("all_pos"))
     hit = F.col("p") >= threshold
-    one = d.agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), *(F.count(F.when(a & b, 1)).alias(k) for k, a, b in (("tp", hit, F.col("y") == 1), ("fp", hit, F.col("y") == 0), ("fn", ~hit, F.col("y") == 1), ("tn", ~hit, F.col("y") == 0))))
+    one = d.agg(
+        F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"),
+        *(
+            F.count(F.when(a & b, 1)).alias(k)
+            for k, a, b in (("tp", hit, F.col("y") == 1), ("fp", hit, F.col("y") == 0), ("fn", ~hit, F.col("y") == 1), ("tn", ~hit, F.col("y") == 0))
+        ),
+    )
     prec, rec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
-    return c.agg(auc.alias("auc"), ap.alias("average_precision")).crossJoin(one).withColumns({"accuracy": F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), "precision": prec, "recall": rec, "f1": F.try_divide(2 * prec * rec, prec + rec)})
-
-
-def reg_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
-    """mae, mse, rmse, rmsle, mape, smape, r2, rse (relative squared error)."""
-    d = df.select(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")).dropna()
+    return c.agg(auc.alias("auc"), ap.alias("average_precision")).crossJoin(one).withColumns(
+        {
+            "accuracy": F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")),
+            "precision": prec,
+            "recall": rec,
+            "f1": F.try_divide(2 * prec * rec, prec + rec),
+        }
+    )
+
+
+def reg_metrics(df: DataFrame, y: str, p: str, naive: str | None = None, predictors: int = 1) -> DataFrame:
+    """mae, mse, rmse, rmsle, mape, smape, r2, rse (relative squared error), residual_se; with a naive forecast also mase."""
+    cols = {"y": y, "p": p} | ({"naive": naive} if naive else {})
+    d = df.select(*(F.col(c).cast("double").alias(n) for n, c in cols.items())).dropna()
     e = F.col("y") - F.col("p")
     sse, var = F.sum(e * e), F.var_pop("y") * F.count("*")
-    return d.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(F.pow(F.log1p(F.greatest("y", F.lit(0.0))) - F.log1p(F.greatest("p", F.lit(0.0))), 2))).alias("rmsle"), F.avg(F.try_divide(F.abs(e), F.abs("y"))).alias("mape"), F.avg(F.try_divide(2 * F.abs(e), F.abs("y") + F.abs("p"))).alias("smape"), (1 - F.try_divide(sse, var)).alias("r2"), F.try_divide(sse, var).alias("rse"))
+    logs = F.log1p(F.greatest("y", F.lit(0.0))) - F.log1p(F.greatest("p", F.lit(0.0)))
+    out = {
+        "mae": F.avg(F.abs(e)),
+        "mse": F.avg(e * e),
+        "rmse": F.sqrt(F.avg(e * e)),
+        "rmsle": F.sqrt(F.avg(logs * logs)),
+        "mape": F.avg(F.try_divide(F.abs(e), F.abs("y"))),
+        "smape": F.avg(F.try_divide(2 * F.abs(e), F.abs("y") + F.abs("p"))),
+        "r2": 1 - F.try_divide(sse, var),
+        "rse": F.try_divide(sse, var),
+        "residual_se": F.sqrt(F.try_divide(sse, F.count("*") - predictors - 1)),
+    }
+    if naive:
+        out["mase"] = F.try_divide(F.avg(F.abs(e)), F.avg(F.abs(F.col("y") - F.col("naive"))))
+    return d.agg(*(c.alias(n) for n, c in out.items()))
