@@ -11,14 +11,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Imputer, Interaction, OneHotEncoder, StandardScaler, StopWordsRemover, StringIndexer, Tokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, Imputer, Interaction, OneHotEncoder, StandardScaler, StopWordsRemover, StringIndexer, TargetEncoder, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import gram, solve
+from .stats import gammaincc, gram
 
 # ---- count models of the backlog
 
@@ -36,9 +36,17 @@ def _assembler(xs: Sequence[str]) -> VectorAssembler:
 def fit_backlog(df: DataFrame, y: str = "backlog", xs: Sequence[str] = ("staff", "t"), alpha: float = 1.0) -> tuple[str, np.ndarray]:
     """Log-link count model: Poisson, or negative binomial when (variance - mean) / mean exceeds 1. Weights, the constant first.
 
-    The negative binomial is fitted by reweighted least squares: each step is one aggregate.
+    The negative binomial is fitted by reweighted least squares: each step is one aggregate over the rows,
+    which are kept while it runs.
     """
-    d = df.select(F.col(y).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in xs)).dropna()
+    d = df.select(F.col(y).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in xs)).dropna().persist()
+    try:
+        return _fit_counts(d, xs, alpha)
+    finally:
+        d.unpersist()
+
+
+def _fit_counts(d: DataFrame, xs: Sequence[str], alpha: float) -> tuple[str, np.ndarray]:
     s = d.agg(F.avg("y").alias("m"), F.var_samp("y").alias("v")).first()
     if not s.m or ((s.v or 0) - s.m) / s.m <= 1:
         m = GeneralizedLinearRegression(family="poisson", link="log", labelCol="y").fit(_assembler(xs).transform(d))
@@ -52,7 +60,11 @@ def fit_backlog(df: DataFrame, y: str = "backlog", xs: Sequence[str] = ("staff",
             eta = eta + F.lit(float(b / k)) * F.col(c)
         mu = F.exp(eta)
         w = mu / (1 + alpha * mu)
-        work = d.select(*((F.sqrt(w) * F.col(c) / float(k)).alias(c) for c, k in zip(xs, scale[1:], strict=True)), F.sqrt(w).alias("one_"), (F.sqrt(w) * (eta + (F.col("y") - mu) / mu)).alias("y"))
+        work = d.select(
+            *((F.sqrt(w) * F.col(c) / float(k)).alias(c) for c, k in zip(xs, scale[1:], strict=True)),
+            F.sqrt(w).alias("one_"),
+            (F.sqrt(w) * (eta + (F.col("y") - mu) / mu)).alias("y"),
+        )
         cols = ["one_", *xs, "y"]
         row = work.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j)).first()
         g = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))])
@@ -81,25 +93,36 @@ def staffing_scenario(df: DataFrame, weights: np.ndarray, delta: float) -> DataF
 def forecast_glm(df: DataFrame, weights: np.ndarray, days: int) -> DataFrame:
     """date, predicted for the days ahead, with staff at its median."""
     last = df.agg(F.max("date").alias("d1"), F.max("t").alias("t1"), F.percentile("staff", 0.5).alias("staff"))
-    ahead = df.sparkSession.range(1, days + 1).crossJoin(F.broadcast(last)).select(F.date_add("d1", F.col("id").cast("int")).alias("date"), "staff", (F.col("t1") + F.col("id")).alias("t"))
+    ahead = df.sparkSession.range(1, days + 1).crossJoin(F.broadcast(last)).select(
+        F.date_add("d1", F.col("id").cast("int")).alias("date"), "staff", (F.col("t1") + F.col("id")).alias("t")
+    )
     return predict_backlog(ahead, weights).select("date", "predicted")
 
 
 # ---- features and classifiers
 
 
-def preprocessor(numbers: Sequence[str], categories: Sequence[str], interactions: bool = True) -> Pipeline:
-    """Median imputation, scaling, pairwise products, one-hot without the last level."""
-    stages = [Imputer(strategy="median", inputCols=list(numbers), outputCols=[f"{c}_i" for c in numbers]), VectorAssembler(inputCols=[f"{c}_i" for c in numbers], outputCol="n_"), StandardScaler(inputCol="n_", outputCol="numbers_", withMean=True)]
+def preprocessor(numbers: Sequence[str], categories: Sequence[str], interactions: bool = True, high: Sequence[str] = (), y: str | None = None) -> Pipeline:
+    """Median imputation, scaling, pairwise products, one-hot without the last level; columns of many levels get smoothed target means of y (0/1)."""
+    stages = [
+        Imputer(strategy="median", inputCols=list(numbers), outputCols=[f"{c}_i" for c in numbers]),
+        VectorAssembler(inputCols=[f"{c}_i" for c in numbers], outputCol="n_"),
+        StandardScaler(inputCol="n_", outputCol="numbers_", withMean=True),
+    ]
     made = ["numbers_"]
     if interactions:
         for i, a in enumerate(numbers):
             for b in numbers[i + 1 :]:
                 stages.append(Interaction(inputCols=[f"{a}_i", f"{b}_i"], outputCol=f"{a}_x_{b}"))
                 made.append(f"{a}_x_{b}")
-    for c in categories:
-        stages += [StringIndexer(inputCol=c, outputCol=f"{c}_k", handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol=f"{c}_k", outputCol=f"{c}_h", dropLast=True)]
-        made.append(f"{c}_h")
+    for c in (*categories, *high):
+        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_k", handleInvalid="keep", stringOrderType="alphabetAsc"))
+        if c in high:
+            stages.append(TargetEncoder(inputCols=[f"{c}_k"], outputCols=[f"{c}_t"], labelCol=y, targetType="binary", smoothing=10.0, handleInvalid="keep"))
+            made.append(f"{c}_t")
+        else:
+            stages.append(OneHotEncoder(inputCol=f"{c}_k", outputCol=f"{c}_h", dropLast=True))
+            made.append(f"{c}_h")
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=made, outputCol="features")])
 
 
@@ -108,46 +131,79 @@ def target_encode(df: DataFrame, c: str, y: str, smooth: float = 10.0, folds: in
     d = df.withColumn("fold_", F.pmod(F.xxhash64(key or c), F.lit(folds)) if folds else F.lit(0))
     per = d.groupBy(F.col(c).alias("v_"), "fold_").agg(F.sum(y).alias("s_"), F.count(y).alias("n_"))
     if folds:
-        whole = Window.partitionBy("v_")
         all_ = per.groupBy("v_").agg(F.sum("s_").alias("ts"), F.sum("n_").alias("tn"))
-        per = all_.crossJoin(df.sparkSession.range(folds).withColumnRenamed("id", "fold_")).join(per, ["v_", "fold_"], "left").fillna(0, subset=["s_", "n_"]).select("v_", "fold_", (F.col("ts") - F.col("s_")).alias("s_"), (F.col("tn") - F.col("n_")).alias("n_"))
-        del whole
+        per = all_.crossJoin(df.sparkSession.range(folds).withColumnRenamed("id", "fold_")).join(per, ["v_", "fold_"], "left").fillna(0, subset=["s_", "n_"]).select(
+            "v_", "fold_", (F.col("ts") - F.col("s_")).alias("s_"), (F.col("tn") - F.col("n_")).alias("n_")
+        )
     prior = F.broadcast(df.agg(F.avg(y).alias("prior_")))
     out = d.join(per, F.col(c).eqNullSafe(F.col("v_")) & (d["fold_"] == per["fold_"]), "left").drop(per["fold_"]).crossJoin(prior)
-    return out.withColumn(f"{c}_te", (F.coalesce("s_", F.lit(0)) + smooth * F.col("prior_")) / (F.coalesce("n_", F.lit(0)) + smooth)).drop("v_", "fold_", "s_", "n_", "prior_")
-
-
-def fit_review(df: DataFrame, y: str, numbers: Sequence[str], categories: Sequence[str], key: str, mixes: Sequence[float] = (0.1, 0.9), strengths: Sequence[float] = (0.001, 0.1), folds: int = 3) -> tuple[PipelineModel, float, DataFrame]:
-    """Elastic-net logistic model with balanced weights, chosen by cross-validation; model, held-out AUC, held-out predictions."""
-    n = F.count("*").over(Window.partitionBy(y))
-    share = df.groupBy(y).count().collect()
+    return out.withColumn(
+        f"{c}_te", (F.coalesce("s_", F.lit(0)) + smooth * F.col("prior_")) / (F.coalesce("n_", F.lit(0)) + smooth)
+    ).drop("v_", "fold_", "s_", "n_", "prior_")
+
+
+def stratified_split(df: DataFrame, y: str, key: str, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Training rows and held-out ones: of each class the stated share, those with the largest hashes of the key."""
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    cuts = df.groupBy(y).agg(F.percentile_approx(h, 1 - share, 100_000).alias("cut")).collect()  # one row a class
+    cut = F.coalesce(*(F.when(F.col(y).eqNullSafe(F.lit(r[y])), F.lit(r.cut)) for r in cuts), F.lit(0))
+    return df.where(h <= cut), df.where(h > cut)
+
+
+def fit_review(
+    df: DataFrame,
+    y: str,
+    numbers: Sequence[str],
+    categories: Sequence[str],
+    key: str,
+    mixes: Sequence[float] = (0.1, 0.9),
+    strengths: Sequence[float] = (0.001, 0.1),
+    folds: int = 3,
+    high: Sequence[str] = (),
+) -> tuple[PipelineModel, float, DataFrame]:
+    """Logistic model with balanced weights; model, held-out AUC, held-out predictions.
+
+    An elastic net chosen by cross-validation; with one mix and one strength a single fit (0 and 0: plain).
+    The held-out fifth is stratified by class.
+    """
+    share = df.groupBy(y).count().collect()  # one row a class
     total = sum(r["count"] for r in share)
     weight = F.lit(1.0)
     for r in share:
         weight = F.when(F.col(y) == r[y], total / (len(share) * r["count"])).otherwise(weight)
-    del n
-    d = df.withColumn(y, F.col(y).cast("double")).withColumn("weight_", weight).withColumn("u_", F.pmod(F.xxhash64(key), F.lit(100)))
-    lr = LogisticRegression(labelCol=y, weightCol="weight_", maxIter=50)
-    pipe = Pipeline(stages=[preprocessor(numbers, categories), lr])
-    grid = ParamGridBuilder().addGrid(lr.elasticNetParam, list(mixes)).addGrid(lr.regParam, list(strengths)).build()
+    train, test = stratified_split(df.withColumn(y, F.col(y).cast("double")).withColumn("weight_", weight), y, key)
+    lr = LogisticRegression(labelCol=y, weightCol="weight_", maxIter=50, elasticNetParam=mixes[0], regParam=strengths[0])
+    pipe = Pipeline(stages=[preprocessor(numbers, categories, high=high, y=y), lr])
     score = BinaryClassificationEvaluator(labelCol=y)
-    best = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=score, numFolds=folds, seed=7, parallelism=2).fit(d.where("u_ < 80")).bestModel
-    held = best.transform(d.where("u_ >= 80"))
+    if len(mixes) * len(strengths) > 1:
+        grid = ParamGridBuilder().addGrid(lr.elasticNetParam, list(mixes)).addGrid(lr.regParam, list(strengths)).build()
+        best = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=score, numFolds=folds, seed=7, parallelism=2).fit(train).bestModel
+    else:
+        best = pipe.fit(train)
+    held = best.transform(test)
     return best, score.evaluate(held), held.select(key, y, vector_to_array("probability")[1].alias("p"))
 
 
 def logit(df: DataFrame, y: str, cat: str) -> DataFrame:
     """term, coef of a binomial regression on a category; the least level is the base."""
     levels = [r[0] for r in df.select(cat).where(F.col(cat).isNotNull()).distinct().orderBy(cat).collect()]  # one row a level
-    d = df.dropna(subset=[y, cat]).select(F.col(y).cast("double").alias("label"), *((F.col(cat) == v).cast("double").alias(f"l{k}") for k, v in enumerate(levels[1:])))
+    d = df.dropna(subset=[y, cat]).select(
+        F.col(y).cast("double").alias("label"), *((F.col(cat) == v).cast("double").alias(f"l{k}") for k, v in enumerate(levels[1:]))
+    )
     m = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="label").fit(_assembler(d.columns[1:]).transform(d))
-    return df.sparkSession.createDataFrame([("const", float(m.intercept)), *((str(v), float(c)) for v, c in zip(levels[1:], m.coefficients, strict=True))], "term string, coef double")
+    return df.sparkSession.createDataFrame(
+        [("const", float(m.intercept)), *((str(v), float(c)) for v, c in zip(levels[1:], m.coefficients, strict=True))], "term string, coef double"
+    )
 
 
 def fit_classifier(df: DataFrame, kind: str, y: str, xs: Sequence[str]) -> DataFrame:
     """df with prediction. kind: bayes (Gaussian), forest or perceptron."""
     classes = df.agg(F.count_distinct(y)).first()[0]
-    made = {"bayes": lambda: NaiveBayes(modelType="gaussian", labelCol=y), "forest": lambda: RandomForestClassifier(labelCol=y, numTrees=20, seed=7), "perceptron": lambda: MultilayerPerceptronClassifier(labelCol=y, layers=[len(xs), 8, classes], seed=7, maxIter=50)}
+    made = {
+        "bayes": lambda: NaiveBayes(modelType="gaussian", labelCol=y),
+        "forest": lambda: RandomForestClassifier(labelCol=y, numTrees=20, seed=7),
+        "perceptron": lambda: MultilayerPerceptronClassifier(labelCol=y, layers=[len(xs), 8, classes], seed=7, maxIter=50),
+    }
     if kind not in made:
         raise ValueError(f"kind is one of {', '.join(made)}")
     pipe = Pipeline(stages=[_assembler(xs), made[kind]()])
@@ -157,18 +213,24 @@ def fit_classifier(df: DataFrame, kind: str, y: str, xs: Sequence[str]) -> DataF
 def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], rounds: int = 15) -> pd.DataFrame:
     """feature, coef, hazard_ratio, se: proportional hazards with Efron's ties.
 
-    Each Newton step is one pass: sums by distinct time, running sums over times from the last, one aggregate.
+    Each Newton step is one pass: sums by distinct time, running sums over times from the last, one
+    aggregate. The rows are kept while it runs.
     """
-    d = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *(F.col(c).cast("double").alias(c) for c in xs)).dropna()
-    mean = d.agg(*(F.avg(c).alias(c) for c in xs)).first()
-    d = d.select("t", "e", *((F.col(c) - float(mean[c])).alias(c) for c in xs))
+    rows = df.select(F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"), *(F.col(c).cast("double").alias(c) for c in xs)).dropna()
+    mean = rows.agg(*(F.avg(c).alias(c) for c in xs)).first()
+    d = rows.select("t", "e", *((F.col(c) - float(mean[c])).alias(c) for c in xs)).persist()
     k, beta = len(xs), np.zeros(len(xs))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     for _ in range(rounds):
         eta = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, xs, strict=True)), F.lit(0.0))
         r = F.exp(eta)
         terms = {"s0": r, **{f"s1_{i}": r * F.col(xs[i]) for i in range(k)}, **{f"s2_{i}_{j}": r * F.col(xs[i]) * F.col(xs[j]) for i, j in pairs}}
-        per = d.groupBy("t").agg(F.sum("e").alias("d"), *(F.sum(v).alias(n) for n, v in terms.items()), *(F.sum(F.when(F.col("e") == 1, v).otherwise(0.0)).alias(f"{n}_e") for n, v in terms.items()), *(F.sum(F.when(F.col("e") == 1, F.col(xs[i])).otherwise(0.0)).alias(f"x_{i}") for i in range(k)))
+        per = d.groupBy("t").agg(
+            F.sum("e").alias("d"),
+            *(F.sum(v).alias(n) for n, v in terms.items()),
+            *(F.sum(F.when(F.col("e") == 1, v).otherwise(0.0)).alias(f"{n}_e") for n, v in terms.items()),
+            *(F.sum(F.when(F.col("e") == 1, F.col(xs[i])).otherwise(0.0)).alias(f"x_{i}") for i in range(k)),
+        )
         w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)  # one row a distinct time
         risk = per.select("d", *(F.sum(n).over(w).alias(n) for n in terms), *(f"{n}_e" for n in terms), *(f"x_{i}" for i in range(k))).where("d > 0")
         each = risk.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
@@ -183,6 +245,7 @@ def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], rounds:
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
+    d.unpersist()
     se = np.sqrt(np.clip(np.diag(np.linalg.pinv(h)), 0, None))
     return pd.DataFrame({"feature": list(xs), "coef": beta, "hazard_ratio": np.exp(beta), "se": se})
 
@@ -190,23 +253,14 @@ def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], rounds:
 # ---- pickups
 
 
-def erlang_quantile(shape: int, rate: float, q: float) -> float:
-    """Quantile of a gamma distribution of whole shape, by bisection of its survival sum."""
-
-    def survival(x: float) -> float:
-        term = total = math.exp(-x)
-        for i in range(1, shape):
-            term *= x / i
-            total += term
-        return total
-
-    if shape > 500:  # Wilson and Hilferty
-        z = {0.05: -1.6448536269514722, 0.5: 0.0, 0.95: 1.6448536269514722}[q]
-        return shape * (1 - 1 / (9 * shape) + z / (3 * math.sqrt(shape))) ** 3 / rate
+def gamma_quantile(shape: float, rate: float, q: float) -> float:
+    """Quantile of a gamma distribution, by bisection of its upper tail."""
     lo, hi = 0.0, shape + 20 * math.sqrt(shape) + 50
-    for _ in range(200):
+    while hi - lo > 1e-12 * hi:
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if survival(mid) > 1 - q else (lo, mid)
+        lo, hi = (mid, hi) if gammaincc(shape, mid) > 1 - q else (lo, mid)
+        if mid in (lo, hi) and lo + (hi - lo) / 2 in (lo, hi):
+            break
     return (lo + hi) / 2 / rate
 
 
@@ -216,10 +270,14 @@ def pickup_posterior(panel: DataFrame, by: str = "staff_id") -> DataFrame:
 
     @F.pandas_udf("struct<p5:double,median:double,p95:double>")
     def quantiles(shape: pd.Series, rate: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({n: [erlang_quantile(int(a), float(b), q) for a, b in zip(shape, rate, strict=True)] for n, q in (("p5", 0.05), ("median", 0.5), ("p95", 0.95))})
+        return pd.DataFrame(
+            {n: [gamma_quantile(float(a), float(b), q) for a, b in zip(shape, rate, strict=True)] for n, q in (("p5", 0.05), ("median", 0.5), ("p95", 0.95))}
+        )
 
     mean = F.col("shape") / F.col("rate")
-    return g.withColumn("q", quantiles("shape", "rate")).select(by, "shape", "rate", mean.alias("mean"), "q.median", "q.p5", "q.p95", (7 * mean).alias("expected_7"), (28 * mean).alias("expected_28"))
+    return g.withColumn("q", quantiles("shape", "rate")).select(
+        by, "shape", "rate", mean.alias("mean"), "q.median", "q.p5", "q.p95", (7 * mean).alias("expected_7"), (28 * mean).alias("expected_28")
+    )
 
 
 def pickup_predictive(panel: DataFrame, by: str) -> DataFrame:
@@ -248,14 +306,25 @@ def forecast_pickups(panel: DataFrame, by: str, days: int = 90) -> DataFrame:
     """The predictive of each key over the days after the panel."""
     last = F.broadcast(panel.agg(F.max("date").alias("d1")))
     ahead = F.broadcast(panel.sparkSession.range(1, days + 1))
-    return pickup_predictive(panel, by).crossJoin(last).crossJoin(ahead).select(by, F.date_add("d1", F.col("id").cast("int")).alias("date"), "mean", "p5", "p95")
+    return pickup_predictive(panel, by).crossJoin(last).crossJoin(ahead).select(
+        by, F.date_add("d1", F.col("id").cast("int")).alias("date"), "mean", "p5", "p95"
+    )
 
 
 def fit_pickup(panel: DataFrame, event: str, gate: str) -> DataFrame:
-    """staff_id, date, p: chance of an event on a day with a positive gate, by logistic regression on panel features."""
+    """staff_id, date, p: chance of an event on a day with a positive gate, by logistic regression on panel features.
+
+    The effect of staff is a target mean from the other folds of days.
+    """
     d = panel.where(F.col(gate) > 0).withColumn("label", (F.col(event) > 0).cast("double"))
-    d = target_encode(d, "staff_id", "label", 20.0)
-    pipe = Pipeline(stages=[_assembler(["wip", "time_since_last_pickup", "weeks_since_start", "backlog_available", "term_flag", "staff_id_te"]), StandardScaler(inputCol="features", outputCol="scaled"), LogisticRegression(featuresCol="scaled", regParam=1e-3, maxIter=50)])
+    d = target_encode(d, "staff_id", "label", 20.0, folds=5, key="date")
+    pipe = Pipeline(
+        stages=[
+            _assembler(["wip", "time_since_last_pickup", "weeks_since_start", "backlog_available", "term_flag", "staff_id_te"]),
+            StandardScaler(inputCol="features", outputCol="scaled"),
+            LogisticRegression(featuresCol="scaled", regParam=1e-3, maxIter=50),
+        ]
+    )
     return pipe.fit(d).transform(d).select("staff_id", "date", "label", vector_to_array("probability")[1].alias("p"))
 
 
@@ -324,19 +393,40 @@ def naive_forecast(df: DataFrame, order: str, c: str, horizon: int, season: int
     return steps.join(F.broadcast(tail), F.col("k") == season - (F.col("step") - 1) % season).select("step", F.col("v").alias("forecast"))
 
 
-def smooth_path(y: np.ndarray, m: int, horizon: int, a: float = 0.3, b: float = 0.1, g: float = 0.2) -> np.ndarray:
-    """Additive exponential smoothing with trend and season (m = 1: no season)."""
-    if len(y) < 2 * m or len(y) < 3:
-        return np.full(horizon, y[-1] if len(y) else np.nan)
-    level, trend = y[:m].mean(), (y[m : 2 * m].mean() - y[:m].mean()) / m
-    s = list(y[:m] - level) if m > 1 else [0.0]
+def _smooth(y: np.ndarray, m: int, a: np.ndarray, b: np.ndarray, g: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray]:
+    """Additive exponential smoothing for many weights at once: squared one-step errors past the first two seasons, and the paths ahead."""
+    level, trend = np.full(len(a), y[:m].mean()), np.full(len(a), (y[m : 2 * m].mean() - y[:m].mean()) / m)
+    s = np.tile(y[:m] - y[:m].mean() if m > 1 else np.zeros(1), (len(a), 1))
+    error = np.zeros(len(a))
     for t, x in enumerate(y):
-        before, k = level, t % m
-        level = a * (x - s[k]) + (1 - a) * (level + trend)
+        k = t % m
+        if t >= 2 * m:
+            error += (x - level - trend - s[:, k]) ** 2
+        before = level
+        level = a * (x - s[:, k]) + (1 - a) * (level + trend)
         trend = b * (level - before) + (1 - b) * trend
         if m > 1:
-            s[k] = g * (x - level) + (1 - g) * s[k]
-    return np.array([level + (h + 1) * trend + s[(len(y) + h) % m] for h in range(horizon)])
+            s[:, k] = g * (x - level) + (1 - g) * s[:, k]
+    return error, np.stack([level + (h + 1) * trend + s[:, (len(y) + h) % m] for h in range(horizon)], 1)
+
+
+def fit_smooth(y: np.ndarray, m: int) -> tuple[float, float, float]:
+    """Weights of level, trend and season with the least squared one-step errors: a grid, then halved steps about the best."""
+    at, step = np.array([0.5, 0.25, 0.25 if m > 1 else 0.0]), 0.4
+    while step > 0.005:
+        moves = np.array([(i, j, k) for i in (-1, -0.5, 0, 0.5, 1) for j in (-1, -0.5, 0, 0.5, 1) for k in ((-1, -0.5, 0, 0.5, 1) if m > 1 else (0,))]) * step
+        tried = np.clip(at + moves, 0.0, 1.0)
+        at = tried[_smooth(y, m, *tried.T, 1)[0].argmin()]
+        step /= 2
+    return tuple(at.tolist())
+
+
+def smooth_path(y: np.ndarray, m: int, horizon: int, weights: Sequence[float] | None = None) -> np.ndarray:
+    """Additive exponential smoothing with trend and season (m = 1: no season); weights are fitted unless stated."""
+    if len(y) < 2 * m or len(y) < 3:
+        return np.full(horizon, y[-1] if len(y) else np.nan)
+    a, b, g = (np.array([v]) for v in weights or fit_smooth(y, m))
+    return _smooth(y, m, a, b, g, horizon)[1][0]
 
 
 def ar_path(y: np.ndarray, lags: Sequence[int], horizon: int, x: np.ndarray | None = None, ahead: np.ndarray | None = None) -> np.ndarray:
@@ -362,8 +452,45 @@ def smooth_forecast(df: DataFrame, key: str, order: str, c: str, m: int, horizon
     return df.select(key, order, c).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, step int, forecast double")
 
 
-#: Fixed configurations of the grid: model and its season or lags.
-GRID = ("naive:1", "naive:12", "smooth:1", "smooth:12", "ar:1", "ar:1,2", "ar:1,12", "ar:1,2,12")
+def seasonal_path(y: np.ndarray, config: Sequence, horizon: int) -> np.ndarray:
+    """Least-squares autoregression on differences. config: lags, seasonal lags, differences, seasonal differences (of each one or none but lags), trend (n, c, t, ct), season, logarithm."""
+    lags, seasonal, diff, season_diff, trend, m, log = config
+    z = np.log1p(np.clip(y, 0, None)) if log else y.astype(float)
+    steps = [1] * diff + [m] * season_diff
+    w, undo = z, []
+    for k in steps:
+        undo.append(w)
+        w = w[k:] - w[:-k]
+    back = [*range(1, lags + 1), *(k * m for k in range(1, seasonal + 1))]
+    top = max(back, default=0)
+
+    def known(t: int, past: np.ndarray) -> list[float]:
+        return [*([1.0] if "c" in trend else []), *([float(t)] if "t" in trend else []), *(past[t - k] for k in back)]
+
+    columns = len(known(top, w)) if len(w) > top else 0
+    if not columns or len(w) - top < columns + 2:
+        return np.full(horizon, np.nan)
+    beta = np.linalg.lstsq(np.array([known(t, w) for t in range(top, len(w))]), w[top:], rcond=None)[0]
+    path = w.tolist()
+    for _ in range(horizon):
+        path.append(float(np.dot(known(len(path), path), beta)))
+    for k, base in zip(steps[::-1], undo[::-1], strict=True):
+        whole = base.tolist()
+        for x in path[len(base) - k :]:
+            whole.append(whole[-k] + x)
+        path = whole
+    out = np.array(path[len(y) :])
+    return np.expm1(out) if log else out
+
+
+#: The grid's configurations: naive and smoothing models by season, and autoregressions by all choices of seasonal_path.
+GRID = (
+    *(f"{kind}:{m}" for kind in ("naive", "smooth") for m in (1, 12)),
+    *(
+        f"ar:{p},{sp},{d},{sd},{trend},{m},{log}"
+        for p in (1, 2) for sp in (0, 1) for d in (0, 1) for sd in (0, 1) for trend in ("n", "c", "t", "ct") for m in (3, 6, 12) for log in (0, 1)
+    ),
+)
 
 
 def _path(config: str, y: np.ndarray, horizon: int) -> np.ndarray:
@@ -371,20 +498,31 @@ def _path(config: str, y: np.ndarray, horizon: int) -> np.ndarray:
     if kind == "naive":
         m = int(arg)
         return np.array([y[-m + h % m] if len(y) >= m else np.nan for h in range(horizon)])
-    return smooth_path(y, int(arg), horizon) if kind == "smooth" else ar_path(y, [int(k) for k in arg.split(",")], horizon)
+    if kind == "smooth":
+        return smooth_path(y, int(arg), horizon)
+    p, sp, d, sd, trend, m, log = arg.split(",")
+    return seasonal_path(y, (int(p), int(sp), int(d), int(sd), trend, int(m), int(log)), horizon)
 
 
 def grid_forecast(df: DataFrame, key: str, order: str, c: str, tests: int, configs: Sequence[str] = GRID) -> DataFrame:
-    """key, config, rmse, rank: one-step walk-forward errors over the last `tests` periods, series by configuration in parallel."""
+    """key, config, rmse, rank: one-step walk-forward errors over the last `tests` periods, series by configuration in parallel.
+
+    A configuration that a series is too short for has no rmse and comes last.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(order)[c].to_numpy(float)
-        e = [float(_path(pdf["config"].iloc[0], y[:t], 1)[0] - y[t]) for t in range(max(1, len(y) - tests), len(y))]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "config": [pdf["config"].iloc[0]], "rmse": [math.sqrt(np.nanmean(np.square(e))) if e else math.nan]})
+        e = np.array([float(_path(pdf["config"].iloc[0], y[:t], 1)[0] - y[t]) for t in range(max(1, len(y) - tests), len(y))])
+        return pd.DataFrame(
+            {key: [pdf[key].iloc[0]], "config": [pdf["config"].iloc[0]], "rmse": [math.sqrt(np.mean(e**2)) if len(e) and np.isfinite(e).all() else math.nan]}
+        )
 
     grid = df.sparkSession.createDataFrame([(x,) for x in configs], "config string")
-    scored = df.select(key, order, c).crossJoin(F.broadcast(grid)).groupBy(key, "config").applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, config string, rmse double")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("rmse"), "config")))
+    scored = df.select(key, order, c).crossJoin(F.broadcast(grid)).groupBy(key, "config").applyInPandas(
+        run, f"{key} {dict(df.dtypes)[key]}, config string, rmse double"
+    )
+    known = F.when(~F.isnan("rmse"), F.col("rmse"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(known), "config")))
 
 
 def forecast_exog(df: DataFrame, key: str, order: str, c: str, xs: Sequence[str], lags: Sequence[int], horizon: int, recent: int = 12) -> DataFrame:
@@ -393,7 +531,13 @@ def forecast_exog(df: DataFrame, key: str, order: str, c: str, xs: Sequence[str]
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf.sort_values(order)
         ahead = np.tile(p[list(xs)].tail(recent).median().to_numpy(float), (horizon, 1))
-        return pd.DataFrame({key: p[key].iloc[0], "step": np.arange(1, horizon + 1, dtype=np.int32), "forecast": ar_path(p[c].to_numpy(float), lags, horizon, p[list(xs)].to_numpy(float), ahead)})
+        return pd.DataFrame(
+            {
+                key: p[key].iloc[0],
+                "step": np.arange(1, horizon + 1, dtype=np.int32),
+                "forecast": ar_path(p[c].to_numpy(float), lags, horizon, p[list(xs)].to_numpy(float), ahead),
+            }
+        )
 
     return df.select(key, order, c, *xs).groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, step int, forecast double")
 
@@ -409,21 +553,28 @@ def pca(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
 
 
 def cluster(df: DataFrame, cols: Sequence[str], k: int, bisecting: bool = False, seed: int = 7) -> DataFrame:
-    """df with cluster."""
-    made = (BisectingKMeans if bisecting else KMeans)(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster")
-    pipe = Pipeline(stages=[_assembler(cols), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), made])
-    return pipe.fit(df).transform(df).drop("features", "scaled")
+    """df with cluster, by the scaled columns. Rows with a null among them are left out.
+
+    Columns are moved to a mean of one: bisecting starts from the mean, moved by a share of its length.
+    """
+    stats = df.agg(*(f(c).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
+    scaled = {f"{c}_scaled": (F.col(c) - (stats[f"m_{c}"] or 0.0)) / (stats[f"s_{c}"] or 1.0) + 1 for c in cols}
+    made = (BisectingKMeans if bisecting else KMeans)(k=k, seed=seed, predictionCol="cluster")
+    d = _assembler(list(scaled)).transform(df.withColumns(scaled)).drop(*scaled)
+    return made.fit(d).transform(d).drop("features")
 
 
 def topics(df: DataFrame, text: str, k: int, terms: int = 8, vocabulary: int = 2**31 - 1) -> DataFrame:
     """topic, term, weight by LDA over TF-IDF of the words in two or more documents, all of them unless `vocabulary` says less."""
-    pipe = Pipeline(stages=[Tokenizer(inputCol=text, outputCol="w_"), StopWordsRemover(inputCol="w_", outputCol="t_"), CountVectorizer(inputCol="t_", outputCol="c_", vocabSize=vocabulary, minDF=2), IDF(inputCol="c_", outputCol="features")]).fit(df.where(F.length(text) > 0))
+    pipe = Pipeline(
+        stages=[
+            Tokenizer(inputCol=text, outputCol="w_"),
+            StopWordsRemover(inputCol="w_", outputCol="t_"),
+            CountVectorizer(inputCol="t_", outputCol="c_", vocabSize=vocabulary, minDF=2),
+            IDF(inputCol="c_", outputCol="features"),
+        ]
+    ).fit(df.where(F.length(text) > 0))
     lda = LDA(k=k, maxIter=5, seed=7).fit(pipe.transform(df.where(F.length(text) > 0)))
     words = pipe.stages[2].vocabulary
-    names = F.udf(lambda ids: [words[i] for i in ids], "array<string>")
-    d = lda.describeTopics(terms).withColumn("names", names("termIndices"))
-    return d.select("topic", F.posexplode(F.arrays_zip("names", "termWeights")).alias("pos", "x")).select("topic", F.col("x.names").alias("term"), F.col("x.termWeights").alias("weight"))
-
-
-def regression_check(df: DataFrame, y: str, xs: Sequence[str]) -> np.ndarray:
-    return solve(gram(df, y, xs)[0])[0]
+    rows = [(r.topic, words[i], float(w)) for r in lda.describeTopics(terms).collect() for i, w in zip(r.termIndices, r.termWeights, strict=True)]  # k * terms
+    return df.sparkSession.createDataFrame(rows, "topic int, term string, weight double")

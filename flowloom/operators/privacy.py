@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ def impute(df: DataFrame, strategy: Mapping[str, str], approx: bool = False) ->
     row = F.broadcast(df.agg(*(v.alias(f"{c}_fill") for c, v in made.items())))
     types = dict(df.dtypes)
     target = {c: "double" if strategy[c] in ("median", "mean") else types[c] for c in strategy}
-    return df.crossJoin(row).withColumns({c: F.coalesce(F.col(c).cast(target[c]), F.col(f"{c}_fill").cast(target[c])) for c in strategy}).drop(*(f"{c}_fill" for c in strategy))
+    return df.crossJoin(row).withColumns(
+        {c: F.coalesce(F.col(c).cast(target[c]), F.col(f"{c}_fill").cast(target[c])) for c in strategy}
+    ).drop(*(f"{c}_fill" for c in strategy))
 
 
 def impute_group_mean(df: DataFrame, c: str, group: Column) -> DataFrame:
@@ -49,7 +53,9 @@ def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
 def top_code(df: DataFrame, cols: Sequence[str], q: float) -> DataFrame:
     """Values above a quantile become that quantile."""
     row = F.broadcast(df.agg(*(F.percentile(c, q).alias(f"{c}_top") for c in cols)))
-    return df.crossJoin(row).withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), f"{c}_top")) for c in cols}).drop(*(f"{c}_top" for c in cols))
+    return df.crossJoin(row).withColumns(
+        {c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), f"{c}_top")) for c in cols}
+    ).drop(*(f"{c}_top" for c in cols))
 
 
 def bin_numeric(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
@@ -62,19 +68,34 @@ def bin_numeric(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFram
 def collapse_rare(df: DataFrame, c: str, least: int) -> DataFrame:
     """Values in fewer than `least` rows become Other."""
     n = df.groupBy(F.col(c).alias("v_")).agg(F.count("*").alias("n_"))
-    return df.join(n, F.col(c).eqNullSafe(F.col("v_")), "left").withColumn(c, F.when(F.col("n_") < least, "Other").otherwise(F.col(c).cast("string"))).drop("v_", "n_")
+    return df.join(n, F.col(c).eqNullSafe(F.col("v_")), "left").withColumn(
+        c, F.when(F.col("n_") < least, "Other").otherwise(F.col(c).cast("string"))
+    ).drop("v_", "n_")
 
 
-def k_anonymise(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
-    """Combinations in fewer than k rows get Other in the last of the columns."""
+def rare_marks(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+    """df with rare: its combination of the columns is in fewer than k rows (nulls are equal)."""
     n = df.groupBy(*(F.col(c).alias(f"{c}_k") for c in cols)).agg(F.count("*").alias("n_"))
     same = F.lit(True)
     for c in cols:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_k"))
-    return df.join(n, same, "left").withColumn(cols[-1], F.when(F.col("n_") < k, "Other").otherwise(F.col(cols[-1]).cast("string"))).drop("n_", *(f"{c}_k" for c in cols))
+    return df.join(n, same, "left").withColumn("rare", F.col("n_") < k).drop("n_", *(f"{c}_k" for c in cols))
 
 
-def coarsen(df: DataFrame, drop: Sequence[str] = (), top: Mapping[str, float] | None = None, bins: Mapping[str, Sequence[float]] | None = None, rare: Mapping[str, int] | None = None, quasi: Sequence[str] = (), k: int = 5) -> DataFrame:
+def k_anonymise(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+    """Combinations in fewer than k rows get Other in the last of the columns."""
+    return rare_marks(df, cols, k).withColumn(cols[-1], F.when(F.col("rare"), "Other").otherwise(F.col(cols[-1]).cast("string"))).drop("rare")
+
+
+def coarsen(
+    df: DataFrame,
+    drop: Sequence[str] = (),
+    top: Mapping[str, float] | None = None,
+    bins: Mapping[str, Sequence[float]] | None = None,
+    rare: Mapping[str, int] | None = None,
+    quasi: Sequence[str] = (),
+    k: int = 5,
+) -> DataFrame:
     """Identifiers dropped, then top-coding, binning, rare values, k-anonymity."""
     df = df.drop(*drop)
     for c, q in (top or {}).items():
@@ -91,13 +112,13 @@ def synthesise(df: DataFrame, numbers: Sequence[str], category: str, n: int, see
     Normal scores of ranks, their covariance by one aggregate, correlated normal draws, and back through
     each column's empirical quantiles (1,001 knots).
     """
-    import numpy as np
-
     spark = df.sparkSession
     d = df.dropna(subset=list(numbers))
     knots = d.agg(*(F.percentile_approx(c, [k / 1000 for k in range(1001)], 100_000).alias(c) for c in numbers)).first()
     scored = d.select(*(((F.size(F.filter(F.lit(sorted(map(float, knots[c]))), _below(c))) + 0.5) / 1002.0).alias(c) for c in numbers))
-    row = scored.agg(*(F.corr(a, b).alias(f"r{i}_{j}") for i, a in enumerate(numbers) for j, b in enumerate(numbers) if i < j)).first() if len(numbers) > 1 else None
+    row = scored.agg(
+        *(F.corr(a, b).alias(f"r{i}_{j}") for i, a in enumerate(numbers) for j, b in enumerate(numbers) if i < j)
+    ).first() if len(numbers) > 1 else None
     r = np.eye(len(numbers))
     for i in range(len(numbers)):
         for j in range(i + 1, len(numbers)):
@@ -107,7 +128,11 @@ def synthesise(df: DataFrame, numbers: Sequence[str], category: str, n: int, see
     draws = spark.range(n).select("id", *(F.randn(seed + k).alias(f"z{k}") for k in range(len(numbers))), F.rand(seed - 1).alias("u_"))
     x = {c: _total(F.col(f"z{k}") * float(root[i, k]) for k in range(len(numbers))) for i, c in enumerate(numbers)}
     p = {c: 1 / (1 + F.exp(-(1.5976 * e + 0.07056 * F.pow(e, 3)))) for c, e in x.items()}  # the normal distribution function, to four places
-    out = draws.select("id", "u_", *((F.element_at(F.lit(sorted(map(float, knots[c]))), F.least(F.floor(q * 1001) + 1, F.lit(1001)).cast("int"))).alias(c) for c, q in p.items()))
+    out = draws.select(
+        "id",
+        "u_",
+        *((F.element_at(F.lit(sorted(map(float, knots[c]))), F.least(F.floor(q * 1001) + 1, F.lit(1001)).cast("int"))).alias(c) for c, q in p.items()),
+    )
     shares = df.groupBy(category).agg((F.count("*") + smooth).alias("k")).where(F.col(category).isNotNull())
     edges = shares.select(category, (F.sum("k").over(Window.orderBy(category)) / F.sum("k").over(Window.partitionBy())).alias("to_"), (F.col("k") / F.sum("k").over(Window.partitionBy())).alias("p_"))  # one row a category
     return out.join(F.broadcast(edges), (F.col("u_") < F.col("to_")) & (F.col("u_") >= F.col("to_") - F.col("p_"))).select("id", *numbers, category)
@@ -124,19 +149,147 @@ def _total(terms) -> Column:
     return out
 
 
+def stratified_synthesis(df: DataFrame, numbers: Sequence[str], strata: Sequence[str], seed: int, least: int = 50, knots: int = 200) -> DataFrame:
+    """As many synthetic rows as df has. A stratum of `least` rows or more is drawn from its own quantiles and correlations; the rows of smaller ones are drawn from all of df.
+
+    Strata are few: their parameters (knots and a k x k matrix each) are broadcast. The rows of the
+    back-off have their strata drawn by the global shares.
+    """
+    d = df.dropna(subset=[*numbers, *strata])
+    k, points = len(numbers), [i / knots for i in range(knots + 1)]
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    stats = [
+        F.count("*").alias("n_"),
+        *(F.percentile_approx(c, points, 10_000).cast("array<double>").alias(f"q_{i}") for i, c in enumerate(numbers)),
+        *(F.corr(numbers[i], numbers[j]).alias(f"r_{i}_{j}") for i, j in pairs),
+    ]
+    own = d.groupBy(*strata).agg(*stats)
+    small = own.where(F.col("n_") < least).agg(F.sum("n_").alias("rest_"))
+    whole = d.agg(*stats).crossJoin(small).where("rest_ > 0").withColumn("n_", F.col("rest_").cast("bigint")).drop("rest_")
+    blank = {c: F.lit(None).cast(dict(df.dtypes)[c]) for c in strata}
+    params = own.where(F.col("n_") >= least).withColumn("own_", F.lit(True)).unionByName(whole.withColumns(blank).withColumn("own_", F.lit(False)))
+
+    @F.pandas_udf("array<double>")
+    def root(r: pd.Series) -> pd.Series:
+        """Rows of a factor of the correlation matrix of normal scores, one after the other."""
+        out = []
+        for row in r:
+            m = np.eye(k)
+            for (i, j), x in zip(pairs, row, strict=False):
+                m[i, j] = m[j, i] = 0.0 if x is None or x != x else x
+            w, v = np.linalg.eigh(m)
+            out.append((v * np.sqrt(np.clip(w, 1e-9, None))).ravel().tolist())
+        return pd.Series(out)
+
+    params = F.broadcast(params.withColumn("root_", root(F.array(*(F.col(f"r_{i}_{j}") for i, j in pairs), F.lit(1.0)))).drop(*(f"r_{i}_{j}" for i, j in pairs)))
+    rows = params.select(*strata, "own_", "root_", *(f"q_{i}" for i in range(k)), F.explode(F.sequence(F.lit(1), F.col("n_"))).alias("row_"))
+    z = rows.repartition(*strata, F.col("row_") % 64).withColumns({f"z_{i}": F.randn(seed + i) for i in range(k)})
+    x = {i: _total(F.col(f"z_{j}") * F.get("root_", F.lit(i * k + j)) for j in range(k)) for i in range(k)}
+    p = {i: 1 / (1 + F.exp(-(1.5976 * e + 0.07056 * F.pow(e, 3)))) for i, e in x.items()}
+    drawn = z.select(
+        *strata,
+        "own_",
+        F.rand(seed - 1).alias("u_"),
+        *(F.get(f"q_{i}", F.least(F.floor(q * (knots + 1)), F.lit(knots)).cast("int")).alias(c) for (i, q), c in zip(p.items(), numbers, strict=True)),
+    )
+    kept = drawn.where("own_").select(*numbers, *strata)
+    shares = own.select(*strata, "n_")
+    w = Window.orderBy(*strata)  # one row a stratum
+    edges = shares.select(
+        *(F.col(c).alias(f"{c}_g") for c in strata),
+        (F.sum("n_").over(w) / F.sum("n_").over(Window.partitionBy())).alias("to_"),
+        (F.col("n_") / F.sum("n_").over(Window.partitionBy())).alias("p_"),
+    )
+    spread = drawn.where("NOT own_").select(*numbers, "u_").join(
+        F.broadcast(edges), (F.col("u_") < F.col("to_")) & (F.col("u_") >= F.col("to_") - F.col("p_"))
+    ).select(*numbers, *(F.col(f"{c}_g").alias(c) for c in strata))
+    return kept.unionByName(spread)
+
+
+def neighbour_gaps(real: DataFrame, made: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """cols, n_, gap: for each distinct real point (n_ rows) the distance to the nearest made point; null without made points.
+
+    Exact. Equal points meet first; then points meet within a cell and its neighbours, and those whose
+    nearest lies within a cell's width are done. The others go on with cells twice as wide, so each
+    round joins few points with cells that hold few at its width.
+    """
+    import itertools
+
+    point = lambda df: df.select(*(F.col(c).cast("double").alias(c) for c in cols)).dropna()
+    left = point(real).groupBy(*cols).agg(F.count("*").alias("n_")).persist()
+    right = point(made).distinct().persist()
+    size = right.agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo_{c}") for c in cols), *(F.max(c).alias(f"hi_{c}") for c in cols)).first()
+    if not size.n:
+        return left.withColumn("gap", F.lit(None).cast("double"))
+    reach = left.agg(*(F.min(c).alias(f"lo_{c}") for c in cols), *(F.max(c).alias(f"hi_{c}") for c in cols)).first()
+    if reach[0] is None:
+        return left.withColumn("gap", F.lit(None).cast("double"))
+    span = max(max(size[f"hi_{c}"], reach[f"hi_{c}"]) - min(size[f"lo_{c}"], reach[f"lo_{c}"]) for c in cols) or 1.0
+    out = left.join(right, list(cols), "left_semi").withColumn("gap", F.lit(0.0))
+    left = left.join(right, list(cols), "left_anti")
+    width = span / size.n ** (1 / len(cols)) / 2
+    cell = lambda df, w: [F.floor(F.col(c) / w).alias(f"cell_{c}") for c in cols]
+    steps = F.array(*(F.array(*map(F.lit, v)) for v in itertools.product((-1, 0, 1), repeat=len(cols))))
+    while not left.isEmpty():
+        near = left.select(*cols, "n_", *cell(left, width)).withColumn("step_", F.explode(steps)).select(
+            *cols, "n_", *((F.col(f"cell_{c}") + F.get("step_", F.lit(i))).alias(f"cell_{c}") for i, c in enumerate(cols))
+        )
+        there = right.select(*(F.col(c).alias(f"{c}_r") for c in cols), *cell(right, width))
+        apart = F.sqrt(_total((F.col(c) - F.col(f"{c}_r")) ** 2 for c in cols))
+        met = near.join(there, [f"cell_{c}" for c in cols]).groupBy(*cols, "n_").agg(F.min(apart).alias("gap")).where(F.col("gap") <= width).persist()
+        out = out.unionByName(met.select(*cols, "n_", "gap"))
+        left = left.join(met, list(cols), "left_anti").select(*cols, "n_").persist()
+        width *= 2
+    return out
+
+
+def transfer_auc(real: DataFrame, made: DataFrame, numbers: Sequence[str], target: str) -> DataFrame:
+    """measure, value: AUC of a balanced logistic model of the 0/1 target, trained on made rows and tested on real ones (tstr_auc), and the other way round (trts_auc)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    def ready(df: DataFrame) -> DataFrame:
+        d = df.where(F.col(target).isNotNull()).select(
+            F.col(target).cast("double").alias("label"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers)
+        )
+        rate = d.agg(F.avg("label")).first()[0] or 0.0
+        return d.withColumn("weight_", F.when(F.col("label") == 1, 0.5 / max(rate, 1e-9)).otherwise(0.5 / max(1 - rate, 1e-9)))
+
+    stages = [
+        VectorAssembler(inputCols=list(numbers), outputCol="x_"),
+        StandardScaler(inputCol="x_", outputCol="features", withMean=True),
+        LogisticRegression(weightCol="weight_", maxIter=100),
+    ]
+    a, b = ready(real), ready(made)
+    score = BinaryClassificationEvaluator()
+    rows = [(n, float(score.evaluate(Pipeline(stages=stages).fit(train).transform(test)))) for n, train, test in (("tstr_auc", b, a), ("trts_auc", a, b))]
+    return real.sparkSession.createDataFrame(rows, "measure string, value double")
+
+
 def privacy_report(real: DataFrame, made: DataFrame, numbers: Sequence[str], quasi: Sequence[str]) -> DataFrame:
-    """measure, value: differences of means and variances, of correlations, and the exact match rate on quasi identifiers."""
+    """measure, value: differences of means and variances, of correlations, the exact match rate on quasi identifiers, mean and least gap of real rows to their nearest made one."""
     from .windows import match_rate
 
     rows = []
     for c in numbers:
         a, b = (d.agg(F.avg(c).alias("m"), F.var_samp(c).alias("v")) for d in (real, made))
         both = a.crossJoin(b.select(F.col("m").alias("m2"), F.col("v").alias("v2")))
-        rows += [both.select(F.lit(f"mean_diff_{c}").alias("measure"), F.abs(F.col("m") - F.col("m2")).alias("value")), both.select(F.lit(f"var_diff_{c}").alias("measure"), F.abs(F.col("v") - F.col("v2")).alias("value"))]
+        rows += [
+            both.select(F.lit(f"mean_diff_{c}").alias("measure"), F.abs(F.col("m") - F.col("m2")).alias("value")),
+            both.select(F.lit(f"var_diff_{c}").alias("measure"), F.abs(F.col("v") - F.col("v2")).alias("value")),
+        ]
     pairs = [(a, b) for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
     if pairs:
         r, s = (d.agg(*(F.corr(a, b).alias(f"{p}{k}") for k, (a, b) in enumerate(pairs))) for d, p in ((real, "r"), (made, "s")))
-        rows.append(r.crossJoin(s).select(F.lit("corr_l1").alias("measure"), sum((F.abs(F.col(f"r{k}") - F.col(f"s{k}")) for k in range(len(pairs))), F.lit(0.0)).alias("value")))
+        rows.append(
+            r.crossJoin(s).select(
+                F.lit("corr_l1").alias("measure"), sum((F.abs(F.col(f"r{k}") - F.col(f"s{k}")) for k in range(len(pairs))), F.lit(0.0)).alias("value")
+            )
+        )
+    gaps = neighbour_gaps(real, made, numbers).agg((F.sum(F.col("gap") * F.col("n_")) / F.sum("n_")).alias("nn_gap_mean"), F.min("gap").alias("nn_gap_min"))
+    rows += [gaps.select(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in ("nn_gap_mean", "nn_gap_min")]
     rows.append(match_rate(real, made, quasi).select(F.lit("match_rate").alias("measure"), F.col("match_rate").alias("value")))
     out = rows[0]
     for x in rows[1:]:
