@@ -87,7 +87,16 @@ def time_interval(a: Column, b: Column, unit: str = "days") -> Column:
 
 def calendar(df: DataFrame, d: str) -> DataFrame:
     c = F.col(d)
-    return df.withColumns({"year": F.year(c), "month": F.month(c), "dow": F.weekday(c), "week": F.weekofyear(c), "is_month_start": (F.dayofmonth(c) == 1).cast("int"), "is_month_end": (c == F.last_day(c)).cast("int")})
+    return df.withColumns(
+        {
+            "year": F.year(c),
+            "month": F.month(c),
+            "dow": F.weekday(c),
+            "week": F.weekofyear(c),
+            "is_month_start": (F.dayofmonth(c) == 1).cast("int"),
+            "is_month_end": (c == F.last_day(c)).cast("int"),
+        }
+    )
 
 
 def fourier(df: DataFrame, d: str) -> DataFrame:
@@ -96,6 +105,7 @@ def fourier(df: DataFrame, d: str) -> DataFrame:
     return df.withColumns({"sin_year": F.sin(angle), "cos_year": F.cos(angle)} | {f"dow_{k}": (F.weekday(d) == k).cast("int") for k in range(1, 7)})
 
 
+#: The labels of the bands.
 def fte_band(c: Column) -> Column:
     return F.when(c >= 0.8, "FT_0_8_to_1_0").when(c >= 0.5, "PT_0_5_to_0_8").when(c > 0, "PT_lt_0_5").otherwise("Unknown_FTE")
 
@@ -116,7 +126,9 @@ def age_years(dob: Column, at: Column, whole: bool = False) -> Column:
 
 def derived_key(case_no: Column, received: Column, unique_id: Column) -> Column:
     """case number and day, else the unique id."""
-    return F.when(case_no.isNotNull() & received.isNotNull(), F.concat_ws("_", case_no.cast("string"), F.date_format(received, "yyyyMMdd"))).otherwise(unique_id.cast("string"))
+    return F.when(
+        case_no.isNotNull() & received.isNotNull(), F.concat_ws("_", case_no.cast("string"), F.date_format(received, "yyyyMMdd"))
+    ).otherwise(unique_id.cast("string"))
 
 
 def valid_delay(a: Column, b: Column) -> Column:
@@ -127,7 +139,11 @@ def valid_delay(a: Column, b: Column) -> Column:
 def text_flags(*texts: Column) -> dict[str, Column]:
     """Keyword events in the joined texts; words are bounded."""
     t = F.lower(F.concat_ws(" ", *(F.coalesce(x.cast("string"), F.lit("")) for x in texts)))
-    return {"event_legal": t.rlike(r"\blegal\b|solicitor|attorney|advice"), "event_court": t.rlike(r"\bcourt\b|hearing|tribunal"), "event_flagged": t.rlike(r"\bflag|priority|escalat")}
+    return {
+        "event_legal": t.rlike(r"\blegal\b|solicitor|attorney|advice"),
+        "event_court": t.rlike(r"\bcourt\b|hearing|tribunal"),
+        "event_flagged": t.rlike(r"\bflag|priority|escalat"),
+    }
 
 
 def bank_holiday(d: Column, holidays: Sequence[str]) -> Column:
