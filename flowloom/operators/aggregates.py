@@ -26,12 +26,21 @@ def group_summary(df: DataFrame, by: Sequence[str], metrics: Mapping[str, tuple[
 
 def _spread(c: str, approx: bool = False) -> list[Column]:
     q = F.percentile_approx if approx else F.percentile
-    return [F.count(c).alias("n"), F.avg(c).alias("mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"), F.min(c).cast("double").alias("min"), *(q(F.col(c), p).alias(f"p{int(p * 100)}") for p in QUANTILES), F.max(c).cast("double").alias("max")]
+    return [
+        F.count(c).alias("n"),
+        F.avg(c).alias("mean"),
+        F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"),
+        F.min(c).cast("double").alias("min"),
+        *(q(F.col(c), p).alias(f"p{int(p * 100)}") for p in QUANTILES),
+        F.max(c).cast("double").alias("max"),
+    ]
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """metric, value: one row for each value."""
-    return df.select(*by, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols))).alias("x")).select(*by, "x.metric", "x.value")
+    return df.select(
+        *by, F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols))).alias("x")
+    ).select(*by, "x.metric", "x.value")
 
 
 def distribution(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
@@ -57,10 +66,21 @@ def volatility(df: DataFrame, d: str, metric: str, by: Sequence[str], freq: str
     return per.groupBy(*by).agg(F.stddev_samp("m").alias("volatility"), F.count("*").alias("periods"))
 
 
-def monthly_interval_stats(df: DataFrame, d: str, metric: str, category: str, start: str, end: str) -> DataFrame:
+def monthly_interval_stats(df: DataFrame, d: str, metric: str, category: str, start: str, end: str, approx: bool = False) -> DataFrame:
     """Stats by month and category and, under ALL, by month: one scan with grouping sets."""
-    rows = df.where(F.col(d).between(F.lit(start).cast("date"), F.lit(end).cast("date")) & (F.col(metric) >= 0)).select(F.date_format(d, "yyyy-MM").alias("ym"), F.col(category).alias("category"), F.col(metric).alias("v"))
-    stats = [F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.stddev_samp("v").alias("std"), F.percentile("v", 0.25).alias("p25"), F.percentile("v", 0.75).alias("p75"), F.count("v").alias("n"), F.grouping("category").alias("all_")]
+    rows = df.where(F.col(d).between(F.lit(start).cast("date"), F.lit(end).cast("date")) & (F.col(metric) >= 0)).select(
+        F.date_format(d, "yyyy-MM").alias("ym"), F.col(category).alias("category"), F.col(metric).alias("v")
+    )
+    q = F.percentile_approx if approx else F.percentile
+    stats = [
+        F.avg("v").alias("mean"),
+        q("v", 0.5).alias("median"),
+        F.stddev_samp("v").alias("std"),
+        q("v", 0.25).alias("p25"),
+        q("v", 0.75).alias("p75"),
+        F.count("v").alias("n"),
+        F.grouping("category").alias("all_"),
+    ]
     g = rows.groupingSets([[F.col("ym"), F.col("category")], [F.col("ym")]], "ym", "category").agg(*stats)
     return g.where("all_ = 1 OR category IS NOT NULL").withColumn("category", F.when(F.col("all_") == 1, "ALL").otherwise(F.col("category"))).drop("all_")
 
@@ -68,14 +88,24 @@ def monthly_interval_stats(df: DataFrame, d: str, metric: str, category: str, st
 def interval_change(df: DataFrame, d: str, metric: str, by: str) -> DataFrame:
     """Stats by year and key, and the change of the median against the year before that is there in any group."""
     rows = df.dropna(subset=[d, metric, by]).select(F.year(d).alias("year"), F.col(by), F.col(metric).alias("v"))
-    s = rows.groupBy("year", by).agg(F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.25).alias("p25"), F.percentile("v", 0.75).alias("p75"), F.avg("v").alias("mean"), F.count("v").alias("n"))
+    s = rows.groupBy("year", by).agg(
+        F.percentile("v", 0.5).alias("median"),
+        F.percentile("v", 0.25).alias("p25"),
+        F.percentile("v", 0.75).alias("p75"),
+        F.avg("v").alias("mean"),
+        F.count("v").alias("n"),
+    )
     years = s.select("year").distinct().withColumn("prev", F.lag("year").over(Window.orderBy("year")))  # one row a year
     then = s.select(F.col("year").alias("prev"), by, F.col("median").alias("median_before"))
-    return s.join(F.broadcast(years), "year").join(then, ["prev", by], "left").select("year", by, "median", "p25", "p75", "mean", "n", (F.col("median") - F.col("median_before")).alias("yoy_change"))
+    return s.join(F.broadcast(years), "year").join(then, ["prev", by], "left").select(
+        "year", by, "median", "p25", "p75", "mean", "n", (F.col("median") - F.col("median_before")).alias("yoy_change")
+    )
 
 
 def arrivals(df: DataFrame, d: str, by: str, freq: str) -> DataFrame:
-    return df.where(F.col(d).isNotNull()).groupBy(F.date_trunc(freq, d).cast("date").alias("period"), F.coalesce(by, F.lit("Unknown")).alias(by)).agg(F.count("*").alias("arrivals"))
+    return df.where(F.col(d).isNotNull()).groupBy(
+        F.date_trunc(freq, d).cast("date").alias("period"), F.coalesce(by, F.lit("Unknown")).alias(by)
+    ).agg(F.count("*").alias("arrivals"))
 
 
 def staffing_daily(df: DataFrame, d: str, staff: str, case: str) -> DataFrame:
@@ -93,7 +123,9 @@ def review_rate(df: DataFrame, by: Sequence[str], flag: str, duration: str) -> D
 
 
 def weighted_mean(df: DataFrame, v: str, w: str, by: Sequence[str]) -> DataFrame:
-    return df.where(F.col(v).isNotNull() & F.col(w).isNotNull()).groupBy(*by).agg(F.try_divide(F.sum(F.col(v) * F.col(w)), F.sum(w)).alias("weighted_mean"), F.count("*").alias("n"))
+    return df.where(F.col(v).isNotNull() & F.col(w).isNotNull()).groupBy(*by).agg(
+        F.try_divide(F.sum(F.col(v) * F.col(w)), F.sum(w)).alias("weighted_mean"), F.count("*").alias("n")
+    )
 
 
 def pickup_grid(df: DataFrame, load: Column, gap: Column, flag: str) -> DataFrame:
@@ -102,16 +134,24 @@ def pickup_grid(df: DataFrame, load: Column, gap: Column, flag: str) -> DataFram
 
     inf = float("inf")
     loads, gaps = ("Low", "Medium", "High", "Very high"), ("<1 week", "1-2 weeks", "2-4 weeks", "4-13 weeks", ">13 weeks")
-    cells = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, loads))).alias("load_band")).select("load_band", F.explode(F.array(*map(F.lit, gaps))).alias("gap_band"))
-    rows = df.select(band(load, (0, 40, 80, 120, inf), loads).alias("load_band"), band(gap, (0, 7, 14, 28, 90, inf), gaps).alias("gap_band"), F.col(flag).alias("flag")).dropna(subset=["load_band", "gap_band"])
-    return cells.join(rows.groupBy("load_band", "gap_band").agg(F.avg("flag").alias("probability"), F.count("*").alias("n")), ["load_band", "gap_band"], "left").fillna({"n": 0})
+    cells = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, loads))).alias("load_band")).select(
+        "load_band", F.explode(F.array(*map(F.lit, gaps))).alias("gap_band")
+    )
+    rows = df.select(
+        band(load, (0, 40, 80, 120, inf), loads).alias("load_band"), band(gap, (0, 7, 14, 28, 90, inf), gaps).alias("gap_band"), F.col(flag).alias("flag")
+    ).dropna(subset=["load_band", "gap_band"])
+    return cells.join(
+        rows.groupBy("load_band", "gap_band").agg(F.avg("flag").alias("probability"), F.count("*").alias("n")), ["load_band", "gap_band"], "left"
+    ).fillna({"n": 0})
 
 
 def quantile_bin(df: DataFrame, num: str, q: int) -> DataFrame:
     """df with bin: which of q quantile intervals, open on the left, holds the value; equal edges are merged."""
     edges = df.agg(F.array_distinct(F.percentile(num, [k / q for k in range(q + 1)])).alias("edges_"))
     x = F.col(num)
-    return df.crossJoin(F.broadcast(edges)).withColumn("bin", F.when(x.isNotNull(), F.greatest(F.lit(1), F.size(F.filter("edges_", lambda e: e < x))))).drop("edges_")
+    return df.crossJoin(F.broadcast(edges)).withColumn(
+        "bin", F.when(x.isNotNull(), F.greatest(F.lit(1), F.size(F.filter("edges_", lambda e: e < x))))
+    ).drop("edges_")
 
 
 def binned_interaction(df: DataFrame, num: str, cat: str, target: str, q: int) -> DataFrame:
@@ -119,9 +159,16 @@ def binned_interaction(df: DataFrame, num: str, cat: str, target: str, q: int) -
     return quantile_bin(df.dropna(subset=[num, cat, target]), num, q).groupBy("bin", cat).agg(F.avg(target).alias("mean_target"), F.count("*").alias("n"))
 
 
+def interaction_table(df: DataFrame, num: str, cat: str, target: str, q: int, values: Sequence[str]) -> DataFrame:
+    """binned_interaction as a table: a row for each bin, a column of means for each of the stated values."""
+    return quantile_bin(df.dropna(subset=[num, cat, target]), num, q).groupBy("bin").pivot(cat, list(values)).agg(F.avg(target))
+
+
 def monthly_kpis(df: DataFrame, ts: str, case: str, team: str, backlog: str, duration: str, flag: str) -> DataFrame:
     """Last backlog, median duration and flag rate of each team and month."""
-    return df.where(F.col(ts).isNotNull()).groupBy(F.date_format(ts, "yyyy-MM").alias("month"), team).agg(F.max_by(backlog, F.struct(ts, case)).alias("last_backlog"), F.percentile(duration, 0.5).alias("median_duration"), F.avg(flag).alias("rate"))
+    return df.where(F.col(ts).isNotNull()).groupBy(F.date_format(ts, "yyyy-MM").alias("month"), team).agg(
+        F.max_by(backlog, F.struct(ts, case)).alias("last_backlog"), F.percentile(duration, 0.5).alias("median_duration"), F.avg(flag).alias("rate")
+    )
 
 
 def resample(df: DataFrame, d: str, freq: str, metrics: Mapping[str, tuple[str, str]], roll: int = 7, least: int = 3) -> DataFrame:
@@ -177,27 +224,61 @@ def earliest(df: DataFrame, key: str, d: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(d).alias(d))
 
 
-def describe_all(df: DataFrame) -> DataFrame:
-    """column, n, distinct, top (the most frequent text, ties by text), mean, std, quartiles for all columns."""
+def describe_all(df: DataFrame, approx: bool = False) -> DataFrame:
+    """column, n, distinct, top (the most frequent text, ties by text), mean, std, quartiles for all columns. Exact quartiles hold a column's distinct numbers."""
     numeric = {c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint") or t.startswith("decimal")}
-    rows = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text"), (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("x")) for c in df.columns))).alias("r")).select("r.*").where("text IS NOT NULL")
+    rows = df.select(
+        F.explode(
+            F.array(
+                *(
+                    F.struct(
+                        F.lit(c).alias("column"),
+                        F.col(c).cast("string").alias("text"),
+                        (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("x"),
+                    )
+                    for c in df.columns
+                )
+            )
+        ).alias("r")
+    ).select("r.*").where("text IS NOT NULL")
     per = rows.groupBy("column", "text", "x").agg(F.count("*").alias("k"))
-    q = lambda p: F.percentile("x", p, F.col("k"))
     n, s1, s2 = F.sum("k"), F.sum(F.col("x") * F.col("k")), F.sum(F.col("x") * F.col("x") * F.col("k"))
-    return per.groupBy("column").agg(n.alias("n"), F.count("*").alias("distinct"), F.min_by("text", F.struct(-F.col("k"), "text")).alias("top"), F.max("k").alias("freq"), (s1 / n).alias("mean"), F.when(F.count("x") > 0, F.sqrt(F.try_divide(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)), n - 1))).alias("std"), *(q(p).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)))
+    out = per.groupBy("column").agg(
+        n.alias("n"),
+        F.count("*").alias("distinct"),
+        F.min_by("text", F.struct(-F.col("k"), "text")).alias("top"),
+        F.max("k").alias("freq"),
+        (s1 / n).alias("mean"),
+        F.when(F.count("x") > 0, F.sqrt(F.try_divide(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)), n - 1))).alias("std"),
+    )
+    points = (0.25, 0.5, 0.75)
+    if approx:
+        each = rows.groupBy("column").agg(*(F.percentile_approx("x", p).alias(f"p{int(p * 100)}") for p in points))
+    else:
+        each = per.groupBy("column").agg(*(F.percentile("x", p, F.col("k")).alias(f"p{int(p * 100)}") for p in points))
+    return out.join(each, "column")
 
 
 def overview(df: DataFrame, key: str, dates: Sequence[str], target: str) -> DataFrame:
     """measure, value: rows, columns, missing share, repeated ids, date span, target share."""
     cells = F.lit(len(df.columns)) * F.count("*")
-    row = df.agg(F.count("*").cast("double").alias("rows"), F.lit(float(len(df.columns))).alias("columns"), F.try_divide(sum((F.count(F.when(F.col(c).isNull(), 1)) for c in df.columns), F.lit(0)), cells).alias("missing_share"), (F.count(key) - F.count_distinct(key)).cast("double").alias("repeated_ids"), F.avg(target).alias("target_share"), *(F.datediff(F.max(d), F.min(d)).cast("double").alias(f"span_{d}") for d in dates))
+    row = df.agg(
+        F.count("*").cast("double").alias("rows"),
+        F.lit(float(len(df.columns))).alias("columns"),
+        F.try_divide(sum((F.count(F.when(F.col(c).isNull(), 1)) for c in df.columns), F.lit(0)), cells).alias("missing_share"),
+        (F.count(key) - F.count_distinct(key)).cast("double").alias("repeated_ids"),
+        F.avg(target).alias("target_share"),
+        *(F.datediff(F.max(d), F.min(d)).cast("double").alias(f"span_{d}") for d in dates),
+    )
     return row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, row.columns)), F.array(*map(F.col, row.columns)))).alias("measure", "value"))
 
 
 def missingness(df: DataFrame) -> DataFrame:
     """column, missing, share."""
     row = df.agg(F.count("*").alias("n_"), *(F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in df.columns))
-    return row.select("n_", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in df.columns))).alias("r")).select("r.column", "r.missing", F.try_divide("r.missing", "n_").alias("share"))
+    return row.select(
+        "n_", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in df.columns))).alias("r")
+    ).select("r.column", "r.missing", F.try_divide("r.missing", "n_").alias("share"))
 
 
 def missing_by_target(df: DataFrame, feature: str, target: str) -> DataFrame:
@@ -210,8 +291,21 @@ def imbalance(df: DataFrame, target: str) -> DataFrame:
 
 
 def profile(df: DataFrame, most: int = 50) -> DataFrame:
-    """column, type, least and largest as text, number of values, and the sorted values if they are at most `most`."""
-    rows = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(c).cast("string").alias("v"), F.col(c).try_cast("double").alias("x") if t != "date" else F.lit(None).cast("double").alias("x")) for c, t in df.dtypes))).alias("r")).select("r.*").where("v IS NOT NULL")
+    """column, type, least and largest as text, number of values, and the sorted values if they are at most `most`.
+
+    Values are gathered only for the columns that have so few.
+    """
+    number = lambda c, t: F.col(c).try_cast("double") if t != "date" else F.lit(None).cast("double")
+    rows = df.select(
+        F.explode(
+            F.array(
+                *(F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(c).cast("string").alias("v"), number(c, t).alias("x")) for c, t in df.dtypes)
+            )
+        ).alias("r")
+    ).select("r.*").where("v IS NOT NULL")
     per = rows.groupBy("column", "type", "v", "x").agg(F.count("*").alias("k"))
-    ranked = per.withColumn("rk", F.row_number().over(Window.partitionBy("column").orderBy("v")))
-    return ranked.groupBy("column", "type").agg(F.coalesce(F.min("x").cast("string"), F.min("v")).alias("least"), F.coalesce(F.max("x").cast("string"), F.max("v")).alias("largest"), F.count("*").alias("cardinality"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("rk") <= most, F.col("v")))), "|").alias("v")).select("column", "type", "least", "largest", "cardinality", F.when(F.col("cardinality") <= most, F.col("v")).alias("values"))
+    least, largest = F.coalesce(F.min("x").cast("string"), F.min("v")), F.coalesce(F.max("x").cast("string"), F.max("v"))
+    out = per.groupBy("column", "type").agg(least.alias("least"), largest.alias("largest"), F.count("*").alias("cardinality"))
+    few = F.broadcast(out.where(F.col("cardinality") <= most).select("column"))  # one row a column
+    values = per.join(few, "column").groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("values"))
+    return out.join(values, "column", "left").select("column", "type", "least", "largest", "cardinality", "values")

@@ -63,7 +63,9 @@ def pin_snapshots(tables: Mapping[str, tuple[DataFrame, str]], anchor: str) -> d
 
 
 def caseload_extract(clients: DataFrame, addresses: DataFrame, deaths: DataFrame, reductions: DataFrame, orders: DataFrame, levels: DataFrame) -> DataFrame:
-    """One row for each client: address, payer's name (a client), death day, reduction, first order, list of orders, latest level.
+    """One row for each client: address, payer's name (a client), death day, reduction, first order, number of orders, latest level.
+
+    order_list() gives the orders themselves, for a join on the client.
 
     clients: client_id, name, payer_id; addresses: client_id, address; deaths: client_id, died;
     reductions: client_id, reduction_id; orders: client_id, order_id, made; levels: client_id, level, created.

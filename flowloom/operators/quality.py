@@ -23,7 +23,14 @@ def engineer_intervals(df: DataFrame, backlog_statuses: Sequence[str]) -> DataFr
     needs = legal[0]
     for c in legal[1:]:
         needs = needs | c
-    return df.select("case_id", F.datediff("dt_alloc", "dt_received").alias("days_to_alloc"), F.datediff("dt_signoff", "dt_alloc").alias("days_to_signoff"), F.col("dt_signoff").isNotNull().cast("int").alias("event_signoff"), F.coalesce(F.col("status").isin(*backlog_statuses), F.lit(False)).cast("int").alias("in_backlog"), needs.cast("int").alias("needs_legal"))
+    return df.select(
+        "case_id",
+        F.datediff("dt_alloc", "dt_received").alias("days_to_alloc"),
+        F.datediff("dt_signoff", "dt_alloc").alias("days_to_signoff"),
+        F.col("dt_signoff").isNotNull().cast("int").alias("event_signoff"),
+        F.coalesce(F.col("status").isin(*backlog_statuses), F.lit(False)).cast("int").alias("in_backlog"),
+        needs.cast("int").alias("needs_legal"),
+    )
 
 
 def derive_durations(df: DataFrame, spans: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -50,10 +57,19 @@ def engineer(df: DataFrame, only_reallocated: bool = False) -> DataFrame:
         "case_id", text("investigator").alias("investigator"), hash_id(F.col("investigator")).alias("staff_id"), text("team").alias("team"), F.coalesce(text("role"), F.lit("")).alias("role"),
         F.coalesce(number("fte"), F.lit(1.0)).alias("fte"), number("weighting").alias("weighting"), text("case_type").alias("case_type"), text("risk").alias("risk"),
         F.when(status.isin(*STATUSES), status).alias("status"), F.array_position(F.array(*map(F.lit, STATUSES)), status).cast("int").alias("status_rank"),
-        truthy(F.col("reallocated")).alias("is_reallocated"), *(parse_date(F.col(c)).alias(c) for c in dates), number("days_to_signoff").alias("given_signoff"), number("days_to_alloc").alias("given_alloc"),
+        truthy(F.col("reallocated")).alias("is_reallocated"), *(
+            parse_date(F.col(c)).alias(c)
+            for c in dates
+        ), number("days_to_signoff").alias("given_signoff"), number("days_to_alloc").alias("given_alloc"),
     )
     known = F.broadcast(typed.agg((F.count("given_signoff") == 0).alias("no_signoff"), (F.count("given_alloc") == 0).alias("no_alloc")))
-    out = typed.crossJoin(known).withColumns({"days_to_signoff": F.when(F.col("no_signoff"), F.datediff("dt_signoff", "dt_alloc")).otherwise(F.col("given_signoff")).cast("double"), "days_to_alloc": F.when(F.col("no_alloc"), F.datediff("dt_alloc", "dt_received")).otherwise(F.col("given_alloc")).cast("double"), "legal_review": F.col("dt_legal_req_1").isNotNull().cast("int")}).drop("given_signoff", "given_alloc", "no_signoff", "no_alloc")
+    out = typed.crossJoin(known).withColumns(
+        {
+            "days_to_signoff": F.when(F.col("no_signoff"), F.datediff("dt_signoff", "dt_alloc")).otherwise(F.col("given_signoff")).cast("double"),
+            "days_to_alloc": F.when(F.col("no_alloc"), F.datediff("dt_alloc", "dt_received")).otherwise(F.col("given_alloc")).cast("double"),
+            "legal_review": F.col("dt_legal_req_1").isNotNull().cast("int"),
+        }
+    ).drop("given_signoff", "given_alloc", "no_signoff", "no_alloc")
     return out.where("is_reallocated") if only_reallocated else out
 
 
@@ -89,7 +105,9 @@ def validate(df: DataFrame, contract: Mapping[str, dict]) -> DataFrame:
     for c, rule in contract.items():
         if "type" in rule:
             checks.append((c, "type", F.lit(types.get(c) != rule["type"])))
-        if c not in types:
+        if c not in types:  # no row has a value
+            if not rule.get("nullable", True):
+                checks.append((c, "null", F.lit(True)))
             continue
         if not rule.get("nullable", True):
             checks.append((c, "null", F.col(c).isNull()))
@@ -100,7 +118,11 @@ def validate(df: DataFrame, contract: Mapping[str, dict]) -> DataFrame:
         if "allowed" in rule:
             checks.append((c, "allowed", ~F.col(c).isin(*rule["allowed"])))
     row = df.agg(*(F.count(F.when(cond, 1)).alias(f"k{i}") for i, (_, _, cond) in enumerate(checks)))
-    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(n).alias("check"), F.col(f"k{i}").alias("failures")) for i, (c, n, _) in enumerate(checks)))).alias("r")).select("r.*")
+    return row.select(
+        F.explode(
+            F.array(*(F.struct(F.lit(c).alias("column"), F.lit(n).alias("check"), F.col(f"k{i}").alias("failures")) for i, (c, n, _) in enumerate(checks)))
+        ).alias("r")
+    ).select("r.*")
 
 
 def leakage_scan(df: DataFrame, keys: Sequence[str]) -> list[str]:

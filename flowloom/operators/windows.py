@@ -30,7 +30,13 @@ def allocation_gaps(df: DataFrame) -> DataFrame:
 
 def gap_summary(gaps: DataFrame, by: Sequence[str], approx: bool = False) -> DataFrame:
     q = F.percentile_approx if approx else F.percentile
-    return gaps.groupBy(*by).agg(F.count("gap_days").alias("n"), F.avg("gap_days").alias("mean"), q("gap_days", 0.5).alias("median"), q("gap_days", 0.25).alias("p25"), q("gap_days", 0.75).alias("p75"))
+    return gaps.groupBy(*by).agg(
+        F.count("gap_days").alias("n"),
+        F.avg("gap_days").alias("mean"),
+        q("gap_days", 0.5).alias("median"),
+        q("gap_days", 0.25).alias("p25"),
+        q("gap_days", 0.75).alias("p75"),
+    )
 
 
 def lag_features(df: DataFrame, c: str, k: int, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -49,7 +55,10 @@ def lag_corr(df: DataFrame, a: str, b: str, lags: Sequence[int], order: str) ->
 
 def guarded_corr(a, b):
     """Pearson correlation, null where a column is constant."""
-    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))))
+    return F.when(
+        (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0),
+        F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))),
+    )
 
 
 def lead_target(df: DataFrame, c: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:

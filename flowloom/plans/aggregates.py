@@ -12,7 +12,10 @@ from .flow import PANEL, horizon
 from .registry import query
 
 DUR = "d AS (SELECT *, dt_signoff - dt_alloc AS days, dt_alloc - dt_received AS wait FROM cases)"
-SPREAD = "count({0}) AS n, round(avg({0}), 6) AS mean, round(coalesce(stddev_samp({0}), 0), 6) AS std, min({0})::DOUBLE AS min, " + ", ".join("round(quantile_cont({0}, %s), 6) AS p%d" % (p, round(p * 100)) for p in op.QUANTILES) + ", max({0})::DOUBLE AS max"
+SPREAD = "count({0}) AS n, round(avg({0}), 6) AS mean, round(coalesce(stddev_samp({0}), 0), 6) AS std, min({0})::DOUBLE AS min, " + ", ".join(
+    "round(quantile_cont({0}, %s), 6) AS p%d" % (p, round(p * 100))
+    for p in op.QUANTILES
+) + ", max({0})::DOUBLE AS max"
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -23,28 +26,62 @@ def timed(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d).withColumns({"days": F.datediff("dt_signoff", "dt_alloc"), "wait": F.datediff("dt_alloc", "dt_received")})
 
 
-@query("a1_group_summary", f"WITH {DUR} SELECT case_type, team, round(avg(days), 6) AS mean_days, count(days) AS n_days, round(quantile_cont(wait, 0.5), 6) AS median_wait, round(sum(weighting), 6) AS load, count(DISTINCT staff_id) AS staff FROM d GROUP BY ALL")
+@query(
+    "a1_group_summary",
+    f"WITH {DUR} SELECT case_type, team, round(avg(days), 6) AS mean_days, count(days) AS n_days, round(quantile_cont(wait, 0.5), "
+    "6) AS median_wait, round(sum(weighting), 6) AS load, count(DISTINCT staff_id) AS staff FROM d GROUP BY ALL",
+)
 def a1(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(op.group_summary(timed(spark, d), ["case_type", "team"], {"mean_days": ("days", "mean"), "n_days": ("days", "count"), "median_wait": ("wait", "median"), "load": ("weighting", "sum"), "staff": ("staff_id", "nunique")}))
+    return rounded(
+        op.group_summary(
+            timed(spark, d),
+            ["case_type", "team"],
+            {
+                "mean_days": ("days", "mean"),
+                "n_days": ("days", "count"),
+                "median_wait": ("wait", "median"),
+                "load": ("weighting", "sum"),
+                "staff": ("staff_id", "nunique"),
+            },
+        )
+    )
 
 
-@query("a2_distribution", f"WITH {DUR}, l AS (SELECT 'days' AS metric, days::DOUBLE AS v FROM d UNION ALL SELECT 'wait', wait FROM d) SELECT metric, {SPREAD.format('v')} FROM l WHERE v >= 0 GROUP BY 1")
+@query(
+    "a2_distribution",
+    f"WITH {DUR}, l AS (SELECT 'days' AS metric, days::DOUBLE AS v FROM d UNION ALL SELECT 'wait', wait FROM d) SELECT metric, "
+    f"{SPREAD.format('v')} FROM l WHERE v >= 0 GROUP BY 1",
+)
 def a2(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.distribution(timed(spark, d), ["days", "wait"]))
 
 
-@query("a3_distribution_by", f"WITH {DUR}, l AS (SELECT 'days' AS metric, CASE WHEN risk <> 'BUILDING' THEN risk END AS risk, days::DOUBLE AS v FROM d UNION ALL SELECT 'wait', CASE WHEN risk <> 'BUILDING' THEN risk END, wait FROM d) SELECT metric, risk, {SPREAD.format('v')} FROM l WHERE v >= 0 GROUP BY ALL")
+@query(
+    "a3_distribution_by",
+    f"WITH {DUR}, l AS (SELECT 'days' AS metric, CASE WHEN risk <> 'BUILDING' THEN risk END AS risk, days::DOUBLE AS v FROM d UNION ALL "
+    f"SELECT 'wait', CASE WHEN risk <> 'BUILDING' THEN risk END, wait FROM d) SELECT metric, risk, {SPREAD.format('v')} FROM l WHERE v >= 0 "
+    "GROUP BY ALL",
+)
 def a3(spark: SparkSession, d: str) -> DataFrame:
     c = timed(spark, d).withColumn("risk", F.when(F.col("risk") != "BUILDING", F.col("risk")))
     return rounded(op.distribution_by(c, ["risk"], ["days", "wait"]))
 
 
-@query("a4_monthly_trend", f"WITH {DUR}, m AS (SELECT team, strftime(dt_alloc, '%Y-%m') AS month, quantile_cont(days, 0.5) AS value FROM d WHERE days IS NOT NULL GROUP BY ALL) SELECT team, month, round(value, 6) AS value, round(value - lag(value) OVER (PARTITION BY team ORDER BY month), 6) AS delta FROM m")
+@query(
+    "a4_monthly_trend",
+    f"WITH {DUR}, m AS (SELECT team, strftime(dt_alloc, '%Y-%m') AS month, quantile_cont(days, 0.5) AS value FROM d WHERE days IS NOT NULL "
+    "GROUP BY ALL) SELECT team, month, round(value, 6) AS value, round(value - lag(value) OVER (PARTITION BY team ORDER BY month), 6) AS delta "
+    "FROM m",
+)
 def a4(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.monthly_trend(timed(spark, d), "dt_alloc", "days", by=["team"]), "value", "delta")
 
 
-@query("a5_volatility", f"WITH {DUR}, m AS (SELECT case_type, date_trunc('week', dt_alloc) AS w, quantile_cont(days, 0.5) AS m FROM d WHERE days IS NOT NULL GROUP BY ALL) SELECT case_type, round(stddev_samp(m), 6) AS volatility, count(*) AS periods FROM m GROUP BY 1")
+@query(
+    "a5_volatility",
+    f"WITH {DUR}, m AS (SELECT case_type, date_trunc('week', dt_alloc) AS w, quantile_cont(days, 0.5) AS m FROM d WHERE days IS NOT NULL "
+    "GROUP BY ALL) SELECT case_type, round(stddev_samp(m), 6) AS volatility, count(*) AS periods FROM m GROUP BY 1",
+)
 def a5(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.volatility(timed(spark, d), "dt_alloc", "days", ["case_type"]), "volatility")
 
@@ -74,7 +111,10 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
     return op.arrivals(cases(spark, d), "dt_received", "case_type", "month")
 
 
-@query("a9_staffing_daily", "SELECT dt_alloc AS date, count(DISTINCT staff_id) AS staff, count(case_id) AS allocations FROM cases WHERE dt_alloc IS NOT NULL GROUP BY 1")
+@query(
+    "a9_staffing_daily",
+    "SELECT dt_alloc AS date, count(DISTINCT staff_id) AS staff, count(case_id) AS allocations FROM cases WHERE dt_alloc IS NOT NULL GROUP BY 1",
+)
 def a9(spark: SparkSession, d: str) -> DataFrame:
     return op.staffing_daily(cases(spark, d), "dt_alloc", "staff_id", "case_id")
 
@@ -84,12 +124,20 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.routing(cases(spark, d), ["case_type", "risk"], "needs_legal_review"))
 
 
-@query("a11_review_rate", f"WITH {DUR} SELECT region, round(avg(needs_legal_review), 6) AS rate, count(*) AS n, round(quantile_cont(days, 0.5), 6) AS median, round(avg(days), 6) AS mean FROM d GROUP BY 1")
+@query(
+    "a11_review_rate",
+    f"WITH {DUR} SELECT region, round(avg(needs_legal_review), 6) AS rate, count(*) AS n, round(quantile_cont(days, 0.5), 6) AS median, "
+    "round(avg(days), 6) AS mean FROM d GROUP BY 1",
+)
 def a11(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.review_rate(timed(spark, d), ["region"], "needs_legal_review", "days"))
 
 
-@query("a12_weighted_mean", "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS weighted_mean, count(*) AS n FROM lineitem GROUP BY 1", cases=False)
+@query(
+    "a12_weighted_mean",
+    "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS weighted_mean, count(*) AS n FROM lineitem GROUP BY 1",
+    cases=False,
+)
 def a12(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.weighted_mean(table(spark, d, "lineitem"), "l_discount", "l_quantity", ["l_returnflag"]))
 
@@ -112,10 +160,27 @@ SELECT greatest(1, len(list_filter(x, lambda v: v < l_quantity)))::INT AS bin, l
     cases=False,
 )
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    return op.binned_interaction(table(spark, d, "lineitem"), "l_quantity", "l_returnflag", "l_extendedprice", 5).withColumn("mean_target", F.round("mean_target", 4))
+    return op.binned_interaction(
+        table(spark, d, "lineitem"), "l_quantity", "l_returnflag", "l_extendedprice", 5
+    ).withColumn("mean_target", F.round("mean_target", 4))
+
+
+@query(
+    "a14_interaction_table",
+    """WITH q AS (SELECT list_sort(list_distinct([quantile_cont(l_quantity, 0.0), quantile_cont(l_quantity, 0.2), quantile_cont(l_quantity, 0.4), quantile_cont(l_quantity, 0.6), quantile_cont(l_quantity, 0.8), quantile_cont(l_quantity, 1.0)])) AS x FROM lineitem)
+SELECT greatest(1, len(list_filter(x, lambda v: v < l_quantity)))::INT AS bin, round(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A'), 4) AS a, round(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), 4) AS n, round(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'R'), 4) AS r FROM lineitem, q GROUP BY ALL""",
+    cases=False,
+)
+def a14_table(spark: SparkSession, d: str) -> DataFrame:
+    made = op.interaction_table(table(spark, d, "lineitem"), "l_quantity", "l_returnflag", "l_extendedprice", 5, ["A", "N", "R"])
+    return made.select("bin", *(F.round(c, 4).alias(c.lower()) for c in "ANR"))
 
 
-@query("a15_monthly_kpis", f"WITH {DUR} SELECT strftime(dt_received, '%Y-%m') AS month, team, arg_max(weighting, (dt_received, case_id)) AS last_backlog, round(quantile_cont(wait, 0.5), 6) AS median_duration, round(avg(needs_legal_review), 6) AS rate FROM d GROUP BY ALL")
+@query(
+    "a15_monthly_kpis",
+    f"WITH {DUR} SELECT strftime(dt_received, '%Y-%m') AS month, team, arg_max(weighting, (dt_received, case_id)) AS last_backlog, "
+    "round(quantile_cont(wait, 0.5), 6) AS median_duration, round(avg(needs_legal_review), 6) AS rate FROM d GROUP BY ALL",
+)
 def a15(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.monthly_kpis(timed(spark, d), "dt_received", "case_id", "team", "weighting", "wait", "needs_legal_review"))
 
@@ -153,18 +218,32 @@ def a18(spark: SparkSession, d: str) -> DataFrame:
     return op.aggregate_backlog(flow.open_backlog(c, AS_OF), "month", c.groupBy("case_type").agg(F.count_distinct("case_id").alias("n")))
 
 
-@query("a19_pickup_history", f"WITH {PANEL}, pu AS (SELECT team, date, sum(event_newcase)::BIGINT AS pickups FROM panel GROUP BY ALL) SELECT *, sum(pickups) OVER (PARTITION BY team ORDER BY date)::BIGINT AS cumulative FROM pu")
+@query(
+    "a19_pickup_history",
+    f"WITH {PANEL}, pu AS (SELECT team, date, sum(event_newcase)::BIGINT AS pickups FROM panel GROUP BY ALL) SELECT *, "
+    "sum(pickups) OVER (PARTITION BY team ORDER BY date)::BIGINT AS cumulative FROM pu",
+)
 def a19(spark: SparkSession, d: str) -> DataFrame:
     c = cases(spark, d)
     return op.pickup_history(flow.daily_panel(c, horizon(c)), "team")
 
 
-@query("a20_category_trend", "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1", cases=False)
+@query(
+    "a20_category_trend",
+    "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, "
+    "count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1",
+    cases=False,
+)
 def a20(spark: SparkSession, d: str) -> DataFrame:
     return op.category_trend(table(spark, d, "orders"), "o_orderdate", "o_orderstatus", ["F", "O", "P"])
 
 
-@query("a21_pre_post", "WITH n AS (SELECT CASE WHEN o_orderdate < DATE '1998-06-01' THEN 'pre' ELSE 'post' END AS period, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY period), 6) AS share FROM n", cases=False)
+@query(
+    "a21_pre_post",
+    "WITH n AS (SELECT CASE WHEN o_orderdate < DATE '1998-06-01' THEN 'pre' ELSE 'post' END AS period, o_orderpriority, count(*) AS n "
+    "FROM orders GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY period), 6) AS share FROM n",
+    cases=False,
+)
 def a21(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.pre_post(table(spark, d, "orders"), "o_orderpriority", "o_orderdate", "1998-06-01"))
 
@@ -175,15 +254,21 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
 FROM d JOIN (VALUES ('early', DATE '1995-01-01', DATE '1997-12-31'), ('late', DATE '1998-01-01', DATE '2001-12-31')) p(period, a, b) ON dt_received BETWEEN a AND b WHERE wait IS NOT NULL GROUP BY ALL""",
 )
 def a22(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(op.delay_bounds(timed(spark, d), "dt_received", "case_type", "wait", [("early", "1995-01-01", "1997-12-31"), ("late", "1998-01-01", "2001-12-31")]))
+    return rounded(
+        op.delay_bounds(timed(spark, d), "dt_received", "case_type", "wait", [("early", "1995-01-01", "1997-12-31"), ("late", "1998-01-01", "2001-12-31")])
+    )
 
 
-@query("a23_order_list", "SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1", cases=False)
+@query(
+    "a23_order_list", "SELECT o_custkey, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1", cases=False
+)
 def a23(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.joins import order_list
 
     items = order_list(table(spark, d, "orders"), "o_custkey", ["o_orderkey", "o_orderstatus"])
-    return items.select("o_custkey", F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderstatus"])), ",").alias("orders"))
+    return items.select(
+        "o_custkey", F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderstatus"])), ",").alias("orders")
+    )
 
 
 @query("a24_earliest", "SELECT staff_id, min(dt_received) AS dt_received FROM cases GROUP BY 1")
@@ -213,7 +298,12 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.overview(c, "case_id", ["dt_received"], "needs_legal_review"))
 
 
-@query("a27_missingness", "SELECT \"column\", missing, round(missing / n, 6) AS share FROM (SELECT 'dt_alloc' AS \"column\", count(*) - count(dt_alloc) AS missing, count(*) AS n FROM cases UNION ALL SELECT 'dt_close', count(*) - count(dt_close), count(*) FROM cases UNION ALL SELECT 'risk', count(*) - count(risk), count(*) FROM cases)")
+@query(
+    "a27_missingness",
+    "SELECT \"column\", missing, round(missing / n, 6) AS share FROM (SELECT 'dt_alloc' AS \"column\", count(*) - count(dt_alloc) AS missing, "
+    "count(*) AS n FROM cases UNION ALL SELECT 'dt_close', count(*) - count(dt_close), count(*) FROM cases UNION ALL SELECT 'risk', "
+    "count(*) - count(risk), count(*) FROM cases)",
+)
 def a27(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.missingness(cases(spark, d).select("dt_alloc", "dt_close", "risk")), "share")
 
@@ -223,7 +313,11 @@ def a28(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.missing_by_target(cases(spark, d), "dt_close", "needs_legal_review"), "missing_share")
 
 
-@query("a29_imbalance", "SELECT count(*) FILTER (WHERE toxic = 0) AS n0, count(*) FILTER (WHERE toxic = 1) AS n1, round(avg(toxic), 6) AS share FROM labels", cases=False)
+@query(
+    "a29_imbalance",
+    "SELECT count(*) FILTER (WHERE toxic = 0) AS n0, count(*) FILTER (WHERE toxic = 1) AS n1, round(avg(toxic), 6) AS share FROM labels",
+    cases=False,
+)
 def a29(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.imbalance(table(spark, d, "labels"), "toxic"))
 

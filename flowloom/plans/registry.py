@@ -20,7 +20,8 @@ def query(name: str, sql: str | None = None, cases: bool = True) -> Callable[[Qu
         QUERIES[name] = f
         if sql:
             s = sql.strip()
-            SQL[name] = (f"WITH {CASES},\n{s[5:]}" if s.startswith("WITH ") else f"WITH {CASES}\n{s}") if cases else s
+            head = next((h for h in ("WITH RECURSIVE ", "WITH ") if s.startswith(h)), None)
+            SQL[name] = s if not cases else f"{head}{CASES},\n{s[len(head) :]}" if head else f"WITH {CASES}\n{s}"
         return f
 
     return add
