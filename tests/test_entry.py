@@ -7,7 +7,18 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One of each kind; the driver runs them all.
-NAMES = ["t3_wip_series", "t7_open_backlog", "a6_monthly_interval_stats", "j7_caseload_extract", "q2_spearman", "q17_km_quantiles", "k4_k_anonymise", "w7_lag_corr", "p2_parse_date", "t11_stop_flow"]
+NAMES = [
+    "t3_wip_series",
+    "t7_open_backlog",
+    "a6_monthly_interval_stats",
+    "j7_caseload_extract",
+    "q2_spearman",
+    "q17_km_quantiles",
+    "k4_k_anonymise",
+    "w7_lag_corr",
+    "p2_parse_date",
+    "t11_stop_flow",
+]
 
 
 def test_entry(spark):

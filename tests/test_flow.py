@@ -15,8 +15,14 @@ D = dt.date
 
 @pytest.fixture(scope="module")
 def small(spark):
-    rows = [("C1", "S1", "T1", 1.0, D(2025, 1, 1), D(2025, 1, 2), None, D(2025, 1, 6), None, None, None), ("C2", "S2", "T1", 0.8, D(2025, 1, 2), D(2025, 1, 3), D(2025, 1, 8), None, D(2025, 1, 4), None, None)]
-    return spark.createDataFrame(rows, "case_id string, staff_id string, team string, fte double, dt_received date, dt_alloc date, dt_signoff date, dt_close date, dt_legal_req_1 date, dt_legal_approval date, dt_date_of_order date").cache()
+    rows = [
+        ("C1", "S1", "T1", 1.0, D(2025, 1, 1), D(2025, 1, 2), None, D(2025, 1, 6), None, None, None),
+        ("C2", "S2", "T1", 0.8, D(2025, 1, 2), D(2025, 1, 3), D(2025, 1, 8), None, D(2025, 1, 4), None, None),
+    ]
+    return spark.createDataFrame(
+        rows,
+        "case_id string, staff_id string, team string, fte double, dt_received date, dt_alloc date, dt_signoff date, dt_close date, dt_legal_req_1 date, dt_legal_approval date, dt_date_of_order date",
+    ).cache()
 
 
 def test_horizon_and_events(small):
@@ -53,14 +59,21 @@ def test_sweep_equals_explode(spark):
 
 def test_flow_balances(spark):
     c = cases(spark, SF)
-    m = c.agg(F.min("dt_received").alias("a"), F.max("dt_received").alias("b")).select(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH"))).alias("m")).select(F.last_day("m").alias("month_end"))
+    m = c.agg(F.min("dt_received").alias("a"), F.max("dt_received").alias("b")).select(
+        F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH"))).alias("m")
+    ).select(F.last_day("m").alias("month_end"))
     f = flow.flow(flow.month_end_snapshots(c, m)).orderBy("month_end").collect()
     assert all(b.active - a.active == b.entered - b.exited for a, b in zip(f, f[1:]))
 
 
 def test_messy_dates(spark):
     texts = ["1st Jan 2025", "unknown", None, "  02/01/2025  ", "45786", "31/02/2025", "2020-02-01", "01/13/2025", "2025", "3 March 2024", "x"]
-    got = [r.d for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fn.parse_date(F.col("t")).alias("d")).orderBy("i").collect()]
+    got = [
+        r.d
+        for r in spark.createDataFrame(
+            [(i, t) for i, t in enumerate(texts)], "i int, t string"
+        ).select("i", fn.parse_date(F.col("t")).alias("d")).orderBy("i").collect()
+    ]
     assert got == [D(2025, 1, 1), None, None, D(2025, 1, 2), D(2025, 5, 9), None, D(2020, 2, 1), D(2025, 1, 13), None, D(2024, 3, 3), None]
 
 

@@ -27,7 +27,9 @@ def test_embeddings_take_part_whole(spark):
 
 def test_pickup_quantiles_of_busy_keys(spark):
     """Counts whose mass at zero is below the least number."""
-    panel = spark.range(1000).select(F.lit("t").alias("team"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit(1800).alias("event_newcase"))
+    panel = spark.range(1000).select(
+        F.lit("t").alias("team"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit(1800).alias("event_newcase")
+    )
     r = models.pickup_predictive(panel, "team").first()
     spread = 1.645 * (r.mean * (1 + 1 / 1001)) ** 0.5
     assert abs(r.p5 - (r.mean - spread)) < 3 and abs(r.p95 - (r.mean + spread)) < 3
