@@ -2,12 +2,14 @@
 
 Terms are learned from labelled rows: whole words of any length, and stems, word beginnings that
 toxic documents hold far more often than others, taken at the deepest trie node that keeps their
-support, so that an inflected family is found by one stem. The terms form a trie. A Levenshtein
+support, so that an inflected family is found by one stem; weak stems too if two or more words of the
+family in one document tell. The terms form a trie. A Levenshtein
 automaton of a word (letters left out, put in, changed, or two neighbours swapped) is intersected
 with the trie by walking (node, position, edits) states; a state that has used all edits follows one
 path only, so a word that matches nothing is dropped after a few steps. Words under five letters
 must match a term exactly, others may have one edit; so may the beginning of a word against a stem
-of five letters or more. A hit's context window (words and quotation marks about it) tells quotation
+of five letters or more. A misspelled whole term counts as most of a hit (NEAR), a misspelled stem,
+which chance meets more often, as a feature of its own. A hit's context window (words and quotation marks about it) tells quotation
 from abuse. A logistic model over hit counts makes the score.
 
 Learning takes at most `per_class` labelled rows of each class, those with the least hash of the id:
@@ -18,8 +20,8 @@ is often copied would pass its own rare words off as terms. Scoring takes every
 Defined cases: null and empty texts have no hits and get the model's score for that. Rows with a
 null id are scored and are never learned from. A document labelled twice is toxic if any label says
 so; null labels do not count. With fewer than two classes to learn from, the score is the base rate
-(0 without labels). Stems have at most STEM letters, longer words are learned whole. Extra columns
-are not read.
+(0 without labels). Stems have STEM_LEAST to STEM letters; words of any length are learned whole.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -45,9 +47,11 @@ QUOTES = frozenset("\"“”„«»‹›")
 REPORTS = frozenset("said says say wrote writes quoted quote called calling reported reads sagte schrieb zitat nannte dit écrit cité appelé dijo escribió cita llamó".split())
 #: Words that address a reader.
 ADDRESS = frozenset("you your yours youre du dich dein ihr euch tu toi vous ton votre tú usted eres tus".split())
-FEATURES = ("exact", "near", "weak", "quoted", "addressed", "density")
+FEATURES = ("hits", "bent", "weak", "quoted", "addressed", "density")
+#: What a misspelled whole term counts, as a share of a hit.
+NEAR = 0.75
 #: Letters of a stem, at most: every beginning of a word is counted, so this bounds what a very long word costs.
-STEM = 40
+STEM_LEAST, STEM = 3, 40
 #: Letters that a word and a stem need to be matched with an edit.
 EDITED = 5
 WINDOW = 6
@@ -68,32 +72,36 @@ class Lexicon:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = stem
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, tuple[int, int]] = {}
 
     def edits(self, word: str) -> int:
         """Edits from the word to its nearest term, 9 if there is none within reach."""
+        return min(self.match(word))
+
+    def match(self, word: str) -> tuple[int, int]:
+        """Edits from the word to its nearest whole term, and from its beginning to the nearest stem."""
         found = self.memo.get(word)
         if found is None:
             if len(self.memo) >= _MEMO:
                 self.memo.clear()
             found = self._search(word, 0)
-            if found and len(word) >= EDITED:
+            if min(found) and len(word) >= EDITED:
                 found = self._search(word, 1)
             self.memo[word] = found
         return found
 
-    def _search(self, word: str, most: int) -> int:
+    def _search(self, word: str, most: int) -> tuple[int, int]:
         """States: trie node, its depth, letters read, edits used."""
-        n, best = len(word), 9
+        n, whole, begun = len(word), 9, 9
         stack = [(self.root, 0, 0, 0)]
         while stack:
             node, depth, i, e = stack.pop()
             while True:
                 end = node.get("")
                 if end and (not e or depth >= EDITED):  # a stem: the word may go on
-                    best = min(best, e)
+                    begun = min(begun, e)
                 elif end is False and e + n - i <= most:
-                    best = min(best, e + n - i)
+                    whole = min(whole, e + n - i)
                 if e < most:
                     if i < n:
                         stack.append((node, depth, i + 1, e + 1))  # a letter put in
@@ -108,9 +116,9 @@ class Lexicon:
                 if node is None:
                     break
                 i, depth = i + 1, depth + 1
-            if not best:
+            if not min(whole, begun):
                 break
-        return best
+        return whole, begun
 
 
 class Scorer:
@@ -127,24 +135,31 @@ class Scorer:
         if not any(map(self.hit, words)):
             return [0.0] * len(FEATURES)
         pieces = PIECE.findall(text.lower())
-        exact = near = quoted = addressed = 0
+        exact = near = bent = quoted = addressed = 0
         weak: set[str] = set()
         inside = False
         for k, w in enumerate(pieces):
             if w in QUOTES:
                 inside = not inside
                 continue
-            e = self.strong.edits(w)
-            if e > 1:
-                if self.weak.edits(w) == 0:
-                    weak.add(w)
+            whole, begun = self.strong.match(w)
+            if min(whole, begun) == 0:
+                exact += 1
+            elif self.weak.edits(w) == 0:
+                weak.add(w)
+                continue
+            elif min(whole, begun) > 1:
+                continue
+            elif whole == 1:
+                near += 1
+            else:
+                bent += 1
                 continue
             about = pieces[max(0, k - WINDOW) : k] + pieces[k + 1 : k + 1 + WINDOW]
-            exact += e == 0
-            near += e == 1
             quoted += (inside and any(x in QUOTES for x in pieces[k + 1 : k + 40])) or any(x in REPORTS for x in about)
             addressed += any(x in ADDRESS for x in about)
-        return [*map(math.log1p, (exact, near, 100 * len(weak) / len(words), quoted, addressed)), (exact + near) / len(words)]
+        hits = exact + NEAR * near
+        return [*map(math.log1p, (hits, bent, 100 * len(weak) / len(words), quoted, addressed)), hits / len(words)]
 
 
 def _sign(doc_id: int, text: str | None) -> int:
@@ -161,21 +176,24 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of each class whose texts hold a word beginning (docs), or a word (whole). Rows come sorted by signature and class."""
+    """Signatures of each class whose texts hold a word beginning (docs), two words with it (pairs), or a word (whole). Rows come sorted by signature and class."""
     docs: Counter = Counter()
+    pairs: Counter = Counter()
     whole: Counter = Counter()
     now, words = None, set()
 
     def close() -> None:
         whole.update((w, now[1]) for w in words)
-        docs.update((p, now[1]) for p in {w[:n] for w in words for n in range(1, min(STEM, len(w)) + 1)})
+        held = Counter(w[:n] for w in words for n in range(STEM_LEAST, min(STEM, len(w)) + 1))
+        docs.update((p, now[1]) for p in held)
+        pairs.update((p, now[1]) for p, n in held.items() if n > 1)
 
     def rows() -> pa.RecordBatch:
         keys = list(docs.keys() | whole.keys())
-        out = pa.RecordBatch.from_pydict({"term": [k[0] for k in keys], "toxic": [k[1] for k in keys], "docs": [docs[k] for k in keys], "whole": [whole[k] for k in keys]}, schema=pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("docs", pa.int64()), ("whole", pa.int64())]))
-        docs.clear()
-        whole.clear()
-        return out
+        columns = {"term": [k[0] for k in keys], "toxic": [k[1] for k in keys], **{n: [c[k] for k in keys] for n, c in (("docs", docs), ("pairs", pairs), ("whole", whole))}}
+        for c in (docs, pairs, whole):
+            c.clear()
+        return pa.RecordBatch.from_pydict(columns, schema=pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("docs", pa.int64()), ("pairs", pa.int64()), ("whole", pa.int64())]))
 
     for batch in batches:
         for text, toxic, sign in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "sign")), strict=True):
@@ -191,8 +209,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def choose_terms(rows: list[tuple[str, int, int, int, int]], toxic: int, other: int, precision: float) -> dict[str, bool]:
-    """Terms, True for stems. rows: beginning, toxic and other documents that hold it, toxic and other documents with it as a whole word."""
+def choose_terms(rows: list[tuple], toxic: int, other: int, precision: float, families: bool = False) -> dict[str, bool]:
+    """Terms, True for stems. rows: beginning, toxic and other documents that hold it, with it as a whole word, with two words of it (counted with families)."""
     base = toxic / max(toxic + other, 1)
 
     def tells(a: int, b: int) -> bool:
@@ -200,7 +218,7 @@ def choose_terms(rows: list[tuple[str, int, int, int, int]], toxic: int, other:
         evidence = sum(n * math.log(n / (a + b) / p) for n, p in ((a, base), (b, 1 - base)) if n)
         return a / max(toxic, 1) >= precision / (1 - precision) * b / max(other, 1) and evidence >= LEAST_EVIDENCE
 
-    good = {t: (a, w) for t, a, b, w, _ in rows if a >= 3 and tells(a, b)}
+    good = {t: (a, w) for t, a, b, w, _, a2, b2 in rows if a >= 3 and (tells(a, b) or families and a2 >= 3 and tells(a2, b2))}
     below: dict[str, list[str]] = {}
     for t in good:
         below.setdefault(t[:-1], []).append(t)
@@ -215,7 +233,7 @@ def choose_terms(rows: list[tuple[str, int, int, int, int]], toxic: int, other:
             t = max(longer, key=lambda u: good[u][0])
         terms[t] = good[t][1] < 0.5 * good[t][0]
     stems = {t for t, stem in terms.items() if stem}
-    for t, _, _, w, v in rows:  # words that tell though their beginnings do not, and those that no stem reaches
+    for t, _, _, w, v, _, _ in rows:  # words that tell though their beginnings do not, and those that no stem reaches
         if w >= 3 and t not in terms and tells(w, v) and not any(t[:n] in stems for n in range(1, len(t) + 1)):
             terms[t] = False
     return terms
@@ -279,19 +297,19 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0
         """The test of choose_terms, with room for rounding: all that pass are collected."""
         return (a >= 3) & (a / max(toxic, 1) >= weak_precision / (1 - weak_precision) * b / max(other, 1) - 1e-9) & (share(a, a + b, base) + share(b, a + b, 1 - base) >= LEAST_EVIDENCE - 1e-6)
 
-    sums = {n: F.sum(F.when(F.col("toxic") == c, F.col(of)).otherwise(0)) for n, c, of in (("a", 1, "docs"), ("b", 0, "docs"), ("w", 1, "whole"), ("v", 0, "whole"))}
+    sums = {n: F.sum(F.when(F.col("toxic") == c, F.col(of)).otherwise(0)) for n, c, of in (("a", 1, "docs"), ("b", 0, "docs"), ("w", 1, "whole"), ("v", 0, "whole"), ("a2", 1, "pairs"), ("b2", 0, "pairs"))}
     counts = (
         sample.repartition("sign", "toxic")
         .sortWithinPartitions("sign", "toxic")
         .select("text", "toxic", "sign")
-        .mapInArrow(_terms, "term string, toxic int, docs bigint, whole bigint")
+        .mapInArrow(_terms, "term string, toxic int, docs bigint, pairs bigint, whole bigint")
         .groupBy("term")
         .agg(*(c.alias(n) for n, c in sums.items()))
-        .where(told(F.col("a"), F.col("b")) | told(F.col("w"), F.col("v")))
+        .where(told(F.col("a"), F.col("b")) | told(F.col("w"), F.col("v")) | told(F.col("a2"), F.col("b2")))
         .orderBy("term")
     )
-    rows = [(r.term, r.a, r.b, r.w, r.v) for r in counts.collect()]
-    strong, weak = (choose_terms(rows, toxic, other, p) for p in (precision, weak_precision))
+    rows = [(r.term, r.a, r.b, r.w, r.v, r.a2, r.b2) for r in counts.collect()]
+    strong, weak = choose_terms(rows, toxic, other, precision), choose_terms(rows, toxic, other, weak_precision, families=True)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Scorer(strong, weak)
