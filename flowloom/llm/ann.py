@@ -135,17 +135,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
 
     def usable(df: DataFrame) -> DataFrame:
         e = F.transform(F.col("embedding").cast("array<double>"), lambda v: v)
-        df = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), e.alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0))
+        df = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), e.alias("e")).where(
+            F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0)
+        )
         return df.where(F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0))
 
     def classes(df: DataFrame) -> DataFrame:
         """Each distinct vector with its least k + 1 ids; the rank filter limits groups before the shuffle."""
         w = Window.partitionBy("e").orderBy("vec_id")
-        return df.distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).groupBy("e").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+        return df.distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).groupBy("e").agg(
+            F.array_sort(F.collect_list("vec_id")).alias("ids")
+        )
 
     good = usable(vectors)
     indexed = stored(classes(good).select(F.col("ids")[0].alias("least"), "ids", "e", F.size("e").alias("dim")), "vectors")
-    sizes = indexed.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v))).alias("top")).orderBy(F.desc("n"), "dim").first()
+    sizes = indexed.groupBy("dim").agg(
+        F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v))).alias("top")
+    ).orderBy(F.desc("n"), "dim").first()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if sizes is None:
         return spark.createDataFrame([], schema)
@@ -169,21 +175,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
             p = hasher.points(x)
             for t in range(hasher.tables):
                 code = hasher.codes(np.floor(hasher.places(p, t)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), batch.column("least"), batch.column("ids"), batch.column("e")], names=["t", "code", "least", "ids", "e"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(x), t, np.int32)), pa.array(code), batch.column("least"), batch.column("ids"), batch.column("e")],
+                    names=["t", "code", "least", "ids", "e"],
+                )
 
     entries = indexed.select("least", "ids", "e").mapInArrow(hashed, "t int, code bigint, least bigint, ids array<bigint>, e array<double>")
     largest = entries.groupBy("t", "code").count().agg(F.max("count")).first()[0] or 0
     salts = max(1, -(-largest // BUCKET_ROWS))
 
     def task_of(t: int, code: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
-        mixed = (np.asarray(code, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.uint64((t * 8191 + 1) * 0xC2B2AE3D27D4EB4F % 2**64)) ^ (np.asarray(salt, np.int64).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+        mixed = (
+            np.asarray(code, np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        ) ^ (np.uint64((t * 8191 + 1) * 0xC2B2AE3D27D4EB4F % 2**64)) ^ (np.asarray(salt, np.int64).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
         return ((mixed >> np.uint64(33)) % np.uint64(tasks)).astype(np.int32)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in hashed(batches):
             t, code, least = (batch.column(c).to_numpy() for c in ("t", "code", "least"))
             task = task_of(int(t[0]), code, least % salts)
-            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(np.zeros(len(t), np.int32)), batch.column("least"), pa.array([[v] for v in code], pa.list_(pa.int64())), batch.column("t"), batch.column("ids"), batch.column("e")], names=NAMES)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(task),
+                    pa.array(np.zeros(len(t), np.int32)),
+                    batch.column("least"),
+                    pa.array([[v] for v in code], pa.list_(pa.int64())),
+                    batch.column("t"),
+                    batch.column("ids"),
+                    batch.column("e"),
+                ],
+                names=NAMES,
+            )
 
     def sent(template: np.ndarray | None):
         """Queries with the buckets that they probe in a task; without a template, with none for all tasks of the first table."""
@@ -209,7 +231,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
                             ends = np.r_[starts, len(codes)].astype(np.int32)
                         m = len(task)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(task), pa.array(np.ones(m, np.int32)), pa.array(np.full(m, q[n])), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)), pa.array(np.full(m, t, np.int32)), pa.array([[]] * m, pa.list_(pa.int64())), batch.column("e").take(pa.array(np.full(m, n)))],
+                            [
+                                pa.array(task),
+                                pa.array(np.ones(m, np.int32)),
+                                pa.array(np.full(m, q[n])),
+                                pa.ListArray.from_arrays(pa.array(ends), pa.array(codes)),
+                                pa.array(np.full(m, t, np.int32)),
+                                pa.array([[]] * m, pa.list_(pa.int64())),
+                                batch.column("e").take(pa.array(np.full(m, n))),
+                            ],
                             names=NAMES,
                         )
 
@@ -276,7 +306,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
                     cut = cut[np.lexsort((least[cut], -row[cut]))][: k + 1]
                     out += [(asked[n][0], row[i], ids[i]) for i in cut]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["q", "score", "ids"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([o[0] for o in out], pa.int64()),
+                            pa.array([o[1] for o in out], pa.float64()),
+                            pa.array([o[2] for o in out], pa.list_(pa.int64())),
+                        ],
+                        names=["q", "score", "ids"],
+                    )
             asked.clear()
 
         for batch in batches:
@@ -314,7 +351,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
         short = stored(asked.join(got, "q", "left").where(F.coalesce("got", F.lit(0)) < owed).select("q", "e"), "short")
         if not short.isEmpty():  # these visit every bucket
             lists = lists.join(short, "q", "left_anti").unionByName(best(short, None))
-    ranked = lists.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
+    ranked = lists.select("q", "score", F.explode("ids").alias("vec_id")).withColumn(
+        "n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    ).where(F.col("n") <= k + 1)
     asked_by = asked_rows.join(asked, "e").select(F.col("vec_id").alias("query_id"), "q")
     each = asked_by.join(ranked.select("q", "score", "vec_id"), "q").where(F.col("vec_id") != F.col("query_id"))
     final = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)

@@ -58,7 +58,15 @@ class _Memo(dict):
 def _refuse(spec: dict) -> None:
     """Only byte-level BPE that cuts texts by PATTERN is encoded as the library does."""
     model, cut = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    plain = {
+        "dropout": None,
+        "unk_token": None,
+        "continuing_subword_prefix": None,
+        "end_of_word_suffix": None,
+        "fuse_unk": False,
+        "byte_fallback": False,
+        "ignore_merges": False,
+    }
     wrong = [k for k, v in plain.items() if (model.get(k) or None) != (v or None)]
     if spec.get("normalizer"):
         wrong.append("normalizer")

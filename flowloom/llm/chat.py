@@ -47,7 +47,9 @@ NAMES = {
 ROLE_OF = {n: r for r, names in enumerate(NAMES.values()) for n in names}
 _NAME = "|".join(sorted(map(re.escape, ROLE_OF), key=len, reverse=True))
 #: Marker forms: <|name|>, ### name, [name] or **name**:, name: or name>.
-MARKER = re.compile(rf"^\s*(?:<\|(?P<a>{_NAME})\|>|\#{{1,4}}\s*(?P<b>{_NAME})\s*:?\s*$|\[(?P<c>{_NAME})\]:?|\*\*(?P<d>{_NAME}):?\*\*:?|(?P<e>{_NAME})\s*[:>])[ \t]?", re.I)
+MARKER = re.compile(
+    rf"^\s*(?:<\|(?P<a>{_NAME})\|>|\#{{1,4}}\s*(?P<b>{_NAME})\s*:?\s*$|\[(?P<c>{_NAME})\]:?|\*\*(?P<d>{_NAME}):?\*\*:?|(?P<e>{_NAME})\s*[:>])[ \t]?", re.I
+)
 FORMS = "abcde"
 #: Sizes of the features: named role (last: none), form (last: none), blank before, question, length class.
 SIZES = (len(ROLES) + 1, len(FORMS) + 1, 2, 2, 4)
@@ -144,7 +146,13 @@ def _placed(lines: DataFrame) -> DataFrame:
     """Lines that have a place, with their segment."""
     seg = F.col("seg") if "seg" in lines.columns else F.floor(F.col("line_no") / SEGMENT)
     more = [c for c in ("role", "first") if c in lines.columns]
-    return lines.where(F.col("conv_id").isNotNull() & F.col("line_no").isNotNull()).select(F.col("conv_id").cast("bigint").alias("conv_id"), seg.cast("bigint").alias("seg"), F.col("line_no").cast("bigint").alias("line_no"), F.coalesce("line", F.lit("")).alias("line"), *more)
+    return lines.where(F.col("conv_id").isNotNull() & F.col("line_no").isNotNull()).select(
+        F.col("conv_id").cast("bigint").alias("conv_id"),
+        seg.cast("bigint").alias("seg"),
+        F.col("line_no").cast("bigint").alias("line_no"),
+        F.coalesce("line", F.lit("")).alias("line"),
+        *more,
+    )
 
 
 def own_markers(lines: DataFrame) -> DataFrame:
@@ -158,7 +166,13 @@ def own_markers(lines: DataFrame) -> DataFrame:
                     key = (place[0], *m[:2])
                     found[key] = min(found.get(key, (place[1], place[2])), (place[1], place[2]))
             yield pa.RecordBatch.from_pydict(
-                {"conv_id": [k[0] for k in found], "role": [k[1] for k in found], "style": [k[2] for k in found], "seg": [v[0] for v in found.values()], "line_no": [v[1] for v in found.values()]},
+                {
+                    "conv_id": [k[0] for k in found],
+                    "role": [k[1] for k in found],
+                    "style": [k[2] for k in found],
+                    "seg": [v[0] for v in found.values()],
+                    "line_no": [v[1] for v in found.values()],
+                },
                 schema=pa.schema([("conv_id", pa.int64()), ("role", pa.int32()), ("style", pa.string()), ("seg", pa.int64()), ("line_no", pa.int64())]),
             )
 
@@ -181,7 +195,13 @@ def _ready(lines: DataFrame) -> DataFrame:
     blank = F.col("line").rlike("^[ \\t\\r\\n\\x0B\\f]*$")
     edges = rows.groupBy("conv_id", "seg").agg(F.max_by(blank, F.struct("line_no", "line")).alias("blank"))
     w = Window.partitionBy("conv_id").orderBy("seg")  # one row a segment
-    edges = edges.select("conv_id", "seg", F.coalesce(F.lag("blank").over(w), F.lit(False)).alias("after_blank"), (F.row_number().over(w) == 1).alias("opens"), (F.count("*").over(Window.partitionBy("conv_id")) > 1).alias("long"))
+    edges = edges.select(
+        "conv_id",
+        "seg",
+        F.coalesce(F.lag("blank").over(w), F.lit(False)).alias("after_blank"),
+        (F.row_number().over(w) == 1).alias("opens"),
+        (F.count("*").over(Window.partitionBy("conv_id")) > 1).alias("long"),
+    )
     none = F.array(*[F.lit(None).cast("string")] * len(ROLES))
     edges = edges.join(own_markers(rows), "conv_id", "left").withColumn("own", F.coalesce("own", none))
     return rows.join(stored(edges, "segments"), ["conv_id", "seg"])
@@ -209,7 +229,9 @@ def fit(labelled: DataFrame) -> Hmm:
                     counts.update((f, state, v) for f, v in enumerate(seen))
                     prior = state
         keys = list(counts)
-        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([counts[k] for k in keys], pa.int64())], names=["f", "a", "b", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([counts[k] for k in keys], pa.int64())], names=["f", "a", "b", "n"]
+        )
 
     starts, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), [np.zeros((STATES, s)) for s in SIZES]
     counted = _dealt(_ready(labelled), "own", "after_blank", "opens", "role", "first").mapInArrow(count, "f int, a int, b int, n bigint")
@@ -243,7 +265,10 @@ def parse(lines: DataFrame, model: Hmm) -> DataFrame:
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _segments(batches):
             m = model.transfer(scores(part), part[0][6])
-            yield pa.RecordBatch.from_pydict({"conv_id": [part[0][0]], "seg": [part[0][1]], "m": [m.ravel().tolist()]}, schema=pa.schema([("conv_id", pa.int64()), ("seg", pa.int64()), ("m", pa.list_(pa.float64()))]))
+            yield pa.RecordBatch.from_pydict(
+                {"conv_id": [part[0][0]], "seg": [part[0][1]], "m": [m.ravel().tolist()]},
+                schema=pa.schema([("conv_id", pa.int64()), ("seg", pa.int64()), ("m", pa.list_(pa.float64()))]),
+            )
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
         """The states at the segment ends of one conversation, from one matrix for each segment."""
@@ -271,7 +296,12 @@ def parse(lines: DataFrame, model: Hmm) -> DataFrame:
             states = np.array(model.decode(scores(part), part[0][6], part[0][7]))
             first = states % 2 == 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in part], pa.int64()) for k in range(3)] + [pa.array([body_of(r[3], s // 2, r[4]) if s % 2 == 0 else r[3] for r, s in zip(part, states.tolist(), strict=True)], pa.string()), pa.array([ROLES[s // 2] for s in states], pa.string()), pa.array(first), pa.array(first.cumsum(), pa.int64())],
+                [pa.array([r[k] for r in part], pa.int64()) for k in range(3)] + [
+                    pa.array([body_of(r[3], s // 2, r[4]) if s % 2 == 0 else r[3] for r, s in zip(part, states.tolist(), strict=True)], pa.string()),
+                    pa.array([ROLES[s // 2] for s in states], pa.string()),
+                    pa.array(first),
+                    pa.array(first.cumsum(), pa.int64()),
+                ],
                 names=["conv_id", "seg", "line_no", "line", "role", "first", "nth"],
             )
 
@@ -280,12 +310,16 @@ def parse(lines: DataFrame, model: Hmm) -> DataFrame:
     opened = found.groupBy("conv_id", "seg").agg(F.max("nth").alias("n"))
     w = Window.partitionBy("conv_id").orderBy("seg")
     offset = opened.select("conv_id", "seg", (F.sum("n").over(w) - F.col("n")).alias("offset"))
-    return found.join(offset, ["conv_id", "seg"]).select("conv_id", "seg", "line_no", "line", "role", "first", (F.col("offset") + F.col("nth") - 1).alias("turn"))
+    return found.join(offset, ["conv_id", "seg"]).select(
+        "conv_id", "seg", "line_no", "line", "role", "first", (F.col("offset") + F.col("nth") - 1).alias("turn")
+    )
 
 
 def render(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, role, n_lines, rendered: each turn as <|role|>, its text, <|end|>."""
-    turns = parsed.groupBy("conv_id", "turn").agg(F.first("role").alias("role"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("seg", "line_no", "line"))).alias("rows"))
+    turns = parsed.groupBy("conv_id", "turn").agg(
+        F.first("role").alias("role"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("seg", "line_no", "line"))).alias("rows")
+    )
     text = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")  # without the nulls
     return turns.select("conv_id", "turn", "role", "n_lines", F.concat(F.lit("<|"), "role", F.lit("|>\n"), text, F.lit("\n<|end|>")).alias("rendered"))
 
@@ -295,15 +329,26 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
     A conversation has one of five marker forms and one name for each role; an eighth of the turns lack the marker.
     """
-    turns = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")
+    )
     copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1
     turns = turns.withColumn("seg", (F.floor(F.col("turn") / 64) * F.lit(1 << 24) + copy).cast("bigint"))
     form, pick = F.pmod(F.xxhash64("conv_id"), F.lit(5)), F.pmod(F.xxhash64("conv_id", F.lit(1)), F.lit(4)).cast("int")
     name = F.initcap(F.coalesce(*(F.when(F.col("role") == r, F.element_at(F.array(*map(F.lit, NAMES[r][:4])), pick + 1)) for r in ROLES)))
-    marker = F.when(form == 0, F.concat(name, F.lit(": "))).when(form == 1, F.concat(F.lit("### "), name, F.lit("\n"))).when(form == 2, F.concat(F.lit("["), name, F.lit("] "))).when(form == 3, F.concat(F.lit("<|"), F.lower(name), F.lit("|>\n"))).otherwise(F.concat(F.lit("**"), name, F.lit("**: ")))
+    marker = F.when(form == 0, F.concat(name, F.lit(": "))).when(form == 1, F.concat(F.lit("### "), name, F.lit("\n"))).when(form == 2, F.concat(F.lit("["), name, F.lit("] "))).when(
+        form == 3, F.concat(F.lit("<|"), F.lower(name), F.lit("|>\n"))
+    ).otherwise(F.concat(F.lit("**"), name, F.lit("**: ")))
     bare = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0
     whole = F.when(bare | name.isNull(), F.col("text")).otherwise(F.concat(marker, F.col("text")))
-    return turns.select("conv_id", "seg", "turn", "role", F.posexplode(F.split(whole, "\n"))).select("conv_id", "seg", (F.col("turn") * F.lit(1 << 24) + F.col("pos")).alias("line_no"), F.col("col").alias("line"), "role", (F.col("pos") == 0).alias("first"))
+    return turns.select("conv_id", "seg", "turn", "role", F.posexplode(F.split(whole, "\n"))).select(
+        "conv_id",
+        "seg",
+        (F.col("turn") * F.lit(1 << 24) + F.col("pos")).alias("line_no"),
+        F.col("col").alias("line"),
+        "role",
+        (F.col("pos") == 0).alias("first"),
+    )
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,34 +54,54 @@ def runs(ws: Column, width: int) -> Column:
 
 def sketches(benchmark: DataFrame, width: int, containment: float) -> DataFrame:
     """item_no, item_id, ws, width, n, size_class, least (sketch hashes that a document must hold), sketch: for each distinct text of an item."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), words(F.col("text")).alias("ws")).where(F.size("ws") > 0).distinct()
+    items = benchmark.where(F.col("item_id").isNotNull()).select(
+        F.col("item_id").cast("bigint").alias("item_id"), words(F.col("text")).alias("ws")
+    ).where(F.size("ws") > 0).distinct()
     items = items.select("item_id", "ws", F.least(F.size("ws"), F.lit(width)).alias("width"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
     each = F.coalesce(*(F.when(F.col("width") == w, hashes(F.col("hs"), w)) for w in range(1, width + 1)))
     items = items.select("item_id", "ws", "width", F.array_sort(F.array_distinct(each)).alias("all"))
     n = F.size("all")
     spared = F.floor(F.round((1 - containment) * n, 6)).cast("int")
     k = F.least(n, spared + SPARE)
-    return items.select(F.monotonically_increasing_id().alias("item_no"), "item_id", "ws", "width", n.alias("n"), F.floor(F.log2(n)).cast("int").alias("size_class"), (k - spared).alias("least"), F.slice("all", 1, k).alias("sketch"))
+    return items.select(
+        F.monotonically_increasing_id().alias("item_no"),
+        "item_id",
+        "ws",
+        "width",
+        n.alias("n"),
+        F.floor(F.log2(n)).cast("int").alias("size_class"),
+        (k - spared).alias("least"),
+        F.slice("all", 1, k).alias("sketch"),
+    )
 
 
 def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found, containment for every item found in a document."""
     items = stored(sketches(benchmark, width, containment), "items")
     # one row a size class, under 32 of them: greatest sketch hash, least length of documents, widths, sketch hashes
-    classes = items.groupBy("size_class").agg(F.max(F.element_at("sketch", -1)).alias("reach"), F.floor(F.min("n") * F.lit(containment)).alias("length"), F.collect_set("width").alias("widths"), F.sum(F.size("sketch")).alias("rows")).orderBy("size_class").collect()
+    classes = items.groupBy("size_class").agg(
+        F.max(F.element_at("sketch", -1)).alias("reach"),
+        F.floor(F.min("n") * F.lit(containment)).alias("length"),
+        F.collect_set("width").alias("widths"),
+        F.sum(F.size("sketch")).alias("rows"),
+    ).orderBy("size_class").collect()
     if not classes:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_shingles bigint, n_found bigint, containment double")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     # one row for a shingle of a document and a class that it may belong to; only widths that items have, five unless an item is shorter
     each = F.concat(*(hashes(F.col("hs"), w) for w in sorted({w for c in classes for w in c.widths})))
     hashed = texts.select("doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
-    shingles = hashed.select("doc_id", F.size("hs").alias("n_words"), F.explode(F.array_distinct(each)).alias("h")).where(F.col("h") <= max(c.reach for c in classes))
+    shingles = hashed.select(
+        "doc_id", F.size("hs").alias("n_words"), F.explode(F.array_distinct(each)).alias("h")
+    ).where(F.col("h") <= max(c.reach for c in classes))
     among = F.array(*(F.when((F.col("h") <= c.reach) & (F.col("n_words") >= c.length), c.size_class) for c in classes))
     seen = shingles.select("doc_id", "n_words", "h", F.explode(among).alias("size_class")).where("size_class IS NOT NULL")
     sketch = items.select("item_no", "n", "least", "size_class", F.explode("sketch").alias("h"))
     near = F.broadcast(sketch) if sum(c.rows for c in classes) <= BROADCAST_ROWS else sketch
     enough = F.col("n_words") >= F.floor(F.col("n") * containment)
-    found = seen.join(near, ["size_class", "h"]).where(enough).groupBy("doc_id", "item_no").agg(F.count("*").alias("held"), F.max("least").alias("least")).where(F.col("held") >= F.col("least")).select("doc_id", "item_no")
+    found = seen.join(near, ["size_class", "h"]).where(enough).groupBy("doc_id", "item_no").agg(
+        F.count("*").alias("held"), F.max("least").alias("least")
+    ).where(F.col("held") >= F.col("least")).select("doc_id", "item_no")
     # verify on the text of the candidates
     pairs = stored(found, "candidates")
     held = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("dw"))
@@ -90,9 +110,15 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, containmen
     def of(ws: str) -> Column:
         return F.coalesce(*(F.when(F.col("width") == w, runs(F.col(ws), w)) for w in range(1, width + 1)))
 
-    counted = both.select("doc_id", "item_id", of("ws").alias("mine"), of("dw").alias("theirs")).select("doc_id", "item_id", F.size("mine").cast("bigint").alias("n_shingles"), F.size(F.array_intersect("mine", "theirs")).cast("bigint").alias("n_found"))
-    best = counted.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_found", "n_shingles")).alias("b"))
-    return best.where(F.col("b.n_found") >= F.lit(containment) * F.col("b.n_shingles")).select("doc_id", "item_id", "b.n_shingles", "b.n_found", "b.containment")
+    counted = both.select("doc_id", "item_id", of("ws").alias("mine"), of("dw").alias("theirs")).select(
+        "doc_id", "item_id", F.size("mine").cast("bigint").alias("n_shingles"), F.size(F.array_intersect("mine", "theirs")).cast("bigint").alias("n_found")
+    )
+    best = counted.groupBy("doc_id", "item_id").agg(
+        F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_found", "n_shingles")).alias("b")
+    )
+    return best.where(F.col("b.n_found") >= F.lit(containment) * F.col("b.n_shingles")).select(
+        "doc_id", "item_id", "b.n_shingles", "b.n_found", "b.containment"
+    )
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,10 @@ def _stream(least: int):
         first = True
 
         def emit(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 6 + [pa.int32()], strict=True)], names=["h1", "h2", "docs", "lines", "first_doc", "first_th", "first_pos"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 6 + [pa.int32()], strict=True)],
+                names=["h1", "h2", "docs", "lines", "first_doc", "first_th", "first_pos"],
+            )
 
         for batch in batches:
             if not batch.num_rows:
@@ -102,7 +105,16 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.ones(n, dtype=bool)
             keep[np.asarray(dropped, dtype=np.int64)] = False
             maps.append(zlib.compress(np.packbits(keep).tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("n_lines"), pa.array(map(len, batch.column("dropped").to_pylist()), pa.int32()), pa.array(maps, pa.binary())], names=["doc_id", "th", "n_lines", "n_dropped", "keep"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                batch.column("th"),
+                batch.column("n_lines"),
+                pa.array(map(len, batch.column("dropped").to_pylist()), pa.int32()),
+                pa.array(maps, pa.binary()),
+            ],
+            names=["doc_id", "th", "n_lines", "n_dropped", "keep"],
+        )
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_key: int = 1, keep: str = "first") -> DataFrame:
@@ -126,9 +138,17 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, min_key: int = 1, keep: str
     )
     hit = lines.join(frequent, ["h1", "h2"])
     if keep == "first":
-        hit = hit.where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.struct(F.col("first.first_doc").alias("doc_id"), F.col("first.first_th").alias("th"), F.col("first.first_pos").alias("pos"))))
+        hit = hit.where(
+            ~F.struct("doc_id", "th", "pos").eqNullSafe(
+                F.struct(F.col("first.first_doc").alias("doc_id"), F.col("first.first_th").alias("th"), F.col("first.first_pos").alias("pos"))
+            )
+        )
     dropped = hit.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("dropped"))
-    sizes = texts.select("doc_id", "th", (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    sizes = texts.select(
+        "doc_id",
+        "th",
+        (F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
+    )
     sizes = sizes.groupBy(F.col("doc_id").alias("id_"), F.col("th").alias("th_")).agg(F.max("n_lines").cast("int").alias("n_lines"))
     same = dropped["doc_id"].eqNullSafe(F.col("id_")) & (dropped["th"] == F.col("th_"))
     return (
@@ -158,7 +178,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [kept_text(*x) for x in zip(batch.column("text").to_pylist(), batch.column("keep_").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([hashlib.sha256(x[0].encode()).hexdigest() for x in rows], pa.string())],
+            [
+                batch.column("doc_id"),
+                pa.array([x[1] for x in rows], pa.int64()),
+                pa.array([x[2] for x in rows], pa.int64()),
+                pa.array([hashlib.sha256(x[0].encode()).hexdigest() for x in rows], pa.string()),
+            ],
             names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
         )
 

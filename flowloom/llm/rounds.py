@@ -59,7 +59,9 @@ def large(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def exchange(state: DataFrame, ask: Ask, answer: Answer, parts: int, apply: Callable[[dict, dict, dict], Iterator], schema: pa.Schema, blocks: int) -> tuple[DataFrame, str, np.ndarray]:
+def exchange(
+    state: DataFrame, ask: Ask, answer: Answer, parts: int, apply: Callable[[dict, dict, dict], Iterator], schema: pa.Schema, blocks: int
+) -> tuple[DataFrame, str, np.ndarray]:
     """One round over a state of block, data (a packed dictionary).
 
     apply(block, answers by partition, before) yields a new dictionary, or columns of another schema.
@@ -74,14 +76,20 @@ def exchange(state: DataFrame, ask: Ask, answer: Answer, parts: int, apply: Call
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 rows = [(p, block, dump(columns)) for p, _, columns in ask(load(data))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["part", "block", "data"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary()), strict=True)],
+                        names=["part", "block", "data"],
+                    )
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(part: int, blocks: list[str], got: list[tuple]) -> pa.RecordBatch:
             out, numbers = answer(got)
             n = len(blocks)
             columns = [[part] * n, blocks, [dump(x) for x in out], [[int(x) for x in numbers], *[None] * (n - 1)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["part", "block", "data", "numbers"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64())), strict=True)],
+                names=["part", "block", "data", "numbers"],
+            )
 
         at, blocks, got = None, [], []
         for batch in batches:

@@ -298,7 +298,16 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
             for t in range(each.shape[1]):
                 for r, order in enumerate(orders):
                     lead = turned(each[:, t], order) >> np.uint64(64 - width[r])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), t * len(orders) + r, np.int32)), pa.array(lead.view(np.int64)), node, batch.column("prints"), *map(batch.column, extra)], names=["path", "lead", "node", "prints", *extra])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(each), t * len(orders) + r, np.int32)),
+                            pa.array(lead.view(np.int64)),
+                            node,
+                            batch.column("prints"),
+                            *map(batch.column, extra),
+                        ],
+                        names=["path", "lead", "node", "prints", *extra],
+                    )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -352,7 +361,9 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
         a, b = node[i[kept]], node[j[kept]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits[kept])], names=["a", "b", "bits"])
 
-    dealt = prints.select("node", "prints", *extra).mapInArrow(deal, "path int, lead bigint, node bigint, prints array<bigint>" + ", place bigint, size int" * bool(extra))
+    dealt = prints.select("node", "prints", *extra).mapInArrow(
+        deal, "path int, lead bigint, node bigint, prints array<bigint>" + ", place bigint, size int" * bool(extra)
+    )
     return dealt.repartition("path", "lead").mapInArrow(walk, "a bigint, b bigint, bits int").distinct()
 
 
@@ -410,7 +421,10 @@ def prefix_links(prints: DataFrame, sets: Sets, similarity: float, parts: int) -
                 order = np.argsort(part, kind="stable")
                 cuts = np.flatnonzero(np.diff(part[order])) + 1
                 rows = [(int(part[g[0]]), *(c[g].tobytes() for c in columns)) for g in np.split(order, cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["part", "token", "node", "place", "size", "rank"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)],
+                    names=["part", "token", "node", "place", "size", "rank"],
+                )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list[bytes]]] = {}
@@ -474,16 +488,22 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large, half = written(both.where(F.col("v") > F.col("u")).join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")), at)
+        large, half = written(
+            both.where(F.col("v") > F.col("u")).join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")), at
+        )
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).unionByName(least.select("u", F.col("m").alias("v")))
         edges, at = written(small, half)
         if (now := mark(edges)) == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
 
 
 def groups(docs: DataFrame, n: int = 3, budget: int = 2, blocks: int | None = None) -> DataFrame:
@@ -513,10 +533,16 @@ def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int
     id stay.
     """
     python_batches(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"))
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id_"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_")
+    )
     ids = rows.where(F.col("id_").isNotNull())
-    copies = stored(ids.groupBy(F.sha2(F.lower("text_"), 256).alias("key"), F.length("text_").alias("size")).agg(F.min("id_").alias("node")).select("node"), "copies")
-    texts = ids.join(copies, ids["id_"] == copies["node"], "left_semi").groupBy("id_").agg(F.min("text_").alias("text")).select(F.col("id_").alias("node"), "text")
+    copies = stored(
+        ids.groupBy(F.sha2(F.lower("text_"), 256).alias("key"), F.length("text_").alias("size")).agg(F.min("id_").alias("node")).select("node"), "copies"
+    )
+    texts = ids.join(
+        copies, ids["id_"] == copies["node"], "left_semi"
+    ).groupBy("id_").agg(F.min("text_").alias("text")).select(F.col("id_").alias("node"), "text")
 
     sets = Sets(docs.sparkSession)
 
@@ -528,7 +554,10 @@ def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int
             made = np.array([word_prints(t) for t in held], np.uint64).reshape(-1, 3).view(np.int64)
             hashes = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t, n)], np.uint64)) for t in held]
             place = sets.write(batch.column("node").to_numpy(), hashes)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(made), pa.list_(pa.int64())), pa.array(place), pa.array([len(h) for h in hashes], pa.int32())], names=["node", "prints", "place", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(list(made), pa.list_(pa.int64())), pa.array(place), pa.array([len(h) for h in hashes], pa.int32())],
+                names=["node", "prints", "place", "size"],
+            )
 
     path = new_folder(docs.sparkSession, "prints")
     prints = stored(texts.mapInArrow(run, "node bigint, prints array<bigint>, place bigint, size int"), "prints", path)

@@ -137,7 +137,9 @@ def anchors(b: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
 # ---- answers of the rounds
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+RESULT = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
+)
 
 
 def returned(asked: list, said: dict, kind: object, before: dict | None = None) -> np.ndarray:
@@ -218,7 +220,9 @@ def _merge_keys(t: np.ndarray, rank: np.ndarray, wide: bool) -> np.ndarray:
     t, rank = np.r_[t, 0, 0, 0], np.r_[rank, 0, 0, 0]
     i = np.arange(n)
     kind = i % 3
-    return key(t[:n], t[1 : n + 1], kind, np.where(kind > 0, rank[:n], 0), np.where(kind < 2, rank[1 : n + 1], 0), np.where(kind != 1, rank[2 : n + 2], 0), wide=wide)
+    return key(
+        t[:n], t[1 : n + 1], kind, np.where(kind > 0, rank[:n], 0), np.where(kind < 2, rank[1 : n + 1], 0), np.where(kind != 1, rank[2 : n + 2], 0), wide=wide
+    )
 
 
 def _triples(t: np.ndarray, wide: bool) -> np.ndarray:
@@ -236,7 +240,9 @@ def bounds(state: DataFrame, keys: Callable[[dict], np.ndarray], parts: int, blo
             for data in batch.column("data").to_pylist():
                 k = np.unique(keys(load(data)))
                 size = k.dtype.itemsize
-                yield pa.RecordBatch.from_arrays([pa.array([x.ljust(size, b"\0") for x in k[:: max(1, len(k) // each)][:each].tolist()], pa.binary())], names=["k"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.ljust(size, b"\0") for x in k[:: max(1, len(k) // each)][:each].tolist()], pa.binary())], names=["k"]
+                )
 
     drawn = sorted(bytes(r.k) for r in state.mapInArrow(run, "k binary").sample(min(1.0, SAMPLE_KEYS / max(each * blocks, 1))).collect())
     if not drawn:
@@ -260,7 +266,9 @@ def encode(docs: DataFrame, files: Files, size: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             twice = np.array([xxhash.xxh3_128_digest(t) for t in texts], "S16")
             state = {"file": files.write(b"".join(texts)), "ids": ids, "length": np.array([len(t) for t in texts]), "digest": twice}
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([dump(state)], pa.binary()), pa.array([held], pa.int64())], names=["block", "data", "bytes"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([uuid.uuid4().hex]), pa.array([dump(state)], pa.binary()), pa.array([held], pa.int64())], names=["block", "data", "bytes"]
+            )
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -273,7 +281,9 @@ def encode(docs: DataFrame, files: Files, size: int) -> DataFrame:
         if ids:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block string, data binary, bytes bigint")
+    return docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(run, "block string, data binary, bytes bigint")
 
 
 def sizes(total: int) -> tuple[int, int]:
@@ -338,7 +348,16 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
             last.append(l)
             letter.append(np.r_[h.of(p[:-1], p[1:]), _U(0)])  # what follows the last anchor is no phrase
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        yield {"file": b["file"], "ids": b["ids"], "length": b["length"], "copied": copied, "doc": join(doc, np.int32), "x": join(x, np.int64), "last": join(last, np.int64), "letter": join(letter, np.uint64)}
+        yield {
+            "file": b["file"],
+            "ids": b["ids"],
+            "length": b["length"],
+            "copied": copied,
+            "doc": join(doc, np.int32),
+            "x": join(x, np.int64),
+            "last": join(last, np.int64),
+            "letter": join(letter, np.uint64),
+        }
 
     state = round_("anchors", ask_copies, answer_owners, spark_parts, apply_copies)
 
@@ -379,14 +398,31 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         used = np.cumsum(need)[:-1] > 0
         keep = used | np.r_[False, used[:-1]]
         string, place = np.where(used, t, 0)[keep], np.cumsum(keep) - 1
-        yield {"file": b["file"], "ids": b["ids"], "length": b["length"], "copied": b["copied"], "doc": doc[i], "x": x[i], "start": start[i], "stop": stop[i], "prefix": prefix, "about": about, "deep": int((j - i).max(initial=0)), "place": place[i], "strings": [string], "ranks": None}
+        yield {
+            "file": b["file"],
+            "ids": b["ids"],
+            "length": b["length"],
+            "copied": b["copied"],
+            "doc": doc[i],
+            "x": x[i],
+            "start": start[i],
+            "stop": stop[i],
+            "prefix": prefix,
+            "about": about,
+            "deep": int((j - i).max(initial=0)),
+            "place": place[i],
+            "strings": [string],
+            "ranks": None,
+        }
 
     state = round_("letters", ask_letters, answer_names, parts, apply_letters)
 
     def depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [load(d) for d in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g["deep"] for g in got], pa.int64()), pa.array([len(g["strings"][0]) for g in got], pa.int64())], names=["deep", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g["deep"] for g in got], pa.int64()), pa.array([len(g["strings"][0]) for g in got], pa.int64())], names=["deep", "n"]
+            )
 
     most = state.mapInArrow(depth, "deep bigint, n bigint").agg(F.max("deep").alias("deep"), F.sum("n").alias("n")).first()
     deep, held = most.deep or 0, most.n or 0
@@ -453,7 +489,9 @@ def repeated(docs: DataFrame, length: int = 400, kept_bytes: bool = False) -> Da
         else:
             keys = _merge_keys(b["strings"][-2], ranks_of(b), wide)
         keys = keys[b["place"]]
-        both = np.concatenate([np.frombuffer(keys.tobytes(), np.uint8).reshape(len(keys), -1), b["prefix"].astype(">u8")[:, None].view(np.uint8)], 1) if len(keys) else np.zeros((0, keys.dtype.itemsize + 8), np.uint8)
+        both = np.concatenate(
+            [np.frombuffer(keys.tobytes(), np.uint8).reshape(len(keys), -1), b["prefix"].astype(">u8")[:, None].view(np.uint8)], 1
+        ) if len(keys) else np.zeros((0, keys.dtype.itemsize + 8), np.uint8)
         return np.ascontiguousarray(both).view(f"S{both.shape[1]}").ravel()
 
     cuts = bounds(state, lambda b: _prefix(group_keys(b), head), ways, blocks)

@@ -44,7 +44,9 @@ WORD = re.compile(r"[^\W\d_]+")
 PIECE = re.compile(r"[^\W\d_]+|[\"“”„«»‹›]")
 QUOTES = frozenset("\"“”„«»‹›")
 #: Words that report what somebody said.
-REPORTS = frozenset("said says say wrote writes quoted quote called calling reported reads sagte schrieb zitat nannte dit écrit cité appelé dijo escribió cita llamó".split())
+REPORTS = frozenset(
+    "said says say wrote writes quoted quote called calling reported reads sagte schrieb zitat nannte dit écrit cité appelé dijo escribió cita llamó".split()
+)
 #: Words that address a reader.
 ADDRESS = frozenset("you your yours youre du dich dein ihr euch tu toi vous ton votre tú usted eres tus".split())
 FEATURES = ("hits", "bent", "weak", "quoted", "addressed", "density")
@@ -190,10 +192,16 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> pa.RecordBatch:
         keys = list(docs.keys() | whole.keys())
-        columns = {"term": [k[0] for k in keys], "toxic": [k[1] for k in keys], **{n: [c[k] for k in keys] for n, c in (("docs", docs), ("pairs", pairs), ("whole", whole))}}
+        columns = {
+            "term": [k[0] for k in keys],
+            "toxic": [k[1] for k in keys],
+            **{n: [c[k] for k in keys] for n, c in (("docs", docs), ("pairs", pairs), ("whole", whole))},
+        }
         for c in (docs, pairs, whole):
             c.clear()
-        return pa.RecordBatch.from_pydict(columns, schema=pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("docs", pa.int64()), ("pairs", pa.int64()), ("whole", pa.int64())]))
+        return pa.RecordBatch.from_pydict(
+            columns, schema=pa.schema([("term", pa.string()), ("toxic", pa.int32()), ("docs", pa.int64()), ("pairs", pa.int64()), ("whole", pa.int64())])
+        )
 
     for batch in batches:
         for text, toxic, sign in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "sign")), strict=True):
@@ -266,7 +274,9 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0, per_class: int = 6000, precision: float = 0.95, weak_precision: float = 0.5) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0, per_class: int = 6000, precision: float = 0.95, weak_precision: float = 0.5
+) -> Model:
     """Learn from labelled rows outside the held-out fold (None: from all)."""
     python_batches(docs.sparkSession)
     known = (
@@ -284,7 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0
         return Model({}, {}, [0.0] * len(FEATURES) + [math.log(rate / (1 - rate))])
     spark = docs.sparkSession
     ids = spark.createDataFrame(list(chosen.items()), "doc_id bigint, toxic int")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    texts = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
     sample = stored(texts.mapInArrow(_signed, "text string, toxic int, sign bigint"), "labelled")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count_distinct("sign").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
@@ -295,9 +307,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0
 
     def told(a: Column, b: Column) -> Column:
         """The test of choose_terms, with room for rounding: all that pass are collected."""
-        return (a >= 3) & (a / max(toxic, 1) >= weak_precision / (1 - weak_precision) * b / max(other, 1) - 1e-9) & (share(a, a + b, base) + share(b, a + b, 1 - base) >= LEAST_EVIDENCE - 1e-6)
-
-    sums = {n: F.sum(F.when(F.col("toxic") == c, F.col(of)).otherwise(0)) for n, c, of in (("a", 1, "docs"), ("b", 0, "docs"), ("w", 1, "whole"), ("v", 0, "whole"), ("a2", 1, "pairs"), ("b2", 0, "pairs"))}
+        return (a >= 3) & (
+            a / max(toxic, 1) >= weak_precision / (1 - weak_precision) * b / max(other, 1) - 1e-9
+        ) & (share(a, a + b, base) + share(b, a + b, 1 - base) >= LEAST_EVIDENCE - 1e-6)
+
+    sums = {
+        n: F.sum(F.when(F.col("toxic") == c, F.col(of)).otherwise(0))
+        for n, c, of in (("a", 1, "docs"), ("b", 0, "docs"), ("w", 1, "whole"), ("v", 0, "whole"), ("a2", 1, "pairs"), ("b2", 0, "pairs"))
+    }
     counts = (
         sample.repartition("sign", "toxic")
         .sortWithinPartitions("sign", "toxic")
@@ -314,7 +331,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int | None = 0
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Scorer(strong, weak)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([lexicon.features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lexicon.features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"]
+            )
 
     rows = sample.mapInArrow(measure, "x array<double>, toxic int").collect()  # bounded by per_class
     w = fit_logistic(np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float))
@@ -328,9 +347,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(of, batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(map(of, batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"]
+            )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(run, "doc_id bigint, score double")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

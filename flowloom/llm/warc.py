@@ -140,8 +140,12 @@ def frames(stream) -> Iterator[bytes]:
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """id_, refers_to: the pages whose payload a page with a larger id has."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    keys = pages.select(F.col("page_id").cast("bigint").alias("id_"), F.sha2(payload.cast("binary"), 256).alias("key"), F.octet_length(payload).alias("n")).where(F.col("id_").isNotNull() & (F.col("n") >= min_bytes)).select("id_", "key")
-    kept = keys.groupBy("key").agg(F.max("id_").alias("refers_to"), F.min("id_").alias("least")).where(F.col("least") < F.col("refers_to")).select("key", "refers_to")
+    keys = pages.select(
+        F.col("page_id").cast("bigint").alias("id_"), F.sha2(payload.cast("binary"), 256).alias("key"), F.octet_length(payload).alias("n")
+    ).where(F.col("id_").isNotNull() & (F.col("n") >= min_bytes)).select("id_", "key")
+    kept = keys.groupBy("key").agg(
+        F.max("id_").alias("refers_to"), F.min("id_").alias("least")
+    ).where(F.col("least") < F.col("refers_to")).select("key", "refers_to")
     return keys.join(kept, "key").where(F.col("id_") < F.col("refers_to")).select("id_", "key", "refers_to").distinct()
 
 
@@ -149,7 +153,12 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write the archives; path, records, payload_bytes, archive_bytes of each."""
     python_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.cast("binary").alias("payload"), F.sha2(payload.cast("binary"), 256).alias("key"))
+    rows = pages.select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        payload.cast("binary").alias("payload"),
+        F.sha2(payload.cast("binary"), 256).alias("key"),
+    )
     again = revisits(pages, min_bytes).withColumnRenamed("key", "key_")
     rows = rows.join(again, (rows["page_id"] == again["id_"]) & (rows["key"] == again["key_"]), "left").select("page_id", "url", "payload", "refers_to")
 
@@ -167,7 +176,9 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
                     now, k = None, k + 1
         if now is not None:
             made.append((now.path, now.records, now.size, now.close()))
-        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64() if i else pa.string()) for i in range(4)], names=["path", "records", "record_bytes", "archive_bytes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([m[i] for m in made], pa.int64() if i else pa.string()) for i in range(4)], names=["path", "records", "record_bytes", "archive_bytes"]
+        )
 
     return stored(rows.mapInArrow(run, "path string, records bigint, record_bytes bigint, archive_bytes bigint"), "archives")
 

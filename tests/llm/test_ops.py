@@ -15,7 +15,16 @@ from flowloom.llm import ann, bpe, chat, common, decontaminate, katz, line_dedup
 
 SF = "/root/testdata/sf0.001"
 LOW = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-TEXTS = [(1, None), (2, ""), (3, " \n\n a B c"), (4, "The same line\nAnother line here"), (5, "the SAME line \n\tthe same line\nx"), (5, "the SAME line \n\tthe same line\nx"), (6, "word " * 4000), (None, "the same line\nno id")]
+TEXTS = [
+    (1, None),
+    (2, ""),
+    (3, " \n\n a B c"),
+    (4, "The same line\nAnother line here"),
+    (5, "the SAME line \n\tthe same line\nx"),
+    (5, "the SAME line \n\tthe same line\nx"),
+    (6, "word " * 4000),
+    (None, "the same line\nno id"),
+]
 DOCS = "doc_id long, text string"
 
 
@@ -75,7 +84,14 @@ def brute_spans(texts, length):
         for p in range(len(b) - length + 1):
             if count[b[p : p + length]] > 1:
                 gone[p : p + length] = True
-        out.append((len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+        out.append(
+            (
+                len(b),
+                int(gone.sum()),
+                int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0,
+                hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(),
+            )
+        )
     return out
 
 
@@ -86,7 +102,20 @@ def test_suffix_array(spark, monkeypatch):
     prose = lambda n: " ".join(word() for _ in range(n))
     passage, base = prose(90), prose(300)
     ws = base.split()
-    texts = [None, "", "short", base, base, " ".join(ws[:150] + ["edit"] + ws[151:]), prose(100) + passage + prose(60), passage + prose(30), "a" * 900, prose(20) + "ab" * 300, passage[5:] + passage[:-3], prose(200) + prose(10)]
+    texts = [
+        None,
+        "",
+        "short",
+        base,
+        base,
+        " ".join(ws[:150] + ["edit"] + ws[151:]),
+        prose(100) + passage + prose(60),
+        passage + prose(30),
+        "a" * 900,
+        prose(20) + "ab" * 300,
+        passage[5:] + passage[:-3],
+        prose(200) + prose(10),
+    ]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeated(clashing(df)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, 400)
@@ -104,7 +133,9 @@ def test_nearest_neighbours(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[100:400] = x[7]  # a common vector
     x[500:700] *= 3
-    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32).astype(float))] + [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] + [1.0] * 23), (2003, [None] + [1.0] * 23), (None, [1.0] * 24), (2004, [1.0] * 3)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32).astype(float))] + [
+        (2000, None), (2001, [0.0] * 24), (2002, [float("nan")] + [1.0] * 23), (2003, [None] + [1.0] * 23), (None, [1.0] * 24), (2004, [1.0] * 3)
+    ]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann.nearest(v, v.where("vec_id % 20 = 0"), 20).toPandas()
     y, hit = np.array([r[1] for r in rows[:1500]]), 0
@@ -179,7 +210,9 @@ def test_toxicity(spark):
         rows.append((i, " ".join(ws)))
         labels.append((i, 1, int(i % 4 == 0)))
     rows += [(1000, "randen telka villian solom " * 3), (1001, None), (1002, ""), (None, "villain you")]
-    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (3, 1, None), (5000, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(
+        [*labels, (3, 1, None), (5000, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int"
+    )
     model = toxicity.fit(docs, lab)
     got = {r.doc_id: r.score for r in toxicity.score(clashing(docs), model).collect()}
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
@@ -224,7 +257,22 @@ def brute_edits(word, terms):
 
 def test_levenshtein_automaton():
     lex = toxicity.Lexicon({"villain": False, "wretch": True})
-    near = {"villain": 0, "vilain": 1, "villains": 1, "villian": 1, "vxllain": 1, "villan": 1, "wretched": 0, "wretch": 0, "wrtched": 1, "rwetches": 1, "vill": 9, "": 9, "xvillain": 1, "banana": 9}
+    near = {
+        "villain": 0,
+        "vilain": 1,
+        "villains": 1,
+        "villian": 1,
+        "vxllain": 1,
+        "villan": 1,
+        "wretched": 0,
+        "wretch": 0,
+        "wrtched": 1,
+        "rwetches": 1,
+        "vill": 9,
+        "": 9,
+        "xvillain": 1,
+        "banana": 9,
+    }
     assert {w: lex.edits(w) for w in near} == near
     assert toxicity.Lexicon({"idiot": False, "scumbag": True}).edits("idoit") == toxicity.Lexicon({"scumbag": True}).edits("scmbag") == 1
 
@@ -235,7 +283,10 @@ def test_levenshtein_automaton_equals_brute_force():
     for _ in range(20):
         terms = {word(1, 9): rng.random() < 0.4 for _ in range(12)}
         lex = toxicity.Lexicon(terms)
-        words = [word(0, 11) for _ in range(60)] + [t[:k] + rng.choice("abcd") + t[k + rng.randint(0, 1) :] for t in terms for k in range(len(t))] + ["".join((t[:k], t[k + 1], t[k], t[k + 2 :])) for t in terms for k in range(len(t) - 1)]
+        words = [word(0, 11) for _ in range(60)] + [
+            t[:k] + rng.choice("abcd") + t[k + rng.randint(0, 1) :]
+            for t in terms for k in range(len(t))
+        ] + ["".join((t[:k], t[k + 1], t[k], t[k + 2 :])) for t in terms for k in range(len(t) - 1)]
         assert {w: lex.edits(w) for w in words} == {w: brute_edits(w, terms) for w in words}
 
 
@@ -243,7 +294,10 @@ def test_every_labelled_row_is_learned_from(spark):
     """Texts of one word, words of two or three letters, and a very long word."""
     rng = random.Random(15)
     plain = [f"{a}{b}" for a in ("ran", "tel", "mor", "vid", "sol") for b in ("den", "ka", "ist", "om", "ure")]
-    rows = [(i, "zog" if i % 2 else rng.choice(plain)) for i in range(200)] + [(i, " ".join(rng.choices(plain, k=20)) + (" qx" if i % 2 else "")) for i in range(200, 400)] + [(400, "x" * 100_000), (401, "")]
+    rows = [(i, "zog" if i % 2 else rng.choice(plain)) for i in range(200)] + [
+        (i, " ".join(rng.choices(plain, k=20)) + (" qx" if i % 2 else ""))
+        for i in range(200, 400)
+    ] + [(400, "x" * 100_000), (401, "")]
     labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs_of(spark, rows), labels, held=None)
     scorer = toxicity.Scorer(model.strong, model.weak)
@@ -261,7 +315,13 @@ def test_bpe(spark):
     lib, own = Tokenizer.from_file(bpe.default_path()), bpe.Codec(bpe.default_path())
     lib.no_padding(), lib.no_truncation()
     rng = random.Random(3)
-    texts = ["", "a", "x" * 3000, "<|endoftext|>"] + ["".join(rng.choice(["a", "é", "  ", "\n", "\x1c", "\x85", "1", "'s", "<|endoftext|>", "中", "🙂", "\x00", " the", "​", "　"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts = ["", "a", "x" * 3000, "<|endoftext|>"] + [
+        "".join(
+            rng.choice(["a", "é", "  ", "\n", "\x1c", "\x85", "1", "'s", "<|endoftext|>", "中", "🙂", "\x00", " the", "​", "　"])
+            for _ in range(rng.randrange(40))
+        )
+        for _ in range(300)
+    ]
     for t in texts:
         ids = lib.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
@@ -290,7 +350,9 @@ def brute_print(text, n=3):
 
 
 def test_simhash(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(docs_of(spark).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id") + 100_000))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(
+        docs_of(spark).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id") + 100_000)
+    )
     rows = docs.collect()
     ids = sorted({r.doc_id for r in rows})
     fp = {r.doc_id: brute_print(r.text) for r in rows}
@@ -331,7 +393,17 @@ def test_near_dedup(spark):
     base = [f"word{rng.randrange(10**6)}" for _ in range(200)]
     edited = base[:100] + ["changed"] + base[101:]
     other = [f"term{rng.randrange(10**6)}" for _ in range(200)]
-    rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(edited)), (4, " ".join(other)), (5, None), (6, ""), (7, " ".join(base[:60] + other[:140])), (None, " ".join(base)), (1, " ".join(base))]
+    rows = [
+        (1, " ".join(base)),
+        (2, " ".join(base)),
+        (3, " ".join(edited)),
+        (4, " ".join(other)),
+        (5, None),
+        (6, ""),
+        (7, " ".join(base[:60] + other[:140])),
+        (None, " ".join(base)),
+        (1, " ".join(base)),
+    ]
     df = clashing(spark.createDataFrame(rows, DOCS))
     kept = simhash.drop_near(df)
     assert kept.columns == df.columns and sorted({str(r.doc_id) for r in kept.collect()}) == ["1", "4", "5", "7", "None"]
@@ -378,7 +450,13 @@ def test_near_dedup_finds_every_kind_of_edit(spark):
     for i in range(40):
         base = new(rng.randint(100, 300))
         n = len(base)
-        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base[: n - n * 16 // 100])), (10 * i + 2, " ".join(base + new(n * 17 // 100))), (10 * i + 3, " ".join(base[: n // 3] + new(n * 8 // 100) + base[n // 3 + n * 8 // 100 :])), (10 * i + 4, " ".join(base[: n // 2] + new(n // 2)))]
+        rows += [
+            (10 * i, " ".join(base)),
+            (10 * i + 1, " ".join(base[: n - n * 16 // 100])),
+            (10 * i + 2, " ".join(base + new(n * 17 // 100))),
+            (10 * i + 3, " ".join(base[: n // 3] + new(n * 8 // 100) + base[n // 3 + n * 8 // 100 :])),
+            (10 * i + 4, " ".join(base[: n // 2] + new(n // 2))),
+        ]
     kept = {r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, DOCS)).collect()}
     assert kept == brute_near(rows)
 
@@ -393,7 +471,15 @@ def test_components(spark):
 
 
 def test_warc_round_trip(spark, tmp_path):
-    rows = [(1, "http://a", "<p>x</p>"), (2, "http://b\n", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "v", "é" * 70_000), (6, "w", "<p>x</p>"), (None, "n", "<p>x</p>")] + [(i, f"http://{i}", f"<html><body>page {i} of a site with much in common</body></html>") for i in range(10, 60)]
+    rows = [
+        (1, "http://a", "<p>x</p>"),
+        (2, "http://b\n", "<p>x</p>"),
+        (3, None, None),
+        (4, "u", ""),
+        (5, "v", "é" * 70_000),
+        (6, "w", "<p>x</p>"),
+        (None, "n", "<p>x</p>"),
+    ] + [(i, f"http://{i}", f"<html><body>page {i} of a site with much in common</body></html>") for i in range(10, 60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("clash"))
     folder = f"file://{tmp_path}/warc"
     got = warc.read(warc.write(pages, folder), folder, payloads=True).collect()
@@ -416,7 +502,16 @@ def test_katz(spark, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK", 400)
     monkeypatch.setattr(katz, "PACKET", 1)
     rng = random.Random(8)
-    rows = [(i, " ".join(rng.choice("alpha beta Gamma delta eps zeta eta the the of".split()) + str(rng.choice(["", "", 1, rng.randrange(500)])) for _ in range(rng.randrange(60)))) for i in range(150)] + [(200, None), (201, ""), (None, "alpha beta")]
+    rows = [
+        (
+            i,
+            " ".join(
+                rng.choice("alpha beta Gamma delta eps zeta eta the the of".split()) + str(rng.choice(["", "", 1, rng.randrange(500)]))
+                for _ in range(rng.randrange(60))
+            ),
+        )
+        for i in range(150)
+    ] + [(200, None), (201, ""), (None, "alpha beta")]
     df = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r for r in katz.score(clashing(df), common.fold("doc_id", 10) != 0, hot=25).collect()}  # contexts are cut
     toks = {i: (t or "").encode().translate(LOW).split() + [b" end"] for i, t in rows}
@@ -494,7 +589,18 @@ def test_decontamination(spark):
     rng = random.Random(9)
     item = [f"item{rng.randrange(10**6)}" for _ in range(40)]
     long = [f"long{rng.randrange(10**6)}" for _ in range(5000)]
-    docs = [(1, " ".join(long[:2500] + item + long[2500:])), (2, " ".join(long)), (3, " ".join(item[:38]).upper() + "!"), (4, " ".join(item[:20])), (5, None), (6, ""), (7, "yes, two words"), (None, " ".join(item)), (8, " ".join(item)), (8, "nothing here at all")]
+    docs = [
+        (1, " ".join(long[:2500] + item + long[2500:])),
+        (2, " ".join(long)),
+        (3, " ".join(item[:38]).upper() + "!"),
+        (4, " ".join(item[:20])),
+        (5, None),
+        (6, ""),
+        (7, "yes, two words"),
+        (None, " ".join(item)),
+        (8, " ".join(item)),
+        (8, "nothing here at all"),
+    ]
     bench = [(10, " ".join(item)), (11, None), (12, ""), (13, "two words"), (None, " ".join(item)), (14, " ".join(item))]
     d, b = clashing(spark.createDataFrame(docs, DOCS)), spark.createDataFrame(bench, "item_id long, text string").withColumn("n", F.lit(1))
     got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in decontaminate.search(d, b).collect()}
@@ -524,7 +630,10 @@ def test_decontamination_equals_brute_force(spark):
     rng = random.Random(20)
     new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     items = [new(n) for n in (1, 2, 4, 5, 6, 9, 20, 40, 80, 160, 300, 700)]
-    docs = [(k, " ".join(new(rng.randrange(200)) + ws[: max(1, round(len(ws) * cut))] + new(rng.randrange(200)))) for k, (ws, cut) in enumerate((ws, cut) for ws in items for cut in (0.7, 0.79, 0.8, 0.81, 0.9, 1))]
+    docs = [
+        (k, " ".join(new(rng.randrange(200)) + ws[: max(1, round(len(ws) * cut))] + new(rng.randrange(200))))
+        for k, (ws, cut) in enumerate((ws, cut) for ws in items for cut in (0.7, 0.79, 0.8, 0.81, 0.9, 1))
+    ]
     bench = [(k, " ".join(ws)) for k, ws in enumerate(items)]
 
     def runs(text, n):
@@ -559,7 +668,10 @@ def test_chat(spark):
     parsed = chat.parse(raw.select("conv_id", "seg", "line_no", "line"), model)
     both = parsed.join(raw.select("conv_id", "line_no", F.col("role").alias("r")), ["conv_id", "line_no"]).where(common.fold("conv_id", 5) == 0)
     assert both.agg(F.avg((F.col("role") == F.col("r")).cast("int"))).first()[0] > 0.9
-    odd = spark.createDataFrame([(1, 0, "User: hi"), (1, 1, None), (1, 2, "Assistant: yes"), (1, 2, "Assistant: yes"), (None, 0, "x"), (2, None, "y"), (3, 0, "")], "conv_id long, line_no long, line string").withColumn("nth", F.lit(1))
+    odd = spark.createDataFrame(
+        [(1, 0, "User: hi"), (1, 1, None), (1, 2, "Assistant: yes"), (1, 2, "Assistant: yes"), (None, 0, "x"), (2, None, "y"), (3, 0, "")],
+        "conv_id long, line_no long, line string",
+    ).withColumn("nth", F.lit(1))
     turns = chat.render(chat.parse(odd, model)).orderBy("conv_id", "turn").collect()
     assert [(r.conv_id, r.role) for r in turns][:2] == [(1, "user"), (1, "assistant")] and turns[0].rendered == "<|user|>\nhi\n\n<|end|>"
     assert sum(r.n_lines for r in turns) == 5
@@ -614,7 +726,10 @@ def test_chat_viterbi_equals_path_enumeration(spark):
             train.append((c, 10 * k + 1, "more " * rng.randrange(40) + rng.choice(["?", "."]), "user" if k % 2 == 0 else "assistant", False))
     model = chat.fit(spark.createDataFrame(train, "conv_id long, line_no long, line string, role string, first boolean"))
     heads = ["User: ", "Bot: ", "", "", "System: ", "Answer: ", "[user] "]
-    talks = [["User: start"] + [rng.choice(heads) + "word " * rng.randrange(4) + rng.choice(["?", ".", ""]) for _ in range(rng.randrange(4))] for _ in range(25)]
+    talks = [
+        ["User: start"] + [rng.choice(heads) + "word " * rng.randrange(4) + rng.choice(["?", ".", ""]) for _ in range(rng.randrange(4))]
+        for _ in range(25)
+    ]
     rows = spark.createDataFrame([(c, n, t) for c, talk in enumerate(talks) for n, t in enumerate(talk)], "conv_id long, line_no long, line string")
     parsed = defaultdict(list)
     for r in chat.parse(rows, model).orderBy("conv_id", "line_no").collect():
@@ -649,9 +764,14 @@ def test_chat_repeated_turns_do_not_interleave(spark):
 def test_chat_segments_equal_one_pass(spark):
     rng = random.Random(10)
     heads = ["User: ", "Assistant: ", "", "", "System: ", "> ", "### user"]
-    lines = spark.createDataFrame([(1, i, rng.choice(heads) + "text " * rng.randrange(30) + rng.choice(["?", "."])) for i in range(900)], "conv_id long, line_no long, line string")
+    lines = spark.createDataFrame(
+        [(1, i, rng.choice(heads) + "text " * rng.randrange(30) + rng.choice(["?", "."])) for i in range(900)], "conv_id long, line_no long, line string"
+    )
     model = chat.fit(lines.limit(0).withColumn("role", F.lit("user")).withColumn("first", F.lit(True)))
-    cut, whole = (sorted((r.line_no, r.role, r.turn) for r in chat.parse(lines.withColumn("seg", s), model).collect()) for s in (F.floor(F.col("line_no") / 70), F.lit(0)))
+    cut, whole = (
+        sorted((r.line_no, r.role, r.turn) for r in chat.parse(lines.withColumn("seg", s), model).collect())
+        for s in (F.floor(F.col("line_no") / 70), F.lit(0))
+    )
     assert cut == whole
 
 
