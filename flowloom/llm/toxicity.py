@@ -74,7 +74,6 @@ class Lexicon:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = stem
-        self.memo: dict[str, tuple[int, int]] = {}
 
     def edits(self, word: str) -> int:
         """Edits from the word to its nearest term, 9 if there is none within reach."""
@@ -82,15 +81,8 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[int, int]:
         """Edits from the word to its nearest whole term, and from its beginning to the nearest stem."""
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            found = self._search(word, 0)
-            if min(found) and len(word) >= EDITED:
-                found = self._search(word, 1)
-            self.memo[word] = found
-        return found
+        found = self._search(word, 0)
+        return self._search(word, 1) if min(found) and len(word) >= EDITED else found
 
     def _search(self, word: str, most: int) -> tuple[int, int]:
         """States: trie node, its depth, letters read, edits used."""
@@ -123,18 +115,34 @@ class Lexicon:
         return whole, begun
 
 
-class Scorer:
-    """Two lexicons: strong terms, matched with edits, and weak ones that clean documents hold too, matched exactly."""
+class Scorer(dict):
+    """The kind of each word seen: a hit of a strong term (1), of a weak one (2), of a misspelled whole term (3) or stem (4), none (0).
+
+    Strong terms are matched with edits, weak ones, that clean documents hold too, exactly.
+    """
 
     def __init__(self, strong: dict[str, bool], weak: dict[str, bool]) -> None:
         self.strong, self.weak = Lexicon(strong), Lexicon(weak)
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _MEMO:
+            self.clear()
+        whole, begun = self.strong.match(word)
+        if min(whole, begun) == 0:
+            kind = 1
+        elif min(self.weak._search(word, 0)) == 0:
+            kind = 2
+        else:
+            kind = 3 if whole == 1 else 4 if begun == 1 else 0
+        self[word] = kind
+        return kind
+
     def hit(self, word: str) -> bool:
-        return self.strong.edits(word) <= 1 or self.weak.edits(word) == 0
+        return self[word] > 0
 
     def features(self, text: str | None) -> list[float]:
         words = WORD.findall((text or "").lower())
-        if not any(map(self.hit, words)):
+        if not any(map(self.__getitem__, words)):
             return [0.0] * len(FEATURES)
         pieces = PIECE.findall(text.lower())
         exact = near = bent = quoted = addressed = 0
@@ -144,19 +152,14 @@ class Scorer:
             if w in QUOTES:
                 inside = not inside
                 continue
-            whole, begun = self.strong.match(w)
-            if min(whole, begun) == 0:
-                exact += 1
-            elif self.weak.edits(w) == 0:
+            kind = self[w]
+            if kind == 2:
                 weak.add(w)
+            bent += kind == 4
+            if kind not in (1, 3):
                 continue
-            elif min(whole, begun) > 1:
-                continue
-            elif whole == 1:
-                near += 1
-            else:
-                bent += 1
-                continue
+            exact += kind == 1
+            near += kind == 3
             about = pieces[max(0, k - WINDOW) : k] + pieces[k + 1 : k + 1 + WINDOW]
             quoted += (inside and any(x in QUOTES for x in pieces[k + 1 : k + 40])) or any(x in REPORTS for x in about)
             addressed += any(x in ADDRESS for x in about)
