@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, decontaminate, katz, line_dedup, simhash, suffix, toxicity, warc
+from . import align, ann, bpe, chat, decontaminate, katz, line_dedup, simhash, suffix, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_katz": katz.op8_katz,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat": chat.op10_chat,
+    "op11_align": align.op11_align,
 }
 ORACLES = {**line_dedup.ORACLE, **warc.ORACLE, **decontaminate.ORACLE}
