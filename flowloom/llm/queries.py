@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, ann, bpe, chat, decontaminate, katz, line_dedup, ranked, simhash, suffix, toxicity, warc
+from . import align, ann, bpe, chat, decontaminate, katz, line_dedup, main_text, ranked, simhash, suffix, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_chat": chat.op10_chat,
     "op11_align": align.op11_align,
+    "op12_html": main_text.op12_html,
     "op13_ranked": ranked.op13_ranked,
 }
 ORACLES = {**line_dedup.ORACLE, **warc.ORACLE, **decontaminate.ORACLE, **ranked.ORACLE}
