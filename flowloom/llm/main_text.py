@@ -96,7 +96,7 @@ PRIOR = {
     "words 0": (2, 20), "words 1": (4, 24), "words 2": (8, 16), "words 3": (16, 12), "words 4": (30, 6), "words 5": (40, 2),
     "links 0": (80, 30), "links 1": (18, 8), "links 2": (1, 12), "links 3": (1, 30),
     "stop no": (20, 60), "stop yes": (80, 20),
-    "tag p": (56, 12), "tag h1": (8, 1), "tag h": (12, 6), "tag li": (8, 6), "tag link": (1, 36), "tag td": (6, 8), "tag quote": (6, 1), "tag other": (3, 10),
+    "tag p": (52, 12), "tag h1": (12, 0.5), "tag h": (12, 6), "tag li": (8, 6), "tag link": (1, 36), "tag td": (6, 8), "tag quote": (6, 1), "tag other": (3, 10),
     "notice no": (98, 60), "notice yes": (2, 20),
 }
 
