@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import grouped_quantiles, kept, meet
+
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
@@ -88,13 +90,9 @@ def monthly_interval_stats(df: DataFrame, d: str, metric: str, category: str, st
 def interval_change(df: DataFrame, d: str, metric: str, by: str) -> DataFrame:
     """Stats by year and key, and the change of the median against the year before that is there in any group."""
     rows = df.dropna(subset=[d, metric, by]).select(F.year(d).alias("year"), F.col(by), F.col(metric).alias("v"))
-    s = rows.groupBy("year", by).agg(
-        F.percentile("v", 0.5).alias("median"),
-        F.percentile("v", 0.25).alias("p25"),
-        F.percentile("v", 0.75).alias("p75"),
-        F.avg("v").alias("mean"),
-        F.count("v").alias("n"),
-    )
+    rows = kept(rows)
+    exact = grouped_quantiles(rows, ["year", by], "v", {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    s = kept(meet(rows.groupBy("year", by).agg(F.avg("v").alias("mean"), F.count("v").alias("n")), exact, ["year", by]))
     years = s.select("year").distinct().withColumn("prev", F.lag("year").over(Window.orderBy("year")))  # one row a year
     then = s.select(F.col("year").alias("prev"), by, F.col("median").alias("median_before"))
     return s.join(F.broadcast(years), "year").join(then, ["prev", by], "left").select(
@@ -119,7 +117,8 @@ def routing(df: DataFrame, by: Sequence[str], flag: str) -> DataFrame:
 
 def review_rate(df: DataFrame, by: Sequence[str], flag: str, duration: str) -> DataFrame:
     """Rate, number, median and mean duration; null keys are kept."""
-    return df.groupBy(*by).agg(F.avg(flag).alias("rate"), F.count("*").alias("n"), F.percentile(duration, 0.5).alias("median"), F.avg(duration).alias("mean"))
+    rest = df.groupBy(*by).agg(F.avg(flag).alias("rate"), F.count("*").alias("n"), F.avg(duration).alias("mean"))
+    return meet(rest, grouped_quantiles(df, by, duration, {"median": 0.5}), by).select(*by, "rate", "n", "median", "mean")
 
 
 def weighted_mean(df: DataFrame, v: str, w: str, by: Sequence[str]) -> DataFrame:

@@ -7,17 +7,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Imputer, Interaction, OneHotEncoder, StandardScaler, StopWordsRemover, StringIndexer, TargetEncoder, Tokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, Imputer, Interaction, OneHotEncoder, StandardScaler, StopWordsRemover, StringIndexer, TargetEncoder, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import WHOLE, running
 from .stats import gammaincc, gram
 
 # ---- count models of the backlog
@@ -210,7 +212,7 @@ def fit_classifier(df: DataFrame, kind: str, y: str, xs: Sequence[str]) -> DataF
     return pipe.fit(df).transform(df)
 
 
-def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], rounds: int = 15) -> pd.DataFrame:
+def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], rounds: int = 15, whole: int = WHOLE) -> pd.DataFrame:
     """feature, coef, hazard_ratio, se: proportional hazards with Efron's ties.
 
     Each Newton step is one pass: sums by distinct time, running sums over times from the last, one
@@ -231,8 +233,8 @@ def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], rounds:
             *(F.sum(F.when(F.col("e") == 1, v).otherwise(0.0)).alias(f"{n}_e") for n, v in terms.items()),
             *(F.sum(F.when(F.col("e") == 1, F.col(xs[i])).otherwise(0.0)).alias(f"x_{i}") for i in range(k)),
         )
-        w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)  # one row a distinct time
-        risk = per.select("d", *(F.sum(n).over(w).alias(n) for n in terms), *(f"{n}_e" for n in terms), *(f"x_{i}" for i in range(k))).where("d > 0")
+        risk = running(per, "t", list(terms), descending=True, whole=whole)
+        risk = risk.select("d", *(F.col(f"to_{n}").alias(n) for n in terms), *(f"{n}_e" for n in terms), *(f"x_{i}" for i in range(k))).where("d > 0")
         each = risk.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("d").cast("int") - 1)))
         share = F.col("l") / F.col("d")
         z = {n: F.col(n) - share * F.col(f"{n}_e") for n in terms}
@@ -247,7 +249,38 @@ def fit_cox(df: DataFrame, duration: str, event: str, xs: Sequence[str], rounds:
             break
     d.unpersist()
     se = np.sqrt(np.clip(np.diag(np.linalg.pinv(h)), 0, None))
-    return pd.DataFrame({"feature": list(xs), "coef": beta, "hazard_ratio": np.exp(beta), "se": se})
+    return pd.DataFrame({"feature": list(xs), "coef": beta, "hazard_ratio": np.exp(beta), "se": se, "mean": [float(mean[c]) for c in xs]})
+
+
+def _hazard(fit: pd.DataFrame) -> Column:
+    """exp of the linear predictor about the means of the rows that were fitted."""
+    return F.exp(sum(((F.col(r.feature) - float(r.mean)) * float(r.coef) for r in fit.itertuples()), F.lit(0.0)))
+
+
+def cox_baseline(df: DataFrame, duration: str, event: str, fit: pd.DataFrame, whole: int = WHOLE) -> DataFrame:
+    """t, events, at_risk (summed hazards), hazard, cumulative, survival at the columns' means: Breslow's step function, one row a time with events."""
+    d = df.dropna(subset=[duration, event, *fit["feature"]]).select(
+        F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e"), _hazard(fit).alias("r")
+    )
+    per = running(d.groupBy("t").agg(F.sum("e").alias("d"), F.sum("r").alias("r")), "t", ["r"], descending=True, whole=whole)
+    steps = per.where("d > 0").select("t", F.col("d").alias("events"), F.col("to_r").alias("at_risk"), (F.col("d") / F.col("to_r")).alias("hazard"))
+    return running(steps, "t", ["hazard"], whole=whole).select(
+        "t", "events", "at_risk", "hazard", F.col("to_hazard").alias("cumulative"), F.exp(-F.col("to_hazard")).alias("survival")
+    )
+
+
+def cox_score(df: DataFrame, duration: str, fit: pd.DataFrame, baseline: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """df with partial_hazard, cumulative_hazard and survival at each row's duration; null where a column is null.
+
+    The step at a duration is that of the last time of the baseline that isn't after it: the durations and
+    the baseline's steps are scanned together, one row a distinct time, and joined back by time.
+    """
+    times = df.select(F.col(duration).cast("double").alias("t")).where("t IS NOT NULL").distinct().withColumn("hazard", F.lit(0.0))
+    both = times.unionByName(baseline.select("t", "hazard")).groupBy("t").agg(F.sum("hazard").alias("hazard"))
+    steps = running(both, "t", ["hazard"], whole=whole).select(F.col("t").alias("step_t"), F.col("to_hazard").alias("step"))
+    out = df.join(steps, F.col(duration).cast("double") == F.col("step_t"), "left").withColumn("partial_hazard", _hazard(fit))
+    out = out.withColumn("cumulative_hazard", F.col("step") * F.col("partial_hazard")).withColumn("survival", F.exp(-F.col("cumulative_hazard")))
+    return out.drop("step_t", "step")
 
 
 # ---- pickups
@@ -545,11 +578,60 @@ def forecast_exog(df: DataFrame, key: str, order: str, c: str, xs: Sequence[str]
 # ---- unsupervised
 
 
-def pca(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
-    """component, share of variance, of scaled columns."""
-    scaled = Pipeline(stages=[_assembler(cols), StandardScaler(inputCol="features", outputCol="scaled", withMean=True)]).fit(df).transform(df)
-    m = PCA(k=k, inputCol="scaled", outputCol="pca").fit(scaled)
-    return df.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(m.explainedVariance)], "component int, share double")
+def correlations(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Means, standard deviations and correlation matrix of complete rows, and their number, from one Gram matrix.
+
+    Each task adds up the products of its rows, batch by batch, about the first row's values; a row a
+    column and task is shuffled. What comes to the driver is columns x columns.
+    """
+    cols, k = list(cols), len(cols)
+    d = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).dropna()
+    near = d.first()
+    if near is None:
+        return np.zeros(k), np.zeros(k), np.eye(k), 0
+    shift = np.array([float(x) for x in near])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((k + 1, k + 1))
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *(c.to_numpy(zero_copy_only=False) for c in b.columns)])
+            x[:, 1:] -= shift
+            g += x.T @ x
+        if g[0, 0]:
+            yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array(g.tolist(), pa.list_(pa.float64()))], names=["i", "g"])
+
+    parts = d.mapInArrow(sums, "i int, g array<double>").groupBy("i").agg(*(F.sum(F.get("g", F.lit(j))).alias(f"g{j}") for j in range(k + 1)))
+    g = np.array([[r[f"g{j}"] for j in range(k + 1)] for r in sorted(parts.collect(), key=lambda r: r.i)])
+    n = int(g[0, 0])
+    mean = g[0, 1:] / n
+    cov = (g[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)
+    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
+    r = cov / np.outer(np.where(sd > 0, sd, 1), np.where(sd > 0, sd, 1))
+    return mean + shift, sd, r, n
+
+
+def pca(df: DataFrame, cols: Sequence[str], k: int | None = None, share: float | None = None) -> DataFrame:
+    """component, share, cumulative (shares of variance) and loadings (by column) of the scaled columns.
+
+    The first k components, or the fewest whose shares add up to more than `share`, or all. Rows with a
+    null are left out; a constant column has no part. Loadings have a positive sum.
+    """
+    _, _, r, n = correlations(df, cols)
+    value, vector = np.linalg.eigh(r if n else np.zeros_like(r))
+    value, vector = np.clip(value[::-1], 0, None), vector[:, ::-1] * np.where(vector[:, ::-1].sum(axis=0) < 0, -1, 1)
+    part = value / value.sum() if value.sum() > 0 else value
+    total = np.cumsum(part)
+    most = k if k is not None else int(np.searchsorted(total, share, side="right")) + 1 if share is not None else len(part)
+    rows = [(i + 1, float(part[i]), float(total[i]), vector[:, i].tolist()) for i in range(min(most, len(part)) if n else 0)]
+    return df.sparkSession.createDataFrame(rows, "component int, share double, cumulative double, loadings array<double>")
+
+
+def pca_scores(df: DataFrame, cols: Sequence[str], k: int | None = None, share: float | None = None) -> DataFrame:
+    """df with pc1, pc2, ...: the rows' scaled columns along the components; null for rows with a null."""
+    mean, sd, _, _ = correlations(df, cols)
+    scaled = [(F.col(c).cast("double") - float(m)) / float(s or 1.0) for c, m, s in zip(cols, mean, sd, strict=True)]
+    made = pca(df, cols, k, share).select("component", "loadings").collect()  # one row a component
+    return df.withColumns({f"pc{r.component}": sum((x * float(w) for x, w in zip(scaled, r.loadings, strict=True)), F.lit(0.0)) for r in made})
 
 
 def cluster(df: DataFrame, cols: Sequence[str], k: int, bisecting: bool = False, seed: int = 7) -> DataFrame:

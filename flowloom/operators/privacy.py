@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import grouped_quantiles
+
 
 def impute(df: DataFrame, strategy: Mapping[str, str], approx: bool = False) -> DataFrame:
     """Fill nulls by column: median, mean, mode (ties: the least), or a constant."""
@@ -34,8 +36,8 @@ def impute_group_mean(df: DataFrame, c: str, group: Column) -> DataFrame:
 
 
 def _bounds(df: DataFrame, c: str, k: float) -> DataFrame:
-    q = df.agg(F.percentile(c, [0.25, 0.75]).alias("q"))
-    a, b = F.col("q")[0], F.col("q")[1]
+    q = grouped_quantiles(df, [], c, {"q1": 0.25, "q3": 0.75})
+    a, b = F.col("q1"), F.col("q3")
     return F.broadcast(q.select((a - k * (b - a)).alias("low"), (b + k * (b - a)).alias("high")))
 
 

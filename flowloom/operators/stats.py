@@ -6,9 +6,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .scans import WHOLE, grouped_quantiles, kept, lagged, meet, over_rows, running
 from .windows import guarded_corr
 
 # ---- distributions on the driver
@@ -34,30 +35,59 @@ def betainc(a: float, b: float, x: float) -> float:
     return front * h
 
 
+def _log1p_less(d: np.ndarray) -> np.ndarray:
+    """log(1 + d) - d without loss of digits near zero."""
+    near = np.abs(d) < 0.01
+    x = np.where(near, d, 0.0)
+    series = -x * x * sum((-x) ** k / (k + 2) for k in range(10))
+    return np.where(near, series, np.log1p(d) - d)
+
+
+#: Shapes from here on are integrated: series and continued fractions need more terms the larger the shape.
+LARGE = 10_000.0
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+
+
+def _gamma_between(a: float, low: float, high: float) -> float:
+    """Mass of a gamma distribution of shape a >= LARGE between low and high standard deviations from a."""
+    edges = np.linspace(low, high, max(2, math.ceil(2 * (high - low)) + 1))
+    half = np.diff(edges) / 2
+    z = (edges[:-1] + half)[:, None] + half[:, None] * _NODES
+    d = z / math.sqrt(a)
+    stirling = 1 / (12 * a) - 1 / (360 * a**3)
+    density = np.exp(a * _log1p_less(d) - np.log1p(d) - stirling) / math.sqrt(2 * math.pi)
+    return float((density * _WEIGHTS * half[:, None]).sum())
+
+
 def gammaincc(a: float, x: float) -> float:
-    """Upper regularised incomplete gamma function."""
+    """Upper regularised incomplete gamma function: series, continued fraction, and for large shapes quadrature about the mode."""
     if x <= 0:
         return 1.0
+    if a >= LARGE:
+        z = (x - a) / math.sqrt(a)
+        if abs(z) > 38:  # the tail beyond is less than the least double
+            return 0.0 if z > 0 else 1.0
+        return _gamma_between(a, z, z + 14) if z > 0 else 1 - _gamma_between(a, max(z - 14, -math.sqrt(a) * 0.999), z)
+    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
     if x < a + 1:
-        term = total = 1 / a
-        for n in range(1, 10_000):
+        term, total, n = 1 / a, 1 / a, 0
+        while term >= total * 1e-17:
+            n += 1
             term *= x / (a + n)
             total += term
-            if term < total * 1e-16:
-                break
-        return 1 - total * math.exp(-x + a * math.log(x) - math.lgamma(a))
+        return 1 - total * front
     b, c = x + 1 - a, 1e300
-    d = 1 / b
-    h = d
-    for n in range(1, 10_000):
+    d = h = 1 / b
+    n, step = 0, 0.0
+    while abs(step - 1) >= 1e-15:
+        n += 1
         an = -n * (n - a)
         b += 2
         d = 1 / (an * d + b or 1e-300)
         c = b + an / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
+        step = d * c
+        h *= step
+    return front * h
 
 
 def p_f(f: float, d1: float, d2: float) -> float:
@@ -95,39 +125,54 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ).select("x.*")
 
 
-def running(n: DataFrame, v: str, cols: Sequence[str], descending: bool = False, parts: int = 64) -> DataFrame:
-    """n (one row for each value v, a number or a day) with to_c, the sum of c up to v, and all_c, its total, for each of cols.
-
-    Values are cut into range parts at quantiles of v, which are literals of the plan: a part depends on
-    the value alone, however the rows are dealt or computed anew. A part's own running sum and the
-    sums of the parts before it (one row a part) make the total; no task sorts all values.
-    """
-    cuts = sorted(set(n.agg(F.percentile_approx(v, [k / parts for k in range(1, parts)]).alias("q")).first().q or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(v))) if cuts else F.lit(0)
-    dealt = n.withColumn("part_", -part if descending else part)
-    w = Window.partitionBy("part_").orderBy(F.desc(v) if descending else v)
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("part_").agg(*(F.sum(c).alias(f"sum_{c}") for c in cols))
-    sizes = sizes.select(
-        "part_",
-        *(F.coalesce(F.sum(f"sum_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in cols),
-        *(F.sum(f"sum_{c}").over(Window.partitionBy()).alias(f"all_{c}") for c in cols),
-    )
-    both = dealt.withColumns({f"to_{c}": F.sum(c).over(w) for c in cols}).join(F.broadcast(sizes), "part_")
-    return both.withColumns({f"to_{c}": F.col(f"to_{c}") + F.col(f"before_{c}") for c in cols}).drop("part_", *(f"before_{c}" for c in cols))
-
-
 def average_ranks(df: DataFrame, c: str) -> DataFrame:
     """v_, rank_: the average rank of each distinct value, from counts by value."""
     n = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v_")).agg(F.count("*").alias("n_"))
     return running(n, "v_", ["n_"]).select("v_", (F.col("to_n_") - (F.col("n_") - 1) / 2).alias("rank_"))
 
 
+def spearman_matrix(df: DataFrame, cols: Sequence[str], whole: int = WHOLE) -> DataFrame:
+    """a, b, r, n for each pair a < b by position: Pearson correlation of average ranks among the rows that have both; null for constants.
+
+    A value's rank in a pair counts the rows that have the pair's other column, so a value has as many
+    ranks as there are columns. Equal rows are counted first. Columns are unpivoted and ranked by range
+    parts of their own, all in one pass; values that a hundredth of all rows hold, a hundred a column at
+    most, come back by broadcast, others by a join. The number of shuffles doesn't grow with the columns.
+    """
+    cols, k = list(cols), len(cols)
+    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(cols)]
+    names = [f"c{i}" for i in range(k)]
+    d = kept(df.select(*clean).groupBy(*names).agg(F.count("*").alias("w")).withColumn("id", F.monotonically_increasing_id()), "rows")
+    has = [F.when(F.col(c).isNotNull(), F.col("w")).otherwise(0).alias(f"n{j}") for j, c in enumerate(names)]
+    cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(n).alias("v")) for i, n in enumerate(names)))
+    u = d.select("id", "w", *has, F.explode(cells).alias("x")).select("id", "w", *(f"n{j}" for j in range(k)), "x.c", "x.v").where("v IS NOT NULL")
+    counts = u.groupBy("c", "v").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(k)), F.sum("w").alias("rows"))
+    ranked = running(counts, "v", [f"n{j}" for j in range(k)], by=["c"], own_parts=True, whole=whole)
+    ranks = F.array(*(F.when(F.col(f"n{j}") > 0, F.col(f"to_n{j}") - (F.col(f"n{j}") - 1) / 2) for j in range(k)))
+    ranked = kept(ranked.select("c", "v", "rows", ranks.alias("ranks")), "ranks")
+    total = d.agg(F.sum("w")).first()[0] or 0
+    hot = ranked.where(F.col("rows") > max(total / 100, 1)).select("c", "v", F.col("ranks").alias("hot"))
+    met = u.select("id", "c", "v").join(F.broadcast(hot), ["c", "v"], "left")
+    rest = met.where("hot IS NULL").select("id", "c", "v").join(ranked.select("c", "v", "ranks"), ["c", "v"])
+    both = rest.select("id", "c", "ranks").unionAll(met.where("hot IS NOT NULL").select("id", "c", F.col("hot").alias("ranks")))
+    back = both.groupBy("id").agg(*(F.max(F.when(F.col("c") == i, F.col("ranks"))).alias(f"r{i}") for i in range(k))).join(d.select("id", "w"), "id")
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    sums = d.agg(*(F.sum(F.when(F.col(names[i]).isNotNull() & F.col(names[j]).isNotNull(), F.col("w"))).alias(f"m{i}_{j}") for i, j in pairs)).first()
+    out = []
+    for i, j in pairs:
+        n = sums[f"m{i}_{j}"] or 0
+        x, y = (F.get(f"r{a}", F.lit(b)) - (n + 1) / 2 for a, b in ((i, j), (j, i)))  # ranks about their mean
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        xy, xx, yy = (F.sum(F.col("w") * p) for p in (x * y, x * x, y * y))
+        r = F.when((xx > 0) & (yy > 0), xy / F.sqrt(xx) / F.sqrt(yy))
+        out.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), r.alias("r"), F.lit(n).cast("long").alias("n")).alias(f"p{i}_{j}"))
+    row = back.agg(*out)
+    return row.select(F.explode(F.array(*(f"p{i}_{j}" for i, j in pairs))).alias("x")).select("x.*")
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row r: Pearson correlation of average ranks among complete pairs."""
-    d = df.select(a, b).dropna()
-    ra, rb = (average_ranks(d, c).select(F.col("v_").alias(c), F.col("rank_").alias(f"rank_{c}")) for c in (a, b))
-    return d.join(ra, a).join(rb, b).agg(guarded_corr(F.col(f"rank_{a}"), F.col(f"rank_{b}")).alias("r"))
+    return spearman_matrix(df, [a, b]).select("r")
 
 
 def redundant(df: DataFrame, cols: Sequence[str], t: float = 0.9) -> DataFrame:
@@ -252,9 +297,8 @@ def cmi(df: DataFrame, x: str, y: str, z: str, bins: int = 8) -> DataFrame:
 
 def transfer_entropy(df: DataFrame, source: str, target: str, order: str, lag: int = 1, bins: int = 8) -> DataFrame:
     """cmi of the target with the source's past, given its own past. df: one row a period."""
-    w = Window.orderBy(order)
-    d = df.select(F.col(target).alias("now"), F.lag(source, lag).over(w).alias("their_past"), F.lag(target, lag).over(w).alias("own_past"))
-    return cmi(d, "their_past", "now", "own_past", bins)
+    d = df.select(F.col(order).alias("o"), F.col(source).alias("s"), F.col(target).alias("now"))
+    return cmi(lagged(d, "o", {"their_past": ("s", lag), "own_past": ("now", lag)}), "their_past", "now", "own_past", bins)
 
 
 # ---- regressions by normal equations
@@ -294,10 +338,30 @@ def ols(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, p double")
 
 
+def trend_by(df: DataFrame, by: Sequence[str], t: str, y: str) -> DataFrame:
+    """by, n, slope, intercept, r2, se (of the slope) of y over t by least squares in each group, by one aggregate.
+
+    Rows with a null in t or y are left out; a null key is a group. A group without two values of t has no
+    slope; one of two rows has no se.
+    """
+    d = df.select(*by, F.col(t).cast("double").alias("t_"), F.col(y).cast("double").alias("y_")).where("t_ IS NOT NULL AND y_ IS NOT NULL")
+    n = F.count("*")
+    g = d.groupBy(*by).agg(
+        n.alias("n"), F.avg("t_").alias("mt"), F.avg("y_").alias("my"), (F.var_pop("t_") * n).alias("tt"), (F.var_pop("y_") * n).alias("yy"),
+        (F.covar_pop("t_", "y_") * n).alias("ty"),
+    )
+    slope = F.try_divide(F.col("ty"), F.col("tt"))
+    rss = F.greatest(F.col("yy") - slope * F.col("ty"), F.lit(0.0))
+    return g.select(
+        *by, "n", slope.alias("slope"), (F.col("my") - slope * F.col("mt")).alias("intercept"), F.try_divide(F.col("ty") * F.col("ty"), F.col("tt") * F.col("yy")).alias("r2"),
+        F.when(F.col("n") > 2, F.sqrt(F.try_divide(rss / (F.col("n") - 2), F.col("tt")))).alias("se"),
+    )
+
+
 def granger(df: DataFrame, x: str, y: str, order: str, maxlag: int) -> DataFrame:
     """lag, f, p: whether x's past helps to tell y. df: one row a period."""
-    w = Window.orderBy(order)
-    d = df.select(F.col(y).alias("y"), *(F.lag(c, k).over(w).alias(f"{n}{k}") for n, c in (("y", y), ("x", x)) for k in range(1, maxlag + 1)))
+    d = df.select(F.col(order).alias("o"), F.col(y).alias("y"), F.col(x).alias("x"))
+    d = kept(lagged(d, "o", {f"{c}{k}": (c, k) for c in "yx" for k in range(1, maxlag + 1)}))
     rows = []
     for lag in range(1, maxlag + 1):
         own, both = [f"y{k}" for k in range(1, lag + 1)], [f"{n}{k}" for n in "yx" for k in range(1, lag + 1)]
@@ -343,40 +407,41 @@ def chow(df: DataFrame, y: str, xs: Sequence[str], t: str, cut) -> DataFrame:
     return _row(df, {"f": f, "p": p_f(f, k, dof)})
 
 
-def km_quantiles(df: DataFrame, duration: str, event: str, by: Sequence[str], qs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), least: int = 10) -> DataFrame:
+def km_quantiles(df: DataFrame, duration: str, event: str, by: Sequence[str], qs: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), least: int = 10, whole: int = WHOLE) -> DataFrame:
     """by, n, events, qNN: least time at which survival is 1 - q or less; groups under `least` rows: quantiles of observed events.
 
-    Counts by group and time, then windows over times.
+    Counts by group and time, then scans of sums and products over range parts of time.
     """
     d = df.where(F.col(duration).isNotNull()).withColumns({c: F.coalesce(c, F.lit("Unknown")) for c in by}).select(
         *by, F.col(duration).cast("double").alias("t"), F.col(event).cast("int").alias("e")
     )
     n = d.groupBy(*by, "t").agg(F.count("*").alias("n"), F.sum("e").alias("d"))
-    w = Window.partitionBy(*by)
-    at_risk = F.sum("n").over(w.orderBy(F.desc("t")))
-    s = n.withColumn("risk_", at_risk).withColumn(
-        "s", F.product(1 - F.col("d") / F.col("risk_")).over(w.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    )
+    risk = running(n, "t", ["n"], descending=True, by=by, whole=whole)
+    s = running(risk.withColumn("left_", 1 - F.col("d") / F.col("to_n")).select(*by, "t", "n", "d", "left_"), "t", [], by=by, products=["left_"], whole=whole)
     km = s.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sum("d").alias("events"), *(F.min(F.when(F.col("s") <= 1 - q + 1e-12, F.col("t"))).alias(f"k{int(q * 100)}") for q in qs)
+        F.sum("n").alias("n"), F.sum("d").alias("events"), *(F.min(F.when(F.col("to_left_") <= 1 - q + 1e-12, F.col("t"))).alias(f"k{int(q * 100)}") for q in qs)
     )
-    seen = d.where("e = 1").groupBy(*by).agg(*(F.percentile("t", q).alias(f"e{int(q * 100)}") for q in qs))
-    out = km.join(seen, list(by), "left").where((F.col("n") >= least) | (F.col("events") > 0))
+    km = kept(km)
+    few = km.where(F.col("n") < least).select(*(F.col(c).alias(f"{c}_few") for c in by))  # groups of fewer rows than `least`
+    seen = d.where("e = 1").join(few, [F.col(c) == F.col(f"{c}_few") for c in by], "left_semi") if by else d.where("e = 1")
+    seen = grouped_quantiles(seen, by, "t", {f"e{int(q * 100)}": q for q in qs})
+    out = meet(km, seen, by, "left").where((F.col("n") >= least) | (F.col("events") > 0))
     return out.select(
         *by, "n", "events", *(F.when(F.col("n") < least, F.col(f"e{int(q * 100)}")).otherwise(F.col(f"k{int(q * 100)}")).alias(f"q{int(q * 100)}") for q in qs)
     )
 
 
-def change_point(df: DataFrame, period: str, n: str) -> DataFrame:
+def change_point(df: DataFrame, period: str, n: str, whole: int = WHOLE) -> DataFrame:
     """period, cost, posterior: for each split of a count series, Poisson cost of two rates, and its share of the likelihood (flat prior)."""
-    w = Window.orderBy(period)  # one row a period
-    d = df.select(F.col(period).alias("period"), F.col(n).cast("double").alias("n")).withColumns(
-        {"k": F.row_number().over(w), "s": F.sum("n").over(w), "all": F.sum("n").over(Window.partitionBy()), "m": F.count("*").over(Window.partitionBy())}
-    ).where("k < m")
+    d = df.select(F.col(period).alias("period"), F.col(n).cast("double").alias("n"), F.lit(1).alias("one"))
+    d = running(d, "period", ["n", "one"], whole=whole).where("to_one < all_one")
     term = lambda s, k: F.when(s > 0, s * F.log(s / k)).otherwise(0.0)
-    d = d.withColumn("ll", term(F.col("s"), F.col("k")) + term(F.col("all") - F.col("s"), F.col("m") - F.col("k")))
-    weight = F.exp(F.col("ll") - F.max("ll").over(Window.partitionBy()))
-    return d.select("period", (-F.col("ll")).alias("cost"), (weight / F.sum(weight).over(Window.partitionBy())).alias("posterior"))
+    ll = term(F.col("to_n"), F.col("to_one")) + term(F.col("all_n") - F.col("to_n"), F.col("all_one") - F.col("to_one"))
+    d = kept(d.select("period", ll.alias("ll")))
+    best = d.agg(F.max("ll")).first()[0]
+    weight = F.exp(F.col("ll") - F.lit(best))
+    total = d.agg(F.sum(weight)).first()[0]
+    return d.select("period", (-F.col("ll")).alias("cost"), (weight / F.lit(total)).alias("posterior"))
 
 
 def mean_shift(df: DataFrame, c: str, group: str) -> DataFrame:
@@ -391,17 +456,20 @@ def mean_shift(df: DataFrame, c: str, group: str) -> DataFrame:
     return _row(df, {"shift": shift, "sd": sd, "p_above": 0.5 * math.erfc(-shift / sd / math.sqrt(2))})
 
 
-def decompose(df: DataFrame, order: str, c: str, period: int) -> DataFrame:
+def decompose(df: DataFrame, order: str, c: str, period: int, **options) -> DataFrame:
     """trend (centred moving average), seasonal (mean by position, centred), residual. df: one row a period of time."""
-    w = Window.orderBy(order)
     half = period // 2
-    d = df.select(order, F.col(c).cast("double").alias("x")).withColumn("k", F.row_number().over(w) - 1)
-    span = w.rowsBetween(-half, half)
-    if period % 2:
-        trend = F.avg("x").over(span)
-    else:
-        trend = (F.sum("x").over(span) - (F.lag("x", half).over(w) + F.lead("x", half).over(w)) / 2) / period
-    d = d.withColumn("trend", F.when(F.count("x").over(span) == 2 * half + 1, trend)).withColumn("pos", F.col("k") % period)
+
+    def made(w: WindowSpec) -> dict[str, Column]:
+        span = w.rowsBetween(-half, half)
+        if period % 2:
+            trend = F.avg("x").over(span)
+        else:
+            trend = (F.sum("x").over(span) - (F.lag("x", half).over(w) + F.lead("x", half).over(w)) / 2) / period
+        return {"trend": F.when(F.count("x").over(span) == 2 * half + 1, trend)}
+
+    d = over_rows(df.select(order, F.col(c).cast("double").alias("x")), order, made, half, half, **options)
+    d = kept(d.withColumn("pos", (F.col("pos_") - 1) % period))
     means = d.groupBy("pos").agg(F.avg(F.col("x") - F.col("trend")).alias("s"))
     means = means.withColumn("seasonal", F.col("s") - F.avg("s").over(Window.partitionBy()))
     return d.join(F.broadcast(means.select("pos", "seasonal")), "pos").select(
@@ -409,11 +477,11 @@ def decompose(df: DataFrame, order: str, c: str, period: int) -> DataFrame:
     )
 
 
-def acf(df: DataFrame, order: str, c: str, k: int) -> DataFrame:
+def acf(df: DataFrame, order: str, c: str, k: int, **options) -> DataFrame:
     """lag, r: autocorrelations about the common mean. df: one row a period."""
-    w = Window.orderBy(order)
-    d = df.select(order, F.col(c).cast("double").alias("x")).withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy()))
-    d = d.select("x", *(F.lag("x", i).over(w).alias(f"l{i}") for i in range(1, k + 1)))
+    mean = F.lit(df.agg(F.avg(F.col(c).cast("double"))).first()[0])
+    d = df.select(F.col(order).alias("o"), (F.col(c).cast("double") - mean).alias("x"))
+    d = lagged(d, "o", {f"l{i}": ("x", i) for i in range(1, k + 1)}, **options)
     row = d.agg(
         *(F.try_divide(F.sum(F.col("x") * F.col(f"l{i}")), F.sum(F.col("x") * F.col("x"))).alias(f"r{i}") for i in range(1, k + 1)), F.count("x").alias("n")
     )
@@ -430,9 +498,8 @@ def ljung_box(df: DataFrame, order: str, c: str, k: int) -> DataFrame:
 
 def adf_stat(df: DataFrame, order: str, c: str) -> DataFrame:
     """t: of the level in the regression of changes on the level and a constant (unit root)."""
-    w = Window.orderBy(order)
-    x = F.col(c).cast("double")
-    d = df.select((x - F.lag(x).over(w)).alias("dx"), F.lag(x).over(w).alias("level"))
+    d = lagged(df.select(F.col(order).alias("o"), F.col(c).cast("double").alias("x")), "o", {"level": ("x", 1)})
+    d = d.select((F.col("x") - F.col("level")).alias("dx"), "level")
     return ols(d, "dx", ["level"]).where("term = 'level'").select("coef", "t")
 
 
@@ -443,9 +510,10 @@ def calibration(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
 
 
 def class_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5) -> DataFrame:
-    """One row of auc, average_precision, brier, accuracy, precision, recall, f1 and the confusion counts.
+    """One row of auc, average_precision, brier, accuracy, precision, recall, f1, the confusion counts, and best_threshold with best_f1.
 
-    Ranks come from counts by score, so ties count half.
+    Ranks come from counts by score, so ties count half. best_threshold: of the scores, the least at which
+    predicting all rows of that score or more gives the highest F1.
     """
     d = df.select(F.col(y).cast("int").alias("y"), F.col(p).cast("double").alias("p")).dropna()
     n = d.groupBy("p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
@@ -462,7 +530,10 @@ def class_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5) -> Data
         ),
     )
     prec, rec = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
-    return c.agg(auc.alias("auc"), ap.alias("average_precision")).crossJoin(one).withColumns(
+    f1 = 2 * F.col("to_pos") / (F.col("to_n") + F.col("all_pos"))
+    best = F.max(F.struct(f1.alias("f1"), (-F.col("p")).alias("p")))
+    scanned = c.agg(auc.alias("auc"), ap.alias("average_precision"), (-best["p"]).alias("best_threshold"), best["f1"].alias("best_f1"))
+    return scanned.crossJoin(one).withColumns(
         {
             "accuracy": F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")),
             "precision": prec,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import lagged
+
 
 def inter_pickup(df: DataFrame) -> DataFrame:
     """Days since the staff member's previous allocation."""
@@ -44,10 +46,10 @@ def lag_features(df: DataFrame, c: str, k: int, by: Sequence[str], order: Sequen
     return df.withColumns({f"{c}_lag{i}": F.lag(c, i).over(w) for i in range(1, k + 1)})
 
 
-def lag_corr(df: DataFrame, a: str, b: str, lags: Sequence[int], order: str) -> DataFrame:
+def lag_corr(df: DataFrame, a: str, b: str, lags: Sequence[int], order: str, **options) -> DataFrame:
     """lag, r: correlation of a with b so many rows before. df: one row a day."""
-    w = Window.orderBy(order)
-    d = df.select(F.col(a).cast("double").alias("a"), *(F.lag(b, k).over(w).cast("double").alias(f"b{k}") for k in lags))
+    d = df.select(F.col(order).alias("o"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    d = lagged(d, "o", {f"b{k}": ("b", k) for k in lags}, **options)
     both = lambda k: F.col("a").isNotNull() & F.col(f"b{k}").isNotNull()
     row = d.agg(*(guarded_corr(F.when(both(k), F.col("a")), F.when(both(k), F.col(f"b{k}"))).alias(f"r{k}") for k in lags))
     return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r")) for k in lags))).alias("x")).select("x.*")

@@ -250,16 +250,33 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
     return saved.unionByName(spark.createDataFrame([("auc_of_loaded", float(again))], "metric string, value double"))
 
 
-@query("m8_fit_cox")
-def m8(spark: SparkSession, d: str) -> DataFrame:
-    c = cases(spark, d).where("dt_alloc IS NOT NULL").select(
+def survival(spark: SparkSession, d: str) -> DataFrame:
+    """Days from allocation to sign-off or the end of the data, whether signed off, and three covariates."""
+    return cases(spark, d).where("dt_alloc IS NOT NULL").select(
+        "case_id",
         F.datediff(F.coalesce("dt_signoff", F.lit("2001-12-31").cast("date")), "dt_alloc").alias("t"),
         F.col("dt_signoff").isNotNull().cast("int").alias("e"),
         "weighting",
         "fte",
         (F.col("risk") == "BUILDING").cast("int").alias("building"),
     )
-    return spark.createDataFrame(models.fit_cox(c, "t", "e", ["weighting", "fte", "building"]))
+
+
+COX = ["weighting", "fte", "building"]
+
+
+@query("m8_fit_cox")
+def m8(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(models.fit_cox(survival(spark, d), "t", "e", COX)).drop("mean")
+
+
+@query("m8_cox_score")
+def m8_score(spark: SparkSession, d: str) -> DataFrame:
+    """case_id, partial_hazard, cumulative_hazard, survival at each case's own time."""
+    c = survival(spark, d)
+    fit = models.fit_cox(c, "t", "e", COX)
+    scored = models.cox_score(c, "t", fit, models.cox_baseline(c, "t", "e", fit))
+    return scored.select("case_id", "partial_hazard", "cumulative_hazard", "survival")
 
 
 @query(
@@ -364,7 +381,14 @@ def embedded(spark: SparkSession, d: str) -> DataFrame:
 @query("m19_pca")
 def m19(spark: SparkSession, d: str) -> DataFrame:
     e = embedded(spark, d).drop("vec_id")
-    return models.pca(e, e.columns, 3)
+    return models.pca(e, e.columns, 3).select("component", "share")
+
+
+@query("m19_pca_share")
+def m19_share(spark: SparkSession, d: str) -> DataFrame:
+    """The components that hold nine tenths of the variance."""
+    e = embedded(spark, d).drop("vec_id")
+    return models.pca(e, e.columns, share=0.9).select("component", "share", "cumulative")
 
 
 @query("m20_cluster")

@@ -40,6 +40,27 @@ def q2(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.spearman(timed(spark, d), "days", "weighting"))
 
 
+#: Columns of lineitem, two of them with nulls.
+HOLED = {"qty": "l_quantity", "price": "l_extendedprice", "disc": "CASE WHEN l_linenumber % 3 <> 0 THEN l_discount END", "tax": "CASE WHEN l_linenumber % 2 = 0 THEN l_tax END"}
+
+
+def pair_sql(a: str, b: str) -> str:
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
+    return f"""SELECT '{a}' AS a, '{b}' AS b, round(corr(ra, rb), 6) AS r, count(*) AS n
+FROM (SELECT {rank(a)} AS ra, {rank(b)} AS rb FROM h WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+
+
+@query(
+    "q2_spearman_matrix",
+    f"WITH h AS (SELECT {', '.join(f'{v} AS {k}' for k, v in HOLED.items())} FROM lineitem)\n"
+    + " UNION ALL ".join(pair_sql(a, b) for i, a in enumerate(HOLED) for b in list(HOLED)[i + 1 :]),
+    cases=False,
+)
+def q2_matrix(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "lineitem").select(*(F.expr(v).alias(k) for k, v in HOLED.items()))
+    return rounded(op.spearman_matrix(h, list(HOLED)))
+
+
 @query("q3_redundant", "SELECT 'l_quantity' AS a, 'twice' AS b, 1.0::DOUBLE AS r", cases=False)
 def q3(spark: SparkSession, d: str) -> DataFrame:
     return rounded(
@@ -271,8 +292,9 @@ def q22(spark: SparkSession, d: str) -> DataFrame:
     "q23_class_metrics",
     f"""WITH {SCORES}, r AS (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rk FROM p), a AS (SELECT (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auc FROM r),
 s AS (SELECT p, sum(y) AS pos, sum(sum(y)) OVER (ORDER BY p DESC) AS tp, sum(count(*)) OVER (ORDER BY p DESC) AS n FROM p GROUP BY p), ap AS (SELECT sum(pos * tp / n) / sum(pos) AS ap FROM s),
+b AS (SELECT arg_max(-p, {{'f': 2 * tp / (n + t), 'p': -p}}) AS low, max(2 * tp / (n + t)) AS best FROM s, (SELECT sum(y)::DOUBLE AS t FROM p)),
 c AS (SELECT avg(pow(p - y, 2)) AS brier, count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.5 AND y = 0) AS fp, count(*) FILTER (WHERE p < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE p < 0.5 AND y = 0) AS tn FROM p)
-SELECT round(auc, 6) AS auc, round(ap, 6) AS average_precision, round(brier, 6) AS brier, tp, fp, fn, tn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM a, ap, c""",
+SELECT round(auc, 6) AS auc, round(ap, 6) AS average_precision, round(brier, 6) AS brier, tp, fp, fn, tn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(-low, 6) AS best_threshold, round(best, 6) AS best_f1 FROM a, ap, b, c""",
     cases=False,
 )
 def q23(spark: SparkSession, d: str) -> DataFrame:
@@ -303,3 +325,15 @@ SELECT round((p.r - sum(f.r)) / 2 / (sum(f.r) / (sum(f.n) - 4)), 4) AS f FROM f,
 def q25(spark: SparkSession, d: str) -> DataFrame:
     s = monthly(spark, d).withColumn("t", F.datediff("m", F.lit("1995-01-01").cast("date")).cast("double")).withColumn("cut", F.col("m"))
     return op.chow(s, "x", ["t"], "cut", "1998-01-01").select(F.round("f", 4).alias("f"))
+
+
+@query(
+    "q14_trend_by",
+    """WITH s AS (SELECT case_type, region, datediff('day', DATE '1995-01-01', dt_alloc)::DOUBLE AS t, (dt_signoff - dt_alloc)::DOUBLE AS y FROM cases WHERE dt_signoff IS NOT NULL)
+SELECT case_type, count(*) AS n, round(regr_slope(y, t), 8) AS slope, round(regr_intercept(y, t), 4) AS intercept, round(regr_r2(y, t), 8) AS r2,
+  round(sqrt((regr_syy(y, t) - pow(regr_sxy(y, t), 2) / regr_sxx(y, t)) / (count(*) - 2) / regr_sxx(y, t)), 8) AS se FROM s GROUP BY 1""",
+)
+def q14_trend(spark: SparkSession, d: str) -> DataFrame:
+    c = cases(spark, d).select("case_type", F.datediff("dt_alloc", F.lit("1995-01-01").cast("date")).alias("t"), F.datediff("dt_signoff", "dt_alloc").alias("y"))
+    m = op.trend_by(c, ["case_type"], "t", "y")
+    return m.select("case_type", "n", F.round("slope", 8).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 8).alias("r2"), F.round("se", 8).alias("se"))
