@@ -667,19 +667,139 @@ def test_chat(spark):
     parsed = chat.parse(raw.select("conv_id", "seg", "line_no", "line"), model)
     both = parsed.join(raw.select("conv_id", "line_no", F.col("role").alias("r")), ["conv_id", "line_no"]).where(common.fold("conv_id", 5) == 0)
     assert both.agg(F.avg((F.col("role") == F.col("r")).cast("int"))).first()[0] > 0.9
-    odd = spark.createDataFrame([(1, 0, "User: hi"), (1, 1, None), (1, 2, "Assistant: yes"), (1, 2, "Assistant: yes"), (None, 0, "x"), (2, None, "y"), (3, 0, "")], "conv_id long, line_no long, line string").withColumn("nth", F.lit(1))
+    odd = spark.createDataFrame(
+        [(1, 0, "User: hi"), (1, 1, None), (1, 2, "Assistant: yes"), (1, 2, "Assistant: yes"), (None, 0, "x"), (2, None, "y"), (3, 0, "")],
+        "conv_id long, line_no long, line string",
+    ).withColumn("nth", F.lit(1))
     turns = chat.render(chat.parse(odd, model)).orderBy("conv_id", "turn").collect()
-    assert [(r.conv_id, r.role) for r in turns][:2] == [(1, "user"), (1, "assistant")] and turns[0].rendered == "<|user|>\nhi\n<|end|>"
+    assert [(r.conv_id, r.role) for r in turns][:2] == [(1, "user"), (1, "assistant")] and turns[0].rendered == "<|user|>\nhi\n\n<|end|>"
     assert sum(r.n_lines for r in turns) == 5
     assert chat.parse(odd.limit(0), model).count() == 0
 
 
+def plain_chat(lines, states, own):
+    """Turns rendered line by line from states. lines: texts."""
+    turns = []
+    for text, state in zip(lines, states, strict=True):
+        role, later = divmod(state, 2)
+        if not later:
+            turns.append((chat.ROLES[role], []))
+            name = re.match(r"^\s*(?:(\w+(?: \d)?)\s*[:>] ?|### (\w+)$)", text)
+            said = name and (name[1] or name[2]).lower()
+            if said in own and chat.ROLE_OF[said] == role:
+                text = text[name.end() :]
+                if not text:
+                    continue
+        turns[-1][1].append(text)
+    return [(r, f"<|{r}|>\n" + "\n".join(x) + "\n<|end|>") for r, x in turns]
+
+
+def test_chat_keeps_foreign_markers_as_text(spark):
+    """Markers of another form, or another name, inside a turn are content: three lines stay one turn, all words are kept."""
+    raw = chat.transcripts(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet"))
+    model = chat.fit(raw)
+    talks = [
+        ["### User", "hi there", "### Assistant", "line one", "Answer: 42", "Context: sea", "", "  indented  ", "### User", "thanks"],
+        ["User: what is it?", "Bot: first", "[user] quoted", "Question: inner", "  tail ", "User: ok"],
+        ["<|user|>", "<|assistant|>", "yes"],
+        ["User: hello", "Assistant: line one", "Answer: 42", "Context: sea", "User: thanks  "],
+    ]
+    rows = spark.createDataFrame([(c, n, t) for c, talk in enumerate(talks) for n, t in enumerate(talk)], "conv_id long, line_no long, line string")
+    got = defaultdict(list)
+    for r in chat.render(chat.parse(clashing(rows), model)).orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.role, r.rendered, r.n_lines))
+    turn = lambda role, text, n: (role, f"<|{role}|>\n{text}\n<|end|>", n)
+    assert got[0] == [turn("user", "hi there", 2), turn("assistant", "line one\nAnswer: 42\nContext: sea\n\n  indented  ", 6), turn("user", "thanks", 2)]
+    assert got[1] == [turn("user", "what is it?", 1), turn("assistant", "first\n[user] quoted\nQuestion: inner\n  tail ", 4), turn("user", "ok", 1)]
+    assert got[2] == [turn("user", "", 1), turn("assistant", "yes", 2)]
+    assert got[3] == [turn("user", "hello", 1), turn("assistant", "line one\nAnswer: 42\nContext: sea", 3), turn("user", "thanks  ", 1)]
+
+
+def test_chat_viterbi_equals_path_enumeration(spark):
+    """The states found are the best of all paths, and the turns those that plain rendering makes of them."""
+    from itertools import product
+
+    rng = random.Random(21)
+    train = []
+    for c in range(30):
+        for k in range(4):
+            train.append((c, 10 * k, ("User: " if k % 2 == 0 else "Bot: ") + "text " * rng.randrange(40), "user" if k % 2 == 0 else "assistant", True))
+            train.append((c, 10 * k + 1, "more " * rng.randrange(40) + rng.choice(["?", "."]), "user" if k % 2 == 0 else "assistant", False))
+    model = chat.fit(spark.createDataFrame(train, "conv_id long, line_no long, line string, role string, first boolean"))
+    heads = ["User: ", "Bot: ", "", "", "System: ", "Answer: ", "[user] "]
+    talks = [
+        ["User: start"] + [rng.choice(heads) + "word " * rng.randrange(4) + rng.choice(["?", ".", ""]) for _ in range(rng.randrange(4))]
+        for _ in range(25)
+    ]
+    rows = spark.createDataFrame([(c, n, t) for c, talk in enumerate(talks) for n, t in enumerate(talk)], "conv_id long, line_no long, line string")
+    parsed = defaultdict(list)
+    for r in chat.parse(rows, model).orderBy("conv_id", "line_no").collect():
+        parsed[r.conv_id].append(2 * chat.ROLES.index(r.role) + (not r.first))
+    turns = defaultdict(list)
+    for r in chat.render(chat.parse(rows, model)).orderBy("conv_id", "turn").collect():
+        turns[r.conv_id].append((r.role, r.rendered))
+    for c, talk in enumerate(talks):
+        own = [None] * 3
+        for t in talk:
+            if (m := chat.marker(t)) and m[1][0] == "4" and own[m[0]] is None:
+                own[m[0]] = m[1]
+        after = [False, *(not t.strip() for t in talk[:-1])]
+        scores = model.scores(np.array([chat.look(t, a, own) for t, a in zip(talk, after)]))
+
+        def value(path):
+            return model.start[path[0]] + scores[0, path[0]] + sum(model.move[a, b] + scores[k + 1, b] for k, (a, b) in enumerate(zip(path, path[1:])))
+
+        best = max(map(value, product(range(chat.STATES), repeat=len(talk))))
+        assert value(parsed[c]) == pytest.approx(best, abs=1e-9)
+        assert turns[c] == plain_chat(talk, parsed[c], {o[1:] for o in own if o})
+
+
+def test_chat_repeated_turns_do_not_interleave(spark):
+    rows = [(1, 0, "user", "one\ntwo"), (1, 0, "user", "three\nfour"), (1, 1, "assistant", "five\nsix"), (1, 1, "assistant", "five\nsix")]
+    raw = chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("seg", "line_no").collect()
+    last = [r.line.split()[-1] for r in raw if chat.marker(r.line) is None or " " in r.line.strip()]
+    assert sorted(last) == sorted(["one", "two", "three", "four", "five", "six", "five", "six"])
+    assert all(last[last.index(a) + 1] == b for a, b in (("one", "two"), ("three", "four"), ("five", "six"))) and last[-2:] == ["five", "six"]
+
+
+def test_chat_segments_stay_together(spark):
+    """Adaptive execution may turn a join by segment into a broadcast join, which leaves rows where they lie; segments must be dealt all the same."""
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    raw = chat.transcripts(conv)
+    model = chat.fit(raw)
+    lines = raw.select("conv_id", "seg", "line_no", "line").repartition(7)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    made = []
+    for first, later in (("-1", "10m"), ("10m", "10m"), ("-1", "-1")):
+        for name, value in zip(names, (first, later), strict=True):
+            spark.conf.set(name, value)
+        parsed = common.stored(chat.parse(lines, model), "parsed")
+        made.append(sorted((r.conv_id, r.turn, r.rendered) for r in chat.render(parsed).collect()))
+        assert parsed.where("first").count() == len(made[-1])
+    for name in names:
+        spark.conf.unset(name)
+    assert made[0] == made[1] == made[2]
+
+
+def test_chat_keeps_turns_of_copies(spark):
+    """Twenty copies of each turn under its own key keep the turns of twenty, but for first turns without a marker, which join what stands before."""
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("conv_id < 12")
+    model = chat.fit(chat.transcripts(conv))
+    turns = lambda c: chat.render(chat.parse(chat.transcripts(c).select("conv_id", "seg", "line_no", "line"), model)).count()
+    assert turns(conv.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20))))) >= 0.9 * 20 * turns(conv) > 0
+
+
 def test_chat_segments_equal_one_pass(spark):
     rng = random.Random(10)
     heads = ["User: ", "Assistant: ", "", "", "System: ", "> ", "### user"]
-    lines = spark.createDataFrame([(1, i, rng.choice(heads) + "text " * rng.randrange(30) + rng.choice(["?", "."])) for i in range(900)], "conv_id long, line_no long, line string")
+    lines = spark.createDataFrame(
+        [(1, i, rng.choice(heads) + "text " * rng.randrange(30) + rng.choice(["?", "."])) for i in range(900)], "conv_id long, line_no long, line string"
+    )
     model = chat.fit(lines.limit(0).withColumn("role", F.lit("user")).withColumn("first", F.lit(True)))
-    cut, whole = (sorted((r.line_no, r.role, r.turn) for r in chat.parse(lines.withColumn("seg", s), model).collect()) for s in (F.floor(F.col("line_no") / 70), F.lit(0)))
+    cut, whole = (
+        sorted((r.line_no, r.role, r.turn) for r in chat.parse(lines.withColumn("seg", s), model).collect())
+        for s in (F.floor(F.col("line_no") / 70), F.lit(0))
+    )
     assert cut == whole
 
 
