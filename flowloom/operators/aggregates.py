@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import grouped_quantiles, kept, meet
+from .scans import WHOLE, grouped_quantiles, kept, meet
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -223,8 +223,12 @@ def earliest(df: DataFrame, key: str, d: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(d).alias(d))
 
 
-def describe_all(df: DataFrame, approx: bool = False) -> DataFrame:
-    """column, n, distinct, top (the most frequent text, ties by text), mean, std, quartiles for all columns. Exact quartiles hold a column's distinct numbers."""
+def describe_all(df: DataFrame, approx: bool = False, whole: int = WHOLE) -> DataFrame:
+    """column, n, distinct, top (the most frequent text, ties by text), mean, std, quartiles for all columns.
+
+    Values are counted once. Exact quartiles of a column of more than `whole` distinct values are selected
+    by ranks (grouped_quantiles), so no task holds a column's values.
+    """
     numeric = {c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint") or t.startswith("decimal")}
     rows = df.select(
         F.explode(
@@ -240,19 +244,21 @@ def describe_all(df: DataFrame, approx: bool = False) -> DataFrame:
             )
         ).alias("r")
     ).select("r.*").where("text IS NOT NULL")
-    per = rows.groupBy("column", "text", "x").agg(F.count("*").alias("k"))
+    per = kept(rows.groupBy("column", "text", "x").agg(F.count("*").alias("k")))
     n, s1, s2 = F.sum("k"), F.sum(F.col("x") * F.col("k")), F.sum(F.col("x") * F.col("x") * F.col("k"))
-    out = per.groupBy("column").agg(
+    out = kept(per.groupBy("column").agg(
         n.alias("n"),
         F.count("*").alias("distinct"),
         F.min_by("text", F.struct(-F.col("k"), "text")).alias("top"),
         F.max("k").alias("freq"),
         (s1 / n).alias("mean"),
         F.when(F.count("x") > 0, F.sqrt(F.try_divide(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)), n - 1))).alias("std"),
-    )
+    ))
     points = (0.25, 0.5, 0.75)
     if approx:
         each = rows.groupBy("column").agg(*(F.percentile_approx("x", p).alias(f"p{int(p * 100)}") for p in points))
+    elif (out.agg(F.max("distinct")).first()[0] or 0) > whole:
+        each = grouped_quantiles(rows, ["column"], "x", {f"p{int(p * 100)}": p for p in points}, whole)
     else:
         each = per.groupBy("column").agg(*(F.percentile("x", p, F.col("k")).alias(f"p{int(p * 100)}") for p in points))
     return out.join(each, "column")
@@ -302,7 +308,7 @@ def profile(df: DataFrame, most: int = 50) -> DataFrame:
             )
         ).alias("r")
     ).select("r.*").where("v IS NOT NULL")
-    per = rows.groupBy("column", "type", "v", "x").agg(F.count("*").alias("k"))
+    per = kept(rows.groupBy("column", "type", "v", "x").agg(F.count("*").alias("k")))
     least, largest = F.coalesce(F.min("x").cast("string"), F.min("v")), F.coalesce(F.max("x").cast("string"), F.max("v"))
     out = per.groupBy("column", "type").agg(least.alias("least"), largest.alias("largest"), F.count("*").alias("cardinality"))
     few = F.broadcast(out.where(F.col("cardinality") <= most).select("column"))  # one row a column

@@ -319,15 +319,13 @@ def receipts_ratio(receipts: DataFrame, d: str, demand: DataFrame, due: str) ->
     return both.fillna(0, ["receipts", "demand"])
 
 
-def age_demand(receipts: DataFrame, demand: DataFrame, d: str, age: str, seed: int, draws: int = 1000) -> DataFrame:
-    """age, share, expected: demand's age shares times a year of receipts drawn evenly between the least and most received on a day.
+def age_demand(receipts: DataFrame, demand: DataFrame, d: str, age: str) -> DataFrame:
+    """age, share, expected: demand's age shares times a year of receipts, each day's number spread evenly between the least and most received on a day.
 
-    receipts: days d; demand: ages. The draws are rows of spark.range; their mean is one number.
+    receipts: days d; demand: ages. The mean of an even spread is the middle of its ends.
     """
-    daily = receipts.groupBy(d).agg(F.count("*").alias("n")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    year = receipts.sparkSession.range(draws).select(F.rand(seed).alias("u")).crossJoin(F.broadcast(daily)).agg(
-        (365 * F.avg(F.col("low") + F.col("u") * (F.col("high") - F.col("low")))).alias("year")
-    )
+    daily = receipts.groupBy(d).agg(F.count("*").alias("n"))
+    year = daily.agg((365 * (F.min("n") + F.max("n")) / 2).alias("year"))
     ages = demand.groupBy(age).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # one row an age
     return ages.withColumn("share", F.col("n") / total).crossJoin(F.broadcast(year)).select(age, "share", (F.col("share") * F.col("year")).alias("expected"))

@@ -537,23 +537,53 @@ def _path(config: str, y: np.ndarray, horizon: int) -> np.ndarray:
     return seasonal_path(y, (int(p), int(sp), int(d), int(sd), trend, int(m), int(log)), horizon)
 
 
-def grid_forecast(df: DataFrame, key: str, order: str, c: str, tests: int, configs: Sequence[str] = GRID) -> DataFrame:
-    """key, config, rmse, rank: one-step walk-forward errors over the last `tests` periods, series by configuration in parallel.
+def _walk(y: np.ndarray, config: str, cuts: np.ndarray) -> np.ndarray:
+    """One-step forecasts of y at the cuts, each from what lies before it.
+
+    An autoregression's differences and design rows depend on its configuration alone, so they are made
+    once; a cut takes the rows before it. A forecast of a difference plus what was subtracted is one of y.
+    """
+    kind, _, arg = config.partition(":")
+    if kind != "ar":
+        return np.array([_path(config, y[:t], 1)[0] for t in cuts])
+    p, sp, diff, season_diff, trend, m, log = arg.split(",")
+    m = int(m)
+    z = np.log1p(np.clip(y, 0, None)) if int(log) else y.astype(float)
+    w = z
+    for k in [1] * int(diff) + [m] * int(season_diff):
+        w = w[k:] - w[:-k] if len(w) > k else w[:0]
+    lost = len(z) - len(w)
+    back = [*range(1, int(p) + 1), *(k * m for k in range(1, int(sp) + 1))]
+    top = max(back)
+    out = np.full(len(cuts), np.nan)
+    if len(w) <= top:
+        return out
+    t = np.arange(top, len(w))
+    x = np.column_stack([*([np.ones(len(t))] if "c" in trend else []), *([t.astype(float)] if "t" in trend else []), *(w[t - k] for k in back)])
+    for i, cut in enumerate(cuts):
+        n = cut - lost - top  # rows before the cut
+        if n >= x.shape[1] + 2:
+            beta = np.linalg.lstsq(x[:n], w[top : top + n], rcond=None)[0]
+            out[i] = x[n] @ beta + z[cut] - w[cut - lost]
+    return np.expm1(out) if int(log) else out
+
+
+def grid_forecast(df: DataFrame, key: str, order: str, c: str, tests: int, configs: Sequence[str] = GRID, lots: int = 16) -> DataFrame:
+    """key, config, rmse, rank: one-step walk-forward errors over the last `tests` periods, series by lots of configurations in parallel.
 
     A configuration that a series is too short for has no rmse and comes last.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(order)[c].to_numpy(float)
-        e = np.array([float(_path(pdf["config"].iloc[0], y[:t], 1)[0] - y[t]) for t in range(max(1, len(y) - tests), len(y))])
-        return pd.DataFrame(
-            {key: [pdf[key].iloc[0]], "config": [pdf["config"].iloc[0]], "rmse": [math.sqrt(np.mean(e**2)) if len(e) and np.isfinite(e).all() else math.nan]}
-        )
-
-    grid = df.sparkSession.createDataFrame([(x,) for x in configs], "config string")
-    scored = df.select(key, order, c).crossJoin(F.broadcast(grid)).groupBy(key, "config").applyInPandas(
-        run, f"{key} {dict(df.dtypes)[key]}, config string, rmse double"
-    )
+        cuts = np.arange(max(1, len(y) - tests), len(y))
+        own = configs[pdf["lot_"].iloc[0] :: lots]
+        errors = [_walk(y, x, cuts) - y[cuts] for x in own]
+        rmse = [math.sqrt(np.mean(e**2)) if len(e) and np.isfinite(e).all() else math.nan for e in errors]
+        return pd.DataFrame({key: pdf[key].iloc[0], "config": list(own), "rmse": rmse})
+
+    dealt = df.select(key, order, c).withColumn("lot_", F.explode(F.sequence(F.lit(0), F.lit(min(lots, len(configs)) - 1))))
+    scored = dealt.groupBy(key, "lot_").applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, config string, rmse double")
     known = F.when(~F.isnan("rmse"), F.col("rmse"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last(known), "config")))
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import grouped_quantiles
+from .scans import grouped_quantiles, kept
 
 
 def impute(df: DataFrame, strategy: Mapping[str, str], approx: bool = False) -> DataFrame:
@@ -208,41 +210,116 @@ def stratified_synthesis(df: DataFrame, numbers: Sequence[str], strata: Sequence
     return kept.unionByName(spread)
 
 
-def neighbour_gaps(real: DataFrame, made: DataFrame, cols: Sequence[str]) -> DataFrame:
+#: Points that a k-d partition is drawn from, at most; it steers the work only. Leaves at most, points of a leaf that make another worth while, and queries that search a leaf at once.
+DRAWN, LEAVES, LEAF, CHUNK = 100_000, 4096, 2000, 20_000
+
+
+class KdParts:
+    """A complete k-d tree over a sample: nodes in heap order, each cut at the median of its widest column."""
+
+    def __init__(self, sample: np.ndarray, depth: int) -> None:
+        self.depth = depth
+        self.dims, self.cuts = np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1)
+        at = [sample]
+        for node in range(2**depth - 1):
+            x = at[node]
+            if len(x):
+                d = int(np.argmax(x.max(0) - x.min(0)))
+                self.dims[node], self.cuts[node] = d, np.median(x[:, d])
+            right = x[:, self.dims[node]] > self.cuts[node]
+            at += [x[~right], x[right]]
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.dims[node]] > self.cuts[node])
+        return node - (2**self.depth - 1)
+
+
+def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)])
+
+
+def _with_leaf(batch: pa.RecordBatch, rows: np.ndarray, leaf: np.ndarray) -> pa.RecordBatch:
+    kept_ = batch.take(pa.array(rows))
+    return pa.RecordBatch.from_arrays([*kept_.columns, pa.array(leaf, pa.int32())], names=[*batch.schema.names, "leaf_"])
+
+
+def _searched(asked: DataFrame, points: DataFrame, cols: Sequence[str], chunk: int) -> DataFrame:
+    """asked (cols, n_, leaf_) with gap: the distance to the nearest point of that leaf. A leaf that many ask is searched in chunks of queries."""
+    k = len(cols)
+    sizes = {r.leaf_: -(-r["count"] // chunk) for r in asked.groupBy("leaf_").count().collect()}  # one row a leaf
+    if not sizes:
+        return asked.withColumn("gap", F.lit(0.0)).drop("leaf_")
+    chunks = F.get(F.array(*(F.lit(sizes.get(i, 0)) for i in range(max(sizes) + 1))), F.col("leaf_"))
+    queries = asked.withColumn("chunk_", F.pmod(F.xxhash64(*cols), chunks))
+    there = points.withColumn("of_", F.coalesce(chunks, F.lit(0))).where("of_ > 0")
+    there = there.withColumn("chunk_", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("of_") - 1).cast("long")))).drop("of_")
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x, y = left[list(cols)].to_numpy(float), right[list(cols)].to_numpy(float)
+        best = np.full(len(x), np.inf)
+        step = max(1, 2_000_000 // max(1, len(x) * k))
+        for s in range(0, len(y), step):
+            best = np.minimum(best, ((x[:, None, :] - y[None, s : s + step]) ** 2).sum(2).min(1))
+        return left[[*cols, "n_"]].assign(gap=np.sqrt(best))
+
+    schema = ", ".join([*(f"`{c}` double" for c in cols), "n_ bigint, gap double"])
+    return queries.groupBy("leaf_", "chunk_").cogroup(there.groupBy("leaf_", "chunk_")).applyInPandas(nearest, schema)
+
+
+def neighbour_gaps(real: DataFrame, made: DataFrame, cols: Sequence[str], leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
     """cols, n_, gap: for each distinct real point (n_ rows) the distance to the nearest made point; null without made points.
 
-    Exact. Equal points meet first; then points meet within a cell and its neighbours, and those whose
-    nearest lies within a cell's width are done. The others go on with cells twice as wide, so each
-    round joins few points with cells that hold few at its width.
+    Exact, in two rounds at any size. Made points are dealt to the leaves of a k-d tree, whose bounding
+    boxes are what every task knows (LEAVES at most). A real point searches the leaf of the nearest box
+    first; then all others whose boxes are nearer than what it found.
     """
-    import itertools
-
+    cols, k = list(cols), len(cols)
     point = lambda df: df.select(*(F.col(c).cast("double").alias(c) for c in cols)).dropna()
-    left = point(real).groupBy(*cols).agg(F.count("*").alias("n_")).persist()
-    right = point(made).distinct().persist()
-    size = right.agg(F.count("*").alias("n"), *(F.min(c).alias(f"lo_{c}") for c in cols), *(F.max(c).alias(f"hi_{c}") for c in cols)).first()
-    if not size.n:
-        return left.withColumn("gap", F.lit(None).cast("double"))
-    reach = left.agg(*(F.min(c).alias(f"lo_{c}") for c in cols), *(F.max(c).alias(f"hi_{c}") for c in cols)).first()
-    if reach[0] is None:
+    left = kept(point(real).groupBy(*cols).agg(F.count("*").alias("n_")), "real")
+    right = kept(point(made).distinct(), "made")
+    n = right.count()
+    if not n:
         return left.withColumn("gap", F.lit(None).cast("double"))
-    span = max(max(size[f"hi_{c}"], reach[f"hi_{c}"]) - min(size[f"lo_{c}"], reach[f"lo_{c}"]) for c in cols) or 1.0
-    out = left.join(right, list(cols), "left_semi").withColumn("gap", F.lit(0.0))
-    left = left.join(right, list(cols), "left_anti")
-    width = span / size.n ** (1 / len(cols)) / 2
-    cell = lambda df, w: [F.floor(F.col(c) / w).alias(f"cell_{c}") for c in cols]
-    steps = F.array(*(F.array(*map(F.lit, v)) for v in itertools.product((-1, 0, 1), repeat=len(cols))))
-    while not left.isEmpty():
-        near = left.select(*cols, "n_", *cell(left, width)).withColumn("step_", F.explode(steps)).select(
-            *cols, "n_", *((F.col(f"cell_{c}") + F.get("step_", F.lit(i))).alias(f"cell_{c}") for i, c in enumerate(cols))
-        )
-        there = right.select(*(F.col(c).alias(f"{c}_r") for c in cols), *cell(right, width))
-        apart = F.sqrt(_total((F.col(c) - F.col(f"{c}_r")) ** 2 for c in cols))
-        met = near.join(there, [f"cell_{c}" for c in cols]).groupBy(*cols, "n_").agg(F.min(apart).alias("gap")).where(F.col("gap") <= width).persist()
-        out = out.unionByName(met.select(*cols, "n_", "gap"))
-        left = left.join(met, list(cols), "left_anti").select(*cols, "n_").persist()
-        width *= 2
-    return out
+    depth = min(LEAVES.bit_length() - 1, max(0, math.ceil(math.log2(n / leaf))))
+    sample = right.orderBy(F.xxhash64(*cols)).limit(DRAWN if depth else 0).toPandas().to_numpy(float).reshape(-1, k)
+    tree = KdParts(sample, depth)
+    names = ", ".join(f"`{c}` double" for c in cols)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _with_leaf(b, np.arange(b.num_rows), tree.leaf(_matrix(b, k)))
+
+    points = kept(right.mapInArrow(placed, f"{names}, leaf_ int"), "leaves")
+    boxes = points.groupBy("leaf_").agg(*(f(c).alias(f"{t}{i}") for i, c in enumerate(cols) for t, f in (("lo", F.min), ("hi", F.max)))).orderBy("leaf_").collect()
+    leaves = np.array([r.leaf_ for r in boxes])
+    low, high = (np.array([[r[f"{t}{i}"] for i in range(k)] for r in boxes]) for t in ("lo", "hi"))
+
+    def apart(x: np.ndarray) -> np.ndarray:
+        """Distance of each point to each box."""
+        total = np.zeros((len(x), len(leaves)))
+        for i in range(k):
+            total += np.maximum(0, np.maximum(low[:, i] - x[:, i : i + 1], x[:, i : i + 1] - high[:, i])) ** 2
+        return np.sqrt(total)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _with_leaf(b, np.arange(b.num_rows), leaves[apart(_matrix(b, k)).argmin(1)])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = apart(_matrix(b, k))
+            near = far < b.column("gap").to_numpy()[:, None] * (1 + 1e-12)
+            near[np.arange(len(far)), far.argmin(1)] = False
+            row, at = np.nonzero(near)
+            yield _with_leaf(b.drop_columns(["gap"]), row, leaves[at])
+
+    asked = left.select(*cols, "n_")
+    one = kept(_searched(asked.mapInArrow(first, f"{names}, n_ bigint, leaf_ int"), points, cols, chunk), "gaps")
+    more = kept(one.mapInArrow(others, f"{names}, n_ bigint, leaf_ int"), "asked")
+    both = one.unionByName(_searched(more, points, cols, chunk))
+    return both.groupBy(*cols, "n_").agg(F.min("gap").alias("gap"))
 
 
 def transfer_auc(real: DataFrame, made: DataFrame, numbers: Sequence[str], target: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from flowloom.operators import aggregates, flow, models, privacy, quality, stats
@@ -123,7 +124,7 @@ def test_case_flow_equals_snapshots(spark):
 def test_age_demand(spark):
     days = [DAY0 + dt.timedelta(days=k % 10) for k in range(95)]  # nine or ten a day
     df = spark.createDataFrame([(d, k % 4) for k, d in enumerate(days)], "d date, age int")
-    got = {r.age: r for r in flow.age_demand(df, df, "d", "age", seed=7).collect()}
+    got = {r.age: r for r in flow.age_demand(df, df, "d", "age").collect()}
     assert sum(r.share for r in got.values()) == pytest.approx(1)
     year = sum(r.expected for r in got.values())
     assert 365 * 9 <= year <= 365 * 10 and abs(year / 365 - 9.5) < 0.1
@@ -164,13 +165,19 @@ def test_run_all_skips_the_trend_with_a_warning(spark, tmp_path, monkeypatch):
     plans.raw_cases(spark, SF).limit(300).write.csv(raw, header=True, sep=";", ignoreLeadingWhiteSpace=False)
 
     def broken(*_, **__):
-        raise ValueError("no teams")
+        raise AnalysisException("no teams")
+
+    def faulty(*_, **__):
+        raise ValueError("a fault")
 
     monkeypatch.setattr(aggregates, "monthly_trend", broken)
     with pytest.warns(UserWarning, match="team trend skipped"):
         got = {r.name: r for r in src.run_all(spark, raw, f"file://{tmp_path}/out").collect()}
     assert "team_trend" not in got and {"engineered", "events", "backlog", "panel", "panel_summary", "annual"} == set(got)
     assert got["engineered"].rows == 300 and got["events"].first <= got["events"].last
+    monkeypatch.setattr(aggregates, "monthly_trend", faulty)
+    with pytest.raises(ValueError, match="a fault"):
+        src.run_all(spark, raw, f"file://{tmp_path}/more")
 
 
 def test_extract_encodings(spark, tmp_path):
@@ -521,6 +528,24 @@ def test_neighbour_gaps(spark, dim):
         assert (r.n_, r.gap) == pytest.approx(want[tuple(r[c] for c in cols)])
 
 
+@pytest.mark.parametrize("dim", [1, 2, 8])
+def test_neighbour_gaps_by_many_parts(spark, dim):
+    """Few points a leaf, few queries a chunk, copies, and real points far outside of all boxes."""
+    rng = np.random.default_rng(dim)
+    real = np.r_[rng.normal(size=(120, dim)), np.full((40, dim), 0.5) + rng.normal(size=(40, dim)) * 1e-3, np.full((1, dim), -90.0), np.full((3, dim), 1.0)]
+    made = np.r_[rng.normal(size=(150, dim)), np.full((30, dim), 1.0), np.round(rng.normal(size=(60, dim)))]
+    cols = [f"c{k}" for k in range(dim)]
+    frames = [frame(spark, {c: x[:, k] for k, c in enumerate(cols)}) for x in (real, made)]
+    for leaf, chunk in ((8, 5), (50, 1000)):
+        got = {tuple(r[c] for c in cols): (r.n_, r.gap) for r in privacy.neighbour_gaps(*frames, cols, leaf, chunk).collect()}
+        points, n = np.unique(real, axis=0, return_counts=True)
+        assert len(got) == len(points)
+        for x, k in zip(points, n.tolist(), strict=True):
+            assert got[tuple(x.tolist())] == (k, pytest.approx(np.sqrt(((made - x) ** 2).sum(1)).min()))
+    assert privacy.neighbour_gaps(frames[0].limit(0), frames[1], cols).count() == 0
+    assert [r.gap for r in privacy.neighbour_gaps(frames[0].limit(2), frames[1].limit(0), cols).collect()] == [None] * frames[0].limit(2).count()
+
+
 def test_transfer_auc(spark):
     df, _ = review_rows(spark, 600)
     got = {r.measure: r.value for r in privacy.transfer_auc(df.where("id % 2 = 0"), df.where("id % 2 = 1"), ["x", "z"], "y").collect()}

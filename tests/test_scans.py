@@ -116,6 +116,9 @@ def test_quantiles(spark):
     out = {r.g: r.median for r in aggregates.review_rate(df.withColumn("f", F.lit(1)), ["g"], "f", "v").collect()}
     assert out["two"] == 1.5 and out["none"] is None
     assert privacy.iqr_outliers(df.where("g = 'heavy'"), "v").count() > 0
+    few, many = ({r.column: r for r in aggregates.describe_all(df, whole=w).collect()} for w in (10**6, 50))
+    for p in ("p25", "p50", "p75"):
+        assert many["v"][p] == pytest.approx(few["v"][p]) and few["g"][p] is None and many["g"][p] is None
 
 
 def test_spearman_matrix(spark):
