@@ -7,7 +7,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
@@ -15,6 +14,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, Imputer, Interaction, OneHotEncoder, StandardScaler, StopWordsRemover, StringIndexer, TargetEncoder, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -609,35 +609,22 @@ def forecast_exog(df: DataFrame, key: str, order: str, c: str, xs: Sequence[str]
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Means, standard deviations and correlation matrix of complete rows, and their number, from one Gram matrix.
+    """Means, standard deviations and correlation matrix of complete rows, and their number. Constant columns correlate with nothing.
 
-    Each task adds up the products of its rows, batch by batch, about the first row's values; a row a
-    column and task is shuffled. What comes to the driver is columns x columns.
+    MLlib adds up one Gram matrix by a tree of tasks; what comes to the driver is columns x columns.
     """
-    cols, k = list(cols), len(cols)
+    k = len(cols)
     d = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).dropna()
-    near = d.first()
-    if near is None:
-        return np.zeros(k), np.zeros(k), np.eye(k), 0
-    shift = np.array([float(x) for x in near])
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.zeros((k + 1, k + 1))
-        for b in batches:
-            x = np.column_stack([np.ones(b.num_rows), *(c.to_numpy(zero_copy_only=False) for c in b.columns)])
-            x[:, 1:] -= shift
-            g += x.T @ x
-        if g[0, 0]:
-            yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array(g.tolist(), pa.list_(pa.float64()))], names=["i", "g"])
-
-    parts = d.mapInArrow(sums, "i int, g array<double>").groupBy("i").agg(*(F.sum(F.get("g", F.lit(j))).alias(f"g{j}") for j in range(k + 1)))
-    g = np.array([[r[f"g{j}"] for j in range(k + 1)] for r in sorted(parts.collect(), key=lambda r: r.i)])
-    n = int(g[0, 0])
-    mean = g[0, 1:] / n
-    cov = (g[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)
-    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
-    r = cov / np.outer(np.where(sd > 0, sd, 1), np.where(sd > 0, sd, 1))
-    return mean + shift, sd, r, n
+    d = VectorAssembler(inputCols=list(cols), outputCol="features_").transform(d).select("features_")
+    n = d.count()
+    if n < 2:
+        return np.zeros(k), np.zeros(k), np.zeros((k, k)), n
+    s = d.agg(Summarizer.metrics("mean", "std").summary(F.col("features_")).alias("s")).first().s
+    sd = s["std"].toArray()
+    r = Correlation.corr(d, "features_").head()[0].toArray()
+    flat = ~(sd > 0)
+    r[flat, :] = r[:, flat] = 0.0
+    return s["mean"].toArray(), sd, r, n
 
 
 def pca(df: DataFrame, cols: Sequence[str], k: int | None = None, share: float | None = None) -> DataFrame:
@@ -647,7 +634,7 @@ def pca(df: DataFrame, cols: Sequence[str], k: int | None = None, share: float |
     null are left out; a constant column has no part. Loadings have a positive sum.
     """
     _, _, r, n = correlations(df, cols)
-    value, vector = np.linalg.eigh(r if n else np.zeros_like(r))
+    value, vector = np.linalg.eigh(r)
     value, vector = np.clip(value[::-1], 0, None), vector[:, ::-1] * np.where(vector[:, ::-1].sum(axis=0) < 0, -1, 1)
     part = value / value.sum() if value.sum() > 0 else value
     total = np.cumsum(part)
