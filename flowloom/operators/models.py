@@ -19,7 +19,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import WHOLE, running
+from .scans import WHOLE, grouped_quantiles, kept, meet, over_rows, running
 from .stats import gammaincc, gram
 
 # ---- count models of the backlog
@@ -386,15 +386,58 @@ def fit_delta(backlog: DataFrame, prior: float = 10.0) -> dict:
     return {"mean": mean, "cov": cov, "shape": shape, "scale": scale, "n": n}
 
 
+def _terms_ahead(last, days: int) -> np.ndarray:
+    """The terms of the days after the last, without the change before."""
+    ahead = pd.date_range(pd.Timestamp(last) + pd.Timedelta(days=1), periods=days)
+    angle = 2 * np.pi * ahead.dayofyear.to_numpy() / 365.25
+    return np.c_[np.ones(days), np.zeros(days), np.sin(angle), np.cos(angle), *[(ahead.weekday.to_numpy() == k).astype(float) for k in range(1, 7)]]
+
+
+def history_fan(backlog: DataFrame, fit: dict, days: int, **options) -> DataFrame:
+    """date, n, mean, p5, p20, p50, p80, p95 of the backlog ahead, from what the model missed in the past; nothing is drawn.
+
+    From every day of the history the model's path is carried `days` days ahead, and its errors are kept by
+    horizon. The path from the last day plus the mean and the quantiles of the n errors at a horizon make
+    the fan, from zero up. A horizon that no day of the history reaches has no figures but its date.
+    """
+    w = [float(x) for x in fit["mean"]]
+    d = delta_design(backlog)
+    known = sum((F.lit(b) * F.col(t) for b, t in zip(w[2:], DELTA_TERMS[1:], strict=True)), F.lit(w[0]))
+    d = kept(d.select("date", F.col("backlog_available").cast("double").alias("y"), F.coalesce("dy", F.lit(0.0)).alias("dy"), known.alias("known")), "days")
+    ahead = lambda rows: {"ahead": F.collect_list(F.struct("known", "y")).over(rows.rowsBetween(1, days))}
+    each = over_rows(d, "date", ahead, 0, days, **options)
+
+    def step(path: Column, day: Column) -> Column:
+        change = day["known"] + F.lit(w[1]) * path["dy"]
+        y = F.greatest(F.lit(0.0), path["y"] + change)
+        return F.struct(change.alias("dy"), y.alias("y"), F.concat(path["e"], F.array(day["y"] - y)).alias("e"))
+
+    start = F.struct(F.col("dy"), F.col("y"), F.array().cast("array<double>").alias("e"))
+    errors = kept(each.select(F.posexplode(F.aggregate("ahead", start, step, lambda path: path["e"])).alias("h", "e")), "errors")
+    last = d.orderBy(F.desc("date")).limit(1).first()
+    points, y, dy = [], last.y, last.dy
+    for h, fixed in enumerate(_terms_ahead(last.date, days)):
+        dy = float(fixed @ np.array(w)) + w[1] * dy
+        y = max(0.0, y + dy)
+        points.append((h, y))
+    path = d.sparkSession.createDataFrame(points, "h int, y double")  # one row a day ahead
+    names = {f"p{p}": p / 100 for p in (5, 20, 50, 80, 95)}
+    spread = meet(errors.groupBy("h").agg(F.count("*").alias("n"), F.avg("e").alias("mean")), grouped_quantiles(errors, ["h"], "e", names), ["h"])
+    out = meet(path, spread, ["h"], "left")
+    return out.select(
+        F.date_add(F.lit(last.date), F.col("h") + 1).alias("date"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+        *(F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.col("y") + F.col(c))).alias(c) for c in ("mean", *names)),
+    )
+
+
 def forecast_fan(backlog: DataFrame, fit: dict, paths: int, days: int, seed: int) -> DataFrame:
     """date, mean, p5, p20, p50, p80, p95 of the backlog over paths of drawn weights and noise; a path has its own seed."""
     spark = backlog.sparkSession
     last = delta_design(backlog).orderBy(F.desc("date")).limit(1).first()
     root = np.linalg.cholesky(fit["cov"] + 1e-12 * np.eye(len(fit["cov"])))
     mean, shape, scale = fit["mean"], fit["shape"], fit["scale"]
-    ahead = pd.date_range(pd.Timestamp(last.date) + pd.Timedelta(days=1), periods=days)
-    angle = 2 * np.pi * ahead.dayofyear.to_numpy() / 365.25
-    fixed = np.c_[np.ones(days), np.zeros(days), np.sin(angle), np.cos(angle), *[(ahead.weekday.to_numpy() == k).astype(float) for k in range(1, 7)]]
+    fixed = _terms_ahead(last.date, days)
     y0, dy0, first = float(last.backlog_available), float(last.dy or 0.0), last.date
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -310,6 +310,14 @@ def m11(spark: SparkSession, d: str) -> DataFrame:
     return models.forecast_fan(b, models.fit_delta(b), 1000, 30, 2025)
 
 
+@query("m11_history_fan")
+def m11_history(spark: SparkSession, d: str) -> DataFrame:
+    """The backlog of the next thirty days, spread by the errors that the model made from every day of the history."""
+    c = cases(spark, d)
+    b = flow.backlog_series(c, horizon(c))
+    return models.history_fan(b, models.fit_delta(b), 30)
+
+
 def predictive_sql(by: str) -> str:
     """Least counts at which the negative binomial's mass reaches 5 % and 95 %."""
     return f"""gg AS (SELECT {by}, 1 + sum(event_newcase) AS a, 1.0::DOUBLE + count(DISTINCT date) AS b FROM panel GROUP BY 1),

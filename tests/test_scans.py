@@ -227,6 +227,36 @@ def test_gamma_tail_for_large_shapes():
     assert stats.gammaincc(2.5, 4.0) == pytest.approx(0.1562356, abs=1e-6)
 
 
+def test_history_fan(spark):
+    rng = np.random.default_rng(9)
+    n, days = 90, 6
+    dates = pd.date_range("2001-01-01", periods=n + days)
+    y = np.maximum(0, 20 + rng.normal(size=n).cumsum() * 4).round()
+    df = frame(spark, [dates[:n].date, y.astype(int).tolist()], "date date, backlog_available long")
+    fit = models.fit_delta(df)
+    angle = 2 * np.pi * dates.dayofyear.to_numpy() / 365.25
+    terms = np.c_[np.ones(n + days), np.zeros(n + days), np.sin(angle), np.cos(angle), *[(dates.weekday.to_numpy() == k).astype(float) for k in range(1, 7)]]
+    known, phi = terms @ fit["mean"], fit["mean"][1]
+
+    def path(t):
+        at, dy, out = y[t], y[t] - y[t - 1] if t else 0.0, []
+        for h in range(1, days + 1):
+            dy = known[t + h] + phi * dy
+            at = max(0.0, at + dy)
+            out.append(at)
+        return np.array(out)
+
+    errors = [[y[t + h] - path(t)[h - 1] for t in range(n - h)] for h in range(1, days + 1)]
+    for way in (*WAYS, dict(parts=7, whole=0, size=7)):
+        got = models.history_fan(df, fit, days, **way).orderBy("date").collect()
+        assert [r.date for r in got] == list(dates[n:].date) and [r.n for r in got] == [n - h for h in range(1, days + 1)]
+        for r, e, p in zip(got, errors, path(n - 1), strict=True):
+            want = [np.mean(e), *(np.percentile(e, q) for q in (5, 20, 50, 80, 95))]
+            assert [r.mean, r.p5, r.p20, r.p50, r.p80, r.p95] == pytest.approx([max(0.0, p + x) for x in want])
+    short = models.history_fan(df.limit(3), fit, days).orderBy("date").collect()
+    assert len(short) == days and short[-1].n == 0 and short[-1].p50 is None
+
+
 def test_trend_by(spark):
     rng = np.random.default_rng(1)
     t, g = rng.uniform(0, 9, 90), rng.choice(["a", "b"], 90)
