@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import WHOLE, grouped_quantiles, kept, meet
+from .scans import HELD, grouped_quantiles, kept, meet
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -223,7 +223,7 @@ def earliest(df: DataFrame, key: str, d: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(d).alias(d))
 
 
-def describe_all(df: DataFrame, approx: bool = False, whole: int = WHOLE) -> DataFrame:
+def describe_all(df: DataFrame, approx: bool = False, whole: int = HELD) -> DataFrame:
     """column, n, distinct, top (the most frequent text, ties by text), mean, std, quartiles for all columns.
 
     Values are counted once. Exact quartiles of a column of more than `whole` distinct values are selected

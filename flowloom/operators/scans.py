@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows, or distinct values, that one task may hold.
 WHOLE = 100_000
+#: Distinct values of a group that one task may hold for its quantiles, some tens of megabytes.
+HELD = 1_000_000
 #: Range parts of a column.
 PARTS = 64
 
@@ -129,7 +131,7 @@ def lagged(df: DataFrame, order: str, lags: Mapping[str, tuple[str, int]], by: S
 
 
 def grouped_quantiles(
-    df: DataFrame, by: Sequence[str], c: str, qs: Mapping[str, float], small: int = WHOLE, buckets: int = PARTS
+    df: DataFrame, by: Sequence[str], c: str, qs: Mapping[str, float], small: int = HELD, buckets: int = PARTS
 ) -> DataFrame:
     """by, and for each name the exact quantile of c (between neighbours: linear), as percentile() gives it, in bounded memory.
 
