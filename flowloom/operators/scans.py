@@ -147,8 +147,8 @@ def grouped_quantiles(
     names = {f"k{i}_": k for i, k in enumerate(by)}
     most = rows.groupBy(*keys).agg(F.approx_count_distinct("v_", 0.02).alias("n")).agg(F.max("n")).first()[0] or 0
     if most <= small:
-        plain = rows.groupBy(*keys).agg(*(F.percentile("v_", q).alias(n) for n, q in qs.items()))
-        return plain.withColumnsRenamed(names)
+        plain = rows.groupBy(*keys).agg(F.percentile("v_", [float(q) for q in qs.values()]).alias("q_"))  # one buffer for all
+        return plain.select(*(F.col(k).alias(n) for k, n in names.items()), *(F.get("q_", F.lit(i)).alias(n) for i, n in enumerate(qs)))
     rows = rows.withColumn("path_", F.lit(""))
     id_ = [*keys, "path_"]
     groups = kept(rows.groupBy(*id_).agg(F.count("v_").alias("n_")), "groups")
