@@ -14,7 +14,9 @@ which are dealt by context; they add up the counts of all blocks, and tell for e
 and for each context what its weight is made of: the discounted mass that is kept and the lower-order
 mass of the same words. A context that occurs more than HOT times is cut by a hash of the word, and
 its parts are added up. Blocks are then scored token by token: bigram, else weight and word, else
-weight and unknown class. The tables are written to the shared folder, partition by partition.
+weight and unknown class. What lies in the shared
+folder are the partitions' answers, packed by block: for each bigram its count, for each context the sums
+of its weight. There is no table of single n-grams, and the order is two.
 
 Blocks and partitions grow with the square root of the corpus beyond about a billion tokens, so that
 what a block asks of a partition stays at PACKET keys or more; a task's memory grows with them.
