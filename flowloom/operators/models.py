@@ -9,9 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
-from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, Imputer, Interaction, OneHotEncoder, StandardScaler, StopWordsRemover, StringIndexer, TargetEncoder, Tokenizer, VectorAssembler
+from pyspark.ml.feature import Imputer, Interaction, OneHotEncoder, StandardScaler, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation, Summarizer
@@ -704,19 +704,3 @@ def cluster(df: DataFrame, cols: Sequence[str], k: int, bisecting: bool = False,
     made = (BisectingKMeans if bisecting else KMeans)(k=k, seed=seed, predictionCol="cluster")
     d = _assembler(list(scaled)).transform(df.withColumns(scaled)).drop(*scaled)
     return made.fit(d).transform(d).drop("features")
-
-
-def topics(df: DataFrame, text: str, k: int, terms: int = 8, vocabulary: int = 2**31 - 1) -> DataFrame:
-    """topic, term, weight by LDA over TF-IDF of the words in two or more documents, all of them unless `vocabulary` says less."""
-    pipe = Pipeline(
-        stages=[
-            Tokenizer(inputCol=text, outputCol="w_"),
-            StopWordsRemover(inputCol="w_", outputCol="t_"),
-            CountVectorizer(inputCol="t_", outputCol="c_", vocabSize=vocabulary, minDF=2),
-            IDF(inputCol="c_", outputCol="features"),
-        ]
-    ).fit(df.where(F.length(text) > 0))
-    lda = LDA(k=k, maxIter=5, seed=7).fit(pipe.transform(df.where(F.length(text) > 0)))
-    words = pipe.stages[2].vocabulary
-    rows = [(r.topic, words[i], float(w)) for r in lda.describeTopics(terms).collect() for i, w in zip(r.termIndices, r.termWeights, strict=True)]  # k * terms
-    return df.sparkSession.createDataFrame(rows, "topic int, term string, weight double")

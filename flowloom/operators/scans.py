@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Rows, or distinct values, that one task may hold.
@@ -30,6 +30,12 @@ def kept(df: DataFrame, name: str = "scan") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def part_of(df: DataFrame, v: str, by: str | None = None, parts: int = PARTS) -> Column:
     """The range part of v, a number or a day; with by (few keys), parts of each key's own values."""
     points = [k / parts for k in range(1, parts)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, flow, models, privacy, quality
+from ..operators import aggregates, flow, models, privacy, quality, topics
 from ..sources import tables as src
 from ..streaming import daily as stream
 from ..views import cases, table
@@ -413,7 +413,7 @@ def m20_kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m21_topics")
 def m21(spark: SparkSession, d: str) -> DataFrame:
-    return models.topics(table(spark, d, "documents").select("text"), "text", 4)
+    return topics.topics(table(spark, d, "documents").select("text"), "text", 4)
 
 
 def classified(spark: SparkSession, d: str, kind: str) -> DataFrame:
