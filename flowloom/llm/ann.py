@@ -8,8 +8,9 @@ estimated success. Candidates of all tables are reranked by the exact inner prod
 
 The number of probes is fitted on a bounded sample (SAMPLE vectors, SAMPLE_QUERIES queries, least
 hashes of the id) to a target recall; every row is indexed. Where no number of probes short of the
-number of rows reaches the target, and for queries whose probes found fewer rows than are owed, a
-query visits every bucket of the first table, which is exact.
+number of rows and of TEMPLATE reaches the target, and for queries whose probes found fewer rows than
+are owed, a query visits every bucket of the first table, which is exact. What is broadcast is the
+template, TEMPLATE rows of one byte a step at most, whatever the table's size.
 
 Buckets are dealt to tasks; a task holds its buckets' vectors and streams the queries, each sent
 once to a task with the buckets that it probes there, and returns the best for each query. Large
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,10 @@ from .common import stored, table
 TABLES, WIDTH, SEED = 2, 2.0, 7
 #: Bounds of the sample that fits the number of probes.
 SAMPLE, SAMPLE_QUERIES = 12_000, 150
+#: Probes a table at most (12 MB of template at 23 projections); queries that need more visit every bucket.
+TEMPLATE = 2**18
+#: Rows of the template that a query's probes are made from at once.
+PROBES_AT_ONCE = 2**14
 #: Vectors of a task, about; and of a bucket before it is salted.
 TASK_ROWS, BUCKET_ROWS = 40_000, 20_000
 
@@ -76,24 +82,26 @@ class Hasher:
         low = j * (j + 1) / (4 * (m + 1) * (m + 2))
         back = n + 1 - j
         cost = np.where(j <= m, low, 1 - back / (m + 1) + back * (back + 1) / (4 * (m + 1) * (m + 2)))
-        found = [np.zeros(n, np.int64)]
+        found = [np.zeros(n, np.int8)]
         heap = [(cost[0], (0,))]
         while heap and len(found) < most:
             c, chosen = heapq.heappop(heap)
             if not any(n - 1 - i in chosen for i in chosen):
-                found.append(np.bincount(chosen, minlength=n))
+                found.append(np.bincount(chosen, minlength=n).astype(np.int8))
             last = chosen[-1]
             if last + 1 < n:
                 heapq.heappush(heap, (c - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))  # shift
                 heapq.heappush(heap, (c + cost[last + 1], (*chosen, last + 1)))  # expand
-        return np.array(found)
+        return np.array(found, np.int8)
 
     def probes(self, place: np.ndarray, template: np.ndarray) -> np.ndarray:
         """Codes of the buckets that a query visits, in estimated success order."""
         cell = np.floor(place)
         below = place - cell
         order = np.argsort(np.r_[below, 1 - below], kind="stable")
-        return self.codes(cell) + template @ np.r_[-self.unit, self.unit][order]
+        steps = np.r_[-self.unit, self.unit][order]
+        made = [template[n : n + PROBES_AT_ONCE].astype(np.int64) @ steps for n in range(0, len(template), PROBES_AT_ONCE)]
+        return self.codes(cell) + np.concatenate(made)
 
 
 def projections(rows: int) -> int:
@@ -111,7 +119,7 @@ def fit_probes(x: np.ndarray, q: np.ndarray, hasher: Hasher, k: int, target: flo
         return None
     own = [hasher.codes(np.floor(hasher.places(hasher.points(x), t))) for t in range(hasher.tables)]
     near = [np.argpartition(-(x @ row), k)[: k + 1] for row in q]
-    points, most = hasher.queries(q), 256
+    points, most = hasher.queries(q), min(256, TEMPLATE)
     while True:
         needed, template = [], hasher.template(most)
         for ids, point in zip(near, points, strict=True):
@@ -124,9 +132,9 @@ def fit_probes(x: np.ndarray, q: np.ndarray, hasher: Hasher, k: int, target: flo
         found = int(np.quantile(needed, target, method="higher")) + 1
         if found <= most:
             return found
-        if len(template) < most or most >= rows:
+        if len(template) < most or most >= min(rows, TEMPLATE):
             return None
-        most *= 4
+        most = min(4 * most, TEMPLATE)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float = 0.95) -> DataFrame:
@@ -207,7 +215,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
                 names=NAMES,
             )
 
-    def sent(template: np.ndarray | None):
+    def sent(template: Broadcast | None):
         """Queries with the buckets that they probe in a task; without a template, with none for all tasks of the first table."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +230,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
                         if template is None:
                             task, codes, ends = np.arange(tasks, dtype=np.int32), np.zeros(0, np.int64), np.zeros(tasks + 1, np.int32)
                         else:
-                            codes = hasher.probes(places[n], template)
+                            codes = hasher.probes(places[n], template.value)
                             each = np.concatenate([task_of(t, codes, salt) for salt in range(salts)])
                             codes = np.tile(codes, salts)
                             order = np.argsort(each, kind="stable")
@@ -247,7 +255,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
 
     row = "task int, kind int, id bigint, codes array<bigint>, t int, ids array<bigint>, e array<double>"
 
-    def dealt(queries: DataFrame, template: np.ndarray | None) -> DataFrame:
+    def dealt(queries: DataFrame, template: Broadcast | None) -> DataFrame:
         held = indexed.select("least", "ids", "e").mapInArrow(placed, row)
         if template is None:
             held = held.where("t = 0")
@@ -337,13 +345,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, target: float =
                     yield from answer()
         yield from answer()
 
-    def best(queries: DataFrame, template: np.ndarray | None) -> DataFrame:
+    def best(queries: DataFrame, template: Broadcast | None) -> DataFrame:
         """q, score, least, ids: the k + 1 nearest classes that each query found."""
         found = dealt(queries, template).mapInArrow(rank, "q bigint, score double, ids array<bigint>")
         lists = found.groupBy("q", F.col("ids")[0].alias("least")).agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
         return lists.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least"))).where(F.col("n") <= k + 1).drop("n")
 
-    lists = best(asked, None if probes is None else hasher.template(probes))
+    lists = best(asked, None if probes is None else spark.sparkContext.broadcast(hasher.template(probes)))
     if probes is not None:
         lists = stored(lists, "lists")
         owed = min(k + 1, indexed.agg(F.sum(F.size("ids"))).first()[0])
