@@ -148,6 +148,7 @@ class Scorer(dict):
         exact = near = bent = quoted = addressed = 0
         weak: set[str] = set()
         inside = False
+        closing = max((k for k, w in enumerate(pieces) if w in QUOTES), default=-1)
         for k, w in enumerate(pieces):
             if w in QUOTES:
                 inside = not inside
@@ -161,7 +162,7 @@ class Scorer(dict):
             exact += kind == 1
             near += kind == 3
             about = pieces[max(0, k - WINDOW) : k] + pieces[k + 1 : k + 1 + WINDOW]
-            quoted += (inside and any(x in QUOTES for x in pieces[k + 1 : k + 40])) or any(x in REPORTS for x in about)
+            quoted += (inside and k < closing) or any(x in REPORTS for x in about)
             addressed += any(x in ADDRESS for x in about)
         hits = exact + NEAR * near
         return [*map(math.log1p, (hits, bent, 100 * len(weak) / len(words), quoted, addressed)), hits / len(words)]
