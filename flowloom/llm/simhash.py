@@ -32,6 +32,8 @@ from .common import ARROW_ROWS, LOWER, folder_of, new_folder, python_batches, re
 
 #: Pairs of trie nodes that are walked at once.
 CHUNK = 1 << 18
+#: Rows of a partition, about, in the walks and where prefixes meet.
+PART_ROWS = 1_000_000
 #: Files of shingle sets, of up to 512 texts each, whose shingles are counted to put rare ones first.
 ORDER_FILES = 32
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -277,6 +279,11 @@ class Verified:
             self.join(np.repeat(m[k], len(m) - k - 1), m[k + 1 :])
 
 
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions that hold PART_ROWS rows each, about: a task's memory does not grow with the corpus."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
 def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets | None = None, similarity: float = 0.0) -> DataFrame:
     """prints: node, prints (array of fingerprints; two nodes link if one of them is within the budget).
 
@@ -287,6 +294,7 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
     extra = ["place", "size"] if sets else []
     blocks = blocks or budget + 1
     orders = leads(budget, blocks)
+    tables = prints.select(F.max(F.size("prints"))).first()[0] or 0
     width = [sum(w for _, w in o[: blocks - budget]) for o in orders]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +372,8 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
     dealt = prints.select("node", "prints", *extra).mapInArrow(
         deal, "path int, lead bigint, node bigint, prints array<bigint>" + ", place bigint, size int" * bool(extra)
     )
-    return dealt.repartition("path", "lead").mapInArrow(walk, "a bigint, b bigint, bits int").distinct()
+    parts = parts_for(prints.sparkSession, prints.count() * len(orders) * tables)
+    return dealt.repartition(parts, "path", "lead").mapInArrow(walk, "a bigint, b bigint, bits int").distinct()
 
 
 def common_shingles(files: DataFrame, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
@@ -562,7 +571,8 @@ def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int
     path = new_folder(docs.sparkSession, "prints")
     prints = stored(texts.mapInArrow(run, "node bigint, prints array<bigint>, place bigint, size int"), "prints", path)
     walked = links(prints, budget, blocks, sets, similarity).select("a", "b")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.agg(F.sum(F.floor(F.col("size") * (1 - similarity)) + 1)).first()[0] or 0
+    parts = parts_for(docs.sparkSession, rows)
     roots = components(walked.unionByName(prefix_links(prints, sets, similarity, parts)))
     for done in (path, sets.folder):  # the links are written by now
         remove(docs.sparkSession, done)

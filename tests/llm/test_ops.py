@@ -195,9 +195,37 @@ def test_probes_have_no_cap():
     assert codes[0] == h.codes(np.floor(place)) and len(set(codes.tolist())) == 500
 
 
+def test_probes_are_made_in_parts(monkeypatch):
+    h = ann.Hasher(6, 1.0, 5)
+    place = h.places(h.queries(np.random.default_rng(5).normal(size=(1, 6))), 0)[0]
+    whole = h.probes(place, h.template(200))
+    monkeypatch.setattr(ann, "PROBES_AT_ONCE", 7)
+    assert (h.probes(place, h.template(200)) == whole).all() and h.template(200).dtype == np.int8
+
+
+def test_beyond_the_template_all_buckets_are_visited(spark, monkeypatch):
+    """A template that is too short for the target is not used: the result is that of brute force."""
+    monkeypatch.setattr(ann, "TEMPLATE", 2)
+    y = np.random.default_rng(8).normal(size=(400, 48))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(y)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(v, v.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for i, _ in rows] for q, rows in brute_nearest(y, list(range(400))).items()}
+
+
 # 4
 
 
+def test_a_quotation_may_end_far_away():
+    """A hit is inside one however long it is, unless no sign closes it."""
+    s = toxicity.Scorer({"villain": False}, {})
+    at = toxicity.FEATURES.index("quoted")
+    words = "plain " * 300
+    assert s.features(f'"villain {words}" end')[at] > 0 == s.features(f'"villain {words} end')[at]
+    assert s.features(f'"a" villain {words} "b"')[at] == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     plain = [f"{a}{b}" for a in ("ran", "tel", "mor", "vid", "sol") for b in ("den", "ka", "ist", "om", "ure")]
@@ -387,6 +415,14 @@ def test_trie_finds_all_pairs():
         assert got == want
 
 
+def test_partitions_grow_with_the_corpus(spark, monkeypatch):
+    assert simhash.parts_for(spark, 0) == 4 and simhash.parts_for(spark, 9 * simhash.PART_ROWS) == 9
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    few = {r.doc_id for r in simhash.drop_near(docs).collect()}
+    monkeypatch.setattr(simhash, "PART_ROWS", 500)
+    assert few == {r.doc_id for r in simhash.drop_near(docs).collect()}
+
+
 def test_near_dedup(spark):
     rng = random.Random(6)
     base = [f"word{rng.randrange(10**6)}" for _ in range(200)]
