@@ -571,8 +571,8 @@ def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int
     path = new_folder(docs.sparkSession, "prints")
     prints = stored(texts.mapInArrow(run, "node bigint, prints array<bigint>, place bigint, size int"), "prints", path)
     walked = links(prints, budget, blocks, sets, similarity).select("a", "b")
-    rows = prints.agg(F.sum(F.floor(F.col("size") * (1 - similarity)) + 1)).first()[0] or 0
-    parts = parts_for(docs.sparkSession, rows)
+    length = prints.agg(F.sum(F.floor(F.col("size") * (1 - similarity)) + 1)).first()[0] or 0
+    parts = parts_for(docs.sparkSession, length)
     roots = components(walked.unionByName(prefix_links(prints, sets, similarity, parts)))
     for done in (path, sets.folder):  # the links are written by now
         remove(docs.sparkSession, done)
