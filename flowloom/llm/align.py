@@ -104,6 +104,8 @@ class Pair:
         segments = [SEGMENT.findall(" " + t) for t in texts]
         new = list(set().union(*segments) - self.known.keys())
         ids = self.b.encode([x[1:] for x in new], num_threads=1) if new else []
+        # the model adds no space to an empty text: one that ends a text is a piece by itself
+        ids = [[self.b.piece_to_id("▁")] if x == " " else i for x, i in zip(new, ids, strict=True)]
         # an empty entry marks a segment that isn't given back
         self.known |= {x: np.array(i, np.uint32).tobytes() if self._whole(i) == x.encode() else b"" for x, i in zip(new, ids, strict=True)}
         out = []

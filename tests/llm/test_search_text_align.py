@@ -117,6 +117,13 @@ def test_align(spark, tokenizers):
     assert all(rows[i] == groups for i, _, _, groups, _ in made if i in (4, 5))
 
 
+def test_align_texts_that_end_in_one_space(spark, tokenizers):
+    rows = [(1, "the quick "), (2, "ก "), (3, "the\n "), (4, "the  "), (5, "the quick"), (6, "  "), (7, "\t ")]
+    want, _ = brute_align(rows, tokenizers)
+    assert all(r[1] and r[2] for r in want)
+    assert sorted((tuple(r) for r in align.align(spark.createDataFrame(rows, DOCS)).collect()), key=str) == want
+
+
 def test_merge_path_pieces():
     draw = random.Random(5)
     for _ in range(60):
