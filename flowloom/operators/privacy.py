@@ -153,12 +153,14 @@ def _total(terms) -> Column:
     return out
 
 
-def stratified_synthesis(df: DataFrame, numbers: Sequence[str], strata: Sequence[str], seed: int, least: int = 50, knots: int = 200) -> DataFrame:
+def stratified_synthesis(df: DataFrame, numbers: Sequence[str], strata: Sequence[str], seed: int, least: int = 50, knots: int = 200, lot: int = 100_000) -> DataFrame:
     """As many synthetic rows as df has. A stratum of `least` rows or more is drawn from its own quantiles and correlations; the rows of smaller ones are drawn from all of df.
 
-    Strata are few: their parameters (knots and a k x k matrix each) are broadcast. The rows of the
-    back-off have their strata drawn by the global shares.
+    Strata are few: their parameters (knots and a k x k matrix each) are written to the shared folder, dealt
+    in lots of `lot` rows to draw, and looked up where a row is drawn. The rows of the back-off have their
+    strata drawn by the global shares.
     """
+    spark = df.sparkSession
     d = df.dropna(subset=[*numbers, *strata])
     k, points = len(numbers), [i / knots for i in range(knots + 1)]
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
@@ -167,11 +169,12 @@ def stratified_synthesis(df: DataFrame, numbers: Sequence[str], strata: Sequence
         *(F.percentile_approx(c, points, 10_000).cast("array<double>").alias(f"q_{i}") for i, c in enumerate(numbers)),
         *(F.corr(numbers[i], numbers[j]).alias(f"r_{i}_{j}") for i, j in pairs),
     ]
-    own = d.groupBy(*strata).agg(*stats)
-    small = own.where(F.col("n_") < least).agg(F.sum("n_").alias("rest_"))
-    whole = d.agg(*stats).crossJoin(small).where("rest_ > 0").withColumn("n_", F.col("rest_").cast("bigint")).drop("rest_")
-    blank = {c: F.lit(None).cast(dict(df.dtypes)[c]) for c in strata}
-    params = own.where(F.col("n_") >= least).withColumn("own_", F.lit(True)).unionByName(whole.withColumns(blank).withColumn("own_", F.lit(False)))
+    own = kept(d.groupBy(*strata).agg(*stats), "strata")
+    rest = own.where(F.col("n_") < least).agg(F.sum("n_")).first()[0]
+    params = own.where(F.col("n_") >= least).withColumn("own_", F.lit(True))
+    if rest:
+        whole = d.agg(*stats).withColumns({"n_": F.lit(rest).cast("bigint"), "own_": F.lit(False), **{c: F.lit(None).cast(dict(df.dtypes)[c]) for c in strata}})
+        params = params.unionByName(whole)
 
     @F.pandas_udf("array<double>")
     def root(r: pd.Series) -> pd.Series:
@@ -185,9 +188,13 @@ def stratified_synthesis(df: DataFrame, numbers: Sequence[str], strata: Sequence
             out.append((v * np.sqrt(np.clip(w, 1e-9, None))).ravel().tolist())
         return pd.Series(out)
 
-    params = F.broadcast(params.withColumn("root_", root(F.array(*(F.col(f"r_{i}_{j}") for i, j in pairs), F.lit(1.0)))).drop(*(f"r_{i}_{j}" for i, j in pairs)))
-    rows = params.select(*strata, "own_", "root_", *(f"q_{i}" for i in range(k)), F.explode(F.sequence(F.lit(1), F.col("n_"))).alias("row_"))
-    z = rows.repartition(*strata, F.col("row_") % 64).withColumns({f"z_{i}": F.randn(seed + i) for i in range(k)})
+    params = params.withColumn("root_", root(F.array(*(F.col(f"r_{i}_{j}") for i, j in pairs), F.lit(1.0)))).drop(*(f"r_{i}_{j}" for i, j in pairs))
+    # a lot is one row until its rows are drawn, in the task that draws them
+    lots = params.withColumn("lot_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_ - 1) DIV {lot}"))))
+    lots = kept(lots.withColumn("n_", F.least(F.lit(lot).cast("bigint"), F.col("n_") - F.col("lot_") * lot)), "lots")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = lots.repartition(parts, *strata, "lot_").select(*strata, "own_", "root_", *(f"q_{i}" for i in range(k)), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_"))).alias("row_"))
+    z = rows.withColumns({f"z_{i}": F.randn(seed + i) for i in range(k)})
     x = {i: _total(F.col(f"z_{j}") * F.get("root_", F.lit(i * k + j)) for j in range(k)) for i in range(k)}
     p = {i: 1 / (1 + F.exp(-(1.5976 * e + 0.07056 * F.pow(e, 3)))) for i, e in x.items()}
     drawn = z.select(
@@ -196,7 +203,9 @@ def stratified_synthesis(df: DataFrame, numbers: Sequence[str], strata: Sequence
         F.rand(seed - 1).alias("u_"),
         *(F.get(f"q_{i}", F.least(F.floor(q * (knots + 1)), F.lit(knots)).cast("int")).alias(c) for (i, q), c in zip(p.items(), numbers, strict=True)),
     )
-    kept = drawn.where("own_").select(*numbers, *strata)
+    made = drawn.where("own_").select(*numbers, *strata)
+    if not rest:
+        return made
     shares = own.select(*strata, "n_")
     w = Window.orderBy(*strata)  # one row a stratum
     edges = shares.select(
@@ -207,7 +216,7 @@ def stratified_synthesis(df: DataFrame, numbers: Sequence[str], strata: Sequence
     spread = drawn.where("NOT own_").select(*numbers, "u_").join(
         F.broadcast(edges), (F.col("u_") < F.col("to_")) & (F.col("u_") >= F.col("to_") - F.col("p_"))
     ).select(*numbers, *(F.col(f"{c}_g").alias(c) for c in strata))
-    return kept.unionByName(spread)
+    return made.unionByName(spread)
 
 
 #: Points that a k-d partition is drawn from, at most; it steers the work only. Leaves at most, points of a leaf that make another worth while, and queries that search a leaf at once.

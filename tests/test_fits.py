@@ -514,6 +514,18 @@ def test_stratified_synthesis(spark):
     assert near["big"]["a"].corr(near["big"]["b"]) > 0.5 and near["mid"]["a"].corr(near["mid"]["b"]) < -0.5
 
 
+def test_stratified_synthesis_draws_lots_without_carrying_parameters(spark):
+    rng = np.random.default_rng(16)
+    df = frame(spark, {"a": rng.normal(size=900), "b": rng.normal(size=900), "g": np.repeat(["x", "y", "z"], [500, 390, 10])}, g="string")
+    made = privacy.stratified_synthesis(df, ["a", "b"], ["g"], 7, lot=7)
+    assert made.count() == 900 and made.where("a IS NULL OR b IS NULL OR g IS NULL").count() == 0
+    some = made.where("g IN ('x', 'y')").count()
+    assert 890 <= some <= 900
+    # no step below a draw deals rows that each hold all knots: lots are few and final when they are dealt
+    plan = privacy.stratified_synthesis(df.where("g != 'z'"), ["a", "b"], ["g"], 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression") and plan.count("Generate") == 1
+
+
 @pytest.mark.parametrize("dim", [1, 2, 3])
 def test_neighbour_gaps(spark, dim):
     rng = np.random.default_rng(16 + dim)
