@@ -119,7 +119,7 @@ def synthesise(df: DataFrame, numbers: Sequence[str], category: str, n: int, see
     spark = df.sparkSession
     d = df.dropna(subset=list(numbers))
     knots = d.agg(*(F.percentile_approx(c, [k / 1000 for k in range(1001)], 100_000).alias(c) for c in numbers)).first()
-    scored = d.select(*(((F.size(F.filter(F.lit(sorted(map(float, knots[c]))), _below(c))) + 0.5) / 1002.0).alias(c) for c in numbers))
+    scored = d.select(*(((_below(knots[c])(F.col(c).cast("double")) + 0.5) / 1002.0).alias(c) for c in numbers))
     row = scored.agg(
         *(F.corr(a, b).alias(f"r{i}_{j}") for i, a in enumerate(numbers) for j, b in enumerate(numbers) if i < j)
     ).first() if len(numbers) > 1 else None
@@ -142,8 +142,15 @@ def synthesise(df: DataFrame, numbers: Sequence[str], category: str, n: int, see
     return out.join(F.broadcast(edges), (F.col("u_") < F.col("to_")) & (F.col("u_") >= F.col("to_") - F.col("p_"))).select("id", *numbers, category)
 
 
-def _below(c: str):
-    return lambda e: e < F.col(c)
+def _below(knots: Sequence[float]):
+    """How many of the knots are less than a number, by bisection."""
+    at = np.sort(np.array(knots, float))
+
+    @F.pandas_udf("long")
+    def below(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, x.to_numpy(float)))
+
+    return below
 
 
 def _total(terms) -> Column:

@@ -526,6 +526,12 @@ def test_stratified_synthesis_draws_lots_without_carrying_parameters(spark):
     assert plan.index("Generate") < plan.index("RepartitionByExpression") and plan.count("Generate") == 1
 
 
+def test_scores_count_the_knots_below(spark):
+    knots = [3.0, 1.0, 1.0, 2.0]
+    got = frame(spark, {"x": np.array([0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 9.0])}).select("x", privacy._below(knots)("x").alias("n")).collect()
+    assert all(r.n == sum(k < r.x for k in knots) for r in got) and len(got) == 7
+
+
 @pytest.mark.parametrize("dim", [1, 2, 3])
 def test_neighbour_gaps(spark, dim):
     rng = np.random.default_rng(16 + dim)
