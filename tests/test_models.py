@@ -68,6 +68,16 @@ def test_topics_equal_a_dense_fit(spark, monkeypatch, large):
     assert sorted(map(sorted, heavy)) == sorted(map(sorted, subject))
 
 
+def test_topics_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(" ".join(rng.choice([f"w{i}" for i in range(40)], 15)),) for _ in range(60)], "text string")
+    got = []
+    for size in (topics.BLOCK_WORDS, 50):
+        monkeypatch.setattr(topics, "BLOCK_WORDS", size)
+        got.append({(r.topic, r.term): r.weight for r in topics.topics(df, "text", 3, terms=99, rounds=4).collect()})
+    assert got[0].keys() == got[1].keys() and all(got[1][key] == pytest.approx(v, rel=1e-9) for key, v in got[0].items())
+
+
 def test_topics_of_nothing(spark):
     assert topics.topics(spark.createDataFrame([], "text string"), "text", 2).collect() == []
     assert topics.topics(spark.createDataFrame([("one word",), ("other",)], "text string"), "text", 2).collect() == []
