@@ -349,7 +349,9 @@ def fit_pickup(panel: DataFrame, event: str, gate: str) -> DataFrame:
 
     The effect of staff is a target mean from the other folds of days.
     """
-    d = panel.where(F.col(gate) > 0).withColumn("label", (F.col(event) > 0).cast("double"))
+    # the panel is made once: the folds' means, the scaler, the fit and the scores all read it
+    cols = ["staff_id", "date", "wip", "time_since_last_pickup", "weeks_since_start", "backlog_available", "term_flag"]
+    d = kept(panel.where(F.col(gate) > 0).select(*cols, (F.col(event) > 0).cast("double").alias("label")), "panel")
     d = target_encode(d, "staff_id", "label", 20.0, folds=5, key="date")
     pipe = Pipeline(
         stages=[

@@ -564,6 +564,45 @@ def test_neighbour_gaps_by_many_parts(spark, dim):
     assert [r.gap for r in privacy.neighbour_gaps(frames[0].limit(2), frames[1].limit(0), cols).collect()] == [None] * frames[0].limit(2).count()
 
 
+def test_points_are_sliced_by_the_number_of_boxes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"x": np.arange(10_000.0)})
+    parts = list(privacy._sliced([batch, batch.slice(0, 0)], 4096))
+    assert max(p.num_rows for p in parts) * 4096 <= privacy.DISTANCES
+    assert np.concatenate([p.column("x").to_numpy() for p in parts]).tolist() == list(range(10_000))
+
+
+def counted(spark, df, c):
+    """df with c passed through a counter of evaluations."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(v):
+        seen.add(1)
+        return v
+
+    return df.withColumn(c, F.udf(same, "double")(F.col(c).cast("double"))), seen
+
+
+def test_pickup_reads_its_panel_once(spark):
+    days = spark.range(200).select(
+        F.concat(F.lit("S"), F.col("id") % 4).alias("staff_id"), F.date_add(F.lit("2001-01-01").cast("date"), (F.col("id") / 4).cast("int")).alias("date"),
+        (F.col("id") % 7).cast("double").alias("wip"), (F.col("id") % 5).alias("time_since_last_pickup"), (F.col("id") / 28).alias("weeks_since_start"),
+        F.lit(3).alias("backlog_available"), (F.col("id") % 2).alias("term_flag"), (F.xxhash64("id") % 3 == 0).cast("int").alias("event"),
+    )
+    panel, seen = counted(spark, days, "wip")
+    assert models.fit_pickup(panel, "event", "backlog_available").count() == 200 and seen.value == 200
+
+
+def test_review_reads_its_cases_once(spark):
+    rows = spark.range(300).select(
+        "id", (F.xxhash64("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 11).cast("double").alias("a"), F.concat(F.lit("g"), F.col("id") % 3).alias("g")
+    )
+    cases, seen = counted(spark, rows, "a")
+    held = models.fit_review(cases, "y", ["a"], ["g"], "id", mixes=(0.0,), strengths=(0.0,))[2]
+    assert 0 < held.count() < 300 and seen.value == 300
+
+
 def test_transfer_auc(spark):
     df, _ = review_rows(spark, 600)
     got = {r.measure: r.value for r in privacy.transfer_auc(df.where("id % 2 = 0"), df.where("id % 2 = 1"), ["x", "z"], "y").collect()}
