@@ -228,6 +228,8 @@ def stratified_synthesis(df: DataFrame, numbers: Sequence[str], strata: Sequence
 
 #: Points that a k-d partition is drawn from, at most; it steers the work only. Leaves at most, points of a leaf that make another worth while, and queries that search a leaf at once.
 DRAWN, LEAVES, LEAF, CHUNK = 100_000, 4096, 2000, 20_000
+#: Distances from points to boxes that a task holds at once.
+DISTANCES = 1_000_000
 
 
 class KdParts:
@@ -261,6 +263,12 @@ def _with_leaf(batch: pa.RecordBatch, rows: np.ndarray, leaf: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([*kept_.columns, pa.array(leaf, pa.int32())], names=[*batch.schema.names, "leaf_"])
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], boxes: int) -> Iterator[pa.RecordBatch]:
+    """Points by so few that a task holds DISTANCES to boxes at once, however many boxes there are."""
+    step = max(1, DISTANCES // boxes)
+    return (b.slice(s, step) for b in batches for s in range(0, b.num_rows, step))
+
+
 def _searched(asked: DataFrame, points: DataFrame, cols: Sequence[str], chunk: int) -> DataFrame:
     """asked (cols, n_, leaf_) with gap: the distance to the nearest point of that leaf. A leaf that many ask is searched in chunks of queries."""
     k = len(cols)
@@ -320,11 +328,11 @@ def neighbour_gaps(real: DataFrame, made: DataFrame, cols: Sequence[str], leaf:
         return np.sqrt(total)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches, len(leaves)):
             yield _with_leaf(b, np.arange(b.num_rows), leaves[apart(_matrix(b, k)).argmin(1)])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches, len(leaves)):
             far = apart(_matrix(b, k))
             near = far < b.column("gap").to_numpy()[:, None] * (1 + 1e-12)
             near[np.arange(len(far)), far.argmin(1)] = False
