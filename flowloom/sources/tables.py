@@ -171,12 +171,13 @@ def run_all(spark: SparkSession, raw: str, folder: str, metric: str = "days_to_s
     with a warning, where it cannot be made; all else fails aloud.
     """
     from ..operators import aggregates, flow, quality
+    from ..operators.scans import kept
 
     typed = f"{folder}/engineered.parquet"
     quality.engineer(read_extract(spark, raw)).write.mode("overwrite").parquet(typed)
     cases = spark.read.parquet(typed)
-    h = flow.date_horizon(cases)
-    panel = flow.daily_panel(cases, h)
+    h = kept(flow.date_horizon(cases), "horizon")
+    panel = kept(flow.daily_panel(cases, h), "panel")  # its summary reads it too
     tables = {
         "events": flow.event_log(cases),
         "backlog": flow.backlog_series(cases, h),
