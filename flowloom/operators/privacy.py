@@ -346,29 +346,151 @@ def neighbour_gaps(real: DataFrame, made: DataFrame, cols: Sequence[str], leaf:
     return both.groupBy(*cols, "n_").agg(F.min("gap").alias("gap"))
 
 
+#: Newton steps at most, and the gain in log-likelihood (of all rows) that is too small for another.
+STEPS, GAIN = 100, 1e-6
+
+
+def _logistic_fits(rows: DataFrame, key: str, keys: Sequence, label: str, weight: str, cols: Sequence[str]) -> dict:
+    """Coefficients (the constant first) of each key's weighted logistic model. A Newton step is one aggregate for all keys."""
+    k, start = len(cols) + 1, np.zeros(len(cols) + 1)
+    beta, step, best, open_ = dict.fromkeys(keys, start), dict.fromkeys(keys, start), dict.fromkeys(keys, math.inf), set(keys)
+    x, pairs = [F.lit(1.0), *map(F.col, cols)], [(i, j) for i in range(k) for j in range(i, k)]
+    for _ in range(STEPS):
+        if not open_:
+            break
+        z = F.lit(None).cast("double")
+        for s in open_:
+            z = F.when(F.col(key) == s, _total(float(c) * v for c, v in zip(beta[s] + step[s], x, strict=True))).otherwise(z)
+        at = rows.where(F.col(key).isin(*open_)).withColumn("z_", z).withColumn("e_", F.exp(-F.abs("z_")))
+        p = F.when(F.col("z_") >= 0, 1.0).otherwise(F.col("e_")) / (1 + F.col("e_"))
+        at = at.withColumn("p_", p).withColumn("h_", F.col(weight) * F.col("p_") * (1 - F.col("p_"))).withColumn("g_", F.col(weight) * (F.col(label) - F.col("p_")))
+        loss = F.col(weight) * (F.log1p("e_") + F.greatest(F.lit(0.0), (1 - 2 * F.col(label)) * F.col("z_")))
+        sums = [F.sum(loss), *(F.sum(F.col("g_") * v) for v in x), *(F.sum(F.col("h_") * x[i] * x[j]) for i, j in pairs)]
+        for r in at.groupBy(key).agg(*(c.alias(f"s{i}") for i, c in enumerate(sums))).collect():  # one row a key
+            s, (lost, *rest) = r[key], np.array(r[1:], float)
+            if not lost <= best[s] * (1 + 1e-9):  # too far
+                step[s] = step[s] / 2
+                continue
+            beta[s], best[s] = beta[s] + step[s], lost
+            h = np.zeros((k, k))
+            for (i, j), v in zip(pairs, rest[k:], strict=True):
+                h[i, j] = h[j, i] = v
+            g = np.array(rest[:k])
+            step[s] = np.linalg.lstsq(h, g, rcond=None)[0]
+            if g @ step[s] < GAIN:
+                beta[s] = beta[s] + step[s]
+                open_.discard(s)
+    return beta
+
+
+#: Scored rows that a task holds at once, and of a range part, about.
+RANKED = 1_000_000
+
+
+def _by_score(rows: np.ndarray) -> np.ndarray:
+    """Distinct scores in order (the first column), with the sums of the other columns."""
+    rows = rows[np.argsort(rows[:, 0])]
+    new = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+    return np.column_stack([rows[new, 0], np.add.reduceat(rows[:, 1:], new)])
+
+
+def _aucs(df: DataFrame, sizes: Mapping, ranked: int = RANKED) -> dict:
+    """AUC by side of rows of a side (few, with about `sizes` rows each), a score and a 0/1 label; ties count half; null if all labels are one.
+
+    Equal scores are counted where they lie. Ranges of scores, cut at a bounded sample that steers the work
+    only, are dealt to tasks in packets, and each range has one row of its counts and its pairs in the right order.
+    """
+    sample = df.sample(min(1.0, DRAWN / max(1, sum(sizes.values()))), 1).select("side_", "score_").toPandas()
+    cuts = {}
+    for s, n in sizes.items():
+        drawn, parts = np.sort(sample.score_[sample.side_ == s].to_numpy(float)), -(-n // ranked)
+        cuts[s] = np.unique(drawn[[len(drawn) * k // parts for k in range(1, parts)]]) if len(drawn) else drawn
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def packets() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(held)
+            for s, at in cuts.items():
+                own = rows[rows[:, 0] == s, 1:]
+                if len(own):
+                    own = _by_score(own)
+                    pieces = np.split(own, np.searchsorted(own[:, 0], at, "right"))
+                    some = [(i, x.tobytes()) for i, x in enumerate(pieces) if len(x)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([s] * len(some), pa.int32()), pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())],
+                        names=["side_", "part_", "data"],
+                    )
+
+        for b in batches:
+            side, score, label = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            held.append(np.column_stack([side, score, label, 1 - label]))
+            size += b.num_rows
+            if size >= ranked:
+                yield from packets()
+                held, size = [], 0
+        if size:
+            yield from packets()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            for s, i, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                held.setdefault((s, i), []).append(np.frombuffer(data).reshape(-1, 3))
+        for (s, i), got in held.items():
+            _, pos, neg = _by_score(np.concatenate(got)).T
+            row = [pa.array([s], pa.int32()), pa.array([i], pa.int32()), *(pa.array([float(v)]) for v in (pos.sum(), neg.sum(), (pos * (np.cumsum(neg) - neg / 2)).sum()))]
+            yield pa.RecordBatch.from_arrays(row, names=["side_", "part_", "pos", "neg", "pairs"])
+
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(len(c) + 1 for c in cuts.values()))
+    dealt = df.select("side_", "score_", "label_").mapInArrow(packed, "side_ int, part_ int, data binary").repartition(tasks, "side_", "part_")
+    total: dict = dict.fromkeys(sizes, (0.0, 0.0, 0.0))
+    for r in sorted(dealt.mapInArrow(summed, "side_ int, part_ int, pos double, neg double, pairs double").collect(), key=lambda r: r.part_):  # one row a range
+        pos, neg, pairs = total[r.side_]
+        total[r.side_] = pos + r.pos, neg + r.neg, pairs + r.pairs + r.pos * neg
+    return {s: pairs / (pos * neg) if pos * neg else None for s, (pos, neg, pairs) in total.items()}
+
+
 def transfer_auc(real: DataFrame, made: DataFrame, numbers: Sequence[str], target: str) -> DataFrame:
-    """measure, value: AUC of a balanced logistic model of the 0/1 target, trained on made rows and tested on real ones (tstr_auc), and the other way round (trts_auc)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    def ready(df: DataFrame) -> DataFrame:
-        d = df.where(F.col(target).isNotNull()).select(
-            F.col(target).cast("double").alias("label"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numbers)
+    """measure, value: AUC of a balanced logistic model of the 0/1 target, trained on made rows and tested on real ones (tstr_auc), and the other way round (trts_auc).
+
+    Exact, ties count half; a missing number (null, NaN) counts as 0; null where the tested rows are of one class. Rows to train on that are of one
+    class tell nothing: all scores are equal. Both sides' rows are written once; a pass serves both.
+    """
+    x = [f"x{i}_" for i in range(len(numbers))]
+
+    def ready(df: DataFrame, side: int) -> DataFrame:
+        return df.where(F.col(target).isNotNull()).select(
+            F.lit(side).alias("side_"),
+            F.col(target).cast("double").alias("label_"),
+            *(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(n) for c, n in zip(numbers, x, strict=True)),
         )
-        rate = d.agg(F.avg("label")).first()[0] or 0.0
-        return d.withColumn("weight_", F.when(F.col("label") == 1, 0.5 / max(rate, 1e-9)).otherwise(0.5 / max(1 - rate, 1e-9)))
 
-    stages = [
-        VectorAssembler(inputCols=list(numbers), outputCol="x_"),
-        StandardScaler(inputCol="x_", outputCol="features", withMean=True),
-        LogisticRegression(weightCol="weight_", maxIter=100),
-    ]
-    a, b = ready(real), ready(made)
-    score = BinaryClassificationEvaluator()
-    rows = [(n, float(score.evaluate(Pipeline(stages=stages).fit(train).transform(test)))) for n, train, test in (("tstr_auc", b, a), ("trts_auc", a, b))]
-    return real.sparkSession.createDataFrame(rows, "measure string, value double")
+    rows = kept(ready(real, 0).unionByName(ready(made, 1)), "sides")
+    stats = [F.count("*").alias("n"), F.avg("label_").alias("rate"), *(f(c).alias(f"{n}{c}") for c in x for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max)))]
+    found = {r.side_: r for r in rows.groupBy("side_").agg(*stats).collect()}  # two rows
+    fit = [s for s, r in found.items() if 0 < r.rate < 1]
+
+    def by_model(side: Column, value) -> Column:
+        """value(row of statistics) of the model's side."""
+        out = F.lit(0.0)
+        for s in fit:
+            out = F.when(side == s, value(found[s])).otherwise(out)
+        return out
+
+    def standard(side: Column) -> dict[str, Column]:
+        return {c: (F.col(c) - by_model(side, lambda r, c=c: r[f"m{c}"])) * by_model(side, lambda r, c=c: 1 / r[f"s{c}"] if r[f"hi{c}"] > r[f"lo{c}"] else 0.0) for c in x}
+
+    side = F.col("side_")
+    weight = F.when(F.col("label_") == 1, by_model(side, lambda r: 0.5 / r.rate)).otherwise(by_model(side, lambda r: 0.5 / (1 - r.rate)))
+    beta = _logistic_fits(rows.withColumns(standard(side)).withColumn("weight_", weight), "side_", fit, "label_", "weight_", x)
+    score = F.lit(0.0)
+    for s in fit:
+        score = F.when(side == 1 - s, _total(float(b) * F.col(c) for b, c in zip(beta[s][1:], x, strict=True))).otherwise(score)
+    tested = rows.withColumns(standard(1 - side)).select("side_", score.alias("score_"), "label_")
+    value = _aucs(tested, {s: r.n for s, r in found.items()})
+    return real.sparkSession.createDataFrame([("tstr_auc", value.get(0)), ("trts_auc", value.get(1))], "measure string, value double")
 
 
 def privacy_report(real: DataFrame, made: DataFrame, numbers: Sequence[str], quasi: Sequence[str]) -> DataFrame:

@@ -609,6 +609,53 @@ def test_transfer_auc(spark):
     assert got.keys() == {"tstr_auc", "trts_auc"} and all(v > 0.7 for v in got.values())
 
 
+def test_transfer_auc_is_exact_and_reads_its_rows_once(spark):
+    rng = np.random.default_rng(8)
+    n = 6000
+    x, z, k = rng.integers(0, 5000, n) / 1000, rng.integers(0, 9, n).astype(float), np.full(n, 3.0)
+    y = (rng.random(n) < 1 / (1 + np.exp(3 - x - 0.1 * z))).astype(int)
+    df = frame(spark, {"id": np.arange(n), "x": x, "z": z, "k": k, "y": y}, id="long", y="int")
+    cases, seen = counted(spark, df, "x")
+    got = {r.measure: r.value for r in privacy.transfer_auc(cases.where("id % 2 = 0"), cases.where("id % 2 = 1"), ["x", "z", "k"], "y").collect()}
+    assert seen.value == n
+
+    def fitted(rows):
+        a, b = np.c_[np.ones(n), x, z][rows], y[rows]
+        w, beta = np.where(b == 1, 0.5 / b.mean(), 0.5 / (1 - b.mean())), np.zeros(3)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-a @ beta))
+            beta += np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a, a.T @ (w * (b - p)))
+        return beta
+
+    even = np.arange(n) % 2 == 0
+    for name, train in (("tstr_auc", ~even), ("trts_auc", even)):
+        score, held = (np.c_[np.ones(n), x, z] @ fitted(train))[~train], y[~train]
+        a, b = score[held == 1][:, None], score[held == 0]
+        assert got[name] == pytest.approx(((a > b) + (a == b) / 2).mean(), abs=1e-7)
+
+
+def test_auc_by_ranges_of_scores(spark):
+    rng = np.random.default_rng(3)
+    score, y, side = np.where(rng.random(3000) < 0.5, 7.0, rng.integers(-400, 400, 3000) / 10), rng.integers(0, 2, 3000), rng.integers(0, 2, 3000)
+    df = frame(spark, {"side_": side, "score_": score, "label_": y}, side_="int").repartition(5)
+    sizes = {s: int((side == s).sum()) for s in (0, 1)}
+    for ranked in (50, 1000, 10**6):
+        got = privacy._aucs(df, sizes, ranked)
+        for s in (0, 1):
+            a, b = score[(side == s) & (y == 1)][:, None], score[(side == s) & (y == 0)]
+            assert got[s] == pytest.approx(((a > b) + (a == b) / 2).mean(), abs=1e-12)
+
+
+def test_transfer_auc_of_odd_sides(spark):
+    df, _ = review_rows(spark, 300)
+    even, odd = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    auc = lambda a, b: {r.measure: r.value for r in privacy.transfer_auc(a, b, ["x", "z"], "y").collect()}
+    assert auc(even, odd.where("y = 1")) == {"tstr_auc": 0.5, "trts_auc": None}
+    assert auc(even, odd.limit(0)) == {"tstr_auc": 0.5, "trts_auc": None}
+    apart = df.withColumn("x", F.col("y") * 2.0)
+    assert auc(apart.where("id % 2 = 0"), apart.where("id % 2 = 1")) == {"tstr_auc": 1.0, "trts_auc": 1.0}
+
+
 def test_profile_lists_only_short_columns(spark):
     df = spark.range(200).select((F.col("id") % 3).alias("few"), F.col("id").alias("many"), F.lit(None).cast("string").alias("none"))
     got = {r.column: r for r in aggregates.profile(df).collect()}
