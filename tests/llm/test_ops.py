@@ -124,6 +124,20 @@ def test_suffix_array(spark, monkeypatch):
         suffix.repeated(df, length=50)
 
 
+def test_suffix_groups_that_are_not_neighbours(spark):
+    """A phrase prefix that begins a longer one: suffixes of the longer stand between those of the shorter."""
+    p = (
+        "cschsd ooc irao idao dtotrsob inbr aibobsna daaenet crcoth osnoiocti idnehcer ctrbt hceee ierna cedd "
+        "ror oitd conitdb bcsaatii scrrcs obdiced tihtcdet"
+    ).split()
+    q = ["hnoe" if w == "irao" else w for w in p]
+    texts = [" ".join(p * 4 + q * 4), " ".join(q * 3 + p * 4)]
+    for length in (300, 400):
+        df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.repeated(clashing(df), length).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_spans(texts, length)
+
+
 # 3
 
 
