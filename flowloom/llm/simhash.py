@@ -34,8 +34,10 @@ from .common import ARROW_ROWS, LOWER, folder_of, new_folder, python_batches, re
 CHUNK = 1 << 18
 #: Rows of a partition, about, in the walks and where prefixes meet.
 PART_ROWS = 1_000_000
-#: Files of shingle sets, of up to 512 texts each, whose shingles are counted to put rare ones first.
-ORDER_FILES = 32
+#: Shingles that are counted in one task, about; and shingles or sets after which a file of sets is full.
+COUNT_ROWS, FILE_ROWS, FILE_SETS = 4_000_000, 2_000_000, 1 << 12
+#: Sets that share a shingle: up to so many, each two are noted and compared once, in one place; more are compared where they meet.
+FEW = 8
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -71,15 +73,41 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return majority(np.array([h(s, 42) for s in shingles(text, n)], np.uint64))
 
 
-def word_prints(text: str | None) -> tuple[int, int, int]:
-    """Three fingerprints of the set of words: plain, by length squared, and of long words (else all), under three seeds."""
-    ws = sorted(set(words(text)))
-    if not ws:
-        return 0, 0, 0
-    size = np.array([len(w) for w in ws], float)
-    h = [np.array([xxhash.xxh64_intdigest(w, seed) for w in ws], np.uint64) for seed in (42, 43, 44)]
-    long = size > 7
-    return majority(h[0]), majority(h[1], size**2), majority(h[2][long] if long.sum() >= 8 else h[2])
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """Each text's set of n-word shingles as sorted 64-bit hashes, made of the hashes of their words; short texts as in shingles()."""
+    out: list[np.ndarray] = []
+    held: list[list[bytes]] = []
+    size = 0
+
+    def close() -> None:
+        length = np.array([len(ws) for ws in held])
+        word = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in held for w in ws), np.uint64, int(length.sum()))
+        count = np.where(length > 0, np.maximum(length - n + 1, 1), 0)
+        ends = np.cumsum(count)
+        at = np.arange(int(count.sum())) + np.repeat(np.cumsum(length) - length - ends + count, count)
+        width = np.repeat(np.minimum(length, n), count)
+        h = width.astype(np.uint64)
+        for k in range(n):
+            whole = width > k
+            grown = mixed(h * np.uint64(0x9E3779B97F4A7C15) + word[np.where(whole, at + k, at)])
+            h = np.where(whole, grown, h)
+        out.extend(np.unique(x) for x in np.split(h, ends[:-1]))
+
+    for text in texts:
+        held.append(words(text))
+        size += len(held[-1])
+        if size > 200_000:
+            close()
+            held, size = [], 0
+    if held:
+        close()
+    return out
 
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
@@ -184,17 +212,17 @@ class Sets:
         self.memo: dict[int, np.ndarray] = {}
         self.held = 0
 
-    def write(self, nodes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-        """Places of the sets. A file: how many, their nodes, their ends, their hashes."""
-        if len(sets) > ARROW_ROWS:
-            raise ValueError(f"over {ARROW_ROWS} sets for a file")
+    def write(self, nodes: np.ndarray, sets: list[np.ndarray]) -> int:
+        """The new file's number. A file: how many, their nodes, their ends, their hashes."""
+        if len(sets) > FILE_SETS:
+            raise ValueError(f"over {FILE_SETS} sets for a file")
         store, root = folder_of(self.folder)
         store.create_dir(root, recursive=True)
-        number = secrets.randbits(53)
+        number = secrets.randbits(50)
         with store.open_output_stream(f"{root}/{number}") as out:
             out.write(np.r_[len(sets), nodes, np.cumsum([len(x) for x in sets])].astype("<i8").tobytes())
             out.write(np.concatenate(sets).astype("<u8").tobytes())
-        return number * ARROW_ROWS + np.arange(len(sets))
+        return number
 
     def file(self, number: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Nodes and sets of a file."""
@@ -205,20 +233,28 @@ class Sets:
         head = np.frombuffer(data, "<i8", 2 * n, 8)
         return head[:n], np.split(np.frombuffer(data, "<u8", -1, 8 + 16 * n), head[n:-1])
 
+    def tokens(self, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and sizes of a file's sets; all their shingles, and which set each is of. A set without shingles has the one name 0."""
+        nodes, held = self.file(number)
+        size = np.array([len(x) for x in held])
+        return nodes, size, np.concatenate([x if len(x) else np.zeros(1, np.uint64) for x in held]), np.repeat(np.arange(len(held)), np.maximum(size, 1))
+
     def get(self, place: int) -> np.ndarray:
         got = self.memo.get(place)
         if got is None:
-            number, k = divmod(place, ARROW_ROWS)
+            number, k = divmod(place, FILE_SETS)
             store, root = folder_of(self.folder)
             with store.open_input_file(f"{root}/{number}") as f:
                 if number not in self.heads:
                     n = int(np.frombuffer(f.read_at(8, 0), "<i8")[0])
                     self.heads[number] = np.r_[0, np.frombuffer(f.read_at(8 * n, 8 + 8 * n), "<i8")]
+                    self.held += self.heads[number].nbytes
                 ends = self.heads[number]
                 got = np.frombuffer(f.read_at(8 * int(ends[k + 1] - ends[k]), 8 + 16 * (len(ends) - 1) + 8 * int(ends[k])), "<u8")
             self.held += got.nbytes
             if self.held > self.HELD:
                 self.memo.clear()
+                self.heads.clear()
                 self.held = got.nbytes
             self.memo[place] = got
         return got
@@ -270,28 +306,17 @@ class Verified:
             self.failed.clear()
         self.failed.add(key)
 
-    def among(self, m: np.ndarray) -> None:
-        """Links of each two of m."""
-        for k in range(len(m) - 1):
-            group = self.groups()[m]
-            if (group == group[0]).all():
-                return
-            self.join(np.repeat(m[k], len(m) - k - 1), m[k + 1 :])
 
+def parts_for(spark: SparkSession, rows: int, each: int | None = None) -> int:
+    """Partitions that hold PART_ROWS rows each, about (or another number): a task's memory does not grow with the corpus."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (each or PART_ROWS)))
 
-def parts_for(spark: SparkSession, rows: int) -> int:
-    """Partitions that hold PART_ROWS rows each, about: a task's memory does not grow with the corpus."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
 
-
-def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets | None = None, similarity: float = 0.0) -> DataFrame:
+def links(prints: DataFrame, budget: int, blocks: int | None = None) -> DataFrame:
     """prints: node, prints (array of fingerprints; two nodes link if one of them is within the budget).
 
     Returns a, b, bits (summed over all the fingerprints): spanning forests of the links, closest first.
-    With sets (and columns place, size of prints): spanning forests of those links whose sets have the
-    similarity; every link is compared before the forest is built.
     """
-    extra = ["place", "size"] if sets else []
     blocks = blocks or budget + 1
     orders = leads(budget, blocks)
     tables = prints.select(F.max(F.size("prints"))).first()[0] or 0
@@ -307,14 +332,8 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
                 for r, order in enumerate(orders):
                     lead = turned(each[:, t], order) >> np.uint64(64 - width[r])
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(each), t * len(orders) + r, np.int32)),
-                            pa.array(lead.view(np.int64)),
-                            node,
-                            batch.column("prints"),
-                            *map(batch.column, extra),
-                        ],
-                        names=["path", "lead", "node", "prints", *extra],
+                        [pa.array(np.full(len(each), t * len(orders) + r, np.int32)), pa.array(lead.view(np.int64)), node, batch.column("prints")],
+                        names=["path", "lead", "node", "prints"],
                     )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +342,7 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
             return
         path, node = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("path", "node"))
         each = np.concatenate([b.column("prints").flatten().to_numpy().reshape(b.num_rows, -1) for b in got]).view(np.uint64)
-        ids, at, place = np.unique(node, return_index=True, return_inverse=True)
-        exact = Verified(sets, similarity, *(np.concatenate([b.column(c).to_numpy() for b in got])[at] for c in extra)) if sets else None
+        ids, place = np.unique(node, return_inverse=True)
         found_i, found_j = [], []
         for p in np.unique(path):
             rows = np.flatnonzero(path == p)
@@ -333,19 +351,6 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
             ranked = np.argsort(value, kind="stable")
             rows, value = rows[ranked], value[ranked]
             starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-            if exact:
-                runs = np.split(place[rows], starts[1:])
-                for run in runs:
-                    if len(run) > 1:
-                        exact.among(run)
-                single = np.array([len(run) == 1 for run in runs])
-                for i, j in trie_pairs(value[starts], width[p % len(orders)], budget):
-                    one = single[i] & single[j]
-                    exact.join(place[rows[starts[i[one]]]], place[rows[starts[j[one]]]])
-                    for x, y in zip(i[~one].tolist(), j[~one].tolist(), strict=True):
-                        for k in runs[x].tolist():
-                            exact.join(np.full(len(runs[y]), k), runs[y])
-                continue
             first = np.repeat(starts, np.diff(np.r_[starts, len(value)]))
             alike = np.flatnonzero(first != np.arange(len(value)))  # equal fingerprints of different nodes: each to the first
             found_i.append(rows[first[alike]])
@@ -353,12 +358,6 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
             for i, j in trie_pairs(value[starts], width[p % len(orders)], budget):
                 found_i.append(rows[starts[i]])
                 found_j.append(rows[starts[j]])
-        if exact:
-            kept = np.array(exact.kept, np.int64).reshape(-1, 2)
-            a, b = np.sort(ids[kept], axis=1).T
-            bits = np.bitwise_count(each[at[kept[:, 0]]] ^ each[at[kept[:, 1]]]).sum(1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits)], names=["a", "b", "bits"])
-            return
         i, j = np.concatenate(found_i), np.concatenate(found_j)
         if not len(i):
             return
@@ -369,79 +368,103 @@ def links(prints: DataFrame, budget: int, blocks: int | None = None, sets: Sets
         a, b = node[i[kept]], node[j[kept]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits[kept])], names=["a", "b", "bits"])
 
-    dealt = prints.select("node", "prints", *extra).mapInArrow(
-        deal, "path int, lead bigint, node bigint, prints array<bigint>" + ", place bigint, size int" * bool(extra)
-    )
+    dealt = prints.select("node", "prints").mapInArrow(deal, "path int, lead bigint, node bigint, prints array<bigint>")
     parts = parts_for(prints.sparkSession, prints.count() * len(orders) * tables)
     return dealt.repartition(parts, "path", "lead").mapInArrow(walk, "a bigint, b bigint, bits int").distinct()
 
 
-def common_shingles(files: DataFrame, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that two or more sets of a bounded sample hold (ORDER_FILES files, least hashes of their numbers), in order, and the logarithm of how many do."""
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows that lie sorted by their first column: its values, each with the other columns' rows."""
+    at, got = None, []
+    for batch in batches:
+        for key, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != at:
+                if got:
+                    yield at, got
+                at, got = key, []
+            got.append(columns)
+    if got:
+        yield at, got
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number in batch.column("file").to_pylist():
-                h = np.concatenate(sets.file(number)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("h", "n")], names=["h", "n"])
+def by_part(token: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """Each part that has shingles, and their places."""
+    part = ((token * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+    order = np.argsort(part, kind="stable")
+    return [(int(part[g[0]]), g) for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(g)]
 
-    drawn = files.orderBy(F.xxhash64("file"), "file").limit(ORDER_FILES).repartition(ORDER_FILES, "file")
-    counts = drawn.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    rows = counts.mapInArrow(pack, "h binary, n binary").collect()  # of a bounded sample
-    h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.h, "<u8") for r in rows)])
-    n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.n, "<i8") for r in rows)])
-    order = np.argsort(h)
-    return h[order], np.log2(np.maximum(n[order], 1)).astype(np.int8)
 
+def levels(token: np.ndarray) -> np.ndarray:
+    """How common each of some shingles is among them, in a byte: 0 for one that is there once, more for more."""
+    value, n = np.unique(token, return_counts=True)
+    value, n = value[n > 1], n[n > 1]
+    if not len(value):
+        return np.zeros(len(token), np.uint8)
+    level = np.where(n <= 128, n - 1, 120 + np.floor(np.log2(n))).astype(np.uint8)
+    at = np.minimum(np.searchsorted(value, token), len(value) - 1)
+    return np.where(value[at] == token, level[at], 0).astype(np.uint8)
 
-def prefix_links(prints: DataFrame, sets: Sets, similarity: float, parts: int) -> DataFrame:
-    """a, b: spanning forests of all the pairs of sets with the similarity. prints: place.
+
+def prefix_links(files: DataFrame, sets: Sets, similarity: float) -> DataFrame:
+    """a, b: links of sets that have the similarity, enough to join all those that such pairs join. files: file, tokens, prefix.
 
     In any order of shingles that all sets have in common, two such sets of s and r shingles share one of
-    the first s - ceil(similarity s) + 1 and r - ceil(similarity r) + 1. Rare shingles come first, as far
-    as a sample tells, then by hash: a passage that many texts hold is then in few prefixes. The order
-    changes the work, never the result. Each file's prefixes are dealt by hash, packed, to `parts` tasks.
-    Sets without shingles meet under one name.
+    the first s - ceil(similarity s) + 1 and r - ceil(similarity r) + 1. Rare shingles come first, then by
+    hash: all of them are counted once, so a prefix is mostly shingles that no other set holds, and those
+    are not dealt. Counts are of 32 bits of a shingle in its part: one that shares them with another counts
+    as more common, which changes the work only. Files are dealt to tasks one by one, and their shingles,
+    packed, by hash.
     """
-    files = prints.select(F.expr(f"place DIV {ARROW_ROWS}").alias("file")).distinct()
-    known, level = common_shingles(files, sets)
+    spark = files.sparkSession
+    n_files, tokens, prefix = (x or 0 for x in files.agg(F.count("*"), F.sum("tokens"), F.sum("prefix")).first())
+    n_files = max(1, n_files)
+    counted = parts_for(spark, tokens, COUNT_ROWS)
+    parts = parts_for(spark, prefix)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in batch.column("file").to_pylist():
-                nodes, held = sets.file(number)
-                size = np.array([len(x) for x in held])
-                long = np.maximum(size - np.ceil(similarity * size - 1e-9).astype(int) + 1, 1) * (size > 0) + (size == 0)
-                every, of = np.concatenate(held), np.repeat(np.arange(len(held)), size)
-                rare = np.zeros(len(every), np.int8)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, every), len(known) - 1)
-                    rare = np.where(known[at] == every, level[at] + 1, 0).astype(np.int8)
-                ordered = np.split(every[np.lexsort((every, rare, of))], np.cumsum(size)[:-1])
-                token = np.concatenate([x[:k] if len(x) else np.zeros(1, np.uint64) for x, k in zip(ordered, long.tolist(), strict=True)])
-                which = np.repeat(np.arange(len(held)), long)
-                rank = np.arange(len(token)) - np.repeat(np.cumsum(long) - long, long)
-                columns = token, nodes[which], number * ARROW_ROWS + which, size[which].astype(np.int32), rank.astype(np.int32)
-                part = (token * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order])) + 1
-                rows = [(int(part[g[0]]), *(c[g].tobytes() for c in columns)) for g in np.split(order, cuts)]
+                token = sets.tokens(number)[2]
+                rows = [(part, number, token[g].astype("<u4").tobytes()) for part, g in by_part(token, counted)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "file", "token"]
+                )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in by_key(batches):
+            held = [np.frombuffer(r[1], "<u4") for r in rows]
+            told = np.split(levels(np.concatenate(held)), np.cumsum([len(x) for x in held])[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([x.tobytes() for x in told], pa.binary())],
+                names=["file", "part", "level"],
+            )
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, told in by_key(batches):
+            nodes, size, token, of = sets.tokens(number)
+            level, said = np.zeros(len(token), np.uint8), dict(told)
+            for part, g in by_part(token, counted):
+                level[g] = np.frombuffer(said[part], np.uint8)
+            alone = np.bincount(of[level == 0], minlength=len(size))  # these come first
+            shared = np.flatnonzero(level)
+            shared = shared[np.lexsort((token[shared], level[shared], of[shared]))]
+            many = np.bincount(of[shared], minlength=len(size))
+            rank = np.arange(len(shared)) + np.repeat(alone - np.cumsum(many) + many, many)
+            long = np.maximum(size - np.ceil(similarity * size - 1e-9).astype(int) + 1, 1)
+            shared, rank = (x[rank < long[of[shared]]] for x in (shared, rank))
+            which = of[shared]
+            columns = token[shared], nodes[which], number * FILE_SETS + which, size[which].astype(np.int32), rank.astype(np.int32)
+            rows = [(part, *(c[g].tobytes() for c in columns)) for part, g in by_part(token[shared], parts)]
+            if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)],
                     names=["part", "token", "node", "place", "size", "rank"],
                 )
 
+    pair = ["a", "b", "place_a", "place_b", "size_a", "size_b"]
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list[bytes]]] = {}
-        for batch in batches:
-            for part, *columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(part, []).append(columns)
-        while held:
-            _, rows = held.popitem()
+        for _, rows in by_key(batches):
             token, node, place, size, rank = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in enumerate(("<u8", "<i8", "<i8", "<i4", "<i4")))
             order = np.lexsort((rank, token))
             starts = np.flatnonzero(np.r_[True, np.diff(token[order]) != 0])
@@ -453,27 +476,53 @@ def prefix_links(prints: DataFrame, sets: Sets, similarity: float, parts: int) -
             ids, at, local = np.unique(node, return_index=True, return_inverse=True)
             exact = Verified(sets, similarity, place[at], size[at])
             left = (size - rank).astype(float)  # shingles from this one on: what two sets share at most if they first meet here
+            noted = [np.zeros((0, 2), np.int64)]
 
-            def join(i: np.ndarray, j: np.ndarray) -> None:
+            def met(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 meets = np.minimum(left[i], left[j]) >= similarity / (1 + similarity) * (size[i].astype(float) + size[j]) - 1e-6
                 meets |= size[i] == 0
-                exact.join(local[i[meets]], local[j[meets]])
+                return local[i[meets]], local[j[meets]]
 
             starts = np.cumsum(many) - many
-            two = starts[many == 2]
-            join(two, two + 1)
-            for a, m in zip(starts[many > 2].tolist(), many[many > 2].tolist(), strict=True):
+            for m in range(2, FEW + 1):
+                for x, y in combinations(range(m), 2):
+                    i, j = met(starts[many == m] + x, starts[many == m] + y)
+                    may = exact.may(i, j)
+                    noted.append(np.unique(np.sort(np.stack([i[may], j[may]], 1), axis=1), axis=0))
+            for a, m in zip(starts[many > FEW].tolist(), many[many > FEW].tolist(), strict=True):
                 for k in range(a, a + m - 1):
                     group = exact.groups()[local[a : a + m]]
                     if (group == group[0]).all():
                         break
-                    join(np.full(a + m - k - 1, k), np.arange(k + 1, a + m))
-            kept = np.array(exact.kept, np.int64).reshape(-1, 2)
-            a, b = np.sort(ids[kept], axis=1).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    dealt = files.mapInArrow(deal, "part int, token binary, node binary, place binary, size binary, rank binary")
-    return dealt.repartition(parts, "part").mapInArrow(meet, "a bigint, b bigint")
+                    exact.join(*met(np.full(a + m - k - 1, k), np.arange(k + 1, a + m)))
+            for found, new in ((np.array(exact.kept, np.int64).reshape(-1, 2), False), (np.unique(np.concatenate(noted), axis=0), True)):
+                a, b = np.sort(found, axis=1).T
+                columns = ids[a], ids[b], *(exact.place[x] if new else np.full(len(x), -1) for x in (a, b)), *(size[at][x] for x in (a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=pair)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that were compared already, and a forest of the others that hold."""
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        a, b, place_a, place_b, size_a, size_b = (np.concatenate([x.column(c).to_numpy() for x in got]) for c in pair)
+        done = place_a < 0
+        yield pa.RecordBatch.from_arrays([pa.array(a[done]), pa.array(b[done])], names=["a", "b"])
+        a, b, place_a, place_b, size_a, size_b = (x[~done] for x in (a, b, place_a, place_b, size_a, size_b))
+        ids, at, local = np.unique(np.r_[a, b], return_index=True, return_inverse=True)
+        exact = Verified(sets, similarity, np.r_[place_a, place_b][at], np.r_[size_a, size_b][at])
+        order = np.lexsort((b, a))
+        exact.join(local[: len(a)][order], local[len(a) :][order])
+        a, b = np.sort(ids[np.array(exact.kept, np.int64).reshape(-1, 2)], axis=1).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    # without keys, a file's number goes to the next task: few bytes, which adaptive execution would else join to one task's
+    asked = files.select("file").repartition(n_files).mapInArrow(ask, "part int, file bigint, token binary")
+    told = asked.repartition(counted, "part").sortWithinPartitions("part").mapInArrow(count, "file bigint, part int, level binary")
+    dealt = told.repartition(n_files, "file").sortWithinPartitions("file").mapInArrow(deal, "part int, token binary, node binary, place binary, size binary, rank binary")
+    found = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, ", ".join(f"{c} bigint" for c in pair))
+    once = found.groupBy("a", "b").agg(*(F.min(c).alias(c) for c in pair[2:]))  # -1: compared where they met
+    return once.repartition(parts, "a").mapInArrow(compare, "a bigint, b bigint")
 
 
 def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
@@ -530,16 +579,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int = 5, blocks: int = 7) -> DataFrame:
+def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document (the least id) of each group of near copies; all columns stay.
 
     Near copies have n-word shingle sets of Jaccard similarity 0.8 or more, as lower-cased words. At
-    that similarity a fingerprint of 5-word shingles differs in ten bits on average, which no trie
-    walk can prune well; one edited word changes five shingles but one word. So the walk takes
-    fingerprints of the set of words (three of them, within 5 bits). It finds most word edits, few
-    texts with a passage added, cut or replaced; prefixes of the shingle sets find all pairs. Every
-    link is verified on the shingle sets (64-bit hashes) before forests are built. Rows with a null
-    id stay.
+    that similarity fingerprints of 5-word shingles differ in ten bits on average, which no trie walk
+    can prune, and other fingerprints miss passages added, cut or replaced. Prefixes of the shingle sets
+    find all pairs. Every link is verified on the shingle sets (64-bit hashes) before forests are built.
+    Rows with a null id stay.
     """
     python_batches(docs.sparkSession)
     rows = docs.select(
@@ -556,24 +603,32 @@ def drop_near(docs: DataFrame, n: int = 5, similarity: float = 0.8, budget: int
     sets = Sets(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = batch.column("text").to_pylist()
-            made = np.array([word_prints(t) for t in held], np.uint64).reshape(-1, 3).view(np.int64)
-            hashes = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(t, n)], np.uint64)) for t in held]
-            place = sets.write(batch.column("node").to_numpy(), hashes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(list(made), pa.list_(pa.int64())), pa.array(place), pa.array([len(h) for h in hashes], pa.int32())],
-                names=["node", "prints", "place", "size"],
-            )
+        nodes: list[np.ndarray] = []
+        held: list[np.ndarray] = []
 
-    path = new_folder(docs.sparkSession, "prints")
-    prints = stored(texts.mapInArrow(run, "node bigint, prints array<bigint>, place bigint, size int"), "prints", path)
-    walked = links(prints, budget, blocks, sets, similarity).select("a", "b")
-    length = prints.agg(F.sum(F.floor(F.col("size") * (1 - similarity)) + 1)).first()[0] or 0
-    parts = parts_for(docs.sparkSession, length)
-    roots = components(walked.unionByName(prefix_links(prints, sets, similarity, parts)))
+        def close() -> pa.RecordBatch:
+            size = np.array([len(x) for x in held])
+            number = sets.write(np.concatenate(nodes), held)
+            long = int((size - np.ceil(similarity * size - 1e-9).astype(int) + 1).sum())
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, int(np.maximum(size, 1).sum()), long)], names=["file", "tokens", "prefix"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, ARROW_ROWS):
+                part = batch.slice(k, ARROW_ROWS)
+                if held and len(held) + part.num_rows > FILE_SETS:
+                    yield close()
+                    nodes, held = [], []
+                nodes.append(part.column("node").to_numpy())
+                held += hashed_sets(part.column("text").to_pylist(), n)
+                if sum(map(len, held)) > FILE_ROWS:
+                    yield close()
+                    nodes, held = [], []
+        if held:
+            yield close()
+
+    path = new_folder(docs.sparkSession, "files")
+    files = stored(texts.mapInArrow(run, "file bigint, tokens bigint, prefix bigint"), "files", path)
+    roots = components(prefix_links(files, sets, similarity))
     for done in (path, sets.folder):  # the links are written by now
         remove(docs.sparkSession, done)
     gone = roots.where(F.col("node") != F.col("root")).select("node")

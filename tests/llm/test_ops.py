@@ -510,6 +510,47 @@ def test_near_dedup_finds_every_kind_of_edit(spark):
     assert kept == brute_near(rows)
 
 
+def test_files_of_sets_are_dealt_to_tasks(spark, monkeypatch, tmp_path):
+    """Each pass over the shingle sets is dealt to several tasks, though the list of their files is short enough for one."""
+
+    class Told(simhash.Sets):
+        def file(self, number):
+            from pyspark import TaskContext
+
+            at = TaskContext.get()
+            (tmp_path / f"{at.stageId()}-{at.partitionId()}").touch()
+            return super().file(number)
+
+    monkeypatch.setattr(simhash, "Sets", Told)
+    monkeypatch.setattr(simhash, "FILE_ROWS", 1000, raising=False)
+    rng = random.Random(13)
+    word = lambda: f"word{rng.randrange(10**6)}"
+    rows = [(i, " ".join(word() for _ in range(20))) for i in range(9 * 512)]
+    rows += [(10000 + i, f"{t} {word()}") for i, t in rows[:50]]
+    assert {r.doc_id for r in simhash.drop_near(spark.createDataFrame(rows, DOCS)).collect()} == set(range(9 * 512))
+    tasks = Counter(f.name.split("-")[0] for f in tmp_path.iterdir())
+    assert tasks and min(tasks.values()) > 1
+
+
+def test_levels_of_shingles():
+    rng = np.random.default_rng(14)
+    n = np.r_[np.ones(500, int), np.arange(2, 140), 400, 5000]
+    token = rng.permutation(np.repeat(rng.permutation(10**6)[: len(n)].astype(np.uint32), n))
+    level, count = simhash.levels(token), Counter(token.tolist())
+    got = sorted({(count[t], x) for t, x in zip(token.tolist(), level.tolist())})
+    assert [x for _, x in got] == sorted(x for _, x in got) and len(got) == len(set(n.tolist())) and all((x > 0) == (c > 1) for c, x in got)
+    assert len(simhash.levels(token[:0])) == 0 and not simhash.levels(np.arange(9, dtype=np.uint32)).any()
+
+
+def test_hashed_sets_are_those_of_shingles():
+    rng = random.Random(15)
+    texts = [None, "", " \n", *(" ".join(rng.choice("ABcd") for _ in range(rng.randint(0, 12))) for _ in range(2000))]
+    there, back = {}, {}
+    for text, h in zip(texts, simhash.hashed_sets(texts, 5), strict=True):
+        want = frozenset(simhash.shingles(text, 5))
+        assert len(want) == len(h) and there.setdefault(want, h.tobytes()) == h.tobytes() and back.setdefault(h.tobytes(), want) == want
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 100), (7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
