@@ -78,6 +78,35 @@ def test_topics_do_not_depend_on_blocks(spark, monkeypatch):
     assert got[0].keys() == got[1].keys() and all(got[1][key] == pytest.approx(v, rel=1e-9) for key, v in got[0].items())
 
 
+def test_topics_leave_no_shuffle_files(spark):
+    """What a round shuffles is deleted once its table is written, and the folders of texts and blocks at the end."""
+    at = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = at.getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()))
+
+    rng = np.random.default_rng(17)
+    df = spark.createDataFrame([(" ".join(f"w{x}" for x in rng.integers(0, 3000, 200)),) for _ in range(400)], "text string")
+    before = held()
+    topics.topics(df, "text", 4, rounds=4)
+    assert held() - before < 100_000
+
+
+def test_topics_of_parts_and_slices(spark, monkeypatch):
+    """Documents in many parts, several a block, worked on a few at once: the same result."""
+    rng = np.random.default_rng(18)
+    df = spark.createDataFrame([(" ".join(f"w{x}" for x in rng.integers(0, 60, 30)),) for _ in range(200)], "text string")
+    got = []
+    for part, part_slice, few in ((topics.PART_WORDS, topics.SLICE_WORDS, topics.FEW_WORDS), (90, 40, 1000)):
+        monkeypatch.setattr(topics, "PART_WORDS", part)
+        monkeypatch.setattr(topics, "SLICE_WORDS", part_slice)
+        monkeypatch.setattr(topics, "FEW_WORDS", few)
+        got.append({(r.topic, r.term): r.weight for r in topics.topics(df, "text", 3, terms=99, rounds=3).collect()})
+    assert got[1] == pytest.approx(got[0], rel=1e-9) and len(got[0]) == 3 * 60
+    assert sorted(topics.even({1: 5, 2: 9, 3: 4, 4: 1}, [7, 8]).items()) == [(1, 8), (2, 7), (3, 8), (4, 7)]
+
+
 def test_topics_of_nothing(spark):
     assert topics.topics(spark.createDataFrame([], "text string"), "text", 2).collect() == []
     assert topics.topics(spark.createDataFrame([("one word",), ("other",)], "text string"), "text", 2).collect() == []
